@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, langid, quality, simhash
+from . import decontaminate, divergence, langid, packing, quality, secrets, sharding, simhash
 from .clusterio import table
 
 
@@ -36,6 +36,13 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secrets.listed(secrets.strong_only(F.col("_spans"))), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base, secrets.listed(F.col("_spans")).alias("spans"))
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = divergence.judge(docs, divergence.references(docs))
@@ -49,12 +56,24 @@ def op7_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.uniform_tree(40))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op10_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = (
     op1_bradley_terry_quality,
     op2_benchmark_suffix_match,
     op3_simhash_components,
+    op5_credential_linking,
     op6_divergence_rules,
     op7_naive_bayes_language,
+    op9_weighted_hash_tree,
+    op10_length_bucket_packing,
 )
 
 
