@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, langid, packing, quality, secrets, sharding, simhash
+from . import decontaminate, divergence, langid, packing, quality, repeats, secrets, sharding, simhash
 from .clusterio import table
 
 
@@ -56,6 +56,11 @@ def op7_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = repeats.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), sharding.uniform_tree(40))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -72,6 +77,7 @@ QUERIES = (
     op5_credential_linking,
     op6_divergence_rules,
     op7_naive_bayes_language,
+    op8_interval_tree_repeats,
     op9_weighted_hash_tree,
     op10_length_bucket_packing,
 )
