@@ -7,15 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
-
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, a temporary folder of this machine serves.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary one of this machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cellweave-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, langid, packing, quality, repeats, secrets, sharding, simhash
+from . import chat, decontaminate, divergence, langid, packing, quality, repeats, secrets, sharding, simhash
 from .clusterio import table
 
 
@@ -36,6 +36,14 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    nodes, leaves = chat.format_chats(rows.unionByName(probe))
+    return chat.digests(chat.read_back(nodes, leaves))
+
+
 def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -74,6 +82,7 @@ QUERIES = (
     op1_bradley_terry_quality,
     op2_benchmark_suffix_match,
     op3_simhash_components,
+    op4_prefix_tree_chat,
     op5_credential_linking,
     op6_divergence_rules,
     op7_naive_bayes_language,
@@ -84,7 +93,9 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

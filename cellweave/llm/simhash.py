@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytespans as B
@@ -214,7 +215,7 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, bucket: int = 64) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (least doc_id reachable over links, its own included) of every row.
+    """``doc_id``, ``fp``, ``root`` (the component's least fingerprint) and ``component_id`` (least doc_id reachable over links, its own included) of every row.
 
     Null and blank texts have fingerprint 0, which links like any other.  Rows whose doc_id is null keep null as
     doc_id and take part; a component of such rows alone has a null component_id.  Repeated rows give repeated
@@ -225,8 +226,32 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     joined = components(links(classes.select("fp"), distance=distance, bucket=bucket))
     rooted = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each near-duplicate group: the one whose id is the component's.
+
+    Rows without an id stand for a group only if no row of it has one.  Where several rows could stand for a group, as
+    repeated rows do, the first by text stays.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
+    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if first.groupBy("_id").count().where("count > 1 or _id is null").isEmpty():  # ids are unique: no need to look at texts
+        return docs.join(first.select("_id"), F.col(doc_id) == F.col("_id"), "left_semi").select(*columns)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, text):
+            codes = [fingerprint(t, how.get("shingle", 3)) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], [*names, "_mine"])
+
+    printed = docs.mapInArrow(run, docs.withColumn("_mine", F.lit(0).cast("long")).schema)
+    joined = printed.join(first.distinct(), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_fp")))
+    place = F.row_number().over(W.partitionBy("_root").orderBy(F.col(text).asc_nulls_last(), "_mine"))
+    return joined.withColumn("_place", place).where("_place = 1").select(*columns)
 
 
 def hex16(fp: F.Column) -> F.Column:
