@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from ..functions import keys
+from ..operators import joins
+from . import joining, registry, summaries  # noqa: F401
+from . import views as V
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Mean exposure by distance band from the weekly high-traffic seeds."""
+    p = V.panel(spark, sf_dir)
+    near = joins.nearest_in_week(p, joins.weekly_seeds(p, "vessel"))
+    scored = near.withColumns({"band": keys.distance_band(F.col("distance_km"), "decades", "unknown"), "score": keys.exposure_score(F.col("distance_km"))})
+    return scored.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("distance_km"), 6).alias("mean_km"))
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
