@@ -48,22 +48,29 @@ def f_upper(f: float, d1: float, d2: float) -> float:
     return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-@F.pandas_udf("double")
-def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p of Student's t, on result rows."""
-    return pd.Series([t_two_sided(a, b) if a == a and b == b and b > 0 else None for a, b in zip(t, df, strict=True)], dtype="float64")
+def _on_rows(fn, *columns: Column) -> Column:
+    """A function of numbers over result rows; null where an argument is null."""
 
+    def apply(*parts: pd.Series) -> pd.Series:
+        return pd.Series([fn(*v) if all(x == x for x in v) else None for v in zip(*parts, strict=True)], dtype="float64")
 
-@F.pandas_udf("double")
-def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    """Upper tail of the F distribution, on result rows."""
-    return pd.Series([f_upper(a, b, c) if a == a and b > 0 and c > 0 else None for a, b, c in zip(f, d1, d2, strict=True)], dtype="float64")
+    wrapped = {1: lambda a: apply(a), 2: lambda a, b: apply(a, b), 3: lambda a, b, c: apply(a, b, c)}[len(columns)]
+    return F.pandas_udf(wrapped, "double", F.PandasUDFType.SCALAR)(*[c.cast("double") for c in columns])
 
 
-@F.pandas_udf("double")
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided p of a standard normal, on result rows."""
-    return pd.Series([math.erfc(abs(x) / math.sqrt(2)) if x == x else None for x in z], dtype="float64")
+def t_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t."""
+    return _on_rows(lambda a, b: t_two_sided(a, b) if b > 0 else None, t, df)
+
+
+def f_p(f: Column, d1: Column, d2: Column) -> Column:
+    """Upper tail of the F distribution."""
+    return _on_rows(lambda a, b, c: f_upper(a, b, c) if b > 0 and c > 0 else None, f, d1, d2)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a standard normal."""
+    return _on_rows(lambda a: math.erfc(abs(a) / math.sqrt(2)), z)
 
 
 def pair_list(columns: list[str]) -> list[tuple[str, str]]:
@@ -81,7 +88,7 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]], *, by: tuple[str,
     rows = long_pairs(df, pairs, by)
     group = [*by, "a", "b"]
     ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), group), "ry": windows.average_rank(F.col("y"), group)})
-    made = lambda x, y: F.when(F.count("*") >= least, F.nanvl(F.corr(x, y), F.lit(None)))
+    made = lambda x, y: F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y)))
     return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(made("x", "y"), 6).alias("pearson"), F.round(made("rx", "ry"), 6).alias("spearman"))
 
 
@@ -96,7 +103,7 @@ def lag_correlations(df: DataFrame, pairs: list[tuple[str, str]], lags: range, *
     rows = df.withColumn("_p", F.array(*made)).select(*group, F.explode("_p").alias("p")).select(*group, "p.*").where("x is not null and y is not null")
     keys = [*group, "a", "b", "lag"]
     ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), keys), "ry": windows.average_rank(F.col("y"), keys)})
-    pick = lambda x, y: F.round(F.when(F.count("*") >= least, F.nanvl(F.corr(x, y), F.lit(None))), 6)
+    pick = lambda x, y: F.round(F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y))), 6)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), pick("x", "y").alias("pearson"), pick("rx", "ry").alias("spearman"))
 
 
@@ -145,7 +152,7 @@ def anova(rows: DataFrame, by: list[str], group: str, value: str = "value") -> D
     between = F.col("raw") - F.col("n") * F.col("grand") * F.col("grand")
     t = t.withColumns({"d1": (F.col("k") - 1).cast("double"), "d2": (F.col("n") - F.col("k")).cast("double")})
     t = t.withColumn("f", (between / F.nullif(F.col("d1"), F.lit(0.0))) / F.nullif(F.col("within") / F.nullif(F.col("d2"), F.lit(0.0)), F.lit(0.0)))
-    return t.withColumn("p", f_p("f", "d1", "d2")).select(*by, F.col("k").alias("groups"), "n", F.round("f", 4).alias("f"), F.round("p", 6).alias("p"))
+    return t.withColumn("p", f_p(F.col("f"), F.col("d1"), F.col("d2"))).select(*by, F.col("k").alias("groups"), "n", F.round("f", 4).alias("f"), F.round("p", 6).alias("p"))
 
 
 def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, draws: int = 500, seed: int = 42, key: tuple[str, ...] = ("cell", "week")) -> DataFrame:

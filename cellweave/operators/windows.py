@@ -49,10 +49,19 @@ def rolling(c: str, before: int, after: int, least: int, how: str = "mean", *, b
     return F.when(F.count(c).over(w) >= least, made.over(w))
 
 
+def correlation(x: Column, y: Column, over=None) -> Column:
+    """Pearson's coefficient over the rows that have both, null without spread (the built-in one fails there)."""
+    both = x.isNotNull() & y.isNotNull()
+    own = lambda c: F.stddev_pop(F.when(both, c))
+    parts = F.covar_pop(x, y), own(x), own(y)
+    c, sx, sy = (p.over(over) if over is not None else p for p in parts)
+    return F.try_divide(c, sx * sy)
+
+
 def rolling_correlation(a: str, b: str, rows: int, least: int, *, by: str = "cell", week: str = "week") -> Column:
     w = series(by, order=week).rowsBetween(-(rows - 1), 0)
     both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)
-    return F.when(F.count(both).over(w) >= least, F.corr(a, b).over(w))
+    return F.when(F.count(both).over(w) >= least, correlation(F.col(a), F.col(b), w))
 
 
 def average_rank(c: Column, by: list[str]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import joins
-from . import joining, registry, summaries  # noqa: F401
+from . import joining, models, registry, sourcing, statistics, summaries  # noqa: F401
 from . import views as V
 
 

@@ -172,7 +172,7 @@ def agg_regime_effect(spark: SparkSession, d: str) -> DataFrame:
     return g.select("port", R(s).alias("shoreward"), R(o).alias("other"), R(s - o).alias("difference"), R(100 * (s - o) / F.nullif(F.abs(o), F.lit(0.0))).alias("percent"), (s > o).alias("amplified"))
 
 
-@query("""SELECT port, round(avg(no2),6) AS mean, round(CASE WHEN count(no2)=1 THEN 0 ELSE stddev_samp(no2)/sqrt(count(no2)) END,6) AS se, round(avg(CASE WHEN port_km>50 THEN no2 END)/nullif(avg(CASE WHEN port_km<=50 THEN no2 END),0),6) AS persistence, round(regr_slope(no2, port_km),6) AS slope FROM feat GROUP BY port""")
+@query("""SELECT port, round(avg(no2),6) AS mean, round(CASE WHEN count(no2)=1 THEN 0 ELSE stddev_samp(no2)/sqrt(count(no2)) END,6) AS se, round(avg(CASE WHEN port_km>50 THEN no2 END)/nullif(avg(CASE WHEN port_km<=50 THEN no2 END),0),6) AS persistence, round(CASE WHEN isfinite(regr_slope(no2, port_km)) THEN regr_slope(no2, port_km) END,6) AS slope FROM feat GROUP BY port""")
 def agg_inland_summary(spark: SparkSession, d: str) -> DataFrame:
     k, v = F.col("port_km"), F.col("no2")
     se = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v) / F.sqrt(F.count(v)))
@@ -364,19 +364,19 @@ def win_differences_and_products(spark: SparkSession, d: str) -> DataFrame:
 
 def _frame(made: str, before: int, after: int, least: int, name: str) -> str:
     w = f"OVER (PARTITION BY cell ORDER BY week ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
-    return f"CASE WHEN count(traffic) {w}>={least} THEN round({made} {w},4) END AS {name}"
+    return f"CASE WHEN count(traffic) {w}>={least} THEN round({made} {w},6) END AS {name}"
 
 
 @query(f"""SELECT cell, week, {_frame("avg(traffic)", 11, 0, 4, "base12")}, {_frame("avg(traffic)", 1, 0, 2, "roll2")}, {_frame("avg(traffic)", 2, 0, 3, "roll3")}, {_frame("avg(traffic)", 1, 1, 1, "centred3")}, {_frame("quantile_cont(traffic,0.5)", 4, 4, 4, "median9")}, {_frame("stddev_samp(traffic)", 3, 0, 2, "std4")} FROM lp""")
 def win_rolling(spark: SparkSession, d: str) -> DataFrame:
     """Trailing and centred means, medians and deviations with the least number of values each."""
-    four = lambda *a: F.round(windows.rolling("traffic", *a), 4)
-    return V.long_panel(spark, d).select("cell", "week", four(11, 0, 4).alias("base12"), four(1, 0, 2).alias("roll2"), four(2, 0, 3).alias("roll3"), four(1, 1, 1).alias("centred3"), four(4, 4, 4, "median").alias("median9"), four(3, 0, 2, "std").alias("std4"))
+    six = lambda *a: R(windows.rolling("traffic", *a))
+    return V.long_panel(spark, d).select("cell", "week", six(11, 0, 4).alias("base12"), six(1, 0, 2).alias("roll2"), six(2, 0, 3).alias("roll3"), six(1, 1, 1).alias("centred3"), six(4, 4, 4, "median").alias("median9"), six(3, 0, 2, "std").alias("std4"))
 
 
-@query("""SELECT cell, week, CASE WHEN count(traffic) OVER w>=4 THEN round(traffic-avg(traffic) OVER w,4) END AS anomaly FROM lp WINDOW w AS (PARTITION BY cell ORDER BY week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+@query("""SELECT cell, week, CASE WHEN count(traffic) OVER w>=4 THEN round(traffic-avg(traffic) OVER w,6) END AS anomaly FROM lp WINDOW w AS (PARTITION BY cell ORDER BY week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
 def win_deviation_from_trailing(spark: SparkSession, d: str) -> DataFrame:
-    return V.long_panel(spark, d).select("cell", "week", F.round(F.col("traffic") - windows.rolling("traffic", 7, 0, 4), 4).alias("anomaly"))
+    return V.long_panel(spark, d).select("cell", "week", R(F.col("traffic") - windows.rolling("traffic", 7, 0, 4)).alias("anomaly"))
 
 
 @query("""SELECT cell, round(median(CASE WHEN isfinite(r) THEN r END),5) AS median_r FROM (SELECT cell, CASE WHEN count(*) OVER w>=6 THEN corr(traffic,n) OVER w END AS r FROM lp WINDOW w AS (PARTITION BY cell ORDER BY week ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) GROUP BY cell""")
