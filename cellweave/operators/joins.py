@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut
 
 SMALL = 20_000  # rows of a reference table that may be sent to every task
 
@@ -84,7 +85,7 @@ def nearest(points: DataFrame, refs: DataFrame, *, point: str = "cell", lat: str
 
     A small reference table is sent to every task.  A larger one is cut into tiles: a point looks at its own and the
     eight tiles around, and its best is final if it is nearer than the edge of these; the others try again with tiles
-    twice as wide.  Points without coordinates and empty references give no row.
+    four times as wide.  Points without coordinates and empty references give no row.
     """
     at = points.select(point, lat, lon).dropna().distinct()
     refs = refs.dropna(subset=[ref_lat, ref_lon])
@@ -99,12 +100,13 @@ def nearest(points: DataFrame, refs: DataFrame, *, point: str = "cell", lat: str
         pairs = wide.join(refs.withColumns({"_tx": tiles(F.col(ref_lon)), "_ty": tiles(F.col(ref_lat))}), ["_tx", "_ty"]).withColumn("distance_km", distance)
         best = _least(pairs, point, refs.columns, ref_id).join(left, point)
         edge = F.cos(F.radians(F.least(F.abs(F.col(lat)) + 2 * size, F.lit(89.9)))) * size * 111.0
-        done = best if size * 2 >= 720 else best.where(F.col("distance_km") <= edge)
+        done = best if size * 4 >= 720 else best.where(F.col("distance_km") <= edge)
+        done = cut(done)
         found.append(done.drop(lat, lon))
-        left = left.join(done.select(point), point, "left_anti")
+        left = cut(left.join(done.select(point), point, "left_anti"))
         if left.isEmpty():
             break
-        size *= 2
+        size *= 4
     return reduce(DataFrame.unionByName, found)
 
 
@@ -130,7 +132,7 @@ def nearest_other(points: DataFrame, refs: DataFrame, *, point: str = "cell") ->
         raise ValueError("use nearest() for large reference tables")
     other = refs.select(F.col(point).alias("ref"), F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
     pairs = points.select(point, "lat", "lon").crossJoin(F.broadcast(other)).withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("ref_lat"), F.col("ref_lon")))
-    best = F.min(F.struct((F.col("ref") == F.col(point)).alias("own"), "distance_km", "ref"))
+    best = F.min(F.struct((F.col("ref") == F.col(point)).alias("own"), F.round("distance_km", 9).alias("distance_km"), "ref"))  # equal up to rounding is a tie
     return pairs.groupBy(point).agg(best.alias("_b")).select(point, F.col("_b.ref").alias("ref"), F.col("_b.distance_km").alias("distance_km"))
 
 

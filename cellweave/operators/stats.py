@@ -54,8 +54,7 @@ def _on_rows(fn, *columns: Column) -> Column:
     def apply(*parts: pd.Series) -> pd.Series:
         return pd.Series([fn(*v) if all(x == x for x in v) else None for v in zip(*parts, strict=True)], dtype="float64")
 
-    wrapped = {1: lambda a: apply(a), 2: lambda a, b: apply(a, b), 3: lambda a, b, c: apply(a, b, c)}[len(columns)]
-    return F.pandas_udf(wrapped, "double", F.PandasUDFType.SCALAR)(*[c.cast("double") for c in columns])
+    return F.pandas_udf(apply, "double")(*[c.cast("double") for c in columns])
 
 
 def t_p(t: Column, df: Column) -> Column:

@@ -132,7 +132,7 @@ def src_extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
     return L.extraction_coverage(V.panel(spark, d), "oil")
 
 
-@query("""SELECT cell, week, round(avg(least(greatest(value/200,0),1)),6) AS probability, CAST(sum(event_id%5) AS DOUBLE) AS count FROM obs WHERE event_type='error' GROUP BY cell, week""")
+@query("""SELECT cell, week, round(avg(least(greatest(value/200,0),1)),9) AS probability, CAST(sum(event_id%5) AS DOUBLE) AS count FROM obs WHERE event_type='error' GROUP BY cell, week""")
 def src_optional_layer(spark: SparkSession, d: str) -> DataFrame:
     """A layer whose columns go by other names, reduced to one row for each key."""
     layer = V.obs(spark, d).where("event_type = 'error'").select(F.col("cell").alias("GRID_CELL_ID"), F.col("week").alias("week_start_utc"), (F.col("value") / 200).alias("Oil_Prob"), (F.col("event_id") % 5).alias("n_slicks"))

@@ -69,6 +69,7 @@ def standardize(responses: DataFrame) -> DataFrame:
     get = lambda p: F.get_json_object("payload", f"$.{p}")
     number = lambda p: get(p).try_cast("double")
     box = F.from_json(F.coalesce(get("bbox"), get("properties.bbox")), "array<double>")
+    box = F.when((F.size(box) >= 4) & ~F.exists(box, lambda x: x.isNull()), box)  # all of it or none
     at = lambda i: F.try_element_at(box, F.lit(i))
     time = F.coalesce(*[F.try_to_timestamp(F.coalesce(get(t), get(f"properties.{t}"))) for t in TIMES])
     lat = F.coalesce((at(2) + at(4)) / 2, number("latitude"), number("lat"))
@@ -185,7 +186,7 @@ def optional_layer(layer: DataFrame, means: dict[str, list[str]], sums: dict[str
     """A layer under one of several column names, once for each key: means, sums, some held to [0, 1]."""
     r = resolve(layer, {"cell": ["grid_cell_id", "cell"], "week": ["week_start_utc", "week"], **means, **sums})
     value = lambda c: keys.clip(F.col(c).cast("double"), 0, 1) if c in clip else F.col(c).cast("double")
-    return r.dropna(subset=["cell", "week"]).groupBy("cell", "week").agg(*[F.round(F.avg(value(c)), 6).alias(c) for c in means], *[F.sum(value(c)).alias(c) for c in sums])
+    return r.dropna(subset=["cell", "week"]).groupBy("cell", "week").agg(*[F.round(F.avg(value(c)), 9).alias(c) for c in means], *[F.sum(value(c)).alias(c) for c in sums])
 
 
 def normalized_wind(wind: DataFrame) -> DataFrame:
