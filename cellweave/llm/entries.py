@@ -98,5 +98,53 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
+_CONTAMINATION = r"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s FROM item, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0),
+place AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM doc, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) AS u(i) WHERE len(w) >= n),
+hit AS (SELECT r, i, p.n, item_id FROM place p JOIN win USING (n, s)),
+word AS (SELECT r, count(DISTINCT k) AS n_hit FROM hit, unnest(range(i, i + n)) AS u(k) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM hit GROUP BY r),
+joined AS (SELECT r, i - row_number() OVER (PARTITION BY r, t.item_id, d ORDER BY i) AS g, r AS rr, item_id, d, i, n FROM (SELECT DISTINCT h.r, h.item_id, h.i, h.n, h.i - x.j AS d FROM hit h JOIN (SELECT item_id, least(len(w), 13) AS n, j, array_to_string(w[j:j + least(len(w), 13) - 1], ' ') AS s FROM item, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(j) WHERE len(w) > 0) x ON x.item_id = h.item_id AND x.n = h.n JOIN place p ON p.r = h.r AND p.i = h.i AND p.n = h.n AND p.s = x.s) t),
+longest AS (SELECT r, max(m) AS m FROM (SELECT r, count(*) + max(n) - 1 AS m FROM joined GROUP BY r, item_id, d, g) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(m, 0) AS BIGINT) AS longest_match
+FROM doc LEFT JOIN word USING (r) LEFT JOIN found USING (r) LEFT JOIN longest USING (r)
+"""
+
+_CHATS = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(1) || text, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>')) + length(role) - length(replace(role, chr(10), '')) + 17 AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def _secrets_sql() -> str:
+    """The scan in SQL: the same split-and-sum of lengths for positions, and the links by a self-join of spans."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    tests = {"assign": f"length(regexp_extract(m, {quote(secrets.ASSIGN)}, 2)) >= 6", "user": f"length(regexp_extract(m, {quote(secrets.USER)}, 2)) >= 3", "opaque": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')", "address": "length(m) >= 10"}
+    each = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{kind}' AS kind, '{role}' AS role, {strong} AS strong, i, length(parts[i]) AS gap, length(ms[i]) AS len, {tests.get(kind, 'TRUE').replace('(m,', '(ms[i],').replace('length(m)', 'length(ms[i])')} AS ok "
+        f"FROM (SELECT r, string_split_regex(t, {quote(pattern)}) AS parts, regexp_extract_all(t, {quote(pattern)}) AS ms FROM doc), unnest(range(1, len(ms) + 1)) AS u(i)"
+        for k, (kind, role, strong, pattern, _) in enumerate(secrets.KINDS)
+    )
+    near = lambda role: f"EXISTS (SELECT 1 FROM span o WHERE o.r = s.r AND o.role = '{role}' AND (o.k, o.s, o.e) <> (s.k, s.s, s.e) AND ((o.s, o.e, o.k) < (s.s, s.e, s.k) AND s.s - o.e <= 200 OR (o.s, o.e, o.k) > (s.s, s.e, s.k) AND o.s - s.e <= 200))"
+    over = "EXISTS (SELECT 1 FROM span o WHERE o.r = s.r AND o.strong AND ((o.s, o.e, o.k) < (s.s, s.e, s.k) AND o.e > s.s OR (o.s, o.e, o.k) > (s.s, s.e, s.k) AND o.s < s.e))"
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
+    return f"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+piece AS ({each}),
+span AS (SELECT r, k, kind, role, strong, u - len AS s, u AS e FROM (SELECT *, CAST(sum(gap + len) OVER (PARTITION BY r, k ORDER BY i) AS BIGINT) AS u FROM piece) WHERE ok),
+kept AS (SELECT * FROM span s WHERE strong OR (NOT {over} AND CASE role WHEN 'identifier' THEN {near("secret")} WHEN 'secret' THEN {near("identifier")} OR {near("endpoint")} ELSE {near("identifier")} AND {near("secret")} END)),
+lists AS (SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, {listed} FILTER (strong) AS base, {listed} AS spans FROM kept GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM doc LEFT JOIN lists USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say what a query returns: not for trained models, XXH64 and other hashes, or optimal bucket bounds."""
+    return {"op2_benchmark_suffix_match": _CONTAMINATION, "op4_prefix_tree_chat": _CHATS, "op5_credential_linking": _secrets_sql()}
