@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """New Parquet files of a folder as a stream, with the schema of the files that are there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """New Parquet files of a folder as a stream, with the schema of the files that are there; a table that is one file will do too."""
+    pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a path may name a file; as a plain path it may not
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
 
 
 def rollup(events: DataFrame, *, late: str = "21 days") -> DataFrame:
