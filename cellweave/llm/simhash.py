@@ -12,11 +12,13 @@ fingerprint is stored under its own value in each partition and probes all
 values within the threshold; candidates are verified on all 64 bits.
 
 A bucket that holds more than ``bucket`` distinct fingerprints is never paired
-up.  What is stored in it or probes it goes another exact way: each such
-fingerprint is put under itself and its neighbours at distance 1.  Two of them
-share such a midpoint exactly if they differ in two bits or fewer, so linking
-each member of a midpoint to its smallest one gives the same components from
-65 rows a fingerprint, and no pairs.
+up.  Its members agree on the bucket's bits, so the pigeonhole holds again for
+the bits that are left, and they are dealt into finer buckets by these.  What is
+crowded still after some levels goes another exact way: each such fingerprint is
+put under itself and its neighbours at distance 1.  Two of them share such a
+midpoint exactly if they differ in two bits or fewer, so linking each member of
+a midpoint to its smallest one gives the same components from 65 rows a
+fingerprint, and no pairs.
 """
 
 from __future__ import annotations
@@ -158,33 +160,62 @@ def plan(prints: DataFrame, distance: int = 2) -> list[tuple[int, list[int], int
     return best[1]
 
 
-def links(prints: DataFrame, *, distance: int = 2, bucket: int = 64) -> DataFrame:
+def _split(bits: list[int], parts: int) -> list[list[int]]:
+    return [g for g in (bits[k::parts] for k in range(parts)) if g]
+
+
+def links(prints: DataFrame, *, distance: int = 2, bucket: int = 64, levels: int = 3) -> DataFrame:
     """``u`` > ``v``: links that join exactly the fingerprints (distinct, column ``fp``) that lie within
     ``distance`` (at most 2) bits of each other, directly or through others."""
     if not 0 <= distance <= 2:
         raise ValueError("midpoints join fingerprints at 2 or fewer bits")
-    stored, probes = [], []
-    for p, (mask, bits, threshold) in enumerate(plan(prints, distance)):
-        key = F.col("fp").bitwiseAND(F.lit(mask))
-        flips = [mask_of(list(c)) for t in range(threshold + 1) for c in itertools.combinations(bits, t)]
-        stored.append(F.struct(F.lit(p).alias("p"), key.alias("key")))
-        probes += [F.struct(F.lit(p).alias("p"), key.bitwiseXOR(F.lit(x)).alias("key")) for x in flips]
-    put = lambda columns: prints.select("fp", F.explode(F.array(*columns)).alias("k")).select("fp", "k.p", "k.key")
-    a, b = put(stored), put(probes) if len(probes) > len(stored) else put(stored)
-    crowded = a.groupBy("p", "key").count().where(F.col("count") > bucket).select("p", "key")
-    crowded = cut(crowded)
-    hot = a.unionByName(b).join(crowded, ["p", "key"], "left_semi").select("fp").distinct()
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    calm = a.join(crowded, ["p", "key"], "left_anti")
-    pairs = b.withColumnRenamed("fp", "u").join(calm.withColumnRenamed("fp", "v"), ["p", "key"]).where((F.col("u") != F.col("v")) & near)
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    radius = [0, *(mask_of([b]) for b in range(BITS))] if distance == 2 else [0]
-    at = hot.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x)) for x in radius])).alias("mid"))
-    if distance == 1:  # the neighbour itself is the meeting place
-        at = hot.select("fp", F.explode(F.array(*[F.least("fp", F.col("fp").bitwiseXOR(F.lit(mask_of([b])))) for b in range(BITS)], F.col("fp"))).alias("mid"))
+    parts = [(F.lit(p), mask, bits, threshold) for p, (mask, bits, threshold) in enumerate(plan(prints, distance))]
+    key = lambda mask: F.col("fp").bitwiseAND(F.lit(mask))
+    flips = lambda bits, t: [mask_of(list(c)) for k in range(t + 1) for c in itertools.combinations(bits, k)]
+    put = lambda columns: prints.select("fp", F.explode(F.array(*columns)).alias("k")).select("fp", "k.p", "k.key")
+    stored = put([F.struct(p.alias("p"), key(m).alias("key")) for p, m, _, _ in parts])
+    plain = all(t == 0 for *_, t in parts)
+    probes = stored if plain else put([F.struct(p.alias("p"), key(m).bitwiseXOR(F.lit(x)).alias("key")) for p, m, bits, t in parts for x in flips(bits, t)])
+    masks = {p: bits for p, (_, _, bits, _) in enumerate(parts)}
+    found, hot = [], None
+    for level in range(levels):
+        crowded = cut(stored.groupBy("p", "key").count().where(F.col("count") > bucket).select("p", "key"))
+        calm = stored.join(crowded, ["p", "key"], "left_anti")
+        pairs = probes.withColumnRenamed("fp", "u").join(calm.withColumnRenamed("fp", "v"), ["p", "key"]).where((F.col("u") > F.col("v") if plain else F.col("u") != F.col("v")) & near)
+        found.append(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        if crowded.isEmpty():
+            break
+        inside = probes if plain else stored.unionByName(probes)
+        hot = cut(inside.join(crowded, ["p", "key"], "left_semi"))
+        if not plain or level == levels - 1:
+            break
+        # members of a crowded bucket agree on its bits, so they differ within the rest: cut that into partitions again
+        children, below = None, {}
+        for p, bits in masks.items():
+            made = []
+            for part in _split([b for b in range(BITS) if b not in bits], distance + 1):
+                below[len(below)] = sorted([*bits, *part])
+                made.append(F.struct(F.lit(len(below) - 1).alias("p"), key(mask_of(below[len(below) - 1])).alias("key")))
+            children = F.when(F.col("p") == p, F.array(*made)) if children is None else children.when(F.col("p") == p, F.array(*made))
+        stored = probes = hot.select("fp", F.explode(children).alias("k")).select("fp", "k.p", "k.key")
+        masks, hot = below, None
+    if hot is not None:
+        found.append(_stars(hot.select("fp").distinct(), distance))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _stars(hot: DataFrame, distance: int) -> DataFrame:
+    """Links by way of midpoints: 65 rows for each fingerprint, whatever their number in one place."""
+    flip = lambda b: F.col("fp").bitwiseXOR(F.lit(mask_of([b])))
+    mids = [F.col("fp")]
+    if distance == 2:
+        mids += [flip(b) for b in range(BITS)]
+    elif distance == 1:  # two neighbours meet in the lower of them
+        mids += [F.least("fp", flip(b)) for b in range(BITS)]
+    at = hot.select("fp", F.explode(F.array(*mids)).alias("mid"))
     least = at.groupBy("mid").agg(F.min("fp").alias("v"), F.max("fp").alias("top")).where(F.col("v") < F.col("top")).select("mid", "v")
-    stars = at.join(least, "mid").where(F.col("fp") > F.col("v")).select(F.col("fp").alias("u"), "v")
-    return pairs.unionByName(stars).distinct()
+    return at.join(least, "mid").where(F.col("fp") > F.col("v")).select(F.col("fp").alias("u"), "v")
 
 
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
