@@ -75,41 +75,47 @@ def footprints(pixels: DataFrame, cells: DataFrame, *, buffer: float, res: float
     return wide.join(placed, ["_r", "_c"]).where(inside).drop("_r", "_c", "_dr", "_dc")
 
 
-def _least(pairs: DataFrame, point: str, refs: list[str], ref_id: str) -> DataFrame:
+def _least(pairs: DataFrame, point: list[str], refs: list[str], ref_id: str) -> DataFrame:
     best = F.min(F.struct("distance_km", ref_id, *[c for c in refs if c != ref_id]))
-    return pairs.groupBy(point).agg(best.alias("_b")).select(point, "_b.*")
+    return pairs.groupBy(*point).agg(best.alias("_b")).select(*point, "_b.*")
 
 
-def nearest(points: DataFrame, refs: DataFrame, *, point: str = "cell", lat: str = "lat", lon: str = "lon", ref_id: str, ref_lat: str, ref_lon: str, small: int = SMALL, tile: float = 0.5) -> DataFrame:
-    """The nearest reference of each point and its ``distance_km``; equal distances go to the lower ``ref_id``.
-
-    A small reference table is sent to every task.  A larger one is cut into tiles: a point looks at its own and the
-    eight tiles around, and its best is final if it is nearer than the edge of these; the others try again with tiles
-    four times as wide.  Points without coordinates and empty references give no row.
-    """
-    at = points.select(point, lat, lon).dropna().distinct()
-    refs = refs.dropna(subset=[ref_lat, ref_lon])
+def _by_tiles(left: DataFrame, refs: DataFrame, point: list[str], by: list[str], lat: str, lon: str, ref_id: str, ref_lat: str, ref_lon: str, tile: float) -> DataFrame:
+    """Nearest reference by rounds of tiles: a point looks at its own tile and the eight around, and its best is final if it
+    is nearer than their edge; the others try again with tiles four times as wide."""
     distance = geo.haversine_km(F.col(lat), F.col(lon), F.col(ref_lat), F.col(ref_lon))
-    if is_small(refs, small):
-        return _least(at.crossJoin(F.broadcast(refs)).withColumn("distance_km", distance), point, refs.columns, ref_id)
-    found, left, size = [], at, tile
+    carried = [c for c in refs.columns if c not in by]
+    found, size = [], tile
     while size < 720:
         tiles = lambda c, s=size: F.floor(c / s).cast("long")
         steps = F.sequence(F.lit(-1), F.lit(1))
         wide = left.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).withColumns({"_tx": tiles(F.col(lon)) + F.col("_dx"), "_ty": tiles(F.col(lat)) + F.col("_dy")})
-        pairs = wide.join(refs.withColumns({"_tx": tiles(F.col(ref_lon)), "_ty": tiles(F.col(ref_lat))}), ["_tx", "_ty"]).withColumn("distance_km", distance)
-        best = _least(pairs, point, refs.columns, ref_id).join(left, point)
+        pairs = wide.join(refs.withColumns({"_tx": tiles(F.col(ref_lon)), "_ty": tiles(F.col(ref_lat))}), [*by, "_tx", "_ty"]).withColumn("distance_km", distance)
+        best = _least(pairs, point, carried, ref_id).join(left, point)
         edge = F.cos(F.radians(F.least(F.abs(F.col(lat)) + 2 * size, F.lit(89.9)))) * size * 111.0
-        done = best if size * 4 >= 720 else best.where(F.col("distance_km") <= edge)
-        done = cut(done)
+        done = cut(best if size * 4 >= 720 else best.where(F.col("distance_km") <= edge))
         found.append(done.drop(lat, lon))
-        left = cut(left.join(done.select(point), point, "left_anti"))
+        left = cut(left.join(done.select(*point), point, "left_anti"))
         if left.isEmpty():
             break
         size *= 4
     return reduce(DataFrame.unionByName, found)
 
 
+def nearest(points: DataFrame, refs: DataFrame, *, point: str = "cell", lat: str = "lat", lon: str = "lon", ref_id: str, ref_lat: str, ref_lon: str, small: int = SMALL, tile: float = 0.5) -> DataFrame:
+    """The nearest reference of each point and its ``distance_km``; equal distances go to the lower ``ref_id``.
+
+    A small reference table is sent to every task; a larger one is joined by tiles.  Points without coordinates and
+    empty references give no row.
+    """
+    at = points.select(point, lat, lon).dropna().distinct()
+    refs = refs.dropna(subset=[ref_lat, ref_lon])
+    if not is_small(refs, small):
+        return _by_tiles(at, refs, [point], [], lat, lon, ref_id, ref_lat, ref_lon, tile)
+    distance = geo.haversine_km(F.col(lat), F.col(lon), F.col(ref_lat), F.col(ref_lon))
+    return _least(at.crossJoin(F.broadcast(refs)).withColumn("distance_km", distance), [point], refs.columns, ref_id)
+
+
 def nearest_port(cells: DataFrame, ports: DataFrame) -> DataFrame:
     """Nearest named port of each cell; equal distances go to the first port of the list.  Ports without place are left out."""
     if ports.dropna(subset=["port_lat", "port_lon"]).isEmpty():
@@ -142,13 +148,20 @@ def weekly_seeds(panel: DataFrame, value: str, q: float = 0.9, *, week: str = "w
     return panel.join(cut, week).where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
-def nearest_in_week(panel: DataFrame, seeds: DataFrame, *, week: str = "week", cell: str = "cell", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Distance of every row to the nearest seed of its week, with the seed's place; null where a week has no seeds."""
-    s = seeds.select(week, F.col(cell).alias("seed_cell"), F.col("lat").alias("seed_lat"), F.col("lon").alias("seed_lon"), *carry)
+def nearest_in_week(panel: DataFrame, seeds: DataFrame, *, week: str = "week", cell: str = "cell", carry: tuple[str, ...] = (), small: int = SMALL, tile: float = 0.5) -> DataFrame:
+    """Distance of every row to the nearest seed of its week, with the seed's place; null where a week has no seeds.
+
+    Few seeds are compared with each row of their week; many are joined by week and tile.
+    """
+    s = seeds.select(week, F.col(cell).alias("seed_cell"), F.col("lat").alias("seed_lat"), F.col("lon").alias("seed_lon"), *carry).dropna(subset=["seed_lat", "seed_lon"])
     rows = panel.select(week, cell, "lat", "lon")
-    pairs = rows.join(s, week, "left").withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("seed_lat"), F.col("seed_lon")))
-    best = F.min(F.when(F.col("distance_km").isNotNull(), F.struct("distance_km", "seed_cell", "seed_lat", "seed_lon", *carry)))
-    return pairs.groupBy(week, cell).agg(best.alias("_b")).select(week, cell, "_b.*")
+    placed = rows.dropna().distinct().join(s.select(week).distinct(), week, "left_semi")
+    if is_small(s, small):
+        pairs = placed.join(F.broadcast(s), week).withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("seed_lat"), F.col("seed_lon")))
+        best = _least(pairs, [week, cell], ["seed_cell", "seed_lat", "seed_lon", *carry], "seed_cell")
+    else:
+        best = _by_tiles(placed, s, [week, cell], [week], "lat", "lon", "seed_cell", "seed_lat", "seed_lon", tile)
+    return rows.select(week, cell).join(best, [week, cell], "left")
 
 
 def hotspots(panel: DataFrame, signals: list[str], q: float = 0.9, least: int = 5, *, week: str = "week") -> DataFrame:

@@ -62,6 +62,16 @@ def test_nearest_by_tiles_equals_brute_force(spark):
     assert joins.nearest(p, r.where("false"), **how).count() == 0
 
 
+def test_weekly_seeds_by_tiles_equal_all_pairs(spark):
+    rnd = random.Random(11)
+    rows = [(w, f"c{i}", rnd.uniform(54, 60), rnd.uniform(18, 25)) for w in range(3) for i in range(30)] + [(9, "lone", 55.0, 20.0), (1, "no place", None, 20.0)]
+    p = spark.createDataFrame(rows, "week int, cell string, lat double, lon double")
+    s = p.where("week < 3 and cell in ('c1', 'c5', 'c20')")
+    got = [{(r.week, r.cell): (r.seed_cell, r.distance_km and round(r.distance_km, 6)) for r in joins.nearest_in_week(p, s, small=n).collect()} for n in (0, 1000)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert got[0][9, "lone"] == got[0][1, "no place"] == (None, None) and got[0][2, "c5"] == ("c5", 0.0)
+
+
 def test_ports_must_have_places(spark):
     p = spark.createDataFrame([("a", 1.0, 1.0)], "cell string, lat double, lon double")
     none = spark.createDataFrame([(1, "x", None, 1.0)], "port_seq long, port string, port_lat double, port_lon double")
