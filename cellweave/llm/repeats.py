@@ -18,9 +18,9 @@ that may have picked it.
    common bytes before and after the anchor reach ``length`` form a repeat group
    with all its occurrences.
 
-Every row keeps its own repeats, as byte ranges; nothing is capped.  Anchors with
-many different contexts cost their number times the depth of the tree, at most
-``length`` levels.
+Every row keeps its own repeats, as byte ranges; nothing is capped.  An anchor with
+very many different contexts does not gather them in one task: all windows of its
+contexts are hashed and counted, with the counts combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -129,48 +129,84 @@ def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((value, first))
 
 
+class Contexts:
+    """Contexts cut at a common anchor, as a suffix array of the parts from the anchor on with its common prefixes.
+
+    ``before`` are the parts left of the anchor, reversed; ``after`` those from the anchor on.
+    """
+
+    def __init__(self, before: list[bytes], after: list[bytes]) -> None:
+        order = sorted(range(len(after)), key=after.__getitem__)
+        self.order = np.array(order, np.int64)
+        tail, tail_n = _matrix([after[i] for i in order])
+        self.head, self.head_n = _matrix([before[i] for i in order])
+        self.lcp = np.zeros(len(order), np.int64)
+        self.lcp[1:] = common_prefix(tail[:-1], tail[1:], tail_n[:-1], tail_n[1:])
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[sorted(range(len(order)), key=lambda j: before[order[j]])] = np.arange(len(order))
+
+    def left_of(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of an interval sorted by the bytes before the anchor, and how many of these neighbours share."""
+        at = lo + np.argsort(self.rank[lo : hi + 1])
+        return at, common_prefix(self.head[at[:-1]], self.head[at[1:]], self.head_n[at[:-1]], self.head_n[at[1:]])
+
+
+def _best(shared: np.ndarray) -> np.ndarray:
+    """For each entry, the most it shares with the one before or after."""
+    best = np.zeros(len(shared) + 1, np.int64)
+    best[:-1] = shared
+    best[1:] = np.maximum(best[1:], shared)
+    return best
+
+
 def repeat_groups(before: list[bytes], after: list[bytes], length: int) -> Iterator[tuple[int, list[int], list[int]]]:
-    """Repeat groups of ``length`` bytes or more among contexts cut at a common anchor.
+    """Repeat groups of ``length`` bytes or more among contexts cut at a common anchor (see :class:`Contexts`).
 
-    ``before`` are the parts left of the anchor, reversed; ``after`` those from the anchor on.  Yields the common
-    bytes from the anchor on, the members, and how many bytes before the anchor each shares with another member.
+    Yields the common bytes from the anchor on, all members, and how many bytes before the anchor each shares with
+    another member.
     """
-    order = sorted(range(len(after)), key=after.__getitem__)
-    tail, tail_n = _matrix([after[i] for i in order])
-    head, head_n = _matrix([before[i] for i in order])
-    lcp = np.zeros(len(order), np.int64)
-    lcp[1:] = common_prefix(tail[:-1], tail[1:], tail_n[:-1], tail_n[1:])
-    rank = np.empty(len(order), np.int64)
-    rank[sorted(range(len(order)), key=lambda j: before[order[j]])] = np.arange(len(order))
-    for depth, lo, hi in intervals(lcp):
-        if depth + head_n[lo : hi + 1].max() < length or depth == 0:
-            continue
-        at = lo + np.argsort(rank[lo : hi + 1])
-        shared = common_prefix(head[at[:-1]], head[at[1:]], head_n[at[:-1]], head_n[at[1:]])
-        best = np.zeros(len(at), np.int64)
-        best[:-1] = shared
-        best[1:] = np.maximum(best[1:], shared)
+    c = Contexts(before, after)
+    for depth, lo, hi in intervals(c.lcp):
+        at, shared = c.left_of(lo, hi)
+        best = _best(shared)
         for run in np.split(np.arange(len(at)), np.flatnonzero(shared + depth < length) + 1):  # left extensions differ here
-            if len(run) > 1:
-                yield depth, [order[j] for j in at[run]], best[run].tolist()
+            if len(run) > 1 and depth > 0:
+                yield depth, c.order[at[run]].tolist(), best[run].tolist()
+
+
+def repeated_ranges(before: list[bytes], after: list[bytes], alone: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the repeat groups cover of the members marked ``alone``: member, bytes before the anchor, bytes from it on.
+
+    Intervals come with falling depth for each member, so a later one adds something only where more is shared on the
+    left; intervals whose marked members have nothing left to gain are passed over.
+    """
+    c = Contexts(before, after)
+    wanted = alone[c.order]
+    seen = np.where(wanted, -1, c.head_n)
+    found = []
+    for depth, lo, hi in intervals(c.lcp):
+        part = slice(lo, hi + 1)
+        if depth == 0 or not ((seen[part] < c.head_n[part]) & (c.head_n[part] + depth >= length)).any():
+            continue
+        at, shared = c.left_of(lo, hi)
+        best = _best(shared)
+        new = (best + depth >= length) & (best > seen[at])
+        seen[at[new]] = best[new]
+        found.append((c.order[at[new]], best[new], np.full(int(new.sum()), depth)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def _tree_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def solve(rows: list[tuple]) -> tuple[list, list, list]:
-            keys, starts, ends = [], [], []
-            for depth, members, shared in repeat_groups([r[4] for r in rows], [r[5] for r in rows], length):
-                for m, left in zip(members, shared, strict=True):
-                    if rows[m][3]:
-                        keys.append(rows[m][1])
-                        starts.append(rows[m][2] - left)
-                        ends.append(rows[m][2] + depth)
-            return keys, starts, ends
-
-        def out(found: list[tuple[list, list, list]]) -> pa.RecordBatch:
-            columns = [sum((x[i] for x in found), []) for i in range(3)]
+        def solve(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+            rk, at, alone = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+            member, left, depth = repeated_ranges([r[4] for r in rows], [r[5] for r in rows], alone, length)
+            return rk[member], at[member] - left, at[member] + depth
+
+        def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            columns = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in range(3)]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["rk", "s", "e"])
 
         for batch in batches:  # sorted by anchor
@@ -187,6 +223,27 @@ def _tree_rows(length: int):
     return run
 
 
+def _window_rows(length: int):
+    """All windows of contexts: anchor, hash of the window and its place about the anchor, row, start, whether the context is alone."""
+    span = length - _gram(length) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, "t"):
+            rows = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0, bool)]]
+            for rk, text, needs in zip(*(batch.column(c).to_pylist() for c in ("rk", "t", "needs")), strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                spans = B.SpanHash(B.BYTE_CODE[data])
+                for x in needs:
+                    at = x["p"] >> 24
+                    start = np.arange(max(0, at - span + 1), min(at, len(data) - length) + 1)
+                    code = spans.of(start, start + length) ^ B.mix((at - start).astype(np.uint64))
+                    for column, made in zip(rows, (np.full(len(start), x["a"]), code.astype(np.int64), np.full(len(start), rk), start, np.full(len(start), x["alone"])), strict=True):
+                        column.append(made)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], ["a", "h", "rk", "s", "alone"])
+
+    return run
+
+
 def _contexts(length: int):
     span = length - _gram(length) + 1
 
@@ -209,10 +266,11 @@ def row_key(doc_id: str, text: str) -> F.Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 200, crowd: int = 100_000) -> DataFrame:
     """``rk`` (see :func:`row_key`), ``s`` and ``e``: byte ranges that occur again, of ``length`` bytes or more.
 
-    The ranges of a row may overlap; together they cover exactly the bytes inside a repeated window.
+    The ranges of a row may overlap; together they cover exactly the bytes inside a repeated window.  Anchors with more
+    than ``crowd`` different contexts do not meet in one task: their windows are counted by hash instead.
     """
     if not 2 <= length <= 1000:
         raise ValueError("length from 2 to 1000 bytes")
@@ -222,21 +280,27 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     flag = lambda c: F.coalesce(c, F.lit(False))
     marked = told.withColumns({"last": F.lag("c").over(ordered), "next": F.lead("c").over(ordered)})
     marked = marked.withColumns({"again": (F.col("p").bitwiseAND(F.lit(3)) > 0) | flag(F.col("last") == F.col("c")) | flag(F.col("next") == F.col("c")), "first": ~flag(F.col("last") == F.col("c"))})
-    marked = marked.withColumns({"several": F.min("c").over(one) != F.max("c").over(one), "some_alone": F.max(~F.col("again")).over(one)})
+    marked = marked.withColumns({"several": F.min("c").over(one) != F.max("c").over(one), "some_alone": F.max(~F.col("again")).over(one), "contexts": F.sum(F.col("first").cast("long")).over(one)})
     need = (F.col("done") == 0) & F.col("first") & F.col("several") & F.col("some_alone")
-    kept = cut(marked.select("rk", "a", "p", "again", need.alias("need")).where("again or need"))
+    kept = cut(marked.select("rk", "a", "p", "again", need.alias("need"), (need & (F.col("contexts") > crowd)).alias("crowded")).where("again or need"))
 
     at = F.shiftright("p", 24)
     part = lambda by, bits: F.shiftright("p", by).bitwiseAND(F.lit(bits))
     whole = kept.where("again").select("rk", (at - part(14, 1023)).alias("s"), (at + part(2, 4095)).alias("e"))
-    needs = kept.where("need").groupBy("rk").agg(F.collect_list(F.struct("a", "p", (~F.col("again")).alias("alone"))).alias("needs"))
-    contexts = rows.join(needs.hint("shuffle_hash"), "rk").mapInArrow(_contexts(length), "a long, rk long, at long, alone boolean, before binary, after binary")
+    needs = lambda which: kept.where(which).groupBy("rk").agg(F.collect_list(F.struct("a", "p", (~F.col("again")).alias("alone"))).alias("needs")).hint("shuffle_hash")
+    contexts = rows.join(needs("need and not crowded"), "rk").mapInArrow(_contexts(length), "a long, rk long, at long, alone boolean, before binary, after binary")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tree = contexts.repartition(partitions, "a").sortWithinPartitions("a").mapInArrow(_tree_rows(length), "rk long, s long, e long")
-    return whole.unionByName(tree)
+    found = whole.unionByName(tree)
+    if kept.where("crowded").isEmpty():
+        return found
+    windows = rows.join(needs("crowded"), "rk").mapInArrow(_window_rows(length), "a long, h long, rk long, s long, alone boolean")
+    often = windows.groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1").select("a", "h")
+    counted = windows.where("alone").join(often, ["a", "h"], "left_semi").select("rk", "s", (F.col("s") + length).alias("e"))
+    return found.unionByName(counted)
 
 
-def strip_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+def strip_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 200, crowd: int = 100_000) -> DataFrame:
     """``docs`` with ``kept`` (binary, the bytes left), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs).
 
     A byte goes if a ``length``-byte string over it starts anywhere else too, in the same text or another; repeats are
@@ -245,7 +309,7 @@ def strip_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     made = ["kept", "n_bytes", "n_removed", "n_spans"]
     base = docs.drop(*made)
-    spans = cut(repeats(docs, doc_id=doc_id, text=text, length=length)).groupBy(F.col("rk").alias("_rk")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    spans = cut(repeats(docs, doc_id=doc_id, text=text, length=length, crowd=crowd)).groupBy(F.col("rk").alias("_rk")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
     keyed = base.withColumn("_key", row_key(doc_id, text))
     joined = keyed.join(spans.hint("shuffle_hash"), F.col("_key") == F.col("_rk"), "left").drop("_key", "_rk")
     names = base.columns

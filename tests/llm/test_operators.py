@@ -114,12 +114,13 @@ def test_repeated_rows_leave_one_representative(spark):
     assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows})
 
 
+@pytest.mark.parametrize("crowd", [100_000, 1])
 @pytest.mark.parametrize("length", [200, 40, 9])
-def test_repeats(docs, texts, length):
-    got = repeats.strip_repeats(docs.drop("s"), length=length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+def test_repeats(docs, texts, length, crowd):
+    got = repeats.strip_repeats(docs.drop("s"), length=length, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     short = [t if t is None or len(t) < 6000 else None for t in texts]
     if length != 200:
-        got = repeats.strip_repeats(docs.drop("s").withColumn("text", F.when(F.length("text") < 6000, F.col("text"))), length=length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        got = repeats.strip_repeats(docs.drop("s").withColumn("text", F.when(F.length("text") < 6000, F.col("text"))), length=length, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     want = brute.stripped(texts if length == 200 else short, length)
     assert {r[0]: tuple(r[1:]) for r in got} == dict(enumerate(want))
 
