@@ -1,13 +1,17 @@
 """Chat formatting into one packed stream over the prefix tree of all conversations.
 
-Conversations that begin with the same turns share nodes.  A node is a path of
-turn digests, and bytewise order of paths is depth-first order, so the tree
-needs no building: distinct paths, a range-partitioned sort and a prefix sum of
-lengths lay every node out once, also below a first turn that very many
-conversations share.  A node gets its place in the stream, the position id at
-which its tokens start (the length of its ancestors), the stream intervals of
-its ancestors, which with its own causal part are all that it may attend to,
-and the part of it that carries loss.  Tokens are code points.
+Conversations that begin with the same turns share nodes.  A node's name is the
+digest of its turn and of its parent's name.  Nodes that follow each other with
+no fork between them are one chain; the key of a chain names the heads of all
+chains down to it, so keys grow with the forks on the way and not with the
+turns.  Bytewise order of (key, depth) is depth-first order, so the tree needs
+no building: a range-partitioned sort and a prefix sum of lengths lay every node
+out once, also below a first turn that very many conversations share.  A node
+gets its place in the stream, the position id at which its tokens start (the
+length of its ancestors), the stream intervals of its ancestors (one for each
+chain, since a chain lies in one piece), which with its own causal part are all
+that it may attend to, and the part of it that carries loss.  Tokens are code
+points.
 
 Template: ``<|turn|>role\\ntext<|end|>\\n``.  Inside roles and texts a backslash
 is doubled and control strings get a backslash after their first character, so
@@ -23,12 +27,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .clusterio import cut
 
 OPEN, END = "<|turn|>", "<|end|>\n"
 DIGEST = 12
+FEW = 200_000  # forks that are broadcast, 24 characters each
 CONTROL = re.compile(r"\\|<\||</?s>|\[/?INST\]|<</?SYS>>")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -74,92 +80,120 @@ def turns_of(conversations: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path, position = b"", 0
+                node, position = "", 0
                 for depth, t in enumerate(turns):
                     formatted, at = segment(t["role"], t["text"])
-                    path += hashlib.blake2b(formatted.encode(), digest_size=DIGEST).digest()
+                    parent, node = node, hashlib.blake2b((node + formatted).encode(), digest_size=DIGEST).hexdigest()
                     loss = (at, len(formatted) - len(END)) if t["role"] == "assistant" else (None, None)
-                    rows.append((conv, depth, depth == len(turns) - 1, path, position, formatted, *loss))
+                    rows.append((conv, depth, depth == len(turns) - 1, parent, node, position, formatted, *loss))
                     position += len(formatted)
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            names = ["conv_id", "depth", "leaf", "path", "position", "segment", "loss_from", "loss_to"]
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            names = ["conv_id", "depth", "leaf", "parent", "node", "position", "segment", "loss_from", "loss_to"]
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", empty("role"), empty("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return grouped.mapInArrow(run, "conv_id long, depth long, leaf boolean, path binary, position long, segment string, loss_from long, loss_to long")
+    return grouped.mapInArrow(run, "conv_id long, depth long, leaf boolean, parent string, node string, position long, segment string, loss_from long, loss_to long")
 
 
-def _stack(stack: list[tuple[bytes, int, int]], path: bytes) -> list[tuple[bytes, int, int]]:
-    """The ancestors of ``path`` among (path, start, end), outermost first."""
-    while stack and not (len(stack[-1][0]) < len(path) and path.startswith(stack[-1][0])):
-        stack.pop()
-    return stack
+def chains_of(turns: DataFrame) -> DataFrame:
+    """``turns`` without texts, with ``chain``: the heads of all chains down to a turn, the outermost first.
+
+    A first turn, and a turn whose parent has several children, is the head of a chain.
+    """
+    light = turns.select("conv_id", "depth", "leaf", "parent", "node")
+    several = light.where("depth > 0").groupBy("parent").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    forks = cut(several.where("a < b").select(F.col("parent").alias("fork")))
+    forks = F.broadcast(forks) if forks.count() <= FEW else forks
+    told = light.join(forks, light.parent == forks.fork, "left")
+    head = F.when(F.col("fork").isNotNull() | (F.col("depth") == 0), F.col("node"))
+    down = W.partitionBy("conv_id").orderBy("depth").rowsBetween(W.unboundedPreceding, 0)
+    return told.select("conv_id", "depth", "leaf", "node", F.array_join(F.collect_list(head).over(down), "").alias("chain"))
+
+
+class Open:
+    """The chains from the root to a place in the stream, as (key, start, end so far), outermost first."""
+
+    def __init__(self, chains: list[tuple[str, int, int]] = ()) -> None:
+        self.chains = list(chains)
+
+    def enter(self, chain: str, start: int, end: int) -> None:
+        """Go on to a piece of ``chain`` that follows in depth-first order."""
+        while self.chains and not chain.startswith(self.chains[-1][0]):
+            self.chains.pop()
+        if self.chains and self.chains[-1][0] == chain:
+            start = self.chains.pop()[1]
+        self.chains.append((chain, start, end))
 
 
-def layout(turns: DataFrame) -> DataFrame:
+def layout(turns: DataFrame, keyed: DataFrame) -> DataFrame:
     """The nodes of the prefix tree, each once, in depth-first order of one stream.
 
-    Columns: path, depth, start, end (of the node in the stream), position (id of its first token), ancestors
-    (their stream intervals, outermost first), segment (its tokens), loss_from and loss_to (its part under loss, null
-    if none).
+    Columns: chain, depth, chain_start (where the node's chain starts in the stream), start, end (of the node),
+    position (id of its first token), ancestors (the stream intervals that hold them, outermost first), segment (its
+    tokens), loss_from and loss_to (its part under loss, null if none).
     """
     spark = turns.sparkSession
-    first = [F.first(c).alias(c) for c in ("depth", "position", "segment", "loss_from", "loss_to")]
+    first = lambda *names: [F.first(c).alias(c) for c in names]
+    texts = turns.groupBy("node").agg(*first("position", "segment", "loss_from", "loss_to"))
+    places = keyed.groupBy("node").agg(*first("chain", "depth"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = cut(turns.groupBy("path").agg(*first).repartitionByRange(partitions, "path").sortWithinPartitions("path"))
+    joined = places.join(texts, "node").select("chain", "depth", "position", "segment", "loss_from", "loss_to")
+    nodes = cut(joined.repartitionByRange(partitions, "chain", "depth").sortWithinPartitions("chain", "depth"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stack = 0, []
+        at, stack = 0, Open()
         for batch in batches:
-            for path, n in zip(batch.column("path").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                stack = [*_stack(stack, path), (path, at, at + n)]
+            for chain, n in zip(batch.column("chain").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                stack.enter(chain, at, at + n)
                 at += n
-        columns = zip(*stack, strict=True) if stack else [[], [], []]
-        paths, starts, ends = (list(c) for c in columns)
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((TaskContext.get().partitionId(), pa.int64()), (at, pa.int64()), (paths, pa.list_(pa.binary())), (starts, pa.list_(pa.int64())), (ends, pa.list_(pa.int64())))], ["part", "total", "paths", "starts", "ends"])
+        keys, starts, ends = (list(c) for c in zip(*stack.chains, strict=True)) if stack.chains else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((TaskContext.get().partitionId(), pa.int64()), (at, pa.int64()), (keys, pa.list_(pa.string())), (starts, pa.list_(pa.int64())), (ends, pa.list_(pa.int64())))], ["part", "total", "keys", "starts", "ends"])
 
-    sized = nodes.select("path", F.length("segment").cast("long").alias("n"))
-    sums = {r.part: r for r in sized.mapInArrow(measure, "part long, total long, paths array<binary>, starts array<long>, ends array<long>").collect()}  # a row for each partition
-    carry, base, stack = {}, 0, []
+    sized = nodes.select("chain", F.length("segment").cast("long").alias("n"))
+    sums = {r.part: r for r in sized.mapInArrow(measure, "part long, total long, keys array<string>, starts array<long>, ends array<long>").collect()}  # a row for each partition
+    carry, base, stack = {}, 0, Open()
     for part in sorted(sums):
-        carry[part] = (base, list(stack))
+        carry[part] = (base, list(stack.chains))
         r = sums[part]
-        if r.paths:
-            paths = [bytes(p) for p in r.paths]
-            stack = _stack(stack, paths[0]) + [(p, base + s, base + e) for p, s, e in zip(paths, r.starts, r.ends, strict=True)]
+        for key, s, e in zip(r.keys, r.starts, r.ends, strict=True):
+            stack.enter(key, base + s, base + e)
         base += r.total
     sent = spark.sparkContext.broadcast(carry)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stack = sent.value.get(TaskContext.get().partitionId(), (0, []))
-        stack = list(stack)
+        at, before = sent.value.get(TaskContext.get().partitionId(), (0, []))
+        stack = Open(before)
         for batch in batches:
-            starts, ends, ancestors = [], [], []
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("segment").to_pylist(), strict=True):
-                stack = _stack(stack, path)
-                ancestors.append([{"start": s, "end": e} for _, s, e in stack])
+            heads, starts, ends, ancestors = [], [], [], []
+            for chain, text in zip(batch.column("chain").to_pylist(), batch.column("segment").to_pylist(), strict=True):
+                stack.enter(chain, at, at + len(text))
+                *above, (_, head, _) = stack.chains
+                ancestors.append([{"start": s, "end": e} for _, s, e in above] + ([{"start": head, "end": at}] if head < at else []))
+                heads.append(head)
                 starts.append(at)
                 at += len(text)
                 ends.append(at)
-                stack.append((path, starts[-1], at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(ancestors, spans)], [*batch.schema.names, "start", "end", "ancestors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in (heads, starts, ends)], pa.array(ancestors, spans)], [*batch.schema.names, "chain_start", "start", "end", "ancestors"])
 
-    schema = "path binary, depth long, position long, segment string, loss_from long, loss_to long, start long, end long, ancestors array<struct<start:long,end:long>>"
+    schema = "chain string, depth long, position long, segment string, loss_from long, loss_to long, chain_start long, start long, end long, ancestors array<struct<start:long,end:long>>"
     return nodes.mapInArrow(place, schema)
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """Each conversation as its leaf's attention intervals select it from the stream: conv_id and its pieces in order.
 
-    ``leaves`` has conv_id and the path of the last turn.
+    ``leaves`` has conv_id and the chain and depth of the last turn.  Every interval starts where a chain does, so the
+    nodes in it are found by that start.
     """
-    places = nodes.select("path", F.concat("ancestors", F.array(F.struct("start", "end"))).alias("seen"))
-    wanted = leaves.join(places, "path").select("conv_id", F.posexplode("seen").alias("depth", "at")).select("conv_id", "depth", F.col("at.start").alias("start"))
-    pieces = wanted.join(nodes.select("start", "segment", "loss_from", "loss_to"), "start")
-    return pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "segment", "loss_from", "loss_to"))).alias("pieces"))
+    above = F.filter("ancestors", lambda x: x["start"] != F.col("chain_start"))
+    own = F.array(F.struct(F.col("chain_start").alias("start"), "end"))
+    wanted = leaves.join(nodes.select("chain", "depth", F.concat(above, own).alias("seen")), ["chain", "depth"]).select("conv_id", F.explode("seen").alias("at"))
+    held = nodes.select("chain_start", "start", "segment", "loss_from", "loss_to")
+    pieces = wanted.join(held, (F.col("at.start") == F.col("chain_start")) & (F.col("start") < F.col("at.end")))
+    return pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "segment", "loss_from", "loss_to"))).alias("pieces"))
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -182,6 +216,7 @@ def digests(read: DataFrame) -> DataFrame:
 
 
 def format_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes of the packed stream, and conv_id with the path of its last node."""
+    """The nodes of the packed stream, and conv_id with the chain and depth of its last node."""
     turns = cut(turns_of(conversations))
-    return cut(layout(turns)), turns.where("leaf").select("conv_id", "path")
+    keyed = cut(chains_of(turns))
+    return cut(layout(turns, keyed)), keyed.where("leaf").select("conv_id", "chain", "depth")

@@ -331,11 +331,13 @@ CHATS = [
 
 
 def test_chat_round_trip(spark):
-    frame = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").repartition(4)
+    long = [(c, k, "user", f"turn {k}" if k < 60 or c == 20 else f"other {k}") for c in (20, 21) for k in range(150)]
+    chats = CHATS + long + [(22, k, "user", f"turn {k}") for k in range(80)]
+    frame = spark.createDataFrame(chats, "conv_id long, turn long, role string, text string").repartition(4)
     nodes, leaves = chat.format_chats(frame)
     got = {r.conv_id: tuple(r)[1:] for r in chat.digests(chat.read_back(nodes, leaves)).collect()}
     convs = {}
-    for c, k, role, text in sorted(CHATS, key=lambda x: (x[0] or 0, x[1])):
+    for c, k, role, text in sorted(chats, key=lambda x: (x[0] or 0, x[1])):
         convs.setdefault(c, []).append((role or "", text or ""))
     assert set(got) == set(convs)
     for c, turns in convs.items():
@@ -345,11 +347,20 @@ def test_chat_round_trip(spark):
     rows = sorted(nodes.collect(), key=lambda r: r.start)
     assert len(rows) == len({tuple(turns[: k + 1]) for turns in convs.values() for k in range(len(turns))})  # shared turns once
     assert rows[0].start == 0 and all(a.end == b.start for a, b in zip(rows, rows[1:], strict=False))
-    at = {r.start: r for r in rows}
+    heads = {r.chain_start for r in rows}
+    want = set()
+    for turns in convs.values():
+        want |= {tuple(turns[: k + 1]) for k in range(len(turns))}
+    assert {r.chain[:24] for r in rows if r.depth == 0} == {r.chain for r in rows if r.depth == 0}
+    got_paths = set()
     for r in rows:
-        above = [at[x.start] for x in r.ancestors]
-        assert [x.depth for x in above] == list(range(r.depth)) and all(bytes(r.path).startswith(bytes(x.path)) for x in above)
-        assert r.position == sum(x.end - x.start for x in above)
+        above = [x for x in rows if any(i.start <= x.start and x.end <= i.end for i in r.ancestors)]
+        assert [x.depth for x in above] == list(range(r.depth)) and all(r.chain.startswith(x.chain) for x in above)
+        assert r.position == sum(i.end - i.start for i in r.ancestors) == sum(x.end - x.start for x in above)
+        assert all(i.start in heads for i in r.ancestors) and len(r.ancestors) <= len(r.chain) // 24
+        got_paths.add(tuple(chat.parse("".join(x.segment for x in [*above, r]))))
+    assert got_paths == want
+    assert max(len(r.chain) for r in rows if r.depth > 100) == 2 * 24  # one fork on the way, whatever the number of turns
     none, no_leaves = chat.format_chats(frame.where("false"))
     assert none.count() == no_leaves.count() == 0
 
