@@ -51,12 +51,13 @@ ROLES = ("identifier", "secret", "endpoint")
 
 
 def _pieces(text: Column, k: int, pattern: str, test) -> Column:
-    """For each match: kind number, its place, length of the text since the last match, its length, whether it counts."""
-    none = F.array().cast("array<struct<k:int,i:int,gap:int,len:int,ok:boolean>>")
+    """For each match, in order: kind number, length of the text since the last match, its length, whether it counts."""
+    none = F.array().cast("array<struct<k:int,gap:int,len:int,ok:boolean>>")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    piece = lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.length(F.element_at(between, i + 1)).alias("gap"), F.length(m).alias("len"), test(m).alias("ok"))
-    return F.when(text.rlike(pattern), F.transform(matches, piece)).otherwise(none)
+    piece = lambda m, gap: F.struct(F.lit(k).alias("k"), F.length(gap).alias("gap"), F.length(m).alias("len"), test(m).alias("ok"))
+    # both arrays are made once for a text; the piece after the last match has no match and goes
+    paired = F.filter(F.zip_with(matches, F.split(text, pattern, -1), piece), lambda p: p["len"].isNotNull())
+    return F.when(text.rlike(pattern), paired).otherwise(none)
 
 
 def scan(docs: DataFrame, *, text: str = "text", scope: int = 200) -> DataFrame:
@@ -69,7 +70,7 @@ def scan(docs: DataFrame, *, text: str = "text", scope: int = 200) -> DataFrame:
     pieces = F.concat(*[_pieces(body, k, pattern, test) for k, (_, _, _, pattern, test) in enumerate(KINDS)])
     rows = cut(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.monotonically_increasing_id().alias("_row"), pieces.alias("_pieces")))
 
-    each = rows.where(F.size("_pieces") > 0).select("_row", F.explode("_pieces").alias("p")).select("_row", "p.*")
+    each = rows.where(F.size("_pieces") > 0).select("_row", F.posexplode("_pieces").alias("i", "p")).select("_row", "i", "p.*")
     upto = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("_row", "k").orderBy("i"))
     spans = each.select("_row", "k", "ok", (upto - F.col("len")).alias("start"), upto.alias("end")).where("ok").drop("ok")
 
