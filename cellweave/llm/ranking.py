@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .clusterio import cut
 
-def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], *, splits: int = 64, name: str = "slot") -> DataFrame:
+
+def gapless(df: DataFrame, group: str, spread: list[str], order: list[str], *, splits: int = 64, per_split: int = 2_000_000, few: int = 200_000, name: str = "slot") -> DataFrame:
     """``df`` with ``name``: 0, 1, ... within each ``group``, in as many places as there are splits.
 
-    Rows of a group are dealt to ``splits`` parts by a hash of ``spread``, numbered inside their part in
-    ``order``, and shifted by the sizes of the parts before.  The sizes are at most groups x splits rows.
+    Rows of a group are dealt to ``splits`` parts, or more so that a part has about ``per_split`` rows, by a hash of
+    ``spread``, numbered inside their part in ``order``, and shifted by the sizes of the parts before.  The sizes
+    are at most groups x splits rows, broadcast if these are no more than ``few``.
     """
+    splits = max(splits, -(-df.count() // per_split))
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(splits)))
     sizes = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shift = sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    shift = cut(sizes.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    shift = F.broadcast(shift) if shift.count() <= few else shift
     place = F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)) - 1
     ranked = dealt.withColumn("_place", place)
-    joined = ranked.join(F.broadcast(shift), (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("_part") == F.col("_p")))
+    joined = ranked.join(shift, (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("_part") == F.col("_p")))
     return joined.withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_part", "_place", "_g", "_p", "_before")

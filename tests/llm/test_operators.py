@@ -312,6 +312,18 @@ def test_packing(docs, texts):
     assert packing.pack(empty(docs)).count() == 0
 
 
+def test_ranks_are_gapless_whatever_the_parts(spark):
+    from cellweave.llm.ranking import gapless
+
+    rows = spark.createDataFrame([(k % 3 if k % 5 else None, k // 2) for k in range(200)], "g int, k long")
+    for how in ({}, {"splits": 1, "per_split": 30}, {"splits": 7, "few": 0}):
+        by_group = {}
+        for r in gapless(rows, "g", ["k"], ["k"], **how).collect():
+            by_group.setdefault(r.g, []).append(r.slot)
+        assert len(by_group) == 4 and all(sorted(x) == list(range(len(x))) for x in by_group.values())
+    assert gapless(rows.where("false"), "g", ["k"], ["k"]).count() == 0
+
+
 def test_bins_hold_their_lengths(spark):
     lengths = [0, 1, 1023, 1024, 1025, 2047, 2048, 2049, 5000, 123456, 10**7]
     got = spark.createDataFrame([(x,) for x in lengths], "n long").select("n", packing.bin_top(F.col("n")).alias("top")).collect()
