@@ -219,4 +219,4 @@ def format_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes of the packed stream, and conv_id with the chain and depth of its last node."""
     turns = cut(turns_of(conversations))
     keyed = cut(chains_of(turns))
-    return cut(layout(turns, keyed)), keyed.where("leaf").select("conv_id", "chain", "depth")
+    return layout(turns, keyed), keyed.where("leaf").select("conv_id", "chain", "depth")
