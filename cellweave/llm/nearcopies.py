@@ -1,0 +1,162 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Works on distinct word sequences.  Candidates share one of 32 bands of five MinHashes each: a pair at similarity 0.8
+shares none with a chance of (1 - 0.8^5)^32 = 3e-6, a pair above it with less.  Every candidate that links is verified
+on the two whole shingle sets, so no pair below the threshold links directly.
+
+A bucket that holds more than ``bucket`` texts is not paired up.  Its members are first held against a few pivots.
+Where that leaves more than one component in it, its members are dealt again by each other band that they share, and
+all pairs of different components that meet there are verified.  A pair at 0.8 that shares one band shares none of the
+other 31 with a chance of 4e-6.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from . import bytespans as B
+from .clusterio import cut
+from .simhash import components
+
+SHINGLE, BANDS, ROWS = 5, 32, 5
+_DRAW = np.random.default_rng(42)
+_TIMES, _PLUS = (_DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+_PLACE = B.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # of bytes, as in simhash.fingerprint
+
+
+def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of ``size`` words; one of all words if they are fewer."""
+    if not words:
+        return np.empty(0, np.uint64)
+    codes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    k = min(size, len(codes))
+    n = len(codes) - k + 1
+    total = np.zeros(n, np.uint64)
+    for j in range(k):
+        total = B.mix(total + codes[j : j + n] * _PLACE[j])
+    return np.unique(total)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band, none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0))
+    rows, out = least.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(ROWS):
+        out = B.mix(out * _PLACE[j] + rows[:, j])
+    return out.view(np.int64)
+
+
+def _key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``key`` (of the word sequence), ``n`` (distinct shingles) and ``bands`` of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, "t"):
+            words = [words_of(t) for t in batch.column("t").to_pylist()]
+            sets = [shingles(w) for w in words]
+            columns = [pa.array([_key(w) for w in words], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "n", "bands"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, key binary, n long, bands array<long>")
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, "t"):
+            t = batch.column("t")
+            yield pa.RecordBatch.from_arrays([pa.array([_key(words_of(x)) for x in t.to_pylist()], pa.binary()), t], ["key", "t"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "key binary, t string")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The pairs ``u``, ``v`` of keys whose shingle sets have a Jaccard similarity of at least 0.8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, "t"):
+            sets = [shingles(words_of(t)).view(np.int64) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+
+    taking_part = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    texts = _keyed(docs, text).join(taking_part, "key", "left_semi").dropDuplicates(["key"])
+    sets = cut(texts.mapInArrow(run, "key binary, s array<long>"))
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def _meet(rows: DataFrame, others: DataFrame, at: str, *, apart: bool = False) -> DataFrame:
+    """Distinct pairs ``u`` > ``v`` of keys that share ``at`` and whose sizes allow the similarity."""
+    cols = lambda df, side: df.select(at, F.col("key").alias(side), F.col("n").alias(f"n_{side}"), *([F.col("root").alias(f"r_{side}")] if apart else []))
+    fit = 5 * F.least("n_u", "n_v") >= 4 * F.greatest("n_u", "n_v")
+    met = cols(rows, "u").join(cols(others, "v"), at).where(fit & (F.col("r_u") != F.col("r_v") if apart else F.lit(True)) & (F.col("u") != F.col("v")))
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def links(docs: DataFrame, classes: DataFrame, *, text: str = "text", bucket: int = 32, pivots: int = 4) -> DataFrame:
+    """``u`` > ``v``: verified pairs that join the classes (columns ``key``, ``n``, ``bands``) into their components."""
+    stored = classes.select("key", "n", F.explode("bands").alias("h"))
+    sizes = stored.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    shared = cut(stored.join(sizes, "h"))
+    calm, crowded = shared.where(F.col("m") <= bucket), shared.where(F.col("m") > bucket)
+    least = lambda k: F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("x"), "key", "n"))
+    chosen = crowded.groupBy("h").agg(F.array(*[least(k) for k in range(pivots)]).alias("p")).select("h", F.explode("p").alias("p")).select("h", "p.key", "p.n").distinct()
+    near = cut(verified(docs, cut(_meet(calm, calm, "h").unionByName(_meet(crowded, chosen, "h")).distinct()), text=text))
+    if crowded.isEmpty():
+        return near
+    joined = components(near)
+    placed = cut(crowded.join(joined.withColumnRenamed("node", "key"), "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("root")))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    if mixed.isEmpty():
+        return near
+    dealt = placed.join(mixed, "h", "left_semi").join(classes.select("key", F.explode("bands").alias("g")), "key").where("h != g")
+    dealt = dealt.select("key", "n", "root", F.xxhash64(F.least("h", "g"), F.greatest("h", "g")).alias("hg")).distinct()
+    finer = dealt.groupBy("hg").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("hg")
+    dealt = cut(dealt.join(finer, "hg", "left_semi"))
+    return near.unionByName(verified(docs, cut(_meet(dealt, dealt, "hg", apart=True)), text=text))
+
+
+def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bucket: int = 32) -> DataFrame:
+    """One row of each group of near copies, direct or through others: the one with the least id.
+
+    Texts without words are one group.  Rows without an id stand for a group only if no row of it has one; where
+    several rows could stand, as repeated rows do, the first by text stays.
+    """
+    rows = cut(signatures(docs, doc_id=doc_id, text=text))
+    classes = cut(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")))
+    joined = components(links(docs, classes, text=text, bucket=bucket))
+    placed = rows.select("doc_id", "key").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = placed.groupBy("root").agg(F.min(order).alias("f"), F.count("*").alias("m"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():  # ids are unique: no need to look at texts
+        lost = placed.join(first.where("m > 1").select("root", F.col("f.doc_id").alias("kept")), "root").where("doc_id != kept").select(F.col("doc_id").alias("_id"))
+        return docs.join(lost, F.col(doc_id) == F.col("_id"), "left_anti").select(*columns)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, text):
+            keys = pa.array([_key(words_of(t)) for t in batch.column(text).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*names, "_key"])
+
+    keyed = docs.mapInArrow(run, docs.withColumn("_key", F.lit(b"")).schema)
+    kept = keyed.join(first.select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_first")), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first")))
+    return kept.withColumn("_place", F.row_number().over(W.partitionBy("_id", "_key").orderBy(F.col(text).asc_nulls_last()))).where("_place = 1").select(*columns)

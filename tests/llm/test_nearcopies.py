@@ -1,0 +1,86 @@
+"""Near copies by five-word shingles against all pairs."""
+
+import os
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cellweave.llm import nearcopies
+
+from . import brute
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def plain_kept(rows):
+    """Least id of each group, of (id, text) rows with different ids, by the sets of shingles themselves."""
+    sets = []
+    for _, t in sorted(rows):
+        w = brute.BLANKLESS.findall(brute.lower(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or (same and same >= 0.8 * (len(sets[i]) + len(sets[j]) - same) - 1e-9):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    ids = sorted(i for i, _ in rows)
+    return [ids[k] for k in range(len(ids)) if find(k) == k]
+
+
+def family(draw, base, n, edits):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(draw.choice(edits)):
+            w[draw.randrange(len(w))] = f"x{draw.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_pipeline_drops_real_near_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        if name == "near_duplicates":
+            before = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "near_copies":
+            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == plain_kept(before) != sorted(i for i, _ in before)
+    left = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert not {1, 177} <= left and not {6, 145} <= left
+
+
+def test_against_all_pairs_with_crowded_buckets(spark):
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(5000)}"
+    texts = [None, "", " \n", "one two", "One  two", "one two three"]
+    for size, n, edits in ((200, 120, (0, 1, 2, 3, 4, 5)), (60, 60, (1, 2)), (12, 60, (1,)), (1500, 6, (5, 20, 30))):
+        texts += family(draw, [word() for _ in range(size)], n, edits)
+    chain = [word() for _ in range(100)]
+    for k in range(40):  # each like its neighbours only
+        texts.append(" ".join(chain))
+        chain[(7 * k) % 100] = f"y{k}"
+    texts += [" ".join([*"a very common first line of many words".split(), *(word() for _ in range(2 + k % 40))]) for k in range(60)]
+    rows = list(enumerate(texts, 1))
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (32, 4):
+        kept = nearcopies.keep_representatives(docs, bucket=bucket)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
+
+
+def test_ids_that_are_null_or_repeated(spark):
+    t = "a b c d e f g h i j"
+    docs = spark.createDataFrame([(None, t), (7, t), (7, t.upper()), (7, "other words stand here now"), (None, "lone"), (None, "lone")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in nearcopies.keep_representatives(docs).collect())
+    assert got == [(0, "lone"), (7, t.upper()), (7, "other words stand here now")]
+    assert nearcopies.keep_representatives(docs.where(F.lit(False))).count() == 0
