@@ -90,19 +90,23 @@ def coefficient_ranking(model, names: list[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coefficient double, size double")
 
 
-def permutation_importance(model, df: DataFrame, names: list[str], *, repeats: int = 2) -> DataFrame:
-    """Growth of the RMSE when a feature's values are dealt out anew, by joining rows in one hash order to another."""
-    rmse = lambda d: d.agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)))).first()[0]
+def permutation_importance(model, df: DataFrame, names: list[str], *, repeats: int = 8) -> DataFrame:
+    """Growth of the RMSE when a feature's values are dealt out anew, by joining rows in one hash order to another: mean and deviation over the repeats.
+
+    ``df`` is a bounded sample (its rows are numbered in one task).  Each row stands once for the base and once for each feature and repeat, so one pass of the model scores all.
+    """
     key = [c for c in ("cell", "week") if c in df.columns]
-    base, rows = rmse(model.transform(df)), []
-    number = lambda d, seed: d.withColumn("_i", F.row_number().over(W.orderBy(F.xxhash64(*key, F.lit(seed)), *key)))  # noqa: E731  bounded sample
-    for n in names:
-        grown = []
-        for r in range(repeats):
-            other = number(df.select(*key, F.col(n).alias("_v")), r + 1).select("_i", "_v")
-            grown.append(rmse(model.transform(number(df, 0).join(other, "_i").withColumn(n, F.col("_v")))) - base)
-        rows.append((n, float(np.mean(grown)), float(np.std(grown))))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, std double")
+    numbered = df.withColumn("_i", F.row_number().over(W.orderBy(F.xxhash64(*key, F.lit(0)), *key)))
+    draws = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_r")
+    dealt = df.select(*key, F.struct(*names).alias("_v"), draws).withColumn("_i", F.row_number().over(W.partitionBy("_r").orderBy(F.xxhash64(*key, "_r"), *key))).select("_i", "_r", "_v")
+    cases = numbered.join(dealt, "_i").withColumn("_f", F.explode(F.array(*[F.lit(n) for n in names])))
+    changed = cases.withColumns({n: F.when(F.col("_f") == n, F.col(f"_v.{n}")).otherwise(F.col(n)) for n in names}).drop("_v")
+    base = numbered.withColumns({"_r": F.lit(0), "_f": F.lit("")})
+    flagged = [n for n in names if f"{n}__missing" in df.columns]
+    scored = model.transform(with_missing_flags(changed.unionByName(base), flagged))
+    rmse = scored.groupBy("_f", "_r").agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))).alias("e"))
+    grown = rmse.where("_r > 0").crossJoin(F.broadcast(rmse.where("_r = 0").select(F.col("e").alias("_base"))))
+    return grown.groupBy(F.col("_f").alias("feature")).agg(F.avg(F.col("e") - F.col("_base")).alias("importance"), F.stddev_pop("e").alias("std"))
 
 
 def clusters(cells: DataFrame, per: int = 25, most: int = 8) -> DataFrame:

@@ -75,7 +75,7 @@ def ml_coefficients_and_permutation(spark: SparkSession, d: str) -> DataFrame:
     train, test, names = _split(spark, d)
     model = M.fit_ridge(train, names)
     sample = test.orderBy(F.xxhash64("cell", "week"), "cell", "week").limit(2500)
-    ranked = M.coefficient_ranking(model, names, spark).join(M.permutation_importance(model, sample, names[:3], repeats=1), "feature", "full_outer")
+    ranked = M.coefficient_ranking(model, names, spark).join(M.permutation_importance(model, sample, names), "feature", "full_outer")
     return ranked.withColumn("group", F.regexp_extract("feature", "^([a-z]+)", 1))
 
 
