@@ -146,11 +146,16 @@ def average_path(n: float) -> float:
 
 
 def isolation_score(df: DataFrame, columns: list[str], *, sample: int = 5000, trees: int = 50) -> DataFrame:
-    """``isolation``: how few random cuts single a row out (0 to 1).  Trees grow on a bounded sample by hash; nulls are medians."""
+    """``isolation``: how few random cuts single a row out (0 to 1).  Nulls are medians.
+
+    Trees grow on a bounded sample by hash of the row's key (cell and week, or all columns of a table without them),
+    so rows of equal values enter it in proportion.
+    """
+    key = [c for c in ("cell", "week") if c in df.columns] or df.columns
     med = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
     filled = df.withColumns({f"{c}__x": F.coalesce(F.col(c), F.lit(float(med[c] or 0.0))) for c in columns})
     xs = [f"{c}__x" for c in columns]
-    rows = filled.select(*xs).orderBy(F.xxhash64(*xs)).limit(sample).toPandas().to_numpy(float)
+    rows = filled.orderBy(F.xxhash64(*key), *key).limit(sample).select(*xs).toPandas().to_numpy(float)
     forest = isolation_trees(rows, trees) if len(rows) else []
     norm = average_path(min(256, len(rows))) or 1.0
 
