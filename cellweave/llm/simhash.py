@@ -19,6 +19,12 @@ put under itself and its neighbours at distance 1.  Two of them share such a
 midpoint exactly if they differ in two bits or fewer, so linking each member of
 a midpoint to its smallest one gives the same components from 65 rows a
 fingerprint, and no pairs.
+
+Near copies (:func:`near_copies`, the rule of near-duplicate stages) are texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more.  Their candidates are fingerprints of three-word sets within ``distance`` bits, by
+the same partitions, thresholds and probes; each candidate pair is verified on the two whole sets.  Pairs within a
+large group are not formed: members of a crowded bucket are first held against a few pivots, and the search then looks
+for pairs of different components only, a large component never probing itself.
 """
 
 from __future__ import annotations
@@ -31,14 +37,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytespans as B
-from .clusterio import cut
+from .clusterio import cut, fresh, own, sent_if_few
 
 BITS = 64
 SEED = 42
+_PLACE = B.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -64,7 +70,8 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             codes = [fingerprint(t, shingle) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    light = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
+    return light.mapInArrow(run, light.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -128,17 +135,17 @@ def mask_of(bits: list[int]) -> int:
     return int(np.uint64(sum(1 << b for b in bits)).astype(np.int64))
 
 
-def plan(prints: DataFrame, distance: int = 2) -> list[tuple[int, list[int], int]]:
-    """(mask, bits, threshold) of every partition to probe, of the cheapest cut into 2 to ``distance + 2`` partitions.
+def plan(prints: DataFrame, distance: int = 2, *, row_cost: float = 1.0) -> list[tuple[int, list[int], int]]:
+    """(mask, bits, threshold) of every partition to probe, of the cheapest cut into a few partitions, ``distance + 2`` at most.
 
     Pairs that agree in a whole partition are counted over all fingerprints; those that differ in some of its
-    bits follow from the bits' own frequencies.  A probe also counts as one row for each value it looks up.
+    bits follow from the bits' own frequencies.  A probe also costs ``row_cost`` candidates for each value it looks up.
     """
     n, both = bit_statistics(prints)
     mean = both.diagonal() / max(n, 1)
     differ = 2 * mean * (1 - mean)
     odds = differ / np.maximum(1 - differ, 1e-3)
-    cuts = [group_bits(n, both, m) for m in range(2, distance + 3)]
+    cuts = [group_bits(n, both, m) for m in range(max(2, distance // 3 + 1), min(distance + 2, max(4, distance // 2 + 2)) + 1)]
     masks = [[mask_of(g) for g in groups] for groups in cuts]
     keys = [F.struct(F.lit(f"{m}/{i}").alias("p"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for m, row in enumerate(masks) for i, x in enumerate(row)]
     sizes = prints.select(F.explode(F.array(*keys)).alias("k")).groupBy("k").count()
@@ -149,7 +156,7 @@ def plan(prints: DataFrame, distance: int = 2) -> list[tuple[int, list[int], int
         for i, group in enumerate(groups):
             row, same, up, looked = [0.0], pairs.get(f"{m}/{i}", 0.0), [1.0], 1.0
             for t in range(distance + 1):
-                row.append(same * sum(up) + n * looked)
+                row.append(same * sum(up) + max(n, 1) * looked * row_cost)
                 up.append(up[-1] * odds[group].sum() / (t + 1))
                 looked += reduce(lambda a, j: a * (len(group) - j) / (j + 1), range(t + 1), 1.0)
             costs.append(row)
@@ -180,9 +187,9 @@ def links(prints: DataFrame, *, distance: int = 2, bucket: int = 64, levels: int
     masks = {p: bits for p, (_, _, bits, _) in enumerate(parts)}
     found, hot = [], None
     for level in range(levels):
-        crowded = cut(stored.groupBy("p", "key").count().where(F.col("count") > bucket).select("p", "key"))
+        crowded = sent_if_few(cut(stored.groupBy("p", "key").count().where(F.col("count") > bucket).select("p", "key")))
         calm = stored.join(crowded, ["p", "key"], "left_anti")
-        pairs = probes.withColumnRenamed("fp", "u").join(calm.withColumnRenamed("fp", "v"), ["p", "key"]).where((F.col("u") > F.col("v") if plain else F.col("u") != F.col("v")) & near)
+        pairs = (calm if plain else probes.join(crowded, ["p", "key"], "left_anti")).withColumnRenamed("fp", "u").join(calm.withColumnRenamed("fp", "v"), ["p", "key"]).where((F.col("u") > F.col("v") if plain else F.col("u") != F.col("v")) & near)
         found.append(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         if crowded.isEmpty():
             break
@@ -261,28 +268,165 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(by_print, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each near-duplicate group: the one whose id is the component's.
+def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of each text's runs of ``size`` words (one of all words if they are fewer), and offsets by text."""
+    texts = B.Texts(column)
+    low = B.LOWER[texts.data]
+    starts, ends, at = texts.runs(B.NOT_BLANK[low])
+    words = B.SpanHash(B.BYTE_CODE[low]).of(starts, ends)
+    doc = B.owner(at)
+    here = np.arange(len(words))
+    left = at[doc + 1] - here  # words from here to the end of the text
+    first = np.flatnonzero((left >= size) | (here == at[doc]))
+    total = np.zeros(len(first), np.uint64)
+    for j in range(size):
+        go = left[first] > j
+        total[go] = B.mix(total[go] + words[first[go] + j] * _PLACE[j])
+    _, later = B.repeated(doc[first], total)
+    return total[~later], np.searchsorted(doc[first][~later], np.arange(texts.n + 1))
+
+
+def set_fingerprints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash of each set of hashes, as signed 64-bit integers; 0 for an empty set."""
+    n = np.diff(at)
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out.view(np.int64)
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    for b in range(32):  # bits b and b + 32 are counted in one word
+        votes = np.add.reduceat((hashes >> np.uint64(b)) & np.uint64(0x0000000100000001), at[:-1][full])
+        for shift, v in ((b, votes & low), (b + 32, votes >> half)):
+            out[full] |= (2 * v.astype(np.int64) > n[full]).astype(np.uint64) << np.uint64(shift)
+    return out.view(np.int64)
+
+
+def text_key(text: F.Column) -> F.Column:
+    """128 bits that stand for a text; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """``id``, ``key`` (see :func:`text_key`) and ``fp`` (of the set of shingles) of every row."""
 
-    Rows without an id stand for a group only if no row of it has one.  Where several rows could stand for a group, as
-    repeated rows do, the first by text stays.
-    """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
-    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("root").alias("_root")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    if first.groupBy("_id").count().where("count > 1 or _id is null").isEmpty():  # ids are unique: no need to look at texts
-        return docs.join(first.select("_id"), F.col(doc_id) == F.col("_id"), "left_semi").select(*columns)
-    names = docs.columns
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, "t"):
+            prints = set_fingerprints(*shingles(batch.column("t"), shingle))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(prints)], ["id", "key", "fp"])
+
+    light = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
+    return light.mapInArrow(run, light.select("id", "key", F.lit(0).cast("long").alias("fp")).schema)
+
+
+def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe: bool) -> DataFrame:
+    """A row of ``nodes`` for each partition ``p`` and value ``k`` under which it is stored, or which it probes."""
+    flips = lambda bits, t: [mask_of(list(c)) for j in range(t + 1) for c in itertools.combinations(bits, j)]
+    ways = [(p, mask, x) for p, (mask, bits, t) in enumerate(parts) for x in (flips(bits, t) if probe else [0])]
+    way = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(m).alias("m"), F.lit(x).alias("x")) for p, m, x in ways]))
+    return nodes.select("*", way.alias("w")).select(*own(nodes), "w.p", F.col("fp").bitwiseAND(F.col("w.m")).bitwiseXOR(F.col("w.x")).alias("k"))
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """The pairs ``u``, ``v`` of node names whose texts' sets of ``words``-word shingles reach the Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.chunked(batches, text):
-            codes = [fingerprint(t, how.get("shingle", 3)) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int64())], [*names, "_mine"])
-
-    printed = docs.mapInArrow(run, docs.withColumn("_mine", F.lit(0).cast("long")).schema)
-    joined = printed.join(first.distinct(), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_fp")))
-    place = F.row_number().over(W.partitionBy("_root").orderBy(F.col(text).asc_nulls_last(), "_mine"))
-    return joined.withColumn("_place", place).where("_place = 1").select(*columns)
+        for batch in B.chunked(batches, "t"):
+            hashes, at = shingles(batch.column("t"), words)
+            sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "s"])
+
+    taking_part = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = sent_if_few(cut(classes.join(taking_part, "node", "left_semi").select("node", F.col("key").alias("want"), F.col("least").alias("by"))))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    texts = texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
+    sets = cut(texts.mapInArrow(run, "node binary, s array<long>").dropDuplicates(["node"]))  # repeated rows give the same set again
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
+    enough = (1 + similarity) * F.size(F.array_intersect("a", "b")) >= similarity * (F.size("a") + F.size("b")) - 1e-9
+    return both.where(enough).select("u", "v")
+
+
+def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, bucket: int, **rule) -> DataFrame:
+    """``u`` > ``v``: verified links that join the classes into their components.
+
+    Components that follow from the pivots of crowded buckets are known before the search for pairs, which takes
+    only pairs of different ones: those outside of large components (more than ``bucket`` members) probe everything,
+    and a member of a large one probes just the other large ones that its bucket holds.
+    """
+    parts = plan(classes, distance, row_cost=32.0)
+    name = lambda side: F.unhex(F.concat(hex16(F.col(f"code_{side}")), hex16(F.col(f"fp_{side}"))))
+    side = lambda df, s: df.select("p", "k", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in ("p", "k")])
+    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    apart = F.col("fp_u").bitwiseXOR(F.col("fp_v"))
+    near = F.bit_count(apart) <= distance
+    for p, (mask, _, t) in enumerate(parts[:-1]):  # a pair counts where it meets first
+        near &= (F.col("p") <= p) | (F.bit_count(apart.bitwiseAND(F.lit(mask))) > t)
+
+    nodes = classes.select("fp", "code")
+    stored = _dealt(nodes, parts, probe=False)
+    drawn = lambda j: F.min(F.struct(F.xxhash64("code", F.lit(j)).alias("x"), "fp", "code"))
+    crowded = stored.groupBy("p", "k").agg(F.count("*").alias("n"), F.array(*[drawn(j) for j in range(4)]).alias("pivot")).where(F.col("n") > bucket)
+    crowded = cut(crowded.select("p", "k", F.explode("pivot").alias("v")).select("p", "k", "v.fp", "v.code").distinct())
+    first, joined = None, None
+    if not crowded.isEmpty():
+        star = side(stored, "u").join(sent_if_few(side(crowded, "v")), ["p", "k"]).where((F.bit_count(apart) <= distance) & ((F.col("fp_u") != F.col("fp_v")) | (F.col("code_u") != F.col("code_v"))))
+        first = cut(_verified(docs, classes, cut(ordered(star.select(name("u").alias("u"), name("v").alias("v"))).distinct()), **rule))
+        joined = components(first)
+        sizes = joined.groupBy("root").count().where(F.col("count") > bucket)
+        large = joined.join(sizes, "root").select("node", F.xxhash64("root").alias("big"))
+        placed = classes.select("node", "fp", "code").join(joined.select("node", F.xxhash64("root").alias("root")), "node", "left").join(large, "node", "left")
+        nodes = cut(placed.select("fp", "code", F.coalesce("root", "code").alias("root"), "big"))
+    else:
+        nodes = nodes.withColumns({"root": F.col("code"), "big": F.lit(None).cast("long")})
+    stored = _dealt(nodes, parts, probe=False)
+    small = _dealt(nodes.where("big is null").select("fp", "code", "root"), parts, probe=True)
+    above = (F.col("code_u") > F.col("code_v")) | ((F.col("code_u") == F.col("code_v")) & (F.col("fp_u") > F.col("fp_v")))
+    met = side(small, "u").join(side(stored, "v"), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near & (F.col("big_v").isNotNull() | above))
+    found = met.select(name("u").alias("u"), name("v").alias("v"))
+    if joined is not None and nodes.select("big").where("big is not null").distinct().limit(2).count() > 1:
+        held = stored.where("big is not null").select("p", "k", "fp", "code", "big")
+        groups = held.select("p", "k", F.col("big").alias("other")).distinct()
+        probes = side(_dealt(nodes.where("big is not null").select("fp", "code", "big"), parts, probe=True), "u").join(groups, ["p", "k"]).where(F.col("big_u") > F.col("other"))
+        met = probes.join(side(held, "v").withColumnRenamed("big_v", "other"), ["p", "k", "other"]).where(near)
+        found = found.unionByName(met.select(name("u").alias("u"), name("v").alias("v")))
+    second = _verified(docs, classes, cut(ordered(found)), **rule)
+    return second if first is None else first.unionByName(second)
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 5, similarity: float = 0.8, distance: int = 8, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
+    """``id`` and ``key`` of every row, and ``key``, ``copies``, ``least`` and ``root`` of every different text.
+
+    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more and their
+    fingerprints of ``shingle``-word sets differ in at most ``distance`` bits; rows of one root are linked, directly or
+    through others.  Letters A-Z count as lower-case, and texts without words (null too) are one group.  ``least`` is
+    the least id of the text's rows, null if none has one.
+    """
+    rows = cut(_marked(docs, doc_id, text, shingle))
+    half = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
+    classes = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("code", half)
+    classes = cut(classes.withColumn("node", F.unhex(F.concat(hex16(F.col("code")), hex16(F.col("fp"))))))
+    links = _similar(docs, classes, distance=distance, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
+    rooted = classes.join(components(links), "node", "left").select("key", "copies", "least", F.coalesce("root", "node").alias("root"))
+    return rows.select("id", "key"), cut(rooted)
+
+
+def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each group of near copies (see :func:`near_copies`): the one with the least id.
+
+    Rows without an id stand for a group only if no row of it has one; the least key of a text decides among texts
+    with the same id.  Of rows that repeat both id and text, any one stays.  An empty table gives none.
+    """
+    rows, texts = near_copies(docs, doc_id=doc_id, text=text, **how)
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "key")
+    best = texts.groupBy("root").agg(F.min(order).alias("b"), F.sum("copies").alias("rows"))
+    id_, key = fresh(docs, "kept_id", "kept_key")
+    if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():  # ids are unique: the others go by theirs
+        several = texts.join(best.where(F.col("rows") > 1), "root").select("key", F.col("b.least").alias("stays"))
+        lost = cut(rows.join(several, "key").where(F.col("id") != F.col("stays")).select(F.col("id").alias(id_)))
+        return docs.join(sent_if_few(lost), F.col(f"`{doc_id}`") == F.col(id_), "left_anti")
+    stay = best.select(F.col("b.least").alias(id_), F.col("b.key").alias(key))
+    mine, = fresh(docs, "own_key")
+    kept = docs.withColumn(mine, text_key(F.col(f"`{text}`"))).join(stay, (F.col(mine) == F.col(key)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(id_)))
+    return kept.dropDuplicates([mine]).select(*own(docs))
 
 
 def hex16(fp: F.Column) -> F.Column:

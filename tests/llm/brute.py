@@ -64,6 +64,38 @@ def linked(prints, distance=2):
     return [find(i) for i in range(len(prints))]
 
 
+def near_copies(texts, distance=8):
+    """Least position reachable over links of near copies, and over all pairs of similar sets whatever their fingerprints."""
+    import pyarrow as pa
+
+    from cellweave.llm import simhash
+
+    sets, prints = [], []
+    for t in texts:
+        w = BLANKLESS.findall(lower(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+        codes = [int(x) for x in simhash.shingles(pa.array([t], pa.string()), 3)[0]]
+        assert len(codes) == len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else ())
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(c >> b & 1 for c in codes) > len(codes)))
+    found = []
+    for limit in (distance, 64):
+        root = list(range(len(sets)))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(len(sets)):
+            for j in range(i):
+                same = len(sets[i] & sets[j])
+                if (sets[i] == sets[j] or 9 * same >= 4 * (len(sets[i]) + len(sets[j])) > 0) and (prints[i] ^ prints[j]).bit_count() <= limit:
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        found.append([find(i) for i in range(len(sets))])
+    return found
+
+
 def spans(text):
     text = text or ""
     case = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)

@@ -79,9 +79,6 @@ def test_simhash_components(docs, texts, bucket):
     got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs, bucket=bucket).collect()}
     prints = [brute.fingerprint(t) for t in texts]
     assert got == {i: x for i, x in enumerate(zip(prints, brute.linked(prints), strict=True))}
-    kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute.linked(prints)))
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
@@ -108,12 +105,6 @@ def test_threshold_allocation_is_least():
     assert sum(got) == 0 and sum(row[t + 1] for row, t in zip(costs, got, strict=True)) == best[0]
 
 
-def test_repeated_rows_leave_one_representative(spark):
-    rows = [(1, "one two three four five"), (1, "one two three four five"), (2, "one two three four five"), (None, "quite another text here"), (None, "quite another text here"), (1, "a third one with the id of the first")]
-    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows})
-
-
 @pytest.mark.parametrize("crowd", [100_000, 1])
 @pytest.mark.parametrize("length", [200, 40, 9])
 def test_repeats(docs, texts, length, crowd):
