@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytespans as B
 from . import textstats as S
+from .clusterio import cut
 
 BUCKETS = 8192
 
@@ -39,11 +40,13 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(np.where((p.sum(axis=-1) > 0) & (q.sum(axis=-1) > 0), half, 0.0), 0, 1))
 
 
-def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: int = 200) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: int = 200, max_langs: int = 1000) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each language: counts of classes, its common buckets, counts of these and of the rest.
 
     Tasks add up their own counts first; what comes to the driver is bounded by languages x (buckets + classes).
-    Null languages are left out.
+    Null languages are left out; more than ``max_langs`` languages, as in a column that holds something else, are refused.
+    Words that share one of the ``BUCKETS`` buckets count together: of n different words, one shares its bucket with some
+    other with a chance of 1 - (1 - 1 / BUCKETS) ** (n - 1), but a rare word adds little to a common one's count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +66,10 @@ def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", commo
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["l", "k", "n"])
 
-    found = docs.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null").mapInArrow(run, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("l is not null")
+    found = cut(rows.mapInArrow(run, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n")))
+    if found.select("l").distinct().limit(max_langs + 1).count() > max_langs:
+        raise ValueError(f"more than {max_langs} languages in {lang}")
     out = {}
     for name, part in found.toPandas().groupby("l"):
         counts = np.zeros(BUCKETS + S.N_CLASSES)
