@@ -1,15 +1,19 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each shard (a bounded batch of documents) becomes a word sequence with a
-separator after every text, and gets a suffix array by prefix doubling.  All
-windows of the benchmark items are then binary-searched at once; the range a
-window gets in the array is the list of all its occurrences.  Occurrences on
+separator after every text, and gets a suffix array by prefix doubling, ordered as
+deep as a window is long, which is all that the search looks at.  The windows of
+the benchmark items whose words the shard has are then binary-searched, some ten
+thousands at once; the range a window gets in the array is the list of all its
+occurrences.  The array serves its shard and block and is not kept.  Occurrences on
 one diagonal that follow each other join into the longest verbatim matches.
 
 Documents are never shuffled and there is no state across shards, so a lost
 executor costs its own partitions.  The benchmark is read to the driver in
 blocks of at most ``block_words`` words and each block is broadcast for one pass
-over the documents, whose spans and items the passes gather in two columns.
+over the documents, whose spans and items the passes gather in two columns.  The
+passes of several blocks run as one chain, with a Python worker for each block in
+every task that runs.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import bytespans as B
 
+SLICE = 1 << 15  # windows searched at once
 FOUND = "array<struct<s:long,e:long>>"
 
 
@@ -96,9 +101,9 @@ class Items:
         count = np.diff(at)
         self.longest = int(count.max(initial=0))
         n_windows = np.where(count == 0, 0, np.maximum(1, count - window + 1))
-        self.item = np.repeat(np.arange(len(ids)), n_windows)
-        self.start = at[:-1][self.item] + (np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows))
-        self.length = np.minimum(window, count[self.item])
+        self.item = np.repeat(np.arange(len(ids), dtype=np.int32), n_windows)
+        self.start = (np.arange(len(self.item)) + np.repeat(at[:-1] - (np.cumsum(n_windows) - n_windows), n_windows)).astype(np.int32)
+        self.length = np.minimum(window, count[self.item]).astype(np.int32)
 
     def hits(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal verbatim matches of a window's length or more: first word (over the shard), words, item."""
@@ -108,6 +113,10 @@ class Items:
         vocabulary, ids = np.unique(words, return_inverse=True)
         where = np.minimum(np.searchsorted(vocabulary, self.words), len(vocabulary) - 1)
         test = np.where(vocabulary[where] == self.words, where + 1, -1)
+        unknown = np.concatenate([[0], np.cumsum(test < 0)])
+        live = np.flatnonzero(unknown[self.start + self.length] == unknown[self.start])  # all words known here
+        if not live.size:
+            return none
         gap = np.zeros(len(words) + 1, np.int64)
         np.add.at(gap, at[1:-1], 1)  # separators before each word
         shift = np.cumsum(gap[:-1])
@@ -116,14 +125,15 @@ class Items:
         seq[place] = ids + 1
         word_at = np.zeros(len(seq), np.int64)
         word_at[place] = np.arange(len(words))
-        steps = np.minimum(self.start[:, None] + np.arange(self.window), len(test) - 1)
-        inside = np.arange(self.window) < self.length[:, None]
-        rows = np.where(inside, test[steps], 0)
-        live = np.flatnonzero((rows >= 0).all(axis=1))  # all words known here
-        if not live.size:
-            return none
         sa = suffix_array(seq, max(self.window, int(self.length.max())))
-        lo, hi = search(seq, sa, rows[live], self.length[live])
+        ranges = []
+        for k in range(0, len(live), SLICE):
+            part = live[k : k + SLICE]
+            steps = np.arange(int(self.length[part].max()))
+            inside = steps < self.length[part, None]
+            rows = np.where(inside, test[np.minimum(self.start[part, None] + steps, len(test) - 1)], 0)
+            ranges.append(search(seq, sa, rows, self.length[part]))
+        lo, hi = (np.concatenate(x) for x in zip(*ranges, strict=True))
         found = hi - lo
         which = np.repeat(live, found)
         slots = np.repeat(lo, found) + (np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found))
