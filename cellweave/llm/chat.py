@@ -25,16 +25,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .clusterio import cut
+from .clusterio import cut, sent_if_few
 
 OPEN, END = "<|turn|>", "<|end|>\n"
 DIGEST = 12
 FEW = 200_000  # forks that are broadcast, 24 characters each
+HOT = 10_000  # conversations that look up one chain in one task
 CONTROL = re.compile(r"\\|<\||</?s>|\[/?INST\]|<</?SYS>>")
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -73,7 +73,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def turns_of(conversations: DataFrame) -> DataFrame:
     """Formatted turns of every conversation, rows ordered by turn (then role and text, if turn numbers repeat).
 
-    Null roles and texts are empty; a null conv_id is one more conversation.
+    Null roles and texts are empty; a null conv_id is one more conversation; columns beside the four are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "conv_id long, depth long, leaf boolean, parent string, node string, position long, segment string, loss_from long, loss_to long")
 
 
-def chains_of(turns: DataFrame) -> DataFrame:
+def chains_of(turns: DataFrame, *, few: int = FEW) -> DataFrame:
     """``turns`` without texts, with ``chain``: the heads of all chains down to a turn, the outermost first.
 
     A first turn, and a turn whose parent has several children, is the head of a chain.
@@ -105,7 +105,7 @@ def chains_of(turns: DataFrame) -> DataFrame:
     light = turns.select("conv_id", "depth", "leaf", "parent", "node")
     several = light.where("depth > 0").groupBy("parent").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     forks = cut(several.where("a < b").select(F.col("parent").alias("fork")))
-    forks = F.broadcast(forks) if forks.count() <= FEW else forks
+    forks = sent_if_few(forks, few)
     told = light.join(forks, light.parent == forks.fork, "left")
     head = F.when(F.col("fork").isNotNull() | (F.col("depth") == 0), F.col("node"))
     down = W.partitionBy("conv_id").orderBy("depth").rowsBetween(W.unboundedPreceding, 0)
@@ -132,7 +132,9 @@ def layout(turns: DataFrame, keyed: DataFrame) -> DataFrame:
 
     Columns: chain, depth, chain_start (where the node's chain starts in the stream), start, end (of the node),
     position (id of its first token), ancestors (the stream intervals that hold them, outermost first), segment (its
-    tokens), loss_from and loss_to (its part under loss, null if none).
+    tokens), loss_from and loss_to (its part under loss, null if none).  Each written row carries the number of the
+    range partition that it is in, so the places do not depend on how the result is read, coalesced or joined.  Empty
+    texts are nodes of their marks alone; no conversations give no nodes.
     """
     spark = turns.sparkSession
     first = lambda *names: [F.first(c).alias(c) for c in names]
@@ -140,18 +142,21 @@ def layout(turns: DataFrame, keyed: DataFrame) -> DataFrame:
     places = keyed.groupBy("node").agg(*first("chain", "depth"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     joined = places.join(texts, "node").select("chain", "depth", "position", "segment", "loss_from", "loss_to")
-    nodes = cut(joined.repartitionByRange(partitions, "chain", "depth").sortWithinPartitions("chain", "depth"))
+    ranged = joined.repartitionByRange(partitions, "chain", "depth").sortWithinPartitions("chain", "depth")
+    nodes = cut(ranged.select("*", F.spark_partition_id().cast("long").alias("part")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stack = 0, Open()
+        part, at, stack = -1, 0, Open()
         for batch in batches:
-            for chain, n in zip(batch.column("chain").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            for part, chain, n in zip(*(batch.column(c).to_pylist() for c in ("part", "chain", "n")), strict=True):
                 stack.enter(chain, at, at + n)
                 at += n
-        keys, starts, ends = (list(c) for c in zip(*stack.chains, strict=True)) if stack.chains else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((TaskContext.get().partitionId(), pa.int64()), (at, pa.int64()), (keys, pa.list_(pa.string())), (starts, pa.list_(pa.int64())), (ends, pa.list_(pa.int64())))], ["part", "total", "keys", "starts", "ends"])
+        if part < 0:
+            return
+        keys, starts, ends = (list(c) for c in zip(*stack.chains, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (at, pa.int64()), (keys, pa.list_(pa.string())), (starts, pa.list_(pa.int64())), (ends, pa.list_(pa.int64())))], ["part", "total", "keys", "starts", "ends"])
 
-    sized = nodes.select("chain", F.length("segment").cast("long").alias("n"))
+    sized = nodes.select("part", "chain", F.length("segment").cast("long").alias("n"))
     sums = {r.part: r for r in sized.mapInArrow(measure, "part long, total long, keys array<string>, starts array<long>, ends array<long>").collect()}  # a row for each partition
     carry, base, stack = {}, 0, Open()
     for part in sorted(sums):
@@ -164,11 +169,13 @@ def layout(turns: DataFrame, keyed: DataFrame) -> DataFrame:
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, before = sent.value.get(TaskContext.get().partitionId(), (0, []))
-        stack = Open(before)
+        at, inside, stack = 0, None, Open()
         for batch in batches:
             heads, starts, ends, ancestors = [], [], [], []
-            for chain, text in zip(batch.column("chain").to_pylist(), batch.column("segment").to_pylist(), strict=True):
+            for part, chain, text in zip(*(batch.column(c).to_pylist() for c in ("part", "chain", "segment")), strict=True):
+                if part != inside:  # rows of a partition follow each other in order, also where a task reads several
+                    at, before = sent.value[part]
+                    inside, stack = part, Open(before)
                 stack.enter(chain, at, at + len(text))
                 *above, (_, head, _) = stack.chains
                 ancestors.append([{"start": s, "end": e} for _, s, e in above] + ([{"start": head, "end": at}] if head < at else []))
@@ -176,23 +183,33 @@ def layout(turns: DataFrame, keyed: DataFrame) -> DataFrame:
                 starts.append(at)
                 at += len(text)
                 ends.append(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in (heads, starts, ends)], pa.array(ancestors, spans)], [*batch.schema.names, "chain_start", "start", "end", "ancestors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(x, pa.int64()) for x in (heads, starts, ends)], pa.array(ancestors, spans)], [*batch.schema.names[:-1], "chain_start", "start", "end", "ancestors"])
 
     schema = "chain string, depth long, position long, segment string, loss_from long, loss_to long, chain_start long, start long, end long, ancestors array<struct<start:long,end:long>>"
     return nodes.mapInArrow(place, schema)
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+def read_back(nodes: DataFrame, leaves: DataFrame, *, hot: int = HOT) -> DataFrame:
     """Each conversation as its leaf's attention intervals select it from the stream: conv_id and its pieces in order.
 
     ``leaves`` has conv_id and the chain and depth of the last turn.  Every interval starts where a chain does, so the
-    nodes in it are found by that start.
+    nodes in it are found by that start.  Where more than ``hot`` conversations want one chain, as below a common first
+    turn, they are dealt over parts of about that size, and the chain's nodes go to each.  A conversation without rows
+    in ``leaves`` is not there; one with an empty text reads back as empty.
     """
     above = F.filter("ancestors", lambda x: x["start"] != F.col("chain_start"))
     own = F.array(F.struct(F.col("chain_start").alias("start"), "end"))
-    wanted = leaves.join(nodes.select("chain", "depth", F.concat(above, own).alias("seen")), ["chain", "depth"]).select("conv_id", F.explode("seen").alias("at"))
-    held = nodes.select("chain_start", "start", "segment", "loss_from", "loss_to")
-    pieces = wanted.join(held, (F.col("at.start") == F.col("chain_start")) & (F.col("start") < F.col("at.end")))
+    seen = nodes.select("chain", "depth", F.concat(above, own).alias("seen"))
+    wanted = leaves.join(seen, ["chain", "depth"]).select("conv_id", F.explode("seen").alias("at")).select("conv_id", F.col("at.start").alias("from"), F.col("at.end").alias("upto"))
+    crowds = cut(wanted.groupBy("from").count().where(F.col("count") > hot).select(F.col("from").alias("chain_start"), F.ceil(F.col("count") / hot).alias("parts")))
+    if crowds.isEmpty():
+        wanted, held = wanted.withColumn("salt", F.lit(0)), nodes.withColumn("salt", F.lit(0))
+    else:
+        crowds = sent_if_few(crowds)
+        wanted = wanted.join(crowds, F.col("from") == F.col("chain_start"), "left").select("conv_id", "from", "upto", F.pmod(F.xxhash64("conv_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+        held = nodes.join(crowds, "chain_start", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1)))
+    held = held.select("chain_start", "salt", "start", "segment", "loss_from", "loss_to").alias("h")
+    pieces = wanted.alias("w").join(held, (F.col("w.from") == F.col("h.chain_start")) & (F.col("w.salt") == F.col("h.salt")) & (F.col("h.start") < F.col("w.upto")))
     return pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "segment", "loss_from", "loss_to"))).alias("pieces"))
 
 
@@ -215,8 +232,8 @@ def digests(read: DataFrame) -> DataFrame:
     return read.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def format_chats(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def format_chats(conversations: DataFrame, *, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """The nodes of the packed stream, and conv_id with the chain and depth of its last node."""
     turns = cut(turns_of(conversations))
-    keyed = cut(chains_of(turns))
+    keyed = cut(chains_of(turns, few=few))
     return layout(turns, keyed), keyed.where("leaf").select("conv_id", "chain", "depth")
