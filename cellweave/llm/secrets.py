@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .clusterio import cut
+from .clusterio import cut, own
 
 
 def either_case(word: str) -> str:
@@ -64,11 +64,11 @@ def scan(docs: DataFrame, *, text: str = "text", scope: int = 200) -> DataFrame:
     """``docs`` without the text, with ``_row`` (unique) and ``_spans``: reported spans by start and kind.
 
     A span is ``(start, k, kind, end)``, in code points, end exclusive; k is the place of the kind in ``KINDS``.
-    Null and empty texts have no spans; repeated rows get the same spans each.
+    Null and empty texts have no spans; repeated rows get the same spans each; columns of those two names are replaced.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     pieces = F.concat(*[_pieces(body, k, pattern, test) for k, (_, _, _, pattern, test) in enumerate(KINDS)])
-    rows = cut(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.monotonically_increasing_id().alias("_row"), pieces.alias("_pieces")))
+    rows = cut(docs.select(*own(docs, (text, "_row", "_pieces", "_spans")), F.monotonically_increasing_id().alias("_row"), pieces.alias("_pieces")))
 
     each = rows.where(F.size("_pieces") > 0).select("_row", F.posexplode("_pieces").alias("i", "p")).select("_row", "i", "p.*")
     upto = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("_row", "k").orderBy("i"))
@@ -102,17 +102,17 @@ def strong_only(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[REDACTED]", scope: int = 200) -> DataFrame:
-    """``docs`` with every reported span replaced by ``mark``; overlapping spans become one.  Other rows stay as they are."""
-    whole = docs.withColumn("_text", F.col(text))
-    found = scan(whole, text="_text", scope=scope)
+    """``docs`` with every reported span replaced by ``mark``; overlapping spans become one.  Other rows and columns stay as they are."""
+    found = scan(docs.select(F.struct(*own(docs)).alias("doc"), F.col(f"`{text}`").alias("text")), text="text", scope=scope)
+    body = F.col("doc").getField(text)
     begin = F.lit(1).cast("long")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto"))
 
     def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["upto"]
-        more = F.concat(a["out"], F.substring(F.col(text), (a["upto"] + begin).cast("int"), (s["start"] - a["upto"]).cast("int")), F.lit(mark))
-        return F.struct(F.when(fresh, more).otherwise(a["out"]).alias("out"), F.greatest(a["upto"], s["end"]).alias("upto"))
+        more = F.concat(a["out"], F.substring(body, (a["upto"] + begin).cast("int"), (s["start"] - a["upto"]).cast("int")), F.lit(mark))
+        return F.struct(F.when(s["start"] >= a["upto"], more).otherwise(a["out"]).alias("out"), F.greatest(a["upto"], s["end"]).alias("upto"))
 
     done = F.aggregate("_spans", start, step)
-    rest = F.concat(done["out"], F.substring(F.col(text), (done["upto"] + begin).cast("int"), F.length(text)))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, rest).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = F.concat(done["out"], F.substring(body, (done["upto"] + begin).cast("int"), F.length(body)))
+    blotted = F.when(F.size("_spans") > 0, rest).otherwise(body)
+    return found.select(*[(blotted if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
