@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytespans as B
-from .clusterio import cut
+from .clusterio import cut, fresh, own
 
 GRAM = 41  # bytes of an anchor, fewer if the length asked for is short
 
@@ -263,7 +263,7 @@ def _contexts(length: int):
 
 
 def row_key(doc_id: str, text: str) -> F.Column:
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 200, crowd: int = 100_000) -> DataFrame:
@@ -309,16 +309,19 @@ def strip_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     made = ["kept", "n_bytes", "n_removed", "n_spans"]
     base = docs.drop(*made)
-    spans = cut(repeats(docs, doc_id=doc_id, text=text, length=length, crowd=crowd)).groupBy(F.col("rk").alias("_rk")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
-    keyed = base.withColumn("_key", row_key(doc_id, text))
-    joined = keyed.join(spans.hint("shuffle_hash"), F.col("_key") == F.col("_rk"), "left").drop("_key", "_rk")
+    key, of, held = fresh(base, "key", "of", "spans")
+    # a set, since repeated rows share a key and each of them brings the same ranges
+    found = cut(repeats(docs, doc_id=doc_id, text=text, length=length, crowd=crowd))
+    spans = found.groupBy(F.col("rk").alias(of)).agg(F.collect_set(F.struct("s", "e")).alias(held))
+    keyed = base.withColumn(key, row_key(doc_id, text))
+    joined = keyed.join(spans.hint("shuffle_hash"), F.col(key) == F.col(of), "left").select(*own(base), held)
     names = base.columns
     schema = base.select("*", F.lit(b"").alias("kept"), *[F.lit(0).cast("long").alias(c) for c in made[1:]]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, text):
             kept, counts = [], []
-            for t, ranges in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for t, ranges in zip(batch.column(text).to_pylist(), batch.column(held).to_pylist(), strict=True):
                 raw = (t or "").encode()
                 left, upto, runs = [], 0, 0
                 for s, e in sorted((x["s"], x["e"]) for x in ranges or ()):
@@ -329,8 +332,8 @@ def strip_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 left.append(raw[upto:])
                 kept.append(b"".join(left))
                 counts.append((len(raw), len(raw) - len(kept[-1]), runs))
-            own = [batch.column(c) for c in names]
+            mine = [batch.column(c) for c in names]
             numbers = zip(*counts, strict=True)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in numbers]], [*names, *made])
+            yield pa.RecordBatch.from_arrays([*mine, pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in numbers]], [*names, *made])
 
     return joined.mapInArrow(run, schema)
