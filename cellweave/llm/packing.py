@@ -2,9 +2,11 @@
 
 The global histogram of lengths (tokens are words) comes to the driver in at
 most some thousands of bins: every length below ``fine`` is a bin of its own and
-longer ones share bins of one part in ``fine`` / 2.  A dynamic program cuts the
-bins into at most ``buckets`` runs so that padding every sequence to its
-bucket's upper bound costs the fewest tokens.  Inside a bucket, sequences fill
+longer ones share bins of one part in ``fine`` / 2, each known by the greatest
+length that a row of it has.  A dynamic program cuts the bins into at most
+``buckets`` runs so that padding every sequence to its bucket's upper bound
+costs the fewest tokens; that is the optimum over all lengths below ``fine``, and
+over all bounds that end a bin above.  Inside a bucket, sequences fill
 batches of ``budget`` tokens in a fixed pseudo-random order; one longer than the
 budget is a batch of its own.  Nothing is cut off or dropped.
 """
@@ -27,7 +29,7 @@ def length_of(text: Column) -> Column:
 
 
 def bin_top(length: Column, fine: int = 1024) -> Column:
-    """The greatest length in the bin of a length."""
+    """The upper edge of the bin of a length."""
     over = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") / fine)) + 1, F.lit(0))
     width = F.pow(F.lit(2.0), F.greatest(over, F.lit(0))).cast("long")
     return F.when(length < fine, length).otherwise((F.floor(length / width) + 1) * width - 1).cast("long")
@@ -71,8 +73,9 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buckets: i
     Null and blank texts have length 0 and lie in the first bucket; a batch of a bucket with bound 0 holds ``budget``
     rows.  Ties and repeated rows are numbered in any order; an empty table has no rows.
     """
-    rows = cut(docs.select(F.col(key), length_of(F.col(text)).alias("length")))  # without texts; used three times
-    bins = rows.groupBy(bin_top(F.col("length"), fine).alias("top")).agg(F.count("*").alias("n"), F.sum("length").alias("s")).orderBy("top").toPandas()
+    # without texts; used three times
+    rows = cut(docs.select(F.col(f"`{key}`"), length_of(F.col(f"`{text}`")).alias("length"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_crc")))
+    bins = rows.groupBy(bin_top(F.col("length"), fine).alias("bin")).agg(F.max("length").alias("top"), F.count("*").alias("n"), F.sum("length").alias("s")).orderBy("top").toPandas()
     bounds, _ = optimal_bounds(bins.top.to_numpy(np.int64), bins.n.to_numpy(np.int64), bins.s.to_numpy(np.int64), buckets)
     bounds = bounds or [0]
     bucket, padded, per = F.lit(len(bounds) - 1), F.lit(bounds[-1]), F.lit(max(1, budget // max(bounds[-1], 1)))
@@ -80,5 +83,5 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buckets: i
         inside = F.col("length") <= bounds[k]
         bucket, padded = F.when(inside, k).otherwise(bucket), F.when(inside, bounds[k]).otherwise(padded)
         per = F.when(inside, max(1, budget // max(bounds[k], 1))).otherwise(per)
-    placed = gapless(rows.withColumns({"bucket": bucket, "padded": padded.cast("long"), "_per": per}), "bucket", [key], [F.xxhash64(key), key, "length"], splits=splits, name="_rank")
-    return placed.select(key, "length", "bucket", "padded", F.floor(F.col("_rank") / F.col("_per")).cast("long").alias("batch"), (F.col("_rank") % F.col("_per")).cast("long").alias("slot"))
+    placed = gapless(rows.withColumns({"bucket": bucket, "padded": padded.cast("long"), "_per": per}), "bucket", [key, "_crc"], [F.xxhash64(F.col(f"`{key}`")), F.col(f"`{key}`"), "length", "_crc"], splits=splits, name="_rank")
+    return placed.select(F.col(f"`{key}`"), "length", "bucket", "padded", F.floor(F.col("_rank") / F.col("_per")).cast("long").alias("batch"), (F.col("_rank") % F.col("_per")).cast("long").alias("slot"))

@@ -83,4 +83,4 @@ def assign(docs: DataFrame, tree: Tree, *, key: str = "doc_id", text: str = "tex
     )
     rows = descend(descend(rows, F.col(key), tree, "shard"), F.col(key), grown(tree), "grown_shard")
     rows = cut(rows)  # without texts; used twice below
-    return gapless(rows, "shard", [key], [key, "text_crc32", "size"], splits=splits)
+    return gapless(rows, "shard", [key, "text_crc32", "size"], [key, "text_crc32", "size"], splits=splits)
