@@ -133,11 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("i"), pa.array(list(rows), pa.list_(pa.float64()))], ["y", "i", "x"])
 
     texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
-    found = texts.join(F.broadcast(chosen), "i").select("i", "y", "t").mapInArrow(run, "y int, i long, x array<double>")
+    found = texts.join(F.broadcast(chosen), "i").select("i", "y", "t")
+    found = found.mapInArrow(run, found.select("y", "i", F.array(F.lit(0.0)).alias("x")).schema)
     rows = found.toArrow()
     width = features(pa.array([""])).shape[1]
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, width)
-    y, i = np.asarray(rows["y"]), np.asarray(rows["i"])
+    y, i = np.asarray(rows["y"]), rows["i"].to_numpy()
     order = np.lexsort((x.sum(axis=1), y, i)) if len(i) else np.zeros(0, int)
     return fit_pairs(x[order], y[order] > 0, **how)
 
