@@ -38,8 +38,9 @@ def texts():
 @pytest.fixture(scope="module")
 def docs(spark, texts):
     """Documents with extra columns whose names the operators use themselves."""
-    rows = [(i, t, ["en", "fr", None][i % 3], "src", 1, 0.5, 7, [1], "n", True) for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key int, score double, fp int, s array<int>, t string, done boolean").repartition(3)
+    rows = [(i, t, ["en", "fr", None][i % 3], "src", 1, 0.5, 7, [1], "n", True, "a", 2, 3, 4, 5, 6, "b", "c", 8) for i, t in enumerate(texts)]
+    extra = "_id string, _fp int, _mine int, _row int, _pieces int, _rk int, _spans string, spans string, node int"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, key int, score double, fp int, s array<int>, t string, done boolean, {extra}").repartition(3)
 
 
 def empty(docs):
@@ -108,14 +109,45 @@ def test_threshold_allocation_is_least():
 @pytest.mark.parametrize("crowd", [100_000, 1])
 @pytest.mark.parametrize("length", [200, 40, 9])
 def test_repeats(docs, texts, length, crowd):
-    got = repeats.strip_repeats(docs.drop("s"), length=length, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    got = repeats.strip_repeats(docs, length=length, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     short = [t if t is None or len(t) < 6000 else None for t in texts]
     if length != 200:
-        got = repeats.strip_repeats(docs.drop("s").withColumn("text", F.when(F.length("text") < 6000, F.col("text"))), length=length, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        got = repeats.strip_repeats(docs.withColumn("text", F.when(F.length("text") < 6000, F.col("text"))), length=length, crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     want = brute.stripped(texts if length == 200 else short, length)
     assert {r[0]: tuple(r[1:]) for r in got} == dict(enumerate(want))
 
 
+def test_string_ids_and_clashing_columns(docs, texts):
+    """Every operator takes ids that are text, and no column of the input changes the result or is lost."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    plain = named.select("doc_id", "text", "lang")
+    same = lambda f: sorted(map(str, f(named).collect())) == sorted(map(str, f(plain).collect()))
+    assert same(simhash.near_duplicates)
+    assert same(lambda d: simhash.keep_representatives(d).select("doc_id", "text"))
+    assert same(lambda d: repeats.strip_repeats(d).select("doc_id", "n_removed", "n_spans", "kept"))
+    assert same(lambda d: secrets.redact(d).select("doc_id", "text"))
+    assert same(lambda d: secrets.scan(d).select("doc_id", secrets.listed(F.col("_spans")).alias("spans")))
+    assert same(packing.pack)
+    assert same(lambda d: sharding.assign(d, sharding.uniform_tree(3)))
+    assert same(lambda d: divergence.judge(d, divergence.references(d)).select("doc_id", "kept", "word_distance"))
+    assert same(lambda d: langid.identify(d, langid.train(d)).select("doc_id", "lang_pred", "score"))
+    for out in (simhash.keep_representatives(docs), secrets.redact(docs)):
+        assert out.columns == docs.columns and out.where("_id <> 'a' or _row <> 4 or _spans <> 'b' or node <> 8").count() == 0
+    labels = named.select("doc_id", (F.length("doc_id") % 2).alias("quality"))
+    assert quality.score(named, quality.train(named, labels)).count() == len(texts)
+
+
+def test_many_repeated_rows_take_linear_time(spark):
+    import time
+
+    text = prose(random.Random(1), 100)
+    rows = lambda n: spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    repeats.strip_repeats(rows(10)).count()
+    began = time.perf_counter()
+    assert repeats.strip_repeats(rows(20_000)).where("n_removed = n_bytes and n_spans = 1").count() == 20_000
+    assert time.perf_counter() - began < 60
+
+
 def test_repeats_of_nothing_and_of_repeated_rows(spark, docs):
     assert repeats.strip_repeats(empty(docs)).count() == 0
     twice = spark.createDataFrame([(1, "abcdefghij" * 30), (1, "abcdefghij" * 30), (2, "k" * 100)], "doc_id long, text string")
@@ -242,8 +274,7 @@ def test_naive_bayes_equals_dense_product():
     texts = ["Hello, world", "", None, "x1y 22  z", "Ünï"]
     names, p = model.predict(texts)
     for t, name, q in zip(texts, names, p, strict=True):
-        index, at = langid.grams([t])
-        counts = np.bincount(index, minlength=langid.BUCKETS)
+        counts = sum(np.bincount(index, minlength=langid.BUCKETS) for _, index in langid.grams([t]))
         joint = model.prior + counts @ model.table
         want = np.exp(joint - joint.max()) / np.exp(joint - joint.max()).sum()
         if langid.has_letter(t):
@@ -363,6 +394,11 @@ def test_chat_round_trip(spark):
         assert all(i.start in heads for i in r.ancestors) and len(r.ancestors) <= len(r.chain) // 24
         got_paths.add(tuple(chat.parse("".join(x.segment for x in [*above, r]))))
     assert got_paths == want
+    for how in (1, 3):
+        again = chat.layout(chat.cut(chat.turns_of(frame)), chat.chains_of(chat.turns_of(frame))).coalesce(how)
+        assert {(r.chain, r.depth): (r.start, r.ancestors) for r in again.collect()} == {(r.chain, r.depth): (r.start, r.ancestors) for r in rows}
+    shuffled, ends = chat.format_chats(frame, few=0)
+    assert {tuple(r) for r in chat.digests(chat.read_back(shuffled.coalesce(1), ends, hot=2)).collect()} == {(c, *x) for c, x in got.items()}
     assert max(len(r.chain) for r in rows if r.depth > 100) == 2 * 24  # one fork on the way, whatever the number of turns
     none, no_leaves = chat.format_chats(frame.where("false"))
     assert none.count() == no_leaves.count() == 0
