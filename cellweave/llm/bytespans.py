@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 4 << 20  # bytes of text handled at once
+LESS = 1 << 20  # the same where some dozens of 8-byte arrays of the text's length are held
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 
 

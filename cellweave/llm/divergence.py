@@ -52,7 +52,7 @@ def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", commo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = BUCKETS + S.N_CLASSES
         total: dict[str, np.ndarray] = {}
-        for batch in B.chunked(batches, "t"):
+        for batch in B.chunked(batches, "t", B.LESS):
             names = pd.Series(batch.column("l").to_pylist(), dtype=object)
             code, langs = pd.factorize(names)
             texts = B.Texts(batch.column("t"))
@@ -95,7 +95,7 @@ def judge(docs: DataFrame, refs: dict, *, text: str = "text", lang: str = "lang"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = sent.value
-        for batch in B.chunked(batches, text):
+        for batch in B.chunked(batches, text, B.LESS):
             c = S.Counts(batch.column(text))
             n = c.texts.n
             langs = batch.column(lang).to_pylist()

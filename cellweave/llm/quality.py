@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     chosen = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y is not null").orderBy(F.xxhash64("i"), "i", "y").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.chunked(batches, "t"):
+        for batch in B.chunked(batches, "t", B.LESS):
             rows = features(batch.column("t"))
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("i"), pa.array(list(rows), pa.list_(pa.float64()))], ["y", "i", "x"])
 
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Ranking, *, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.chunked(batches, text):
+        for batch in B.chunked(batches, text, B.LESS):
             got = sent.value.score(features(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, "score"])
 
