@@ -21,8 +21,9 @@ a midpoint to its smallest one gives the same components from 65 rows a
 fingerprint, and no pairs.
 
 Near copies (:func:`near_copies`, the rule of near-duplicate stages) are texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more.  Their candidates are fingerprints of three-word sets within ``distance`` bits, by
-the same partitions, thresholds and probes; each candidate pair is verified on the two whole sets.  Pairs within a
+Jaccard similarity of 0.8 or more.  Their candidates are fingerprints of three-word sets within 9 bits, by the same
+partitions, thresholds and probes, whose five-word fingerprints differ little too; each candidate pair is verified on
+the two whole sets.  Pairs within a
 large group are not formed: members of a crowded bucket are first held against a few pivots, and the search then looks
 for pairs of different components only, a large component never probing itself.
 """
@@ -44,6 +45,7 @@ from .clusterio import cut, fresh, own, sent_if_few
 
 BITS = 64
 SEED = 42
+ROW_COST = 32.0  # a shuffled probe, in checks of a candidate
 _PLACE = B.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -306,16 +308,16 @@ def text_key(text: F.Column) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``id``, ``key`` (see :func:`text_key`) and ``fp`` (of the set of shingles) of every row."""
+def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, words: int) -> DataFrame:
+    """``id``, ``key`` (see :func:`text_key`), ``fp`` and ``wide`` (of the sets of ``shingle`` and of ``words`` words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.chunked(batches, "t"):
-            prints = set_fingerprints(*shingles(batch.column("t"), shingle))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(prints)], ["id", "key", "fp"])
+        for batch in B.chunked(batches, "t", B.LESS):
+            prints = [pa.array(set_fingerprints(*shingles(batch.column("t"), n))) for n in (shingle, words)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *prints], ["id", "key", "fp", "wide"])
 
     light = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
-    return light.mapInArrow(run, light.select("id", "key", F.lit(0).cast("long").alias("fp")).schema)
+    return light.mapInArrow(run, light.select("id", "key", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("wide")).schema)
 
 
 def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe: bool) -> DataFrame:
@@ -330,7 +332,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id:
     """The pairs ``u``, ``v`` of node names whose texts' sets of ``words``-word shingles reach the Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.chunked(batches, "t"):
+        for batch in B.chunked(batches, "t", B.LESS):
             hashes, at = shingles(batch.column("t"), words)
             sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "s"])
@@ -345,67 +347,103 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id:
     return both.where(enough).select("u", "v")
 
 
-def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, bucket: int, **rule) -> DataFrame:
-    """``u`` > ``v``: verified links that join the classes into their components.
+def _named(pairs: DataFrame) -> DataFrame:
+    """``u`` > ``v``, the node names of pairs of fingerprints and codes."""
+    u, v = (F.unhex(F.concat(hex16(F.col(f"code_{x}")), hex16(F.col(f"fp_{x}")))) for x in "uv")
+    return pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select("p", "k", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in ("p", "k")])
+
+
+def _near(distance: int, in_all: int) -> F.Column:
+    """Whether both fingerprints of a pair allow it."""
+    apart = lambda c: F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v")))
+    return (apart("fp") <= distance) & (apart("fp") + apart("wide") <= in_all)
+
+
+def _pivot_pairs(nodes: DataFrame, parts: list, near: F.Column, bucket: int, pivots: int) -> DataFrame | None:
+    """Pairs of the members of each crowded bucket with a few of them that no large component holds; None if no bucket is crowded."""
+    stored = _dealt(nodes, parts, probe=False)
+    drawn = lambda j: F.min(F.when(F.col("big").isNull(), F.struct(F.xxhash64("code", F.lit(j)).alias("x"), "fp", "wide", "code", "root")))
+    loose = F.count_if(F.col("big").isNull())
+    crowded = stored.groupBy("p", "k").agg(loose.alias("n"), F.array(*[drawn(j) for j in range(pivots)]).alias("pivot")).where(F.col("n") > bucket)
+    crowded = cut(crowded.select("p", "k", F.explode("pivot").alias("v")).select("p", "k", "v.fp", "v.wide", "v.code", "v.root").distinct())
+    if crowded.isEmpty():
+        return None
+    return _named(_sided(stored, "u").join(sent_if_few(_sided(crowded, "v")), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near)).distinct()
+
+
+def _pairs(nodes: DataFrame, parts: list, near: F.Column) -> DataFrame:
+    """All near pairs of different components, each once.
 
-    Components that follow from the pivots of crowded buckets are known before the search for pairs, which takes
-    only pairs of different ones: those outside of large components (more than ``bucket`` members) probe everything,
-    and a member of a large one probes just the other large ones that its bucket holds.
+    Nodes outside of large components probe everything; a node of a large one probes just the other large ones that a
+    bucket holds, so no large component is held against itself.
     """
-    parts = plan(classes, distance, row_cost=32.0)
-    name = lambda side: F.unhex(F.concat(hex16(F.col(f"code_{side}")), hex16(F.col(f"fp_{side}"))))
-    side = lambda df, s: df.select("p", "k", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in ("p", "k")])
-    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     apart = F.col("fp_u").bitwiseXOR(F.col("fp_v"))
-    near = F.bit_count(apart) <= distance
     for p, (mask, _, t) in enumerate(parts[:-1]):  # a pair counts where it meets first
         near &= (F.col("p") <= p) | (F.bit_count(apart.bitwiseAND(F.lit(mask))) > t)
-
-    nodes = classes.select("fp", "code")
-    stored = _dealt(nodes, parts, probe=False)
-    drawn = lambda j: F.min(F.struct(F.xxhash64("code", F.lit(j)).alias("x"), "fp", "code"))
-    crowded = stored.groupBy("p", "k").agg(F.count("*").alias("n"), F.array(*[drawn(j) for j in range(4)]).alias("pivot")).where(F.col("n") > bucket)
-    crowded = cut(crowded.select("p", "k", F.explode("pivot").alias("v")).select("p", "k", "v.fp", "v.code").distinct())
-    first, joined = None, None
-    if not crowded.isEmpty():
-        star = side(stored, "u").join(sent_if_few(side(crowded, "v")), ["p", "k"]).where((F.bit_count(apart) <= distance) & ((F.col("fp_u") != F.col("fp_v")) | (F.col("code_u") != F.col("code_v"))))
-        first = cut(_verified(docs, classes, cut(ordered(star.select(name("u").alias("u"), name("v").alias("v"))).distinct()), **rule))
-        joined = components(first)
-        sizes = joined.groupBy("root").count().where(F.col("count") > bucket)
-        large = joined.join(sizes, "root").select("node", F.xxhash64("root").alias("big"))
-        placed = classes.select("node", "fp", "code").join(joined.select("node", F.xxhash64("root").alias("root")), "node", "left").join(large, "node", "left")
-        nodes = cut(placed.select("fp", "code", F.coalesce("root", "code").alias("root"), "big"))
-    else:
-        nodes = nodes.withColumns({"root": F.col("code"), "big": F.lit(None).cast("long")})
     stored = _dealt(nodes, parts, probe=False)
-    small = _dealt(nodes.where("big is null").select("fp", "code", "root"), parts, probe=True)
+    small = _dealt(nodes.where("big is null").select("fp", "wide", "code", "root"), parts, probe=True)
     above = (F.col("code_u") > F.col("code_v")) | ((F.col("code_u") == F.col("code_v")) & (F.col("fp_u") > F.col("fp_v")))
-    met = side(small, "u").join(side(stored, "v"), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near & (F.col("big_v").isNotNull() | above))
-    found = met.select(name("u").alias("u"), name("v").alias("v"))
-    if joined is not None and nodes.select("big").where("big is not null").distinct().limit(2).count() > 1:
-        held = stored.where("big is not null").select("p", "k", "fp", "code", "big")
-        groups = held.select("p", "k", F.col("big").alias("other")).distinct()
-        probes = side(_dealt(nodes.where("big is not null").select("fp", "code", "big"), parts, probe=True), "u").join(groups, ["p", "k"]).where(F.col("big_u") > F.col("other"))
-        met = probes.join(side(held, "v").withColumnRenamed("big_v", "other"), ["p", "k", "other"]).where(near)
-        found = found.unionByName(met.select(name("u").alias("u"), name("v").alias("v")))
-    second = _verified(docs, classes, cut(ordered(found)), **rule)
-    return second if first is None else first.unionByName(second)
-
-
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 5, similarity: float = 0.8, distance: int = 8, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
+    found = _named(_sided(small, "u").join(_sided(stored, "v"), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near & (F.col("big_v").isNotNull() | above)))
+    if nodes.select("big").where("big is not null").distinct().limit(2).count() < 2:
+        return found
+    held = stored.where("big is not null").select("p", "k", "fp", "wide", "code", "big")
+    groups = held.select("p", "k", F.col("big").alias("other")).distinct()
+    probes = _sided(_dealt(nodes.where("big is not null").select("fp", "wide", "code", "big"), parts, probe=True), "u").join(groups, ["p", "k"]).where(F.col("big_u") > F.col("other"))
+    met = probes.join(_sided(held, "v").withColumnRenamed("big_v", "other"), ["p", "k", "other"]).where(near)
+    return found.unionByName(_named(met))
+
+
+def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, in_all: int, bucket: int, pivots: int = 4, rounds: int = 2, **rule) -> DataFrame:
+    """``node`` and ``root`` of the classes that have a verified link.
+
+    Links are looked for in steps, each with what is linked already: pivots of crowded buckets, in ``rounds``; then all
+    pairs within half of the distance; then all pairs within it.  Only pairs of different components are verified.
+    """
+    links, joined = None, None
+
+    def nodes() -> DataFrame:
+        light = classes.select("node", "fp", "wide", "code")
+        if joined is None:
+            return light.select("fp", "wide", "code", F.col("code").alias("root"), F.lit(None).cast("long").alias("big"))
+        large = joined.groupBy("root").count().where(F.col("count") > bucket).select("root", F.xxhash64("root").alias("big"))
+        told = joined.join(large, "root", "left").select("node", F.xxhash64("root").alias("root"), "big")
+        return cut(light.join(told, "node", "left").select("fp", "wide", "code", F.coalesce("root", "code").alias("root"), "big"))
+
+    def add(candidates: DataFrame) -> None:
+        nonlocal links, joined
+        more = _verified(docs, classes, cut(candidates), **rule)
+        links = cut(more if links is None else links.unionByName(more))
+        joined = components(links)
+
+    parts = plan(classes, distance, row_cost=ROW_COST)
+    for _ in range(rounds):
+        if (found := _pivot_pairs(nodes(), parts, _near(distance, in_all), bucket, pivots)) is None:
+            break
+        add(found)
+    if joined is not None:  # where buckets were crowded: cheaper pairs first
+        add(_pairs(nodes(), plan(classes, distance // 2, row_cost=ROW_COST), _near(distance // 2, in_all)))
+    add(_pairs(nodes(), parts, _near(distance, in_all)))
+    return joined
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 5, similarity: float = 0.8, distance: int = 9, in_all: int = 19, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
     """``id`` and ``key`` of every row, and ``key``, ``copies``, ``least`` and ``root`` of every different text.
 
-    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more and their
-    fingerprints of ``shingle``-word sets differ in at most ``distance`` bits; rows of one root are linked, directly or
-    through others.  Letters A-Z count as lower-case, and texts without words (null too) are one group.  ``least`` is
+    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, their
+    fingerprints of ``shingle``-word sets differ in at most ``distance`` bits, and these with those of ``words``-word
+    sets in at most ``in_all``; rows of one root are linked, directly or through others.  Letters A-Z count as lower-case, and texts without words (null too) are one group.  ``least`` is
     the least id of the text's rows, null if none has one.
     """
-    rows = cut(_marked(docs, doc_id, text, shingle))
+    rows = cut(_marked(docs, doc_id, text, shingle, words))
     half = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
-    classes = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("code", half)
+    classes = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("code", half)
     classes = cut(classes.withColumn("node", F.unhex(F.concat(hex16(F.col("code")), hex16(F.col("fp"))))))
-    links = _similar(docs, classes, distance=distance, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
-    rooted = classes.join(components(links), "node", "left").select("key", "copies", "least", F.coalesce("root", "node").alias("root"))
+    joined = _similar(docs, classes, distance=distance, in_all=in_all, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
+    rooted = classes.join(joined, "node", "left").select("key", "copies", "least", F.coalesce("root", "node").alias("root"))
     return rows.select("id", "key"), cut(rooted)
 
 
