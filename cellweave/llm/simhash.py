@@ -329,19 +329,22 @@ def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs ``u``, ``v`` of node names whose texts' sets of ``words``-word shingles reach the Jaccard similarity."""
+    """The pairs ``u``, ``v`` of node names whose texts' sets of ``words``-word shingles reach the Jaccard similarity.
+
+    Sets travel as 32-bit hashes: of n shingles, one is taken for another of the other set with a chance of n / 2^32.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, "t", B.LESS):
             hashes, at = shingles(batch.column("t"), words)
-            sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
+            sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "s"])
 
     taking_part = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = sent_if_few(cut(classes.join(taking_part, "node", "left_semi").select("node", F.col("key").alias("want"), F.col("least").alias("by"))))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     texts = texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
-    sets = cut(texts.mapInArrow(run, "node binary, s array<long>").dropDuplicates(["node"]))  # repeated rows give the same set again
+    sets = cut(texts.mapInArrow(run, "node binary, s array<int>").dropDuplicates(["node"]))  # repeated rows give the same set again
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
     enough = (1 + similarity) * F.size(F.array_intersect("a", "b")) >= similarity * (F.size("a") + F.size("b")) - 1e-9
     return both.where(enough).select("u", "v")
@@ -430,7 +433,7 @@ def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, in_all: int,
     return joined
 
 
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 5, similarity: float = 0.8, distance: int = 9, in_all: int = 19, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 5, similarity: float = 0.8, distance: int = 9, in_all: int = 18, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
     """``id`` and ``key`` of every row, and ``key``, ``copies``, ``least`` and ``root`` of every different text.
 
     Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, their

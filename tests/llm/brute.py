@@ -64,7 +64,7 @@ def linked(prints, distance=2):
     return [find(i) for i in range(len(prints))]
 
 
-def near_copies(texts, distance=9, in_all=19):
+def near_copies(texts, distance=9, in_all=18):
     """Least position reachable over links of near copies, and over all pairs of similar sets whatever their fingerprints."""
     import pyarrow as pa
 
