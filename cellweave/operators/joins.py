@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..session import cut
 
-SMALL = 20_000  # rows of a reference table that may be sent to every task
+SMALL = 2_000  # rows of a reference table that may be sent to every task and compared with every point
+MOST_COLUMNS = 500  # ports that become columns, or pairs
 
 
 def is_small(df: DataFrame, rows: int = SMALL) -> bool:
@@ -80,20 +81,34 @@ def _least(pairs: DataFrame, point: list[str], refs: list[str], ref_id: str) ->
     return pairs.groupBy(*point).agg(best.alias("_b")).select(*point, "_b.*")
 
 
-def _by_tiles(left: DataFrame, refs: DataFrame, point: list[str], by: list[str], lat: str, lon: str, ref_id: str, ref_lat: str, ref_lon: str, tile: float) -> DataFrame:
+def _by_tiles(left: DataFrame, refs: DataFrame, point: list[str], by: list[str], lat: str, lon: str, ref_id: str, ref_lat: str, ref_lon: str, tile: float, *, other_than: str | None = None, digits: int | None = None) -> DataFrame:
     """Nearest reference by rounds of tiles: a point looks at its own tile and the eight around, and its best is final if it
-    is nearer than their edge; the others try again with tiles four times as wide."""
+    is nearer than their edge; the others try again with tiles four times as wide.
+
+    Columns of tiles go round the globe: a whole number of them, each at least as wide as a row is high, with the last
+    beside the first.  What lies outside is ``size`` degrees away along the meridian, or beyond the meridians that far
+    to the sides, whose distance shrinks towards the poles.  ``other_than`` names a column of the points that the
+    reference's id must differ from; distances are rounded to ``digits`` before they are compared.
+    """
     distance = geo.haversine_km(F.col(lat), F.col(lon), F.col(ref_lat), F.col(ref_lon))
+    distance = distance if digits is None else F.round(distance, digits)
     carried = [c for c in refs.columns if c not in by]
-    found, size = [], tile
-    while size < 720:
-        tiles = lambda c, s=size: F.floor(c / s).cast("long")
-        steps = F.sequence(F.lit(-1), F.lit(1))
-        wide = left.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).withColumns({"_tx": tiles(F.col(lon)) + F.col("_dx"), "_ty": tiles(F.col(lat)) + F.col("_dy")})
-        pairs = wide.join(refs.withColumns({"_tx": tiles(F.col(ref_lon)), "_ty": tiles(F.col(ref_lat))}), [*by, "_tx", "_ty"]).withColumn("distance_km", distance)
-        best = _least(pairs, point, carried, ref_id).join(left, point)
-        edge = F.cos(F.radians(F.least(F.abs(F.col(lat)) + 2 * size, F.lit(89.9)))) * size * 111.0
-        done = cut(best if size * 4 >= 720 else best.where(F.col("distance_km") <= edge))
+    found, size, last = [], tile, False
+    while not last:
+        columns = max(1, int(360 // size))
+        last = size > 90 and columns <= 3
+        tx = lambda c, n=columns: F.pmod(F.floor((F.col(c) + 180) * n / 360).cast("long"), F.lit(n))
+        ty = lambda c, s=size: F.floor((F.col(c) + 90) / s).cast("long")
+        around = lambda steps: F.explode(F.array(*[F.lit(k) for k in steps]))
+        wide = left.withColumn("_dx", around((-1, 0, 1) if columns >= 3 else range(columns))).withColumn("_dy", around((-1, 0, 1)))
+        wide = wide.withColumns({"_tx": F.pmod(tx(lon) + F.col("_dx"), F.lit(columns)), "_ty": ty(lat) + F.col("_dy")})
+        pairs = wide.join(refs.withColumns({"_tx": tx(ref_lon), "_ty": ty(ref_lat)}), [*by, "_tx", "_ty"])
+        if other_than:
+            pairs = pairs.where(F.col(ref_id) != F.col(other_than))
+        best = _least(pairs.withColumn("distance_km", distance), point, carried, ref_id).join(left, point)
+        beside = F.asin(F.cos(F.radians(F.col(lat))) * F.sin(F.radians(F.lit(float(min(size, 90))))))
+        edge = F.least(beside, F.radians(F.lit(float(size)))) * (geo.EARTH_KM * (1 - 1e-9))
+        done = cut(best if last else best.where(F.col("distance_km") < edge))
         found.append(done.drop(lat, lon))
         left = cut(left.join(done.select(*point), point, "left_anti"))
         if left.isEmpty():
@@ -123,20 +138,41 @@ def nearest_port(cells: DataFrame, ports: DataFrame) -> DataFrame:
     return nearest(cells, ports, ref_id="port_seq", ref_lat="port_lat", ref_lon="port_lon")
 
 
-def nearest_planar(points: DataFrame, refs: DataFrame, *, point: str, ref_lat: str, ref_lon: str) -> DataFrame:
-    """All nearest references on the web map, ties as several rows, with ``distance_m``; for small reference tables."""
-    if not is_small(refs):
-        raise ValueError("use nearest() for large reference tables")
+def nearest_planar(points: DataFrame, refs: DataFrame, *, point: str, ref_lat: str, ref_lon: str, small: int = SMALL, tile: float = 20_000.0) -> DataFrame:
+    """All nearest references on the web map, ties as several rows, with ``distance_m``.
+
+    A small reference table is sent to every task; a larger one is joined by square tiles that widen, as in
+    :func:`nearest`, but on the plane: a point's best is final if it is nearer than a tile's side.
+    """
     (x1, y1), (x2, y2) = geo.mercator(F.col("lat"), F.col("lon")), geo.mercator(F.col(ref_lat), F.col(ref_lon))
-    pairs = points.crossJoin(F.broadcast(refs)).withColumn("distance_m", F.hypot(x1 - x2, y1 - y2))
-    return pairs.withColumn("_rank", F.rank().over(W.partitionBy(point).orderBy("distance_m"))).where("_rank = 1").drop("_rank")
+    away = F.hypot(x1 - x2, y1 - y2)
+    if is_small(refs, small):
+        pairs = points.crossJoin(F.broadcast(refs)).withColumn("distance_m", away)
+        return pairs.withColumn("_rank", F.rank().over(W.partitionBy(point).orderBy("distance_m"))).where("_rank = 1").drop("_rank")
+    left, found, size = points.dropna(subset=["lat", "lon"]), [], tile
+    steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    while True:
+        at = lambda c, s=size: F.floor(c / s).cast("long")
+        wide = left.withColumn("_dx", steps).withColumn("_dy", steps).withColumns({"_tx": at(x1) + F.col("_dx"), "_ty": at(y1) + F.col("_dy")})
+        pairs = wide.join(refs.withColumns({"_tx": at(x2), "_ty": at(y2)}), ["_tx", "_ty"]).withColumn("distance_m", away).drop("_dx", "_dy", "_tx", "_ty")
+        best = pairs.withColumn("_rank", F.rank().over(W.partitionBy(point).orderBy("distance_m"))).where("_rank = 1").drop("_rank")
+        last = size > 1e9  # tiles -1 and 0 hold the whole map
+        done = cut(best if last else best.where(F.col("distance_m") < size))
+        found.append(done)
+        left = cut(left.join(done.select(point).distinct(), point, "left_anti"))
+        if last or left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        size *= 4
 
 
-def nearest_other(points: DataFrame, refs: DataFrame, *, point: str = "cell") -> DataFrame:
-    """Nearest reference with another id than the point; if there is none, the point's own."""
-    if not is_small(refs):
-        raise ValueError("use nearest() for large reference tables")
-    other = refs.select(F.col(point).alias("ref"), F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
+def nearest_other(points: DataFrame, refs: DataFrame, *, point: str = "cell", small: int = SMALL, tile: float = 0.5) -> DataFrame:
+    """Nearest reference with another id than the point; if there is none, the point's own.  Distances equal to 9 digits are a tie."""
+    other = refs.select(F.col(point).alias("ref"), F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon")).dropna()
+    if not is_small(other, small):
+        at = points.select(point, "lat", "lon").dropna().distinct()
+        found = _by_tiles(at, other, [point], [], "lat", "lon", "ref", "ref_lat", "ref_lon", tile, other_than=point, digits=9).select(point, "ref", "distance_km")
+        alone = at.join(found, point, "left_anti").join(other, F.col(point) == F.col("ref")).select(point, "ref", F.lit(0.0).alias("distance_km"))
+        return found.unionByName(alone)
     pairs = points.select(point, "lat", "lon").crossJoin(F.broadcast(other)).withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("ref_lat"), F.col("ref_lon")))
     best = F.min(F.struct((F.col("ref") == F.col(point)).alias("own"), F.round("distance_km", 9).alias("distance_km"), "ref"))  # equal up to rounding is a tie
     return pairs.groupBy(point).agg(best.alias("_b")).select(point, F.col("_b.ref").alias("ref"), F.col("_b.distance_km").alias("distance_km"))
@@ -175,8 +211,10 @@ def hotspots(panel: DataFrame, signals: list[str], q: float = 0.9, least: int =
 
 
 def focal_distances(cells: DataFrame, ports: DataFrame, hubs: dict[str, list[str]]) -> DataFrame:
-    """A distance column for each port and, for each hub, the least of its ports'; ports are a short list."""
-    listed = ports.orderBy("port_seq").limit(50).collect()
+    """A distance column for each port and, for each hub, the least of its ports'.  More than ``MOST_COLUMNS`` ports are refused."""
+    listed = ports.orderBy("port_seq").limit(MOST_COLUMNS + 1).collect()
+    if len(listed) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} ports: join distances as rows instead")
     by_port = {r.port: geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(r.port_lat), F.lit(r.port_lon)) for r in listed}
     columns = {f"km_{name}": d for name, d in by_port.items()}
     columns |= {f"km_{hub}": F.least(*[by_port[p] for p in members]) if len(members) > 1 else by_port[members[0]] for hub, members in hubs.items()}
@@ -227,7 +265,12 @@ def as_of_nearest(rows: DataFrame, weeks: DataFrame, ts: str = "ts") -> DataFram
 
 
 def port_pairs(cells: DataFrame, ports: DataFrame, within: tuple[float, ...] = (25, 50, 100)) -> DataFrame:
-    """For each pair of ports: their distance and the cells within so many kilometres of both."""
+    """For each pair of ports: their distance and the cells within so many kilometres of both.
+
+    The result has the square of the ports in rows; more than ``MOST_COLUMNS`` ports are refused.
+    """
+    if not is_small(ports, MOST_COLUMNS):
+        raise ValueError(f"more than {MOST_COLUMNS} ports")
     p = lambda s: ports.select(*[F.col(c).alias(f"{c}_{s}") for c in ("port", "port_lat", "port_lon")])
     pairs = p("a").crossJoin(F.broadcast(p("b"))).where("port_a < port_b")
     km = lambda s: geo.haversine_km(F.col("lat"), F.col("lon"), F.col(f"port_lat_{s}"), F.col(f"port_lon_{s}"))

@@ -86,7 +86,10 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]], *, by: tuple[str,
     """Pearson and Spearman coefficients on the rows that have both values, null below ``least`` rows or without spread."""
     rows = long_pairs(df, pairs, by)
     group = [*by, "a", "b"]
-    ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), group), "ry": windows.average_rank(F.col("y"), group)})
+    if by:  # many groups, each of moderate size
+        ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), group), "ry": windows.average_rank(F.col("y"), group)})
+    else:
+        ranked = windows.spread_rank(windows.spread_rank(rows, "x", group, "rx"), "y", group, "ry")
     made = lambda x, y: F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y)))
     return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(made("x", "y"), 6).alias("pearson"), F.round(made("rx", "ry"), 6).alias("spearman"))
 
@@ -101,7 +104,10 @@ def lag_correlations(df: DataFrame, pairs: list[tuple[str, str]], lags: range, *
     made = [F.struct(F.lit(k).alias("lag"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.lead(b, k).over(w).cast("double").alias("y")) for a, b in pairs for k in lags]
     rows = df.withColumn("_p", F.array(*made)).select(*group, F.explode("_p").alias("p")).select(*group, "p.*").where("x is not null and y is not null")
     keys = [*group, "a", "b", "lag"]
-    ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), keys), "ry": windows.average_rank(F.col("y"), keys)})
+    if group:  # many groups, each of moderate size
+        ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), keys), "ry": windows.average_rank(F.col("y"), keys)})
+    else:
+        ranked = windows.spread_rank(windows.spread_rank(rows, "x", keys, "rx"), "y", keys, "ry")
     pick = lambda x, y: F.round(F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y))), 6)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), pick("x", "y").alias("pearson"), pick("rx", "ry").alias("spearman"))
 
@@ -119,7 +125,7 @@ def two_sample(rows: DataFrame, by: list[str], side: Column, value: str = "value
     Rows whose side or value is null are left out; a side without values gives nulls.
     """
     r = rows.withColumns({"_s": side, "_v": F.col(value).cast("double")}).where("_s is not null and _v is not null")
-    r = r.withColumns({"_r": windows.average_rank(F.col("_v"), by), "_t": F.count("*").over(W.partitionBy(*by, "_v"))})
+    r = windows.spread_rank(r.dropna(subset=by) if by else r, "_v", by, "_r", ties="_t")
     one, two = F.when(F.col("_s"), F.col("_v")), F.when(~F.col("_s"), F.col("_v"))
     agg = r.groupBy(*by).agg(
         F.count(one).alias("n1"), F.count(two).alias("n0"), F.avg(one).alias("m1"), F.avg(two).alias("m0"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v0"),

@@ -103,6 +103,25 @@ def global_rank(df: DataFrame, c: str, name: str, *, parts: int = 64, percent: b
     return df.join(ranked.select(F.col(c).alias("_v"), value.alias(name)), F.col(c) == F.col("_v"), "left").drop("_v")
 
 
+def spread_rank(df: DataFrame, c: str, by: list[str], name: str, *, ties: str | None = None, parts: int = 64) -> DataFrame:
+    """Average-tie rank of ``c`` within each group of ``by``, for few groups that may be of any size; ``ties`` names the number of equal values.
+
+    As :func:`global_rank`, with the group as a further key: equal values are counted, each group's own approximate
+    quantiles cut its values into ``parts`` ranges, and a range's running sums start from the sizes of those before.
+    Groups and values must not be null.
+    """
+    counts = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
+    edges = counts.groupBy(*by).agg(F.percentile_approx(c, [k / parts for k in range(1, parts)], 1000).alias("_edges"))
+    placed = counts.join(edges, by) if by else counts.crossJoin(F.broadcast(edges))  # one row for each group
+    placed = placed.withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(c)))).drop("_edges")
+    sizes = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    shift = sizes.select(*by, "_part", F.coalesce(F.sum("_size").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("_n").over(W.partitionBy(*by, "_part").orderBy(c))
+    ranked = placed.withColumn("_inside", inside).join(shift, [*by, "_part"])
+    rank = F.col("_before") + F.col("_inside") - F.col("_n") + (F.col("_n") + 1) / 2
+    return df.join(ranked.select(*by, c, rank.alias(name), *([F.col("_n").alias(ties)] if ties else [])), [*by, c])
+
+
 def group_z(c: Column, by: list[str], *, flat: float = 1e-12) -> Column:
     """Deviation from the group's mean in population standard deviations; 0 in flat groups."""
     w = W.partitionBy(*by)

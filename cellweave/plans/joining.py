@@ -162,10 +162,21 @@ def join_nearest_planar(spark: SparkSession, d: str) -> DataFrame:
     return joins.nearest_planar(cells, V.coast(spark, d), point="cell", ref_lat="coast_lat", ref_lon="coast_lon").select("cell", "coast_id", F.round("distance_m", 2).alias("distance_m"))
 
 
-@query(f"""SELECT cell, ref, round(km,6) AS distance_km FROM (SELECT a.cell, b.cell AS ref, {V.hav("a.lat", "a.lon", "b.lat", "b.lon")} AS km, row_number() OVER (PARTITION BY a.cell ORDER BY a.cell=b.cell, round({V.hav("a.lat", "a.lon", "b.lat", "b.lon")},9), b.cell) AS rn FROM cells a CROSS JOIN (SELECT * FROM cells WHERE user_id%10=0) b) WHERE rn=1""")
+@query(f"""SELECT cell, ref, round(km,6) AS distance_km FROM (SELECT a.cell, b.cell AS ref, {V.hav("a.lat", "a.lon", "b.lat", "b.lon")} AS km, row_number() OVER (PARTITION BY a.cell ORDER BY a.cell=b.cell, round({V.hav("a.lat", "a.lon", "b.lat", "b.lon")},9), b.cell) AS rn FROM cells a CROSS JOIN cells b) WHERE rn=1""")
 def join_nearest_other(spark: SparkSession, d: str) -> DataFrame:
-    cells = V.obs(spark, d).select("cell", "lat", "lon", "user_id").distinct()
-    return joins.nearest_other(cells, cells.where("user_id % 10 = 0")).select("cell", "ref", R(F.col("distance_km")).alias("distance_km"))
+    cells = V.obs(spark, d).select("cell", "lat", "lon").distinct()
+    return joins.nearest_other(cells, cells).select("cell", "ref", R(F.col("distance_km")).alias("distance_km"))
+
+
+_GLOBE = "spots AS (SELECT user_id AS spot, (user_id*7919%17901)/100.0-89.5 AS lat, (user_id*104729%36000)/100.0-180 AS lon FROM (SELECT DISTINCT user_id FROM events))"
+
+
+@query(f"""SELECT spot, ref, round(km,6) AS distance_km FROM (SELECT a.spot, b.spot AS ref, {V.hav("a.lat", "a.lon", "b.lat", "b.lon")} AS km, row_number() OVER (PARTITION BY a.spot ORDER BY round({V.hav("a.lat", "a.lon", "b.lat", "b.lon")},9), b.spot) AS rn FROM spots a CROSS JOIN spots b WHERE a.spot<>b.spot) WHERE rn=1""", _GLOBE)
+def join_nearest_across_seam(spark: SparkSession, d: str) -> DataFrame:
+    """Users laid over the whole globe, the poles and both sides of 180 degrees too; the nearest other one by tiles."""
+    k = F.col("user_id")
+    spots = V.table(spark, d, "events").select("user_id").distinct().select(k.alias("spot"), (k * 7919 % 17901 / 100 - 89.5).alias("lat"), (k * 104729 % 36000 / 100 - 180).alias("lon"))
+    return joins.nearest_other(spots, spots, point="spot", small=0).select("spot", "ref", R(F.col("distance_km")).alias("distance_km"))
 
 
 SEEDS = "cutw AS (SELECT week, quantile_cont(vessel,0.9) AS q FROM panel GROUP BY week), seeds AS (SELECT p.* FROM panel p JOIN cutw USING (week) WHERE vessel>=q)"

@@ -62,6 +62,41 @@ def test_nearest_by_tiles_equals_brute_force(spark):
     assert joins.nearest(p, r.where("false"), **how).count() == 0
 
 
+@pytest.mark.parametrize("tile", [0.5, 3.0, 50.0])
+def test_tiles_hold_at_the_seam_and_the_poles(spark, tile):
+    rnd = random.Random(4)
+    spot = lambda: (rnd.choice([rnd.uniform(-90, 90), 90.0, -90.0, rnd.uniform(88, 90), rnd.uniform(-90, -89)]), rnd.choice([rnd.uniform(-180, 180), 180.0, -180.0, rnd.uniform(179, 180), rnd.uniform(-180, -179.9)]))
+    points = [(f"p{i}", *spot()) for i in range(60)] + [("seam", 0.0, 179.99)]
+    refs = [(i, *spot()) for i in range(30)] + [(98, 0.0, -179.99), (99, 0.0, 179.7)]
+    p, r = spark.createDataFrame(points, "cell string, lat double, lon double"), spark.createDataFrame(refs, "ref long, rlat double, rlon double")
+    how = {"ref_id": "ref", "ref_lat": "rlat", "ref_lon": "rlon"}
+    km = lambda small: {x.cell: round(x.distance_km, 6) for x in joins.nearest(p, r, **how, small=small, tile=tile).collect()}
+    assert km(0) == km(1000) and len(km(0)) == 61 and km(0)["seam"] < 2.3
+    others = lambda small: {x.cell: round(x.distance_km, 6) for x in joins.nearest_other(p, p, small=small, tile=tile).collect()}
+    assert others(0) == others(1000) and len(others(0)) == 61
+    lone = p.where("cell = 'seam'")
+    assert [tuple(x) for x in joins.nearest_other(lone, lone, small=0).collect()] == [("seam", "seam", 0.0)]
+
+
+def test_planar_tiles_equal_all_pairs(spark):
+    rnd = random.Random(6)
+    p = spark.createDataFrame([(f"p{i}", rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for i in range(40)], "cell string, lat double, lon double")
+    refs = [(i, float(rnd.randint(-60, 60)), float(rnd.randint(-100, 100))) for i in range(30)]
+    r = spark.createDataFrame(refs + [(100 + i, a, b) for i, a, b in refs[:5]], "ref long, rlat double, rlon double")
+    rows = lambda small: sorted((x.cell, x.ref, round(x.distance_m, 2)) for x in joins.nearest_planar(p, r, point="cell", ref_lat="rlat", ref_lon="rlon", small=small).collect())
+    assert rows(0) == rows(1000)
+
+
+def test_spread_ranks_equal_window_ranks(spark):
+    rnd = random.Random(7)
+    rows = [("a", float(rnd.randint(0, 9))) for _ in range(300)] + [("b", rnd.random()) for _ in range(200)] + [("c", 0.0)] * 50
+    df = spark.createDataFrame(rows, "g string, v double")
+    for by in (["g"], []):
+        both = windows.spread_rank(df.withColumn("want", windows.average_rank(F.col("v"), by)), "v", by, "got", ties="n", parts=8)
+        assert both.count() == len(rows) and both.where("abs(got - want) > 1e-9").count() == 0
+    assert windows.spread_rank(df.where("false"), "v", ["g"], "got").count() == 0
+
+
 def test_weekly_seeds_by_tiles_equal_all_pairs(spark):
     rnd = random.Random(11)
     rows = [(w, f"c{i}", rnd.uniform(54, 60), rnd.uniform(18, 25)) for w in range(3) for i in range(30)] + [(9, "lone", 55.0, 20.0), (1, "no place", None, 20.0)]
