@@ -331,23 +331,31 @@ def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
     """The pairs ``u``, ``v`` of node names whose texts' sets of ``words``-word shingles reach the Jaccard similarity.
 
-    Sets travel as 32-bit hashes: of n shingles, one is taken for another of the other set with a chance of n / 2^32.
+    Pairs are first tried on 16-bit hashes of the shingles, a little below the threshold, since most candidates in large
+    groups fall out there; those left are judged on 32-bit hashes, where of n shingles one is taken for another of the
+    other set with a chance of n / 2^32.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, "t", B.LESS):
             hashes, at = shingles(batch.column("t"), words)
-            sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "s"])
+            cuts = pa.array(at, pa.int32())
+            sets = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in ((hashes >> np.uint64(48)).astype(np.uint16).view(np.int16), (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *sets], ["node", "short", "long"])
 
-    taking_part = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    def reach(pairs: DataFrame, u: str, v: str, kind: str, least: float) -> DataFrame:
+        one, two = (sets.select(F.col("node").alias(x), F.array_distinct(kind).alias(f"set_{x}")) for x in (u, v))
+        both = pairs.join(two, v).join(one, u)
+        shared, size = F.size(F.array_intersect(f"set_{u}", f"set_{v}")), F.size(f"set_{u}") + F.size(f"set_{v}")
+        return both.where((1 + least) * shared >= least * size - 1e-9).select(u, v)
+
+    taking_part = pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
     wanted = sent_if_few(cut(classes.join(taking_part, "node", "left_semi").select("node", F.col("key").alias("want"), F.col("least").alias("by"))))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     texts = texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
-    sets = cut(texts.mapInArrow(run, "node binary, s array<int>").dropDuplicates(["node"]))  # repeated rows give the same set again
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
-    enough = (1 + similarity) * F.size(F.array_intersect("a", "b")) >= similarity * (F.size("a") + F.size("b")) - 1e-9
-    return both.where(enough).select("u", "v")
+    sets = cut(texts.mapInArrow(run, "node binary, short array<smallint>, long array<int>").dropDuplicates(["node"]))  # repeated rows give the same sets again
+    left = cut(reach(pairs, "u", "v", "short", max(similarity - 0.03, 0.0)))
+    return reach(left.toDF("x", "y"), "x", "y", "long", similarity).toDF("u", "v")
 
 
 def _named(pairs: DataFrame) -> DataFrame:
