@@ -227,7 +227,7 @@ def _stars(hot: DataFrame, distance: int) -> DataFrame:
     return at.join(least, "mid").where(F.col("fp") > F.col("v")).select(F.col("fp").alias("u"), "v")
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, *, rounds: int = 60, per_task: int = 200_000) -> DataFrame:
     """``node`` and ``root`` (least node of its component) of every node that has a link; columns ``u`` > ``v``.
 
     Alternating large-star and small-star steps; the links are written after each round, so lineage stays
@@ -238,16 +238,18 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     edges, seen = cut(edges), None
+    few = max(4, -(-edges.count() // per_task))  # tasks of a round: links are light, and many small shuffle files are not
     for _ in range(rounds):
+        edges = edges.coalesce(few)
         if (now := mark(edges)) == seen or not now[0]:
             break
         seen = now
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").coalesce(few).distinct().coalesce(few)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = cut(small.where("u > v").distinct())
+        edges = cut(small.where("u > v").coalesce(few).distinct().coalesce(few))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
@@ -408,13 +410,13 @@ def _pairs(nodes: DataFrame, parts: list, near: F.Column) -> DataFrame:
     return found.unionByName(_named(met))
 
 
-def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, in_all: int, bucket: int, pivots: int = 4, rounds: int = 2, **rule) -> DataFrame:
+def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, in_all: int, bucket: int, pivots: int = 4, rounds: int = 1, **rule) -> DataFrame:
     """``node`` and ``root`` of the classes that have a verified link.
 
     Links are looked for in steps, each with what is linked already: pivots of crowded buckets, in ``rounds``; then all
     pairs within half of the distance; then all pairs within it.  Only pairs of different components are verified.
     """
-    links, joined = None, None
+    joined = None
 
     def nodes() -> DataFrame:
         light = classes.select("node", "fp", "wide", "code")
@@ -425,10 +427,10 @@ def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, in_all: int,
         return cut(light.join(told, "node", "left").select("fp", "wide", "code", F.coalesce("root", "code").alias("root"), "big"))
 
     def add(candidates: DataFrame) -> None:
-        nonlocal links, joined
+        nonlocal joined
         more = _verified(docs, classes, cut(candidates), **rule)
-        links = cut(more if links is None else links.unionByName(more))
-        joined = components(links)
+        known = [] if joined is None else [joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))]
+        joined = cut(components(reduce(DataFrame.unionByName, known, more)))
 
     parts = plan(classes, distance, row_cost=ROW_COST)
     for _ in range(rounds):
