@@ -320,6 +320,20 @@ def test_optimal_bounds_against_all_cuts():
             assert cost == best and len(bounds) <= k and bounds[-1] == top[-1]
 
 
+def test_bounds_above_the_single_bins_are_lengths_that_occur(spark):
+    from itertools import combinations
+
+    rnd = random.Random(3)
+    lengths = [rnd.choice([10, 700, 1100, 1501, 2172, 2173, 3000, 5184]) for _ in range(60)]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(docs, buckets=3).collect()
+    assert {r.padded for r in rows} <= set(lengths)
+    present = sorted(set(lengths))
+    cost = lambda bounds: sum(min(b for b in bounds if b >= n) - n for n in lengths)
+    best = min(cost((*cut, present[-1])) for m in range(3) for cut in combinations(present[:-1], m))
+    assert sum(r.padded - r.length for r in rows) == best  # no two of these lengths share a bin but 2172 and 2173
+
+
 def test_packing(docs, texts):
     rows = packing.pack(docs, budget=500, buckets=4).collect()
     assert {r.doc_id: r.length for r in rows} == {i: len(brute.BLANKLESS.findall(t or "")) for i, t in enumerate(texts)}
