@@ -61,13 +61,20 @@ def with_missing_flags(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({f"{n}__missing": F.col(n).isNull().cast("double") for n in names})
 
 
-def fit_boosted(train: DataFrame, names: list[str], *, rounds: int = 10, depth: int = 4, rate: float = 0.1):
-    """Boosted trees on imputed features and flags for what was missing (see :func:`with_missing_flags`)."""
-    return _stages(names, GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42), flags=True).fit(train)
+def fit_boosted(train: DataFrame, names: list[str], *, rounds: int = 200, depth: int = 8, rate: float = 0.08, held: float = 0.1, key: tuple[str, ...] = ("cell", "week")):
+    """Boosted trees on imputed features and flags for what was missing (see :func:`with_missing_flags`).
+
+    A share ``held`` of the rows, by hash of ``key``, decides when to stop: at the first round that makes their error no smaller.
+    """
+    stop = F.pmod(F.xxhash64(*key, F.lit("held")), F.lit(1000)) < int(1000 * held)
+    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, validationIndicatorCol="_held", validationTol=0.0, seed=42)
+    return _stages(names, gbt, flags=True).fit(train.withColumn("_held", stop))
 
 
-def fit_forest(train: DataFrame, names: list[str], *, trees: int = 20, depth: int = 5):
-    return _stages(names, RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=42)).fit(train)
+def fit_forest(train: DataFrame, names: list[str], *, trees: int = 300, depth: int = 30, leaf: int = 2):
+    """A forest whose trees grow until a leaf has fewer than twice ``leaf`` rows (30 levels are the most that Spark ML allows), on all features."""
+    forest = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=42)
+    return _stages(names, forest).fit(train)
 
 
 def group_folds(df: DataFrame, k: int = 5, by: str = "cell") -> DataFrame:
@@ -84,6 +91,31 @@ def regression_metrics(df: DataFrame, by: list[str] = (), truth: str = "label",
     return df.groupBy(*by).agg(n.alias("n"), r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(F.abs(e))).alias("mae"), r6(r2).alias("r2"))
 
 
+def fold_summary(folds: DataFrame, by: list[str], metrics: list[str], *, lower_is_better: tuple[str, ...] = ("rmse", "mae"), fold: str = "fold") -> DataFrame:
+    """Over the folds of each group (a row for each metric): number, mean and sample deviation, best and worst fold with their values; the earlier fold on ties."""
+    long = folds.unpivot([*by, fold], metrics, "metric", "value").where("value is not null")
+    order = F.when(F.col("metric").isin(*lower_is_better), F.col("value")).otherwise(-F.col("value"))
+    best, worst = F.min(F.struct(order.alias("o"), fold, "value")).alias("_b"), F.min(F.struct((-order).alias("o"), fold, "value")).alias("_w")
+    r6 = lambda c: F.round(c, 6)
+    s = long.groupBy(*by, "metric").agg(F.count("*").alias("folds"), r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), best, worst)
+    return s.select(*by, "metric", "folds", "mean", "std", F.col(f"_b.{fold}").alias("best_fold"), F.col("_b.value").alias("best"), F.col(f"_w.{fold}").alias("worst_fold"), F.col("_w.value").alias("worst"))
+
+
+def in_folds(df: DataFrame, starts: list[int], width: int, week: str = "week") -> DataFrame:
+    """A row for each expanding fold that uses the row: ``fold``, and ``part`` train (weeks before it) or test (its ``width`` weeks; all that are left in the last one)."""
+    w = df.join(F.broadcast(week_index(df, week)), week)
+    at = F.col("week_index")
+    part = lambda i, s: F.when(at < s, "train").when((at < s + width) | F.lit(i == len(starts) - 1), "test")
+    uses = F.filter(F.array(*[F.struct(F.lit(i).alias("fold"), part(i, s).alias("part")) for i, s in enumerate(starts)]), lambda f: f["part"].isNotNull())
+    return w.withColumn("_u", F.explode(uses)).select(*w.columns, "_u.fold", "_u.part")
+
+
+def importance_groups(importance: DataFrame, groups: dict[str, str], value: str = "importance") -> DataFrame:
+    """Sums of the features' importance by the first group whose pattern a name matches; ``other`` for the rest."""
+    name = F.coalesce(*[F.when(F.col("feature").rlike(pattern), g) for g, pattern in groups.items()], F.lit("other"))
+    return importance.groupBy(name.alias("group")).agg(F.count("*").alias("features"), F.sum(value).alias(value))
+
+
 def coefficient_ranking(model, names: list[str], spark) -> DataFrame:
     """Standardised coefficients of a fitted ridge, by size."""
     rows = [(n, float(c), abs(float(c))) for n, c in zip(names, model.stages[-1].coefficients, strict=True)]

@@ -82,15 +82,17 @@ def long_pairs(df: DataFrame, pairs: list[tuple[str, str]], keep: tuple[str, ...
     return df.select(*keep, F.explode(made).alias("p")).select(*keep, "p.*").where("x is not null and y is not null")
 
 
-def correlations(df: DataFrame, pairs: list[tuple[str, str]], *, by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
-    """Pearson and Spearman coefficients on the rows that have both values, null below ``least`` rows or without spread."""
+def correlations(df: DataFrame, pairs: list[tuple[str, str]], *, by: tuple[str, ...] = (), least: int = 3, ranks: bool = True) -> DataFrame:
+    """Pearson and (unless ``ranks`` is false) Spearman coefficients on the rows that have both values, null below ``least`` rows or without spread."""
     rows = long_pairs(df, pairs, by)
     group = [*by, "a", "b"]
+    made = lambda x, y: F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y)))
+    if not ranks:
+        return rows.groupBy(*group).agg(F.count("*").alias("n"), F.round(made("x", "y"), 6).alias("pearson"))
     if by:  # many groups, each of moderate size
         ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), group), "ry": windows.average_rank(F.col("y"), group)})
     else:
         ranked = windows.spread_rank(windows.spread_rank(rows, "x", group, "rx"), "y", group, "ry")
-    made = lambda x, y: F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y)))
     return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(made("x", "y"), 6).alias("pearson"), F.round(made("rx", "ry"), 6).alias("spearman"))
 
 
@@ -162,17 +164,23 @@ def anova(rows: DataFrame, by: list[str], group: str, value: str = "value") -> D
 
 def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, draws: int = 500, seed: int = 42, key: tuple[str, ...] = ("cell", "week")) -> DataFrame:
     """Mean with a 95 % interval from Poisson resampling: a row's weight in each draw comes from a hash of its key,
-    so the result does not depend on partitions."""
+    so the result does not depend on partitions.  A hash has four draws of 16 bits; sums are partial before the shuffle,
+    which has a row for each group and four draws from every task.
+    """
     cdf, p, total = [], math.exp(-1), 0.0
-    for k in range(9):
+    for k in range(7):
         total += p
         cdf.append(total)
         p /= k + 1
-    u = lambda b: (F.shiftrightunsigned(F.xxhash64(*key, b), 11).cast("double") + 0.5) / float(1 << 53)
-    weight = lambda b: sum(((u(b) > c).cast("int") for c in cdf), F.lit(0))
-    drawn = rows.where(F.col(value).isNotNull()).select(*by, value, *key, F.explode(F.sequence(F.lit(seed), F.lit(seed + draws - 1))).alias("_b")).withColumn("_w", weight(F.col("_b")))
-    means = drawn.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
-    limits = means.groupBy(*by).agg(F.round(F.percentile("_m", F.lit(0.025)), 6).alias("ci95_low"), F.round(F.percentile("_m", F.lit(0.975)), 6).alias("ci95_high"))
+    lanes = -(-draws // 4)
+    some = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), *key, F.explode(F.sequence(F.lit(seed), F.lit(seed + lanes - 1))).alias("_b"))
+    hashed = some.select(*by, "_v", "_b", F.xxhash64(*key, "_b").alias("_h"))
+    part = lambda i: F.shiftrightunsigned("_h", 16 * i).bitwiseAND(F.lit(0xFFFF))
+    weight = lambda i: sum(((part(i) >= round(c * 65536)).cast("int") for c in cdf), F.lit(0)).alias(f"_w{i}")
+    weighed = hashed.select(*by, "_v", "_b", *[weight(i) for i in range(4)])
+    means = weighed.groupBy(*by, "_b").agg(*[F.try_divide(F.sum(F.col(f"_w{i}") * F.col("_v")), F.sum(f"_w{i}")).alias(f"_m{i}") for i in range(4)])
+    drawn = means.select(*by, F.posexplode(F.array(*[f"_m{i}" for i in range(4)])).alias("_i", "_m"), "_b").where((F.col("_b") - seed) * 4 + F.col("_i") < draws)
+    limits = drawn.groupBy(*by).agg(F.round(F.percentile("_m", F.lit(0.025)), 6).alias("ci95_low"), F.round(F.percentile("_m", F.lit(0.975)), 6).alias("ci95_high"))
     return rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean")).join(limits, list(by), "left") if by else rows.agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean")).crossJoin(limits)
 
 

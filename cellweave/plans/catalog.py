@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import joins
-from . import joining, models, registry, reports, sourcing, statistics, streams, summaries  # noqa: F401
+from . import evidence, joining, models, registry, reports, sourcing, statistics, streams, summaries  # noqa: F401
 from . import views as V
 
 

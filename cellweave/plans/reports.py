@@ -28,13 +28,20 @@ def top_by_method(spark: SparkSession, d: str) -> DataFrame:
 _LAG3 = " UNION ALL ".join(f"SELECT cell, week, {k} AS lag, '{a}' AS a, '{b}' AS b, x, y FROM (SELECT cell, week, CAST({a} AS DOUBLE) AS x, CAST(lead({b},{k}) OVER (PARTITION BY cell ORDER BY week) AS DOUBLE) AS y FROM lp) WHERE x IS NOT NULL AND y IS NOT NULL" for k in range(3) for a, b in (("traffic", "urgent"), ("n", "traffic")))
 
 
-@query(f"""SELECT a, b, CAST(lag AS INT) AS lag, r, round(abs(r)/(1+lag_std),5) AS stability FROM (SELECT a, b, arg_max(lag, struct_pack(s := abs(s), l := -lag)) AS lag, arg_max(s, struct_pack(s := abs(s), l := -lag)) AS r, stddev_pop(s) AS lag_std FROM (SELECT a, b, lag, {_corr("rx", "ry", 10)} AS s FROM r GROUP BY a, b, lag) GROUP BY a, b)""", _ranks(_LAG3, "a, b, lag", "r"))
+_BEST = "arg_max(lag, struct_pack(s := abs(s), l := -lag)) AS lag, arg_max(s, struct_pack(s := abs(s), l := -lag)) AS s"
+
+
+@query(f"""SELECT a, b, CAST(lag AS INT) AS lag, p.s AS r, consistency, lag_std, round(abs(p.s)*greatest(consistency,1)/100/(1+lag_std),5) AS stability FROM (SELECT a, b, {_BEST} FROM (SELECT a, b, lag, {_corr("rx", "ry", 10)} AS s FROM r GROUP BY a, b, lag) WHERE s IS NOT NULL GROUP BY a, b) p
+JOIN (SELECT o.a, o.b, round(100.0*avg((o.lag=q.lag)::INT),5) AS consistency, round(stddev_pop(o.lag),5) AS lag_std FROM (SELECT cell, a, b, {_BEST} FROM (SELECT cell, a, b, lag, {_corr("rx", "ry", 10)} AS s FROM rc GROUP BY ALL) WHERE s IS NOT NULL GROUP BY cell, a, b) o
+JOIN (SELECT a, b, {_BEST} FROM (SELECT a, b, lag, {_corr("rx", "ry", 10)} AS s FROM r GROUP BY a, b, lag) WHERE s IS NOT NULL GROUP BY a, b) q USING (a, b) GROUP BY o.a, o.b) USING (a, b) ORDER BY stability DESC, a, b LIMIT 20""", f'{_ranks(_LAG3, "a, b, lag", "r")}, {_ranks(_LAG3, "cell, a, b, lag", "rc")}')
 def top_lag_signals(spark: SparkSession, d: str) -> DataFrame:
-    """The best lag of each pair with a stability score."""
-    c = stats.lag_correlations(V.long_panel(spark, d), [("traffic", "urgent"), ("n", "traffic")], range(3))
-    spread = c.groupBy("a", "b").agg(F.stddev_pop("spearman").alias("lag_std"))
-    best = stats.best_lag(c, ["a", "b"]).join(spread, ["a", "b"])
-    return best.select("a", "b", F.col("best_lag").alias("lag"), F.col("best").alias("r"), F.round(F.abs("best") / (1 + F.col("lag_std")), 5).alias("stability"))
+    """The best lag of each pair, the share of cells whose own best lag it is, how far theirs scatter, and the stability of it all; the top 20."""
+    p, pairs = V.long_panel(spark, d), [("traffic", "urgent"), ("n", "traffic")]
+    best = stats.best_lag(stats.lag_correlations(p, pairs, range(3)), ["a", "b"]).where("best is not null")
+    own = stats.best_lag(stats.lag_correlations(p, pairs, range(3), group=("cell",)), ["cell", "a", "b"]).where("best is not null").select("a", "b", F.col("best_lag").alias("own"))
+    agree = own.join(F.broadcast(best), ["a", "b"]).groupBy("a", "b").agg(F.round(100.0 * F.avg((F.col("own") == F.col("best_lag")).cast("int")), 5).alias("consistency"), F.round(F.stddev_pop("own"), 5).alias("lag_std"))
+    stability = F.abs("best") * F.greatest("consistency", F.lit(1.0)) / 100 / (1 + F.col("lag_std"))
+    return best.join(agree, ["a", "b"]).select("a", "b", F.col("best_lag").alias("lag"), F.col("best").alias("r"), "consistency", "lag_std", F.round(stability, 5).alias("stability")).orderBy(F.desc("stability"), "a", "b").limit(20)
 
 
 @query("""SELECT t.cell, t.total, n.port, round(n.port_km,6) AS port_km FROM (SELECT cell, CAST(sum(n_obs) AS BIGINT) AS total FROM weekly GROUP BY cell ORDER BY total DESC, cell LIMIT 20) t LEFT JOIN port_near n USING (cell)""")
@@ -50,15 +57,22 @@ def top_total_order_at_sink(spark: SparkSession, d: str) -> DataFrame:
     return V.stacked(V.panel(spark, d)).where("value >= 100").orderBy("week", "cell", "indicator")
 
 
-@query("""SELECT cell, round((0.4*coalesce(c,0)+0.2*coalesce(e,0)+0.2*coalesce(z,0))/nullif(CASE WHEN c IS NOT NULL THEN 0.4 ELSE 0 END+CASE WHEN e IS NOT NULL THEN 0.2 ELSE 0 END+CASE WHEN z IS NOT NULL THEN 0.2 ELSE 0 END,0),6) AS score FROM (SELECT cell, (c-min(c) OVER ())/nullif(max(c) OVER ()-min(c) OVER (),0) AS c, (e-min(e) OVER ())/nullif(max(e) OVER ()-min(e) OVER (),0) AS e, (z-min(z) OVER ())/nullif(max(z) OVER ()-min(z) OVER (),0) AS z FROM (SELECT cell, CASE WHEN count(*) FILTER (vessel IS NOT NULL AND no2 IS NOT NULL)>=3 AND isfinite(corr(vessel,no2)) THEN round(abs(corr(vessel,no2)),6) END AS c, round(max(1/(1+port_km)),9) AS e, round(stddev_pop(vessel)/nullif(avg(vessel),0),9) AS z FROM feat GROUP BY cell))""")
+_CELL_LAGS = " UNION ALL ".join(f"SELECT cell, {k} AS lag, vessel AS x, lead(no2,{k}) OVER (PARTITION BY cell ORDER BY week) AS y FROM feat" for k in (1, 2, 3))
+_SCALED = lambda c: f"({c}-min({c}) OVER ())/nullif(max({c}) OVER ()-min({c}) OVER (),0) AS {c}"
+_IMPACT = {"c": 0.4, "l": 0.2, "e": 0.2, "z": 0.2}
+
+
+@query(f"""SELECT cell, round(({"+".join(f"{w}*coalesce({c},0)" for c, w in _IMPACT.items())})/nullif({"+".join(f"CASE WHEN {c} IS NOT NULL THEN {w} ELSE 0 END" for c, w in _IMPACT.items())},0),6) AS score FROM (SELECT cell, {", ".join(_SCALED(c) for c in _IMPACT)} FROM (SELECT cell, CASE WHEN count(*) FILTER (vessel IS NOT NULL AND no2 IS NOT NULL)>=3 AND isfinite(corr(vessel,no2)) THEN round(abs(corr(vessel,no2)),6) END AS c, round(max(1/(1+port_km)),9) AS e, round(stddev_pop(vessel)/nullif(avg(vessel),0),9) AS z FROM feat GROUP BY cell)
+LEFT JOIN (SELECT cell, max(abs(p)) AS l FROM (SELECT cell, lag, {_corr("x", "y", 3)} AS p FROM ({_CELL_LAGS}) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY cell, lag) GROUP BY cell) USING (cell))""")
 def idx_impact_score(spark: SparkSession, d: str) -> DataFrame:
-    """Association, exposure and variability of a cell, each scaled, weights over the parts it has."""
+    """Association, best lagged association over 1 to 3 weeks, exposure and variability of a cell, each scaled, weights over the parts it has."""
     f = V.features(spark, d)
     both = F.count(F.when(F.col("vessel").isNotNull() & F.col("no2").isNotNull(), 1))
     c = F.when(both >= 3, R(F.abs(windows.correlation(F.col("vessel"), F.col("no2")))))
     parts = f.groupBy("cell").agg(c.alias("c"), F.round(F.max(keys.proximity(F.col("port_km"))), 9).alias("e"), F.round(F.try_divide(F.stddev_pop("vessel"), F.avg("vessel")), 9).alias("z"))
-    m = I.with_moments(parts, ["c", "e", "z"])
-    return m.select("cell", R(I.weighted_mean([(I.min_max("c"), 0.4), (I.min_max("e"), 0.2), (I.min_max("z"), 0.2)])).alias("score"))
+    lagged = stats.lag_correlations(f, [("vessel", "no2")], range(1, 4), group=("cell",), least=3).groupBy("cell").agg(F.max(F.abs("pearson")).alias("l"))
+    m = I.with_moments(parts.join(lagged, "cell", "left"), list(_IMPACT))
+    return m.select("cell", R(I.weighted_mean([(I.min_max(c), w) for c, w in _IMPACT.items()])).alias("score"))
 
 
 @query(f"""SELECT round(0.5*(SELECT count(*) FROM weekly)/(SELECT count(*) FROM panel)+0.5*avg(abs(s)),5) AS score, 0.5*(SELECT count(*) FROM weekly)/(SELECT count(*) FROM panel)+0.5*avg(abs(s))>=0.55 AS ready FROM (SELECT a, b, {_corr("rx", "ry", 3)} AS s FROM r GROUP BY a, b)""", _ranks(_PAIR_SQL, "a, b", "r"))

@@ -157,7 +157,7 @@ def stat_normality(spark: SparkSession, d: str) -> DataFrame:
 def stat_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     """Poisson bootstrap of indicator means by distance band; resampling has no SQL counterpart."""
     s = V.stacked(V.features(spark, d), keep=("cell", "week", "port_km")).withColumn("band", keys.distance_band(F.col("port_km"), "decades"))
-    return stats.bootstrap_mean(s, ["band", "indicator"], "value", draws=200, key=("cell", "week", "indicator"))
+    return stats.bootstrap_mean(s, ["band", "indicator"], "value", draws=500, key=("cell", "week", "indicator"))
 
 
 @query("""SELECT tercile, count(*) AS n, sum((traffic>=q[4])::INT)::BIGINT AS lanes FROM (SELECT traffic, q, CAST((traffic>q[1])::INT+(traffic>q[2])::INT AS INT) AS tercile FROM lp, (SELECT quantile_cont(traffic,[1/3.0,2/3.0,0.75,0.9]) AS q FROM lp)) GROUP BY tercile""")
@@ -195,7 +195,7 @@ def stat_alias_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Columns that say the same, one kept of each cluster."""
     p = V.long_panel(spark, d).withColumn("n_twice", F.col("n") * 2 + 1)
     columns = ["traffic", "n", "n_twice", "urgent"]
-    return stats.alias_clusters(stats.correlations(p, stats.pair_list(columns)), columns)
+    return stats.alias_clusters(stats.correlations(p, stats.pair_list(columns), ranks=False), columns)
 
 
 @query("""SELECT port, round(CASE WHEN isfinite(regr_slope(m,s)) THEN regr_slope(m,s) END,6) AS slope, round(CASE WHEN isfinite(regr_slope(m,s)) THEN regr_r2(m,s) END,6) AS r2 FROM (SELECT port, floor(port_km/20)*20 AS s, avg(no2) AS m FROM feat GROUP BY ALL) GROUP BY port HAVING count(m)>=3""")
