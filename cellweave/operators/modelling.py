@@ -73,7 +73,7 @@ def fit_boosted(train: DataFrame, names: list[str], *, rounds: int = 200, depth:
 
 def fit_forest(train: DataFrame, names: list[str], *, trees: int = 300, depth: int = 30, leaf: int = 2):
     """A forest whose trees grow until a leaf has fewer than twice ``leaf`` rows (30 levels are the most that Spark ML allows), on all features."""
-    forest = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=42)
+    forest = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=42)
     return _stages(names, forest).fit(train)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..operators import aggregates as A
 from ..operators import joins
 from ..sources import landed as L
@@ -181,3 +182,38 @@ def src_panel_projection(spark: SparkSession, d: str) -> DataFrame:
     p = V.panel(spark, d)
     first = p.select("week").distinct().orderBy("week").limit(2)
     return joins.enrich(p.join(first, "week", "left_semi"), []).groupBy("week").agg(F.sum("n_obs").alias("n_obs"))
+
+
+_RECORD_SQL = "SELECT event_type AS dataset, CAST(event_id AS VARCHAR) AS signature, cell AS grid_id FROM obs"
+
+
+@query(f"""SELECT 'events' AS source, dataset, count(*) AS n, count(DISTINCT signature) AS signatures, count(DISTINCT grid_id) AS cells FROM ({_RECORD_SQL}) GROUP BY dataset""")
+def src_records_written_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events landed as records twice, partitioned and each signature once, then read back by the record scan."""
+    e = V.obs(spark, d)
+    text = {c: F.lit(None).cast("string") for c in ("ingested_at_utc", "geometry_wkt")}
+    records = e.select(
+        F.lit("events").alias("source"), F.col("event_type").alias("dataset"), F.col("event_id").cast("string").alias("request_signature"), F.col("ts").cast("string").alias("record_timestamp_utc"), *[c.alias(n) for n, c in text.items()],
+        F.col("lat").cast("double").alias("latitude"), F.col("lon").cast("double").alias("longitude"), F.lit("EPSG:4326").alias("crs"), F.col("cell").alias("grid_id"), F.col("event_id").cast("string").alias("raw_record_ref"), F.to_json(F.struct("event_type", "value")).alias("payload"),
+    )
+    root = session.scratch(spark, "records")
+    for _ in range(2):
+        L.write_once(records, f"{root}/events", by=("dataset", "source"))
+    r = L.read_records(spark, root, "events")
+    return r.groupBy("source", F.get_json_object("payload", "$.event_type").alias("dataset")).agg(F.count("*").alias("n"), F.count_distinct("raw_record_ref").alias("signatures"), F.count_distinct("grid_id").alias("cells"))
+
+
+@query("""SELECT dataset, count(*) AS n, round(min(lat),6) AS south, round(max(lat),6) AS north, count(DISTINCT label) AS labels FROM (SELECT 'vessels' AS dataset, lat, event_type AS label FROM obs UNION ALL SELECT 'ports', 53.9+n_nationkey*0.21, n_name FROM nation) GROUP BY dataset""")
+def src_folder_of_formats(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of CSV with untidy headers and of GeoJSON, read by hints in the names; columns found by their candidate names."""
+    root = session.scratch(spark, "formats")
+    e = V.obs(spark, d).select(F.col("event_type").alias("Event Type"), F.col("lat").alias(" Latitude "), F.col("lon").alias("LON"))
+    e.write.csv(f"{root}/vessel_positions_csv", header=True)
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.lit(18.0), 53.9 + F.col("n_nationkey") * 0.21).alias("coordinates"))
+    one = F.struct(F.lit("Feature").alias("type"), F.struct("n_name", (53.9 + F.col("n_nationkey") * 0.21).alias("y")).alias("properties"), point.alias("geometry"))
+    features = V.table(spark, d, "nation").select("n_nationkey", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(one).alias("features"))).alias("value"))
+    features.write.partitionBy("n_nationkey").text(f"{root}/ports_geojson")  # a file for each, since a file holds one collection
+    wanted = {"lat": ["latitude", "lat", "y"], "label": ["event_type", "n_name"]}
+    found = L.read_folder(spark, root, {"vessels": "vessel_positions_csv", "ports": "ports_geojson"})
+    rows = V.union_all([L.resolve(df, wanted).select(F.lit(name).alias("dataset"), F.col("lat").cast("double").alias("lat"), "label") for name, df in found.items()])
+    return rows.groupBy("dataset").agg(F.count("*").alias("n"), R(F.min("lat")).alias("south"), R(F.max("lat")).alias("north"), F.count_distinct("label").alias("labels"))

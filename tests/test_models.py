@@ -42,3 +42,27 @@ def test_isolation_sample_holds_equal_rows_in_proportion(spark, monkeypatch):
         modelling.isolation_score(df, ["v"], trees=5)
         values, counts = np.unique(seen[-1], return_counts=True)
         assert len(seen[-1]) == 5000 and 0.28 < counts.max() / 5000 < 0.39
+
+
+def test_fold_summary_and_groups_of_importance(spark):
+    folds = spark.createDataFrame([("m", 0, 2.0, 0.1), ("m", 1, 1.0, 0.3), ("m", 2, 1.0, 0.2), ("k", 0, 5.0, None)], "model string, fold int, rmse double, r2 double")
+    got = {(r.model, r.metric): (r.folds, r.mean, r["std"], r.best_fold, r.best, r.worst_fold, r.worst) for r in modelling.fold_summary(folds, ["model"], ["rmse", "r2"]).collect()}
+    assert got[("m", "rmse")] == (3, 1.333333, 0.57735, 1, 1.0, 0, 2.0) and got[("m", "r2")] == (3, 0.2, 0.1, 1, 0.3, 0, 0.1)
+    assert got[("k", "rmse")] == (1, 5.0, None, 0, 5.0, 0, 5.0) and ("k", "r2") not in got
+    imp = spark.createDataFrame([("n_t", 1.0), ("n_t_minus_1", 2.0), ("traffic_t", 4.0), ("week", 0.5)], "feature string, importance double")
+    sums = {r.group: (r.features, r.importance) for r in modelling.importance_groups(imp, models.GROUPS).collect()}
+    assert sums == {"order_counts": (2, 3.0), "traffic_lags": (1, 4.0), "other": (1, 0.5)}
+
+
+def test_rows_of_expanding_folds(spark):
+    df = spark.createDataFrame([(w,) for w in range(10)], "week int")
+    got = {}
+    for r in modelling.in_folds(df, [3, 6], 2).collect():
+        got.setdefault((r.fold, r.part), set()).add(r.week)
+    assert got == {(0, "train"): {0, 1, 2}, (0, "test"): {3, 4}, (1, "train"): set(range(6)), (1, "test"): {6, 7, 8, 9}}
+
+
+def test_prediction_table_has_every_row_once(spark):
+    rows = models.ml_prediction_table(spark, SF).collect()
+    assert len(rows) == len({(r.cell, r.week) for r in rows}) == models.frame(spark, SF)[0].count()
+    assert all(r.ridge is not None and r.boosted is not None and r.split in ("train", "test") for r in rows)

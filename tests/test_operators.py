@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo, keys
 from cellweave.operators import aggregates, indices, joins, modelling, stats, windows
+from cellweave.plans import evidence
 from cellweave.sources import landed
 
 
@@ -243,3 +245,22 @@ def test_empty_panels_run_through(spark):
     e = spark.createDataFrame([], "cell string, week timestamp, lat double, lon double, v double, indicator string, value double")
     for df in (joins.nearest_in_week(e, joins.weekly_seeds(e, "v")), windows.lags(e, ["v"]), aggregates.profile(e), aggregates.tukey(e), stats.correlations(e, [("v", "lat")]), windows.runs(e, F.col("v") > 0), indices.mad_outliers(e, "v", by=["cell"])):
         assert df.count() == 0
+
+
+def test_bootstrap_interval_is_that_of_a_resampled_mean(spark):
+    draw = np.random.default_rng(8)
+    x = draw.gamma(2.0, 3.0, size=300)
+    df = spark.createDataFrame([(f"c{i}", i, "g", float(v)) for i, v in enumerate(x)], "cell string, week int, g string, value double")
+    got = stats.bootstrap_mean(df, ["g"], "value", draws=1001).first()
+    means = np.array([draw.choice(x, len(x)).mean() for _ in range(4000)])
+    assert got.n == 300 and abs(got.mean - x.mean()) < 1e-6
+    assert abs(got.ci95_low - np.quantile(means, 0.025)) < 0.12 and abs(got.ci95_high - np.quantile(means, 0.975)) < 0.12
+
+
+def test_repaired_layers_drop_aliases_and_empty_columns(spark):
+    rows = [(f"c{i % 5}", i // 5, float(i), 2.0 * i, None if i % 10 else 1.0, float(i % 5), None if i == 3 else float(i * i % 7)) for i in range(50)]
+    panel = spark.createDataFrame(rows, "cell string, week int, a double, a_twice double, rare double, km double, b double")
+    repaired = spark.createDataFrame([("c3", 0, 99.0)], "cell string, week int, b double")
+    got = evidence.repair_layers(panel, ["a", "a_twice", "rare", "km", "b"], repaired, ["cell", "week"], static={"km": "km_proxy", "a": "a_proxy"})
+    assert got.columns == ["cell", "week", "a", "km", "b", "km_proxy"]
+    assert got.where("cell = 'c3' and week = 0").first().b == 99.0 and got.where("b is null").count() == 0
