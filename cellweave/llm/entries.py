@@ -1,12 +1,12 @@
-"""Queries that apply the ten operators to their whole tables, and their oracle SQL."""
+"""Queries that apply the operators to their whole tables, and their oracle SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, langid, packing, quality, repeats, secrets, sharding, simhash
-from .clusterio import table
+from . import chat, decontaminate, divergence, langid, manifest, packing, prefixtrie, quality, repeats, secrets, sharding, simhash, topk
+from .clusterio import cut, table
 
 
 def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,26 @@ def op10_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.when(quality.remainder(F.col("doc_id"), 5) == 0, F.translate("text", manifest.UPPER, manifest.LOWER))
+    out = manifest.manifest(docs, tampered=lowered)
+    folded = manifest.fold(F.col("shown"), F.col("path"))
+    out = out.select("doc_id", "leaf", "subroot", "root", manifest.proof_of(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_exhaustive_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op13_radix_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = cut(prefixtrie.turns_in_order(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    c = F.col("conv_id")
+    rebuilt = prefixtrie.with_heads(convs, c - c % 100, quality.remainder(c, 6).cast("int"), 5)
+    return prefixtrie.prefix_nodes(prefixtrie.keyed(rebuilt))
+
+
 QUERIES = (
     op1_bradley_terry_quality,
     op2_benchmark_suffix_match,
@@ -89,6 +109,9 @@ QUERIES = (
     op8_interval_tree_repeats,
     op9_weighted_hash_tree,
     op10_length_bucket_packing,
+    op11_merkle_witnesses,
+    op12_exhaustive_top_k,
+    op13_radix_prefix_trie,
 )
 
 
@@ -145,6 +168,70 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(
 """
 
 
+def _crc32(x: str) -> str:
+    """The unsigned CRC-32 of a number's decimal text, bit by bit."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda crc, b: "
+        "list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, y: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+    )
+
+
+def _manifest_sql(levels: int = 5, above: int = 3) -> str:
+    """Trees of at most 16 ** ``levels`` leaves a source and 16 ** ``above`` sources, level by level."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    told = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(told(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    run = "(PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN {} AND {})"
+
+    def tree(name: str, base: str, n: int) -> str:
+        out = [f"{name}0 AS ({base})"]
+        for k in range(n):
+            steps = ", ".join(f"coalesce(string_agg(digest, '') OVER {run.format(a, b)}, '') AS {side}" for side, a, b in (("l", "UNBOUNDED PRECEDING", "1 PRECEDING"), ("r", "1 FOLLOWING", "UNBOUNDED FOLLOWING")))
+            out.append(f"{name}s{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, {steps} FROM {name}{k})")
+            out.append(f"{name}{k + 1} AS (SELECT g, pos // 16 AS pos, CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}s{k} GROUP BY g, pos // 16)")
+        return ",\n".join(out)
+
+    def up(first: str, last: str, name: str, n: int, pos: str, keep: str) -> str:
+        out = []
+        for k in range(n):
+            step = f"SELECT p.* REPLACE (p.proof || s.l || s.r AS proof, CASE WHEN s.n = 1 THEN p.folded ELSE sha256(s.l || p.folded || s.r) END AS folded) FROM {first if not k else f'{last}{k - 1}'} p JOIN {name}s{k} s ON s.g = p.{keep} AND s.pos = p.{pos} // {16**k}"
+            out.append(f"{last}{k} AS ({step})")
+        return ",\n".join(out)
+
+    return f"""
+WITH doc AS (SELECT *, coalesce('s' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN text IS NOT NULL AND {_crc32("doc_id")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS shown FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM doc),
+{tree("a", "SELECT g, pos, leaf AS digest FROM placed", levels)},
+sub AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS gpos, digest AS subroot FROM a{levels}),
+{tree("b", "SELECT '' AS g, gpos AS pos, subroot AS digest FROM sub", above)},
+way AS (SELECT doc_id, leaf, pos, p.g, '' AS top, gpos, subroot, '' AS proof, shown AS folded FROM placed p JOIN sub USING (g)),
+{up("way", "w", "a", levels, "pos", "g")},
+{up(f"w{levels - 1}", "v", "b", above, "gpos", "top")}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM v{above - 1}, b{above}
+"""
+
+
+_TOP_K = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.r <> q.r)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM pairs QUALIFY rank <= 10
+"""
+
+_TRIE = f"""
+WITH own AS (SELECT conv_id, list({{'i': sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'n': length(coalesce(text, ''))}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+asked AS (SELECT conv_id, ts, {_crc32("conv_id")} % 6 AS h FROM own),
+again AS (SELECT a.conv_id, list_concat(coalesce(o.ts[1:h], []), a.ts[h + 1:]) AS ts FROM asked a LEFT JOIN own o ON o.conv_id = a.conv_id - a.conv_id % 100),
+starts AS (SELECT conv_id, d, list_transform(ts[1:d], lambda t: t.i) AS p, CASE WHEN d > 0 THEN ts[d].n ELSE 0 END AS chars, len(ts) = d AS done FROM again, unnest(range(0, len(ts) + 1)) AS u(d)),
+node AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(chars) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (done), '')) AS e FROM starts GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+told AS (SELECT n.*, coalesce(k, 0) AS k FROM node n LEFT JOIN kids USING (d, p)),
+below AS (SELECT a.d, a.p, count(*) FILTER (b.k = 0) AS leaves, CAST(sum(b.saved) AS BIGINT) AS saved FROM told a JOIN told b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.d, a.p)
+SELECT t.conv_id, t.d AS depth, u.conv_id AS parent_conv_id, t.n AS n_convs, t.k AS n_children, leaves AS n_leaves, below.saved AS saved_tokens, t.e AS ends_sha256
+FROM told t JOIN below USING (d, p) LEFT JOIN told u ON u.d = t.d - 1 AND u.p = t.p[1:t.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say what a query returns: not for trained models, XXH64 and other hashes, or optimal bucket bounds."""
-    return {"op2_benchmark_suffix_match": _CONTAMINATION, "op4_prefix_tree_chat": _CHATS, "op5_credential_linking": _secrets_sql()}
+    return {"op2_benchmark_suffix_match": _CONTAMINATION, "op4_prefix_tree_chat": _CHATS, "op5_credential_linking": _secrets_sql(), "op11_merkle_witnesses": _manifest_sql(), "op12_exhaustive_top_k": _TOP_K, "op13_radix_prefix_trie": _TRIE}
