@@ -92,7 +92,7 @@ def borders(rows: DataFrame) -> dict[int, tuple[int, int]]:
 
     left = {r.part: r.depth for r in beside.mapInArrow(run, "part long, depth long").collect()}
     order = sorted(left)
-    return {p: (left[p], left[after] if after is not None else -1) for p, after in zip(order, [*order[1:], None], strict=True)}
+    return {p: (left[p], left[after] if after is not None else -1) for p, after in zip(order, [*order[1:], None], strict=False)}
 
 
 def names(key: bytes, depth: int) -> list[str]:

@@ -69,7 +69,7 @@ def postings(vectors: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
 
 
 def accumulate(queries: np.ndarray, terms: list[tuple[np.ndarray | None, np.ndarray]], n: int) -> np.ndarray:
-    """Scores of some queries with ``n`` vectors, added term after term."""
+    """Scores of some queries with ``n`` vectors, added term after term; those beyond a long are held at its ends."""
     scores = np.zeros((len(queries), n), queries.dtype)
     scratch = np.empty_like(scores)
     for weights, (rows, values) in zip(queries.T, terms, strict=False):
@@ -82,7 +82,7 @@ def accumulate(queries: np.ndarray, terms: list[tuple[np.ndarray | None, np.ndar
         else:
             at = np.ix_(asked, np.arange(n) if rows is None else rows)
             scores[at] += weights[asked][:, None] * values[None, :]
-    return scores
+    return np.clip(scores, -LAST, LAST).astype(np.int64) if scores.dtype == object else scores
 
 
 class Best:
@@ -99,14 +99,10 @@ class Best:
         if self.floor is not None:
             least = np.maximum(least, self.floor)
         query, at = np.nonzero(scores >= least[:, None])
-        new = scores[query, at]
-        score = np.concatenate([self.score, new if new.dtype == object else new.astype(np.int64)])
+        score = np.concatenate([self.score, scores[query, at].astype(np.int64)])
         query = np.concatenate([self.query, query])
         ids, none = np.concatenate([self.id, ids[at]]), np.concatenate([self.none, none[at]])
-        if score.dtype == object:
-            order = np.array(sorted(range(len(score)), key=lambda i: (query[i], -score[i], none[i], ids[i])), np.int64)
-        else:
-            order = np.lexsort((ids, none, -score, query))
+        order = np.lexsort((ids, none, -score, query))
         query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         keep = order[place < self.k]
@@ -149,10 +145,9 @@ def scorer(sent, k: int, scale: int):
         for (i, _), keep in zip(sides, best, strict=True):
             if len(keep.query):
                 at = i + keep.query
-                itself = np.array([int(sum(int(x) ** 2 for x in asked[q])) for q in range(i, i + keep.n)], object)[keep.query]
-                score = np.array([min(max(int(s), -LAST - 1), LAST) for s in keep.score], np.int64)
-                own = (~keep.none) & (keep.id == block.id[at]) & (keep.score.astype(object) == itself)
-                columns = [block.number[at], block.id[at], block.copies[at], pa.array(keep.id, mask=keep.none), score, own.astype(bool)]
+                itself = np.array([min(sum(int(x) ** 2 for x in asked[q]), LAST) for q in range(i, i + keep.n)], np.int64)[keep.query]
+                own = ~keep.none & (keep.id == block.id[at]) & (keep.score == itself)
+                columns = [block.number[at], block.id[at], block.copies[at], pa.array(keep.id, mask=keep.none), keep.score, own]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=True)], [n for n, _ in FIELDS])
 
     return run
@@ -178,7 +173,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 10, *, key: str = "vec_id
     A row is a query only with an id.  Vectors that are null or hold null or non-finite components take no part; a
     vector of fewer components than another has zeros there, and one without any scores 0.  A null id comes after all
     others of its score.  Repeated rows are candidates and queries for themselves: a query that occurs n times has n
-    lists.  Scores outside a long are held at its ends, after they were compared.  Queries are sent ``block`` at a
+    lists.  Scores outside a long are held at its ends and tie there.  Queries are sent ``block`` at a
     time, each block in one more pass; rows of them do not meet otherwise.
     """
     spark = vectors.sparkSession

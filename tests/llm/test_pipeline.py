@@ -51,7 +51,7 @@ def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entries.queries().keys() - {"pipeline"}))
+@pytest.mark.parametrize("name", sorted(n for n in entries.queries() if not n.startswith(("pipeline", "op12", "op13"))))
 def test_queries_return_a_row_for_each_document(spark, name):
     df = entries.queries()[name](spark, SF)
     source = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1 if name.startswith("op4") else spark.read.parquet(f"{SF}/documents.parquet").count()
@@ -61,7 +61,7 @@ def test_queries_return_a_row_for_each_document(spark, name):
 
 
 def test_empty_tables_run_through(spark, tmp_path):
-    for t in ("documents", "benchmark", "labels", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
     for name, query in entries.queries().items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op4") else 0), name
