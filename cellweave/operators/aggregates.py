@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -26,11 +28,12 @@ def property_stats(df: DataFrame, by: list[str], payload: str, prefix: str, name
 
 def profile(stack: DataFrame, by: list[str] = ("indicator",), value: str = "value") -> DataFrame:
     """n, mean, standard deviation, extremes, quartiles, outer percentiles, skewness and excess kurtosis."""
-    q = lambda p: r6(F.percentile(value, F.lit(p)))
-    return stack.groupBy(*by).agg(
-        F.count(value).alias("n"), r6(F.avg(value)).alias("mean"), r6(F.stddev_samp(value)).alias("std"), F.min(value).alias("min"), q(0.05).alias("p5"), q(0.25).alias("p25"), q(0.5).alias("median"),
-        q(0.75).alias("p75"), q(0.95).alias("p95"), F.max(value).alias("max"), F.round(F.skewness(value), 4).alias("skew"), F.round(F.kurtosis(value), 4).alias("excess_kurtosis"),
+    made = stack.groupBy(*by).agg(
+        F.count(value).alias("n"), r6(F.avg(value)).alias("mean"), r6(F.stddev_samp(value)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.round(F.skewness(value), 4).alias("skew"), F.round(F.kurtosis(value), 4).alias("excess_kurtosis"),
     )
+    shares = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    return order.beside(made, stack, list(by), {name: (value, q) for name, q in shares.items()}).withColumns({name: r6(F.col(name)) for name in shares})
 
 
 def column_audit(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,7 +53,8 @@ def missing_ratio(columns: list[str]) -> Column:
 
 def band_table(stack: DataFrame, bands: DataFrame | None, by: list[str] = ("band", "indicator")) -> DataFrame:
     """Mean, median, deviation and counts for each band and indicator; with a table of ``by``, empty combinations too."""
-    made = stack.groupBy(*by).agg(F.count("value").alias("n"), F.countDistinct("cell").alias("cells"), r6(F.avg("value")).alias("mean"), r6(F.percentile("value", F.lit(0.5))).alias("median"), r6(F.stddev_samp("value")).alias("std"))
+    made = stack.groupBy(*by).agg(F.count("value").alias("n"), F.countDistinct("cell").alias("cells"), r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"))
+    made = order.medians(made, stack, list(by), "value")
     if bands is None:
         return made
     zero = F.lit(0).cast("long")
@@ -68,13 +72,15 @@ def sliding_windows(df: DataFrame, distance: str, value: str, width: float, step
     last = F.floor(F.col(distance) / step).cast("long")
     first = F.greatest(F.floor((F.col(distance) - width) / step).cast("long") + 1, F.lit(0).cast("long"))
     rows = df.where((F.col(distance) >= 0) & F.col(value).isNotNull()).withColumn("_k", F.explode(F.sequence(first, last)))
-    made = rows.groupBy(*by, (F.col("_k") * step).cast("double").alias("start_km"))
-    return made.agg(F.count("*").alias("n"), r6(F.avg(value)).alias("mean"), r6(F.percentile(value, F.lit(0.5))).alias("median"), r6(F.stddev_samp(value)).alias("std"), (F.count("*") >= least).alias("sufficient"))
+    rows = rows.withColumn("start_km", (F.col("_k") * step).cast("double"))
+    made = rows.groupBy(*by, "start_km").agg(F.count("*").alias("n"), r6(F.avg(value)).alias("mean"), r6(F.stddev_samp(value)).alias("std"), (F.count("*") >= least).alias("sufficient"))
+    return order.medians(made, rows, [*by, "start_km"], value)
 
 
 def quantile_bins(df: DataFrame, c: str, n: int, name: str = "bin") -> DataFrame:
     """Bins 0 ... n - 1 by linear quantiles, closed on the right, the lowest value in the first; equal edges merge bins."""
-    edges = df.agg(F.array_distinct(F.percentile(c, [k / n for k in range(n + 1)])).alias("_e"))
+    names = [f"_e{k}" for k in range(n + 1)]
+    edges = order.quantiles(df, [], {name: (c, k / n) for k, name in enumerate(names)}).select(F.array_distinct(F.array_compact(F.array(*names))).alias("_e"))
     inner = F.slice(F.col("_e"), 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(c).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(c))))).drop("_e")
 
@@ -101,7 +107,7 @@ def key_report(df: DataFrame, key: list[str]) -> DataFrame:
 
 def tukey(stack: DataFrame, by: str = "indicator", value: str = "value", k: float = 1.5) -> DataFrame:
     """Quartiles, fences and the number of values outside."""
-    q = stack.groupBy(by).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    q = order.quantiles(stack, [by], {"q1": (value, 0.25), "q3": (value, 0.75)})
     fences = q.withColumns({"iqr": F.col("q3") - F.col("q1")}).withColumns({"low": F.col("q1") - k * F.col("iqr"), "high": F.col("q3") + k * F.col("iqr")})
     out = (F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))
     return stack.join(fences, by).groupBy(by, "q1", "q3", "iqr", "low", "high").agg(F.sum(out.cast("long")).alias("n_outliers")).select(by, *[r6(F.col(c)).alias(c) for c in ("q1", "q3", "iqr", "low", "high")], "n_outliers")

@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import windows
+from . import order, windows
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with mean, population deviation, extremes and quartiles of each column."""
+    """One row with mean, population deviation and extremes of each column."""
     made = []
     for c in columns:
-        made += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__sd"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"), F.percentile(c, F.array(F.lit(0.05), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95))).alias(f"{c}__q")]
+        made += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__sd"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
     return df.agg(*made)
 
 
-def with_moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.crossJoin(F.broadcast(moments(df, columns)))
+def with_moments(df: DataFrame, columns: list[str], quantiles: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the moments of ``columns`` on every row, and the quantiles that :func:`robust_z` and :func:`clipped_scale` need of ``quantiles``."""
+    out = df.crossJoin(F.broadcast(moments(df, columns)))
+    if not quantiles:
+        return out
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    q = order.quantiles(df, [], {f"{c}_{k}": (c, p) for c in quantiles for k, p in enumerate(shares)})
+    return out.crossJoin(F.broadcast(q.select(*[F.array(*[f"{c}_{k}" for k in range(len(shares))]).alias(f"{c}__q") for c in quantiles])))
 
 
 def without_moments(df: DataFrame) -> DataFrame:
@@ -64,10 +70,10 @@ def weighted_mean(parts: list[tuple[Column, float]]) -> Column:
 def mad_outliers(df: DataFrame, c: str, limit: float = 3.0, by: list[str] = ()) -> DataFrame:
     """``is_outlier``: |x - median| > limit x 1.4826 x MAD, in two passes."""
     keys = list(by)
-    med = df.groupBy(*keys).agg(F.percentile(c, F.lit(0.5)).alias("_med"))
-    near = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))
+    med = order.quantiles(df, keys, {"_med": (c, 0.5)})
+    near = lambda a, b: a.join(b, keys, "left") if keys else a.crossJoin(F.broadcast(b))
     dev = near(df, med).withColumn("_dev", F.abs(F.col(c) - F.col("_med")))
-    mad = dev.groupBy(*keys).agg(F.percentile("_dev", F.lit(0.5)).alias("_mad"))
+    mad = order.quantiles(dev, keys, {"_mad": ("_dev", 0.5)})
     return near(dev, mad).withColumn("is_outlier", F.coalesce(F.col("_dev") > limit * 1.4826 * F.col("_mad"), F.lit(False))).drop("_med", "_dev", "_mad")
 
 

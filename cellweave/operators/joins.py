@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..session import cut
+from . import order
 
 SMALL = 2_000  # rows of a reference table that may be sent to every task and compared with every point
 MOST_COLUMNS = 500  # ports that become columns, or pairs
@@ -180,7 +181,7 @@ def nearest_other(points: DataFrame, refs: DataFrame, *, point: str = "cell", sm
 
 def weekly_seeds(panel: DataFrame, value: str, q: float = 0.9, *, week: str = "week") -> DataFrame:
     """Rows at or above the week's own quantile of ``value``."""
-    cut = panel.groupBy(week).agg(F.percentile(value, F.lit(q)).alias("_cut"))
+    cut = order.quantiles(panel, [week], {"_cut": (value, q)})
     return panel.join(cut, week).where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
@@ -205,7 +206,9 @@ def hotspots(panel: DataFrame, signals: list[str], q: float = 0.9, least: int =
 
     A signal counts only in weeks with at least ``least`` values.
     """
-    cuts = panel.groupBy(week).agg(*[F.when(F.count(s) >= least, F.percentile(s, F.lit(q))).alias(f"_{s}") for s in signals])
+    cuts = order.quantiles(panel, [week], {f"_{s}": (s, q) for s in signals})
+    enough = panel.groupBy(week).agg(*[(F.count(s) >= least).alias(f"_enough_{s}") for s in signals])
+    cuts = cuts.join(enough, week).select(week, *[F.when(F.col(f"_enough_{s}"), F.col(f"_{s}")).alias(f"_{s}") for s in signals])
     tag = F.concat_ws("+", *[F.when(F.col(s) >= F.col(f"_{s}"), F.lit(s)) for s in signals])
     return panel.join(cuts, week).withColumn("tag", tag).where("tag <> ''").drop(*[f"_{s}" for s in signals])
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import windows
+from . import order, windows
 
 
 def modelling_frame(panel: DataFrame, columns: list[str], target: str, *, by: str = "cell", week: str = "week") -> tuple[DataFrame, list[str]]:
@@ -184,7 +184,7 @@ def isolation_score(df: DataFrame, columns: list[str], *, sample: int = 5000, tr
     so rows of equal values enter it in proportion.
     """
     key = [c for c in ("cell", "week") if c in df.columns] or df.columns
-    med = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
+    med = order.quantiles(df, [], {c: (c, 0.5) for c in columns}).first()
     filled = df.withColumns({f"{c}__x": F.coalesce(F.col(c), F.lit(float(med[c] or 0.0))) for c in columns})
     xs = [f"{c}__x" for c in columns]
     rows = filled.orderBy(F.xxhash64(*key), *key).limit(sample).select(*xs).toPandas().to_numpy(float)

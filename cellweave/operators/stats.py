@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import windows
+from ..session import cut
+from . import order, windows
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -84,16 +85,26 @@ def long_pairs(df: DataFrame, pairs: list[tuple[str, str]], keep: tuple[str, ...
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]], *, by: tuple[str, ...] = (), least: int = 3, ranks: bool = True) -> DataFrame:
     """Pearson and (unless ``ranks`` is false) Spearman coefficients on the rows that have both values, null below ``least`` rows or without spread."""
-    rows = long_pairs(df, pairs, by)
     group = [*by, "a", "b"]
+    rows = long_pairs(cut(df.select(*by, *dict.fromkeys(c for p in pairs for c in p))) if ranks else df, pairs, by)
     made = lambda x, y: F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y)))
     if not ranks:
         return rows.groupBy(*group).agg(F.count("*").alias("n"), F.round(made("x", "y"), 6).alias("pearson"))
-    if by:  # many groups, each of moderate size
-        ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), group), "ry": windows.average_rank(F.col("y"), group)})
-    else:
-        ranked = windows.spread_rank(windows.spread_rank(rows, "x", group, "rx"), "y", group, "ry")
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(made("x", "y"), 6).alias("pearson"), F.round(made("rx", "ry"), 6).alias("spearman"))
+    return both_ranked(rows, group, "x", "y").groupBy(*group).agg(F.count("*").alias("n"), F.round(made("x", "y"), 6).alias("pearson"), F.round(made("rx", "ry"), 6).alias("spearman"))
+
+
+def both_ranked(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``rows`` (which have both values) with ``rx`` and ``ry``, the ranks within ``by``; one index holds the values of both sides.
+
+    ``rows`` are read twice, so they should come from a written table.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), F.col(c).cast("double").alias("_v")) for i, c in enumerate((x, y))])
+    made = order.index(rows.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*"), [*by, "_side"], "_v")
+    told, few = made.ranks(), made.is_small()
+    for i, (c, name) in enumerate(((x, "rx"), (y, "ry"))):
+        side = told.where(F.col("_side") == i).select(*by, F.col("_v").alias(c), F.col("_rank").alias(name))
+        rows = rows.join(F.broadcast(side) if few else side, [*by, c])
+    return rows
 
 
 def correlation_t(r: Column, n: Column) -> Column:
@@ -104,12 +115,13 @@ def lag_correlations(df: DataFrame, pairs: list[tuple[str, str]], lags: range, *
     """Correlation of x(t) with y(t + k) within a series, pooled (or by ``group``), for each lag k."""
     w = W.partitionBy(by).orderBy(week)
     made = [F.struct(F.lit(k).alias("lag"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.lead(b, k).over(w).cast("double").alias("y")) for a, b in pairs for k in lags]
-    rows = df.withColumn("_p", F.array(*made)).select(*group, F.explode("_p").alias("p")).select(*group, "p.*").where("x is not null and y is not null")
+    wide = df.select(*group, F.array(*made).alias("_p"))
+    rows = (wide if group else cut(wide)).select(*group, F.explode("_p").alias("p")).select(*group, "p.*").where("x is not null and y is not null")
     keys = [*group, "a", "b", "lag"]
     if group:  # many groups, each of moderate size
         ranked = rows.withColumns({"rx": windows.average_rank(F.col("x"), keys), "ry": windows.average_rank(F.col("y"), keys)})
     else:
-        ranked = windows.spread_rank(windows.spread_rank(rows, "x", keys, "rx"), "y", keys, "ry")
+        ranked = both_ranked(rows, keys, "x", "y")
     pick = lambda x, y: F.round(F.when(F.count("*") >= least, windows.correlation(F.col(x), F.col(y))), 6)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), pick("x", "y").alias("pearson"), pick("rx", "ry").alias("spearman"))
 
@@ -126,13 +138,19 @@ def two_sample(rows: DataFrame, by: list[str], side: Column, value: str = "value
 
     Rows whose side or value is null are left out; a side without values gives nulls.
     """
-    r = rows.withColumns({"_s": side, "_v": F.col(value).cast("double")}).where("_s is not null and _v is not null")
-    r = windows.spread_rank(r.dropna(subset=by) if by else r, "_v", by, "_r", ties="_t")
+    r = rows.select(*by, side.alias("_s"), F.col(value).cast("double").alias("_v")).where("_s is not null and _v is not null")
+    r = cut(r.dropna(subset=by) if by else r)
+    kinds = F.array(F.lit(0), F.when(F.col("_s"), 1).otherwise(2))  # all values, and those of a side
+    made = order.index(r.select(*by, "_v", F.explode(kinds).alias("_kind")), [*by, "_kind"], "_v")
+    halves = made.quantiles(by, {"median1": (F.col("_kind") == 1, 0.5), "median0": (F.col("_kind") == 2, 0.5)})
+    told = made.ranks().where("_kind = 0").select(*by, "_v", F.col("_rank").alias("_r"), F.col("_n").alias("_t"))
+    r = r.join(F.broadcast(told) if made.is_small() else told, [*by, "_v"])
     one, two = F.when(F.col("_s"), F.col("_v")), F.when(~F.col("_s"), F.col("_v"))
     agg = r.groupBy(*by).agg(
         F.count(one).alias("n1"), F.count(two).alias("n0"), F.avg(one).alias("m1"), F.avg(two).alias("m0"), F.var_samp(one).alias("v1"), F.var_samp(two).alias("v0"),
-        F.percentile(one, F.lit(0.5)).alias("median1"), F.percentile(two, F.lit(0.5)).alias("median0"), F.sum(F.when(F.col("_s"), F.col("_r"))).alias("rs"), F.sum(F.col("_t").cast("double") * F.col("_t") - 1).alias("ties"),
+        F.sum(F.when(F.col("_s"), F.col("_r"))).alias("rs"), F.sum(F.col("_t").cast("double") * F.col("_t") - 1).alias("ties"),
     )
+    agg = agg.join(halves, by, "left") if by else agg.crossJoin(F.broadcast(halves))
     n1, n0, v1, v0 = (F.col(c) for c in ("n1", "n0", "v1", "v0"))
     n = n1 + n0
     some = (n1 > 0) & (n0 > 0)

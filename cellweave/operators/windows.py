@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def series(*by: str, order: str = "week"):
     return W.partitionBy(*by).orderBy(order)
@@ -65,7 +67,7 @@ def rolling_correlation(a: str, b: str, rows: int, least: int, *, by: str = "cel
 
 
 def average_rank(c: Column, by: list[str]) -> Column:
-    """Rank with ties at their mean; nulls have none.  Every partition must be of moderate size, see :func:`global_rank`."""
+    """Rank with ties at their mean; nulls have none.  Every partition must be of moderate size; see :mod:`.order` for others."""
     least = F.rank().over(W.partitionBy(*by, c.isNull()).orderBy(c))
     ties = F.count("*").over(W.partitionBy(*by, c))
     return F.when(c.isNotNull(), least + (ties - 1) / 2)
@@ -83,43 +85,11 @@ def rolling_spearman(df: DataFrame, a: str, b: str, rows: int = 12, least: int =
     return ranked.withColumn("abs_rho", F.abs(rolling_correlation("_ra", "_rb", rows, least, by=by, week=week))).drop("_ra", "_rb")
 
 
-def global_rank(df: DataFrame, c: str, name: str, *, parts: int = 64, percent: bool = True) -> DataFrame:
-    """Average-tie rank (or its share of the count) over all rows, without a single task for it.
-
-    Equal values are counted first; approximate quantiles cut the values into ``parts`` ranges, whose sizes, a row for
-    each range, shift the running sums inside.  Nulls get null.
-    """
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-    edges = counts.agg(F.percentile_approx(c, [k / parts for k in range(1, parts)], 1000)).first()[0] or []
-    cutoffs = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    placed = counts.withColumn("_part", F.size(F.filter(cutoffs, lambda e: e < F.col(c))))
-    sizes = placed.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    shift = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = sizes.agg(F.sum("_size").alias("_total"))
-    inside = F.sum("_n").over(W.partitionBy("_part").orderBy(c))
-    rank = F.col("_before") + F.col("_inside") - F.col("_n") + (F.col("_n") + 1) / 2
-    ranked = placed.withColumn("_inside", inside).join(F.broadcast(shift), "_part").crossJoin(F.broadcast(total))
-    value = rank / F.col("_total") if percent else rank
-    return df.join(ranked.select(F.col(c).alias("_v"), value.alias(name)), F.col(c) == F.col("_v"), "left").drop("_v")
-
-
-def spread_rank(df: DataFrame, c: str, by: list[str], name: str, *, ties: str | None = None, parts: int = 64) -> DataFrame:
-    """Average-tie rank of ``c`` within each group of ``by``, for few groups that may be of any size; ``ties`` names the number of equal values.
-
-    As :func:`global_rank`, with the group as a further key: equal values are counted, each group's own approximate
-    quantiles cut its values into ``parts`` ranges, and a range's running sums start from the sizes of those before.
-    Groups and values must not be null.
-    """
-    counts = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
-    edges = counts.groupBy(*by).agg(F.percentile_approx(c, [k / parts for k in range(1, parts)], 1000).alias("_edges"))
-    placed = counts.join(edges, by) if by else counts.crossJoin(F.broadcast(edges))  # one row for each group
-    placed = placed.withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(c)))).drop("_edges")
-    sizes = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
-    shift = sizes.select(*by, "_part", F.coalesce(F.sum("_size").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum("_n").over(W.partitionBy(*by, "_part").orderBy(c))
-    ranked = placed.withColumn("_inside", inside).join(shift, [*by, "_part"])
-    rank = F.col("_before") + F.col("_inside") - F.col("_n") + (F.col("_n") + 1) / 2
-    return df.join(ranked.select(*by, c, rank.alias(name), *([F.col("_n").alias(ties)] if ties else [])), [*by, c])
+def global_rank(df: DataFrame, c: str, name: str, *, percent: bool = True) -> DataFrame:
+    """Average-tie rank (or its share of the count) over all rows, from the index of values; nulls get null."""
+    told = order.index(df, [], c).ranks()
+    value = F.col("_rank") / F.col("_total") if percent else F.col("_rank")
+    return df.join(told.select(F.col(c).alias("_v"), value.alias(name)), F.col(c) == F.col("_v"), "left").drop("_v")
 
 
 def group_z(c: Column, by: list[str], *, flat: float = 1e-12) -> Column:
@@ -150,8 +120,8 @@ def own_history_z(df: DataFrame, c: str, least: int = 12, limit: float = 2.0, *,
 
 def at_group_quantile(df: DataFrame, columns: list[str], by: str, q: float) -> DataFrame:
     """``<c>_high`` for each column: the value reaches the quantile of its own group."""
-    cuts = df.groupBy(by).agg(*[F.percentile(c, F.lit(q)).alias(f"_{c}") for c in columns])
-    return df.join(cuts, by).withColumns({f"{c}_high": F.coalesce(F.col(c) >= F.col(f"_{c}"), F.lit(False)) for c in columns}).drop(*[f"_{c}" for c in columns])
+    cuts = order.quantiles(df, [by], {f"_{c}": (c, q) for c in columns})
+    return df.join(cuts, by, "left").withColumns({f"{c}_high": F.coalesce(F.col(c) >= F.col(f"_{c}"), F.lit(False)) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
 def runs(df: DataFrame, flag: Column, *, by: str = "cell", week: str = "week") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..functions import keys
 from ..operators import aggregates as A
-from ..operators import stats, windows
+from ..operators import order, stats, windows
 from . import views as V
 from .registry import query
 from .statistics import _PAIR_SQL, PAIRS, _corr, _ranks
@@ -101,9 +101,8 @@ un AS (SELECT indicator, band, CAST(count(*) FILTER (s) AS DOUBLE) AS n1, CAST(c
 def _participation(spark: SparkSession, d: str) -> DataFrame:
     """Percent rank of every value within its indicator, with the band and the side of the wind."""
     s = V.stacked(V.features(spark, d), keep=("cell", "week", "port_km", "shoreward"))
-    n = s.groupBy("indicator").agg(F.count("*").alias("_of"))  # a row for each indicator
-    s = windows.spread_rank(s, "value", ["indicator"], "_rank").join(F.broadcast(n), "indicator")
-    return s.select("cell", "week", "indicator", (F.floor(F.col("port_km") / 50) * 50).alias("band"), (F.col("shoreward") == 1).alias("shoreward"), (F.col("_rank") / F.col("_of")).alias("pct"))
+    s = order.ranked(session.cut(s), ["indicator"], "value", "pct", percent=True)
+    return session.cut(s.select("cell", "week", "indicator", (F.floor(F.col("port_km") / 50) * 50).alias("band"), (F.col("shoreward") == 1).alias("shoreward"), "pct"))
 
 
 def _contrast(rows: DataFrame) -> DataFrame:
@@ -119,7 +118,8 @@ def _contrast(rows: DataFrame) -> DataFrame:
 def stat_participation_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Participation ranks by indicator, distance band and wind, against the opposite wind in the same band."""
     p = _participation(spark, d)
-    b = p.groupBy("indicator", "band", "shoreward").agg(F.count("*").alias("n"), R(F.avg("pct")).alias("mean"), R(F.percentile("pct", F.lit(0.5))).alias("median"), R(F.var_samp("pct")).alias("variance"))
+    b = p.groupBy("indicator", "band", "shoreward").agg(F.count("*").alias("n"), R(F.avg("pct")).alias("mean"), R(F.var_samp("pct")).alias("variance"))
+    b = order.medians(b, p, ["indicator", "band", "shoreward"], "pct")
     return b.join(_contrast(p).drop("p"), ["indicator", "band", "shoreward"])
 
 
@@ -145,7 +145,8 @@ _ZONE_VALUES = "SELECT z.port, z.zone, z.regime, s.indicator AS metric, s.value
 
 def _zone_metrics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The rows of the features in every zone and regime that hold them, as they are and with a row for each metric."""
-    f = A.in_overlapping(V.features(spark, d), {z: F.expr(c) for z, c in ZONES.items()}, "zone")
+    light = session.cut(V.features(spark, d).select("cell", "week", "port", "port_km", "shoreward", *V.VALUES))
+    f = A.in_overlapping(light, {z: F.expr(c) for z, c in ZONES.items()}, "zone")
     f = A.in_overlapping(f, {g: F.expr(c) for g, c in REGIMES.items()}, "regime").withColumn("port_km", F.round("port_km", 9))
     return f, V.stacked(f, keep=("port", "zone", "regime", "cell", "week", "port_km")).withColumnRenamed("indicator", "metric")
 
@@ -155,9 +156,10 @@ def agg_zone_wind_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Port, overlapping zone, wind and metric: n, mean, median, rank correlation with the distance (from 15 rows on), share of shoreward wind."""
     f, s = _zone_metrics(spark, d)
     by = ["port", "zone", "regime", "metric"]
-    ranked = windows.spread_rank(windows.spread_rank(s, "value", by, "rx"), "port_km", by, "ry")
+    ranked = stats.both_ranked(s, by, "value", "port_km")
     rho = F.when(F.count("*") >= 15, windows.correlation(F.col("rx"), F.col("ry")))
-    table = ranked.groupBy(*by).agg(F.count("*").alias("n"), R(F.sum(V.cents(F.col("value"))) / 100.0 / F.count("*")).alias("mean"), R(F.percentile("value", F.lit(0.5))).alias("median"), R(rho).alias("spearman"))
+    table = ranked.groupBy(*by).agg(F.count("*").alias("n"), R(F.sum(V.cents(F.col("value"))) / 100.0 / F.count("*")).alias("mean"), R(rho).alias("spearman"))
+    table = order.medians(table, s, by, "value")
     share = f.where("regime = 'all'").groupBy("port", "zone", "regime").agg(R(F.avg(F.col("shoreward").cast("double"))).alias("shoreward_share"))
     return table.join(share, ["port", "zone", "regime"], "left")
 

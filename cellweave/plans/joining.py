@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys
 from ..operators import aggregates as A
-from ..operators import joins, windows
+from ..operators import joins, order, windows
 from . import views as V
 from .registry import query
 
@@ -64,7 +64,7 @@ WHERE CASE WHEN k>0 THEN coast_km<=2 ELSE n>=15 AND coast_km<=q END""")
 def prj_land_adjacent_or_tercile(spark: SparkSession, d: str) -> DataFrame:
     """Rows close to land; if there are none, the closest third."""
     f = V.features(spark, d).select("cell", "week", "coast_km")
-    s = f.agg(F.sum((F.col("coast_km") <= 2).cast("long")).alias("k"), F.percentile("coast_km", F.lit(1 / 3)).alias("q"), F.count("*").alias("n"))
+    s = order.beside(f.agg(F.sum((F.col("coast_km") <= 2).cast("long")).alias("k"), F.count("*").alias("n")), f, [], {"q": ("coast_km", 1 / 3)})
     keep = F.when(F.col("k") > 0, F.col("coast_km") <= 2).otherwise((F.col("n") >= 15) & (F.col("coast_km") <= F.col("q")))
     return f.crossJoin(F.broadcast(s)).where(keep).select("cell", "week", R(F.col("coast_km")).alias("coast_km"))
 
@@ -264,7 +264,7 @@ MEANS = "means AS (SELECT cell, avg(vessel) AS v, avg(no2) AS o FROM panel GROUP
 @query("""SELECT a::BIGINT AS n_a, b::BIGINT AS n_b, ab::BIGINT AS n_both, e::BIGINT AS n_either, round(ab/nullif(a,0),6) AS share_of_a, round(ab/nullif(e,0),6) AS jaccard FROM (SELECT sum((v>=qv)::INT) AS a, sum((o>=qo)::INT) AS b, sum((v>=qv AND o>=qo)::INT) AS ab, sum((v>=qv OR o>=qo)::INT) AS e FROM means, cuts)""", MEANS)
 def join_hotspot_jaccard(spark: SparkSession, d: str) -> DataFrame:
     m = V.panel(spark, d).groupBy("cell").agg(F.avg("vessel").alias("v"), F.avg("no2").alias("o"))
-    cuts = m.agg(F.percentile("v", F.lit(0.9)).alias("qv"), F.percentile("o", F.lit(0.9)).alias("qo"))
+    cuts = order.quantiles(m, [], {"qv": ("v", 0.9), "qo": ("o", 0.9)})
     return joins.jaccard(m.crossJoin(F.broadcast(cuts)).select((F.col("v") >= F.col("qv")).alias("a"), (F.col("o") >= F.col("qo")).alias("b")), "a", "b")
 
 
@@ -416,6 +416,6 @@ def top_zones_one_per_cell(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT cell, week, round(z,6) AS z, CASE WHEN z>q THEN 'extreme' ELSE 'high' END AS class FROM (SELECT *, (vessel-avg(vessel) OVER (PARTITION BY week))/nullif(stddev_pop(vessel) OVER (PARTITION BY week),0) AS z FROM panel WHERE vessel IS NOT NULL), (SELECT quantile_cont(z,0.95) AS q FROM (SELECT (vessel-avg(vessel) OVER (PARTITION BY week))/nullif(stddev_pop(vessel) OVER (PARTITION BY week),0) AS z FROM panel WHERE vessel IS NOT NULL)) ORDER BY round(z,6) DESC, cell, week LIMIT 20""")
 def top_anomalies_with_class(spark: SparkSession, d: str) -> DataFrame:
     p = V.panel(spark, d).where("vessel is not null").withColumn("z", windows.group_z(F.col("vessel"), ["week"]))
-    q = p.agg(F.percentile("z", F.lit(0.95)).alias("q"))
+    q = order.quantiles(p, [], {"q": ("z", 0.95)})
     ranked = p.crossJoin(F.broadcast(q)).select("cell", "week", R(F.col("z")).alias("z"), F.when(F.col("z") > F.col("q"), "extreme").otherwise("high").alias("class"))
     return ranked.orderBy(F.desc("z"), "cell", "week").limit(20)

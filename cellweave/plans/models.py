@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..operators import indices as I
 from ..operators import modelling as M
-from ..operators import windows
+from ..operators import order, windows
 from . import views as V
 from .registry import query
 
@@ -184,5 +184,5 @@ def idx_blended_outliers(spark: SparkSession, d: str) -> DataFrame:
     p = M.isolation_score(I.with_moments(V.panel(spark, d), V.VALUES), V.VALUES)
     z = I.mean_of([F.abs(I.z(c)) for c in V.VALUES])
     s = p.withColumn("score", 0.7 * F.col("isolation") + 0.3 * F.coalesce(z, F.lit(0.0)))
-    q = s.agg(F.percentile("score", F.lit(0.92)).alias("q"))
+    q = order.quantiles(s, [], {"q": ("score", 0.92)})
     return s.crossJoin(F.broadcast(q)).select("cell", "week", R(F.col("score")).alias("score"), (F.col("score") >= F.col("q")).alias("anomalous"))

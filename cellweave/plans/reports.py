@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import keys
 from ..operators import aggregates as A
 from ..operators import indices as I
-from ..operators import joins, stats, windows
+from ..operators import joins, order, stats, windows
 from . import views as V
 from .registry import query
 from .statistics import _PAIR_SQL, PAIRS, _corr, _ranks
@@ -120,7 +121,7 @@ def prj_repeatable_sample(spark: SparkSession, d: str) -> DataFrame:
 def stat_participation_by_regime(spark: SparkSession, d: str) -> DataFrame:
     """Percent ranks within each indicator, summarised by wind regime."""
     s = V.stacked(V.features(spark, d), keep=("cell", "week", "shoreward"))
-    s = s.withColumn("pct", windows.percent_rank_average(F.col("value"), ["indicator"]))
+    s = order.ranked(session.cut(s), ["indicator"], "value", "pct", percent=True)
     return s.groupBy("indicator", "shoreward").agg(F.count("*").alias("n"), R(F.avg("pct")).alias("mean_rank"), F.round(F.var_samp("value"), 5).alias("variance"))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import keys
 from ..operators import aggregates as A
 from ..operators import indices as I
-from ..operators import joins, stats, windows
+from ..operators import joins, order, stats, windows
 from . import views as V
 from .registry import query
 
@@ -136,8 +137,8 @@ _DEC = "hl AS (SELECT p.*, CASE WHEN lv>=q[2] THEN TRUE WHEN lv<=q[1] THEN FALSE
 def stat_high_low_decile(spark: SparkSession, d: str) -> DataFrame:
     """Rows in the top tenth of log traffic against the lowest tenth."""
     p = V.panel(spark, d).withColumn("lv", keys.log1p_guarded(F.col("vessel")))
-    q = p.agg(F.percentile("lv", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    side = F.when(F.col("lv") >= F.col("q")[1], True).when(F.col("lv") <= F.col("q")[0], False)
+    q = order.quantiles(p, [], {"low": ("lv", 0.1), "high": ("lv", 0.9)})
+    side = F.when(F.col("lv") >= F.col("high"), True).when(F.col("lv") <= F.col("low"), False)
     t = stats.two_sample(p.crossJoin(F.broadcast(q)), [], side, "no2")
     return t.select("n1", "n0", "m1", "m0", "median1", "median0")
 
@@ -164,7 +165,7 @@ def stat_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
 def stat_terciles_and_lanes(spark: SparkSession, d: str) -> DataFrame:
     """Traffic terciles by quantile edges, so that ties stay together, and the top-tenth lane flag."""
     p = A.quantile_bins(V.long_panel(spark, d), "traffic", 3, "tercile")
-    q = p.agg(F.percentile("traffic", F.lit(0.9)).alias("q"))
+    q = order.quantiles(p, [], {"q": ("traffic", 0.9)})
     return p.crossJoin(F.broadcast(q)).groupBy("tercile").agg(F.count("*").alias("n"), F.sum((F.col("traffic") >= F.col("q")).cast("long")).alias("lanes"))
 
 
@@ -216,7 +217,7 @@ def stat_leakage_audit(spark: SparkSession, d: str) -> DataFrame:
     """How much a feature gives away of the target: R2, share of equal values, gaps."""
     p = windows.next_valid(V.long_panel(spark, d), "traffic").where("traffic_next is not null")
     gap = F.abs(F.col("traffic") - F.col("traffic_next"))
-    return p.agg(R(F.regr_r2("traffic_next", "traffic")).alias("r2"), R(F.avg((F.col("traffic") == F.col("traffic_next")).cast("int"))).alias("equal_share"), R(F.percentile(gap, F.lit(0.5))).alias("median_gap"), R(F.max(gap)).alias("max_gap"))
+    return p.agg(R(F.regr_r2("traffic_next", "traffic")).alias("r2"), R(F.avg((F.col("traffic") == F.col("traffic_next")).cast("int"))).alias("equal_share"), R(F.max(gap)).alias("max_gap")).crossJoin(F.broadcast(order.quantiles(p, [], {"median_gap": (gap, 0.5)}).withColumn("median_gap", R(F.col("median_gap")))))
 
 
 _PCT = lambda c, by: f"(rank() OVER (PARTITION BY {by}, {c} IS NULL ORDER BY {c})+(count(*) OVER (PARTITION BY {by}, {c})-1)/2.0)/nullif(count({c}) OVER (PARTITION BY {by}),0)"
@@ -225,8 +226,10 @@ _PCT = lambda c, by: f"(rank() OVER (PARTITION BY {by}, {c} IS NULL ORDER BY {c}
 @query(f"""SELECT cell, week, round(m*a,6) AS stress FROM (SELECT cell, week, CASE WHEN vessel IS NOT NULL THEN {_PCT("vessel", "week")} END AS m, CASE WHEN no2 IS NOT NULL THEN {_PCT("no2", "week")} END AS a FROM panel)""")
 def idx_rank_product(spark: SparkSession, d: str) -> DataFrame:
     """Product of the weekly percent ranks of traffic and NO2."""
-    pct = lambda c: windows.percent_rank_average(F.col(c), ["week"])
-    return V.panel(spark, d).select("cell", "week", R(pct("vessel") * pct("no2")).alias("stress"))
+    p = session.cut(V.panel(spark, d).select("cell", "week", "vessel", "no2"))
+    for c in ("vessel", "no2"):
+        p = p.join(order.ranked(p.select("cell", "week", c).where(F.col(c).isNotNull()), ["week"], c, f"{c}_pct", percent=True).drop(c), ["cell", "week"], "left")
+    return p.select("cell", "week", R(F.col("vessel_pct") * F.col("no2_pct")).alias("stress"))
 
 
 _WZ = lambda c: f"CASE WHEN stddev_pop({c}) OVER w<1e-12 THEN 0*{c} ELSE ({c}-avg({c}) OVER w)/stddev_pop({c}) OVER w END"
@@ -272,7 +275,7 @@ def idx_composite_exposure(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT cell, week, round((vessel-q_vessel[3])/nullif((q_vessel[4]-q_vessel[2])/1.34896,0),6) AS robust, round(greatest(0,least(1,(no2-q_no2[1])/nullif(q_no2[5]-q_no2[1],0))),6) AS clipped, round(0.5*(vessel-lo_vessel)/nullif(hi_vessel-lo_vessel,0)+0.5*(0.6*(no2-lo_no2)/nullif(hi_no2-lo_no2,0)+0.4*(water-lo_water)/nullif(hi_water-lo_water,0)),6) AS pressure FROM panel, mo WHERE no2 IS NOT NULL""", _MOM)
 def idx_scales_and_pressure(spark: SparkSession, d: str) -> DataFrame:
     """Robust z, percentile-clipped scale and the pressure index of min-max parts."""
-    p = I.with_moments(V.panel(spark, d), V.VALUES).where("no2 is not null")
+    p = I.with_moments(V.panel(spark, d), V.VALUES, ("vessel", "no2")).where("no2 is not null")
     pressure = 0.5 * I.min_max("vessel") + 0.5 * (0.6 * I.min_max("no2") + 0.4 * I.min_max("water"))
     return p.select("cell", "week", R(I.robust_z("vessel")).alias("robust"), R(I.clipped_scale("no2")).alias("clipped"), R(pressure).alias("pressure"))
 
@@ -280,7 +283,7 @@ def idx_scales_and_pressure(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT cell, med AS median_traffic FROM (SELECT cell, round(quantile_cont(traffic,0.5),6) AS med FROM lp GROUP BY cell) WHERE med>=(SELECT quantile_cont(med,0.9) FROM (SELECT round(quantile_cont(traffic,0.5),6) AS med FROM lp GROUP BY cell))""")
 def idx_hub_cells(spark: SparkSession, d: str) -> DataFrame:
     m = V.long_panel(spark, d).groupBy("cell").agg(R(F.percentile("traffic", F.lit(0.5))).alias("median_traffic"))
-    q = m.agg(F.percentile("median_traffic", F.lit(0.9)).alias("q"))
+    q = order.quantiles(m, [], {"q": ("median_traffic", 0.9)})
     return m.crossJoin(F.broadcast(q)).where("median_traffic >= q").drop("q")
 
 
@@ -312,7 +315,7 @@ def idx_weekly_flags(spark: SparkSession, d: str) -> DataFrame:
 def idx_concurrent_tags(spark: SparkSession, d: str) -> DataFrame:
     """Indicators at their ninth decile in the same port and week."""
     s = V.stacked(V.features(spark, d), keep=("cell", "week", "port"))
-    q = s.groupBy("indicator").agg(F.percentile("value", F.lit(0.9)).alias("q"))
+    q = order.quantiles(s, ["indicator"], {"q": ("value", 0.9)})
     return s.join(F.broadcast(q), "indicator").where("value >= q").groupBy("port", "week").agg(F.array_join(F.array_sort(F.collect_set("indicator")), ";").alias("tags"))
 
 
@@ -328,8 +331,9 @@ def idx_residual_weeks(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT week, CAST(sum((vessel>=q)::INT) AS BIGINT) AS exceed, round((median(vessel)-avg(median(vessel)) OVER ())/nullif(stddev_pop(median(vessel)) OVER (),0),6) AS z FROM panel, (SELECT quantile_cont(vessel,0.9) AS q FROM panel) WHERE vessel IS NOT NULL GROUP BY week""")
 def idx_weekly_exceedance(spark: SparkSession, d: str) -> DataFrame:
     p = V.panel(spark, d).where("vessel is not null")
-    q = p.agg(F.percentile("vessel", F.lit(0.9)).alias("q"))
-    w = p.crossJoin(F.broadcast(q)).groupBy("week").agg(F.sum((F.col("vessel") >= F.col("q")).cast("long")).alias("exceed"), F.percentile("vessel", F.lit(0.5)).alias("m"))
+    q = order.quantiles(p, [], {"q": ("vessel", 0.9)})
+    w = p.crossJoin(F.broadcast(q)).groupBy("week").agg(F.sum((F.col("vessel") >= F.col("q")).cast("long")).alias("exceed"))
+    w = order.beside(w, p, ["week"], {"m": ("vessel", 0.5)})
     return w.select("week", "exceed", R(windows.group_z(F.col("m"), [])).alias("z"))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import geo, keys
 from ..operators import aggregates as A
-from ..operators import joins, windows
+from ..operators import joins, order, windows
 from . import views as V
 from .joining import _band_sql
 from .registry import query
@@ -36,7 +37,9 @@ def agg_property_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT week, CAST(sum(n_obs) AS BIGINT) AS n_obs, round(avg(vessel),6) AS mean, round(median(ndvi),6) AS median FROM weekly GROUP BY week""")
 def agg_rollup_of_cells(spark: SparkSession, d: str) -> DataFrame:
-    return V.weekly(spark, d).groupBy("week").agg(F.sum("n_obs").alias("n_obs"), R(F.avg("vessel")).alias("mean"), R(F.percentile("ndvi", F.lit(0.5))).alias("median"))
+    w = V.weekly(spark, d)
+    made = w.groupBy("week").agg(F.sum("n_obs").alias("n_obs"), R(F.avg("vessel")).alias("mean"))
+    return order.medians(made, w, ["week"], "ndvi")
 
 
 @query("""SELECT cell, week, '{"n":'||n_obs||',"has":{"vessel":'||(vessel IS NOT NULL)||',"oil":'||(oil IS NOT NULL)||'}}' AS provenance FROM panel""")
@@ -69,7 +72,8 @@ def agg_cell_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT week, indicator, round(avg(value),6) AS mean, round(median(value),6) AS median, round(stddev_samp(value),6) AS std, count(*) AS n FROM stack GROUP BY ALL""")
 def agg_week_summary(spark: SparkSession, d: str) -> DataFrame:
     s = V.stacked(V.panel(spark, d))
-    return s.groupBy("week", "indicator").agg(R(F.avg("value")).alias("mean"), R(F.percentile("value", F.lit(0.5))).alias("median"), R(F.stddev_samp("value")).alias("std"), F.count("*").alias("n"))
+    made = s.groupBy("week", "indicator").agg(R(F.avg("value")).alias("mean"), R(F.stddev_samp("value")).alias("std"), F.count("*").alias("n"))
+    return order.medians(made, s, ["week", "indicator"], "value")
 
 
 @query("""SELECT port, week, round(avg(vessel),6) AS vessel, round(avg(no2),6) AS no2, round(avg(CAST(shoreward AS DOUBLE)),6) AS shoreward_share, count(*) AS n FROM feat WHERE port_km<=80 GROUP BY port, week""")
@@ -99,7 +103,7 @@ def agg_two_way_bands(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT b.band, i.indicator, coalesce(n,0) AS n, coalesce(cells,0) AS cells, mean, median, std FROM (SELECT unnest(['0-10','10-25','25-50','50-100','>100']) AS band) b CROSS JOIN (SELECT DISTINCT indicator FROM stack) i LEFT JOIN (SELECT {PORT} AS band, indicator, count(*) AS n, count(DISTINCT cell) AS cells, round(avg(value),6) AS mean, round(median(value),6) AS median, round(stddev_samp(value),6) AS std FROM stack JOIN port_near USING (cell) GROUP BY ALL) t ON t.band=b.band AND t.indicator=i.indicator""")
 def agg_band_decay_table(spark: SparkSession, d: str) -> DataFrame:
     """Every band of the scheme and indicator, also those without rows."""
-    s = V.stacked(_bands(V.features(spark, d)), keep=("cell", "week", "band"))
+    s = session.cut(V.stacked(_bands(V.features(spark, d)), keep=("cell", "week", "band")))
     every = spark.createDataFrame([(b, i) for b in keys.SCHEMES["decades"][1] for i in V.VALUES], "band string, indicator string")
     return A.band_table(s, every)
 
@@ -111,10 +115,11 @@ REGIMES = {"all": "TRUE", "shoreward": "shoreward=1", "other": "shoreward=0"}
 @query(" UNION ALL ".join(f"""SELECT '{z}' AS zone, '{g}' AS regime, count(*) AS n, round(avg(vessel),6) AS mean, round(median(vessel),6) AS median, round(avg(CAST(shoreward AS DOUBLE)),6) AS shoreward_share FROM feat WHERE vessel IS NOT NULL AND {zc} AND {gc} HAVING count(*)>0""" for z, zc in ZONES.items() for g, gc in REGIMES.items()))
 def agg_zone_by_wind(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping zones and wind regimes in one pass, each row put into all that hold it."""
-    f = V.features(spark, d).where("vessel is not null")
+    f = session.cut(V.features(spark, d).where("vessel is not null").select("port_km", "shoreward", "vessel"))
     f = A.in_overlapping(f, {z: F.expr(c) for z, c in ZONES.items()}, "zone")
     f = A.in_overlapping(f, {g: F.expr(c) for g, c in REGIMES.items()}, "regime")
-    return f.groupBy("zone", "regime").agg(F.count("*").alias("n"), R(F.avg("vessel")).alias("mean"), R(F.percentile("vessel", F.lit(0.5))).alias("median"), R(F.avg(F.col("shoreward").cast("double"))).alias("shoreward_share"))
+    made = f.groupBy("zone", "regime").agg(F.count("*").alias("n"), R(F.avg("vessel")).alias("mean"), R(F.avg(F.col("shoreward").cast("double"))).alias("shoreward_share"))
+    return order.medians(made, f, ["zone", "regime"], "vessel")
 
 
 @query(" UNION ALL ".join(f"""SELECT port, '0-{k}' AS bucket, count(*) AS n, count(DISTINCT cell) AS cells, count(no2) AS valid, round(100.0*(count(*)-count(no2))/count(*),6) AS missing_percent, round(avg(no2),6) AS mean FROM feat WHERE port_km<={k} GROUP BY port""" for k in (25, 50, 100)))
@@ -187,18 +192,20 @@ def agg_median_vector_field(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT CAST(k*10 AS DOUBLE) AS start_km, count(*) AS n, round(avg(no2),6) AS mean, round(median(no2),6) AS median, round(stddev_samp(no2),6) AS std, count(*)>=10 AS sufficient FROM (SELECT port_km, no2, unnest(range(greatest(CAST(floor((port_km-50)/10) AS BIGINT)+1, 0), CAST(floor(port_km/10) AS BIGINT)+1)) AS k FROM feat WHERE no2 IS NOT NULL) GROUP BY k""")
 def agg_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
-    return A.sliding_windows(V.features(spark, d), "port_km", "no2", 50, 10)
+    return A.sliding_windows(session.cut(V.features(spark, d).select("port_km", "no2")), "port_km", "no2", 50, 10)
 
 
 @query("""SELECT floor(port_km/20)*20 AS lower, count(*) AS n, round(avg(no2),6) AS mean, round(quantile_cont(no2,0.25),6) AS q1, round(median(no2),6) AS median, round(quantile_cont(no2,0.75),6) AS q3 FROM feat GROUP BY 1""")
 def agg_equal_width_bins(spark: SparkSession, d: str) -> DataFrame:
-    q = lambda p: R(F.percentile("no2", F.lit(p)))
-    return V.features(spark, d).groupBy((F.floor(F.col("port_km") / 20) * 20).cast("double").alias("lower")).agg(F.count("*").alias("n"), R(F.avg("no2")).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    f = session.cut(V.features(spark, d).select("port_km", "no2")).withColumn("lower", (F.floor(F.col("port_km") / 20) * 20).cast("double"))
+    made = f.groupBy("lower").agg(F.count("*").alias("n"), R(F.avg("no2")).alias("mean"))
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return order.beside(made, f, ["lower"], {name: ("no2", q) for name, q in shares.items()}).withColumns({name: R(F.col(name)) for name in shares})
 
 
 @query("""SELECT CAST((vessel>e[2])::INT+(vessel>e[3])::INT+(vessel>e[4])::INT+(vessel>e[5])::INT AS INT) AS bin, count(*) AS n, round(avg(vessel),6) AS mean FROM feat, (SELECT quantile_cont(vessel,[0,0.2,0.4,0.6,0.8,1]) AS e FROM feat) WHERE vessel IS NOT NULL GROUP BY 1""")
 def agg_quantile_bins(spark: SparkSession, d: str) -> DataFrame:
-    f = V.features(spark, d).where("vessel is not null")
+    f = session.cut(V.features(spark, d).where("vessel is not null").select("vessel"))
     return A.quantile_bins(f, "vessel", 5).groupBy("bin").agg(F.count("*").alias("n"), R(F.avg("vessel")).alias("mean"))
 
 
@@ -397,7 +404,7 @@ def win_rolling_spearman(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT cell, week, round((rank() OVER (PARTITION BY week ORDER BY vessel)+(count(*) OVER (PARTITION BY week, vessel)-1)/2.0)/count(*) OVER (PARTITION BY week),6) AS pct FROM panel WHERE vessel IS NOT NULL""")
 def win_weekly_percent_rank(spark: SparkSession, d: str) -> DataFrame:
     p = V.panel(spark, d).where("vessel is not null")
-    return p.select("cell", "week", R(windows.percent_rank_average(F.col("vessel"), ["week"])).alias("pct"))
+    return order.ranked(p.select("cell", "week", "vessel"), ["week"], "vessel", "pct", percent=True).select("cell", "week", R(F.col("pct")).alias("pct"))
 
 
 @query("""SELECT cell, week, round((rank() OVER (ORDER BY n)+(count(*) OVER (PARTITION BY n)-1)/2.0)/count(*) OVER (),6) AS pct FROM lp""")

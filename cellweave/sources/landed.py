@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo, keys
-from ..operators import joins
+from ..operators import joins, order
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "dataset", "record_timestamp_utc", "ingested_at_utc")] + [T.StructField(c, T.DoubleType()) for c in ("latitude", "longitude")] + [T.StructField(c, T.StringType()) for c in ("geometry_wkt", "crs", "grid_id", "raw_record_ref", "payload")])
 #: Members of a response that may hold its records, and members that may hold a record's time, in order.
@@ -129,11 +129,12 @@ def enriched(records: DataFrame) -> DataFrame:
 def raster_overview(cells: DataFrame) -> DataFrame:
     """Per layer file ``<name>_<code>_<year>.<ext>``: pixels, valid pixels and their distribution; lane and group flags over all layers."""
     code, year = F.regexp_extract("file", r"_([0-9]+)_([0-9]{4})\.", 1), F.regexp_extract("file", r"_([0-9]+)_([0-9]{4})\.", 2).try_cast("int")
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    o = cells.groupBy("file", code.alias("code"), year.alias("year")).agg(F.count("*").alias("pixels"), F.count("value").alias("valid"), F.min("value").alias("min"), q(0.25).alias("q25"), q(0.5).alias("median"), F.round(F.avg("value"), 6).alias("mean"), q(0.75).alias("q75"), F.max("value").alias("max"), F.round(F.stddev_pop("value"), 6).alias("std"))
-    cut = o.agg(F.percentile("mean", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias("c"))
+    o = cells.groupBy("file", code.alias("code"), year.alias("year")).agg(F.count("*").alias("pixels"), F.count("value").alias("valid"), F.min("value").alias("min"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("max"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    o = order.beside(o, cells, ["file"], {name: ("value", q) for name, q in shares.items()}).withColumns({name: F.round(name, 6) for name in shares})
+    cuts = o.agg(F.percentile("mean", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias("c"))  # a row for each layer
     group = F.when(F.col("mean") >= F.col("c")[1], "high").when(F.col("mean") <= F.col("c")[0], "low").when(F.col("mean").isNotNull(), "middle")
-    return o.crossJoin(F.broadcast(cut)).withColumns({"log_mean": F.round(F.log1p("mean"), 6), "lane": F.coalesce(F.col("mean") >= F.col("c")[2], F.lit(False)), "group": group}).drop("c")
+    return o.crossJoin(F.broadcast(cuts)).withColumns({"log_mean": F.round(F.log1p("mean"), 6), "lane": F.coalesce(F.col("mean") >= F.col("c")[2], F.lit(False)), "group": group}).drop("c")
 
 
 def raster_at_cells(raster: DataFrame, cells: DataFrame, *, west: float, north: float, size: float) -> DataFrame:
@@ -165,7 +166,7 @@ def dark_surface(pixels: DataFrame) -> DataFrame:
     """
     half = lambda c: F.percentile(c, F.lit(0.5)).alias(c)
     m = pixels.groupBy("cell", "week", "pixel").agg(half("vv"), half("vh"))
-    cut = m.groupBy("week").agg(F.percentile("vh", F.lit(0.2)).alias("p20"), F.percentile(F.col("vv") - F.col("vh"), F.lit(0.8)).alias("p80"))
+    cut = order.quantiles(m, ["week"], {"p20": ("vh", 0.2), "p80": (F.col("vv") - F.col("vh"), 0.8)})
     dark = (F.col("vh") < F.col("p20")) & F.coalesce(F.col("vv") - F.col("vh") >= F.col("p80"), F.lit(True))
     d = m.join(cut, "week").where("vh is not null").withColumn("dark", dark.cast("long"))
     return d.groupBy("cell", "week").agg(F.round(F.avg("dark"), 6).alias("probability"), F.sum("dark").alias("count"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo, keys
-from cellweave.operators import aggregates, indices, joins, modelling, stats, windows
+from cellweave.operators import aggregates, indices, joins, modelling, order, stats, windows
 from cellweave.plans import evidence
 from cellweave.sources import landed
 
@@ -89,14 +89,54 @@ def test_planar_tiles_equal_all_pairs(spark):
     assert rows(0) == rows(1000)
 
 
-def test_spread_ranks_equal_window_ranks(spark):
+def skewed(spark):
     rnd = random.Random(7)
-    rows = [("a", float(rnd.randint(0, 9))) for _ in range(300)] + [("b", rnd.random()) for _ in range(200)] + [("c", 0.0)] * 50
-    df = spark.createDataFrame(rows, "g string, v double")
+    rows = [("a", float(rnd.randint(0, 9)), rnd.random()) for _ in range(300)] + [("b", rnd.random(), None) for _ in range(200)] + [("c", 0.0, 1.0)] * 500 + [("d", None, 2.0), ("e", 3.5, None), ("e", -1.0, -0.0)]
+    return rows, spark.createDataFrame(rows, "g string, v double, w double").repartition(5)
+
+
+def test_ranks_of_the_index_equal_window_ranks(spark):
+    rows, df = skewed(spark)
+    some = [r for r in rows if r[1] is not None]
     for by in (["g"], []):
-        both = windows.spread_rank(df.withColumn("want", windows.average_rank(F.col("v"), by)), "v", by, "got", ties="n", parts=8)
-        assert both.count() == len(rows) and both.where("abs(got - want) > 1e-9").count() == 0
-    assert windows.spread_rank(df.where("false"), "v", ["g"], "got").count() == 0
+        both = order.ranked(df.withColumn("want", windows.average_rank(F.col("v"), by)), by, "v", "got", ties="n")
+        assert both.count() == len(some) and both.where("abs(got - want) > 1e-9").count() == 0
+        shared = order.ranked(df.withColumn("want", windows.percent_rank_average(F.col("v"), by)), by, "v", "got", percent=True)
+        assert shared.where("abs(got - want) > 1e-9").count() == 0
+    assert order.ranked(df.where("false"), ["g"], "v", "got").count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_quantiles_by_selection_equal_numpy(spark, partitions):
+    rows, df = skewed(spark)
+    shares = (0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        wanted = {f"{c}{k}": (c, q) for c in "vw" for k, q in enumerate(shares)} | {"sum": (F.col("v") + F.col("w"), 0.5)}
+        got = {r.g: r for r in order.quantiles(df, ["g"], wanted).collect()}
+        whole = order.quantiles(df, [], wanted).collect()
+        assert order.quantiles(df.where("false"), [], {"q": ("v", 0.5)}).collect()[0].q is None
+        assert order.quantiles(df.where("false"), ["g"], {"q": ("v", 0.5)}).count() == 0
+        beside = {r.g: r.m for r in order.medians(df.groupBy("g").count(), df, ["g"], "v", "m").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    values = {"v": lambda r: r[1], "w": lambda r: r[2], "s": lambda r: r[1] + r[2] if r[1] is not None and r[2] is not None else None}
+    for group, row in [*((g, got[g]) for g in "abcde"), (None, whole[0])]:
+        for name, (_, q) in wanted.items():
+            have = [x for r in rows if group in (None, r[0]) and (x := values[name[0]](r)) is not None]
+            assert row[name] == pytest.approx(float(np.quantile(have, q)), abs=1e-12) if have else row[name] is None
+    assert beside["d"] is None and beside["c"] == 0.0
+    assert set(got) == set("abcde")
+
+
+def test_two_samples_of_any_layout_are_the_same(spark, monkeypatch):
+    _, df = skewed(spark)
+    df = df.withColumn("side", F.col("w") > 0.5)
+    told = lambda: sorted(map(tuple, stats.two_sample(df, ["g"], F.col("side"), "v").drop("welch_p", "mw_p").collect()), key=repr)
+    few = told()
+    monkeypatch.setattr(order, "FEW", 0)  # ranks are joined by value instead of sent
+    assert told() == few
 
 
 def test_weekly_seeds_by_tiles_equal_all_pairs(spark):
