@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..session import cut
-from . import order
+from . import order, spatial
 
 SMALL = 2_000  # rows of a reference table that may be sent to every task and compared with every point
-MOST_COLUMNS = 500  # ports that become columns, or pairs
 
 
 def is_small(df: DataFrame, rows: int = SMALL) -> bool:
@@ -82,52 +81,31 @@ def _least(pairs: DataFrame, point: list[str], refs: list[str], ref_id: str) ->
     return pairs.groupBy(*point).agg(best.alias("_b")).select(*point, "_b.*")
 
 
-def _by_tiles(left: DataFrame, refs: DataFrame, point: list[str], by: list[str], lat: str, lon: str, ref_id: str, ref_lat: str, ref_lon: str, tile: float, *, other_than: str | None = None, digits: int | None = None) -> DataFrame:
-    """Nearest reference by rounds of tiles: a point looks at its own tile and the eight around, and its best is final if it
-    is nearer than their edge; the others try again with tiles four times as wide.
+def _by_tree(points: DataFrame, refs: DataFrame, point: list[str], by: list[str], lat: str, lon: str, ref_id: str, ref_lat: str, ref_lon: str, *, other_than: str | None = None, digits: int | None = None) -> DataFrame:
+    """Nearest reference by a tree of tiles (see :func:`.spatial.candidates`); of references in one place the lowest id counts, the two lowest with ``other_than``.
 
-    Columns of tiles go round the globe: a whole number of them, each at least as wide as a row is high, with the last
-    beside the first.  What lies outside is ``size`` degrees away along the meridian, or beyond the meridians that far
-    to the sides, whose distance shrinks towards the poles.  ``other_than`` names a column of the points that the
-    reference's id must differ from; distances are rounded to ``digits`` before they are compared.
+    ``other_than`` names a column of the points that the reference's id must differ from; distances are rounded to ``digits`` before they are compared.
     """
+    place = W.partitionBy(*by, ref_lat, ref_lon).orderBy(ref_id)
+    lone = refs.dropDuplicates([*by, ref_lat, ref_lon, ref_id]).withColumn("_nth", F.row_number().over(place)).where(F.col("_nth") <= (2 if other_than else 1)).drop("_nth")
+    pairs = spatial.candidates(points, lone, point, by, spatial.on_sphere(F.col(lat), F.col(lon)), spatial.on_sphere(F.col(ref_lat), F.col(ref_lon)), ref_id=ref_id, other_than=other_than)
+    pairs = pairs.join(points.select(*point, lat, lon), point)
+    if other_than:
+        pairs = pairs.where(F.col(ref_id) != F.col(other_than))
     distance = geo.haversine_km(F.col(lat), F.col(lon), F.col(ref_lat), F.col(ref_lon))
-    distance = distance if digits is None else F.round(distance, digits)
-    carried = [c for c in refs.columns if c not in by]
-    found, size, last = [], tile, False
-    while not last:
-        columns = max(1, int(360 // size))
-        last = size > 90 and columns <= 3
-        tx = lambda c, n=columns: F.pmod(F.floor((F.col(c) + 180) * n / 360).cast("long"), F.lit(n))
-        ty = lambda c, s=size: F.floor((F.col(c) + 90) / s).cast("long")
-        around = lambda steps: F.explode(F.array(*[F.lit(k) for k in steps]))
-        wide = left.withColumn("_dx", around((-1, 0, 1) if columns >= 3 else range(columns))).withColumn("_dy", around((-1, 0, 1)))
-        wide = wide.withColumns({"_tx": F.pmod(tx(lon) + F.col("_dx"), F.lit(columns)), "_ty": ty(lat) + F.col("_dy")})
-        pairs = wide.join(refs.withColumns({"_tx": tx(ref_lon), "_ty": ty(ref_lat)}), [*by, "_tx", "_ty"])
-        if other_than:
-            pairs = pairs.where(F.col(ref_id) != F.col(other_than))
-        best = _least(pairs.withColumn("distance_km", distance), point, carried, ref_id).join(left, point)
-        beside = F.asin(F.cos(F.radians(F.col(lat))) * F.sin(F.radians(F.lit(float(min(size, 90))))))
-        edge = F.least(beside, F.radians(F.lit(float(size)))) * (geo.EARTH_KM * (1 - 1e-9))
-        done = cut(best if last else best.where(F.col("distance_km") < edge))
-        found.append(done.drop(lat, lon))
-        left = cut(left.join(done.select(*point), point, "left_anti"))
-        if left.isEmpty():
-            break
-        size *= 4
-    return reduce(DataFrame.unionByName, found)
-
-
-def nearest(points: DataFrame, refs: DataFrame, *, point: str = "cell", lat: str = "lat", lon: str = "lon", ref_id: str, ref_lat: str, ref_lon: str, small: int = SMALL, tile: float = 0.5) -> DataFrame:
+    return _least(pairs.withColumn("distance_km", distance if digits is None else F.round(distance, digits)), point, [c for c in refs.columns if c not in by], ref_id)
+
+
+def nearest(points: DataFrame, refs: DataFrame, *, point: str = "cell", lat: str = "lat", lon: str = "lon", ref_id: str, ref_lat: str, ref_lon: str, small: int = SMALL) -> DataFrame:
     """The nearest reference of each point and its ``distance_km``; equal distances go to the lower ``ref_id``.
 
-    A small reference table is sent to every task; a larger one is joined by tiles.  Points without coordinates and
+    A small reference table is sent to every task; a larger one is searched by a tree of tiles.  Points without coordinates and
     empty references give no row.
     """
     at = points.select(point, lat, lon).dropna().distinct()
     refs = refs.dropna(subset=[ref_lat, ref_lon])
     if not is_small(refs, small):
-        return _by_tiles(at, refs, [point], [], lat, lon, ref_id, ref_lat, ref_lon, tile)
+        return _by_tree(at, refs, [point], [], lat, lon, ref_id, ref_lat, ref_lon)
     distance = geo.haversine_km(F.col(lat), F.col(lon), F.col(ref_lat), F.col(ref_lon))
     return _least(at.crossJoin(F.broadcast(refs)).withColumn("distance_km", distance), [point], refs.columns, ref_id)
 
@@ -139,39 +117,28 @@ def nearest_port(cells: DataFrame, ports: DataFrame) -> DataFrame:
     return nearest(cells, ports, ref_id="port_seq", ref_lat="port_lat", ref_lon="port_lon")
 
 
-def nearest_planar(points: DataFrame, refs: DataFrame, *, point: str, ref_lat: str, ref_lon: str, small: int = SMALL, tile: float = 20_000.0) -> DataFrame:
+def nearest_planar(points: DataFrame, refs: DataFrame, *, point: str, ref_lat: str, ref_lon: str, small: int = SMALL) -> DataFrame:
     """All nearest references on the web map, ties as several rows, with ``distance_m``.
 
-    A small reference table is sent to every task; a larger one is joined by square tiles that widen, as in
-    :func:`nearest`, but on the plane: a point's best is final if it is nearer than a tile's side.
+    A small reference table is sent to every task; a larger one is searched by the tree of tiles on the plane.
     """
     (x1, y1), (x2, y2) = geo.mercator(F.col("lat"), F.col("lon")), geo.mercator(F.col(ref_lat), F.col(ref_lon))
     away = F.hypot(x1 - x2, y1 - y2)
     if is_small(refs, small):
         pairs = points.crossJoin(F.broadcast(refs)).withColumn("distance_m", away)
-        return pairs.withColumn("_rank", F.rank().over(W.partitionBy(point).orderBy("distance_m"))).where("_rank = 1").drop("_rank")
-    left, found, size = points.dropna(subset=["lat", "lon"]), [], tile
-    steps = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    while True:
-        at = lambda c, s=size: F.floor(c / s).cast("long")
-        wide = left.withColumn("_dx", steps).withColumn("_dy", steps).withColumns({"_tx": at(x1) + F.col("_dx"), "_ty": at(y1) + F.col("_dy")})
-        pairs = wide.join(refs.withColumns({"_tx": at(x2), "_ty": at(y2)}), ["_tx", "_ty"]).withColumn("distance_m", away).drop("_dx", "_dy", "_tx", "_ty")
-        best = pairs.withColumn("_rank", F.rank().over(W.partitionBy(point).orderBy("distance_m"))).where("_rank = 1").drop("_rank")
-        last = size > 1e9  # tiles -1 and 0 hold the whole map
-        done = cut(best if last else best.where(F.col("distance_m") < size))
-        found.append(done)
-        left = cut(left.join(done.select(point).distinct(), point, "left_anti"))
-        if last or left.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        size *= 4
-
-
-def nearest_other(points: DataFrame, refs: DataFrame, *, point: str = "cell", small: int = SMALL, tile: float = 0.5) -> DataFrame:
+    else:
+        at, flat = points.dropna(subset=["lat", "lon"]), F.lit(0.0)
+        there = refs.dropna(subset=[ref_lat, ref_lon]).withColumn("_ref", F.monotonically_increasing_id())
+        pairs = spatial.candidates(at, cut(there), [point], [], [x1, y1, flat], [x2, y2, flat], ref_id="_ref").drop("_ref").join(at, point).withColumn("distance_m", away)
+    return pairs.withColumn("_rank", F.rank().over(W.partitionBy(point).orderBy("distance_m"))).where("_rank = 1").drop("_rank")
+
+
+def nearest_other(points: DataFrame, refs: DataFrame, *, point: str = "cell", small: int = SMALL) -> DataFrame:
     """Nearest reference with another id than the point; if there is none, the point's own.  Distances equal to 9 digits are a tie."""
     other = refs.select(F.col(point).alias("ref"), F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon")).dropna()
     if not is_small(other, small):
         at = points.select(point, "lat", "lon").dropna().distinct()
-        found = _by_tiles(at, other, [point], [], "lat", "lon", "ref", "ref_lat", "ref_lon", tile, other_than=point, digits=9).select(point, "ref", "distance_km")
+        found = _by_tree(at, other, [point], [], "lat", "lon", "ref", "ref_lat", "ref_lon", other_than=point, digits=9).select(point, "ref", "distance_km")
         alone = at.join(found, point, "left_anti").join(other, F.col(point) == F.col("ref")).select(point, "ref", F.lit(0.0).alias("distance_km"))
         return found.unionByName(alone)
     pairs = points.select(point, "lat", "lon").crossJoin(F.broadcast(other)).withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("ref_lat"), F.col("ref_lon")))
@@ -185,10 +152,10 @@ def weekly_seeds(panel: DataFrame, value: str, q: float = 0.9, *, week: str = "w
     return panel.join(cut, week).where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
-def nearest_in_week(panel: DataFrame, seeds: DataFrame, *, week: str = "week", cell: str = "cell", carry: tuple[str, ...] = (), small: int = SMALL, tile: float = 0.5) -> DataFrame:
+def nearest_in_week(panel: DataFrame, seeds: DataFrame, *, week: str = "week", cell: str = "cell", carry: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """Distance of every row to the nearest seed of its week, with the seed's place; null where a week has no seeds.
 
-    Few seeds are compared with each row of their week; many are joined by week and tile.
+    Few seeds are compared with each row of their week; many are searched by a tree of tiles for each week.
     """
     s = seeds.select(week, F.col(cell).alias("seed_cell"), F.col("lat").alias("seed_lat"), F.col("lon").alias("seed_lon"), *carry).dropna(subset=["seed_lat", "seed_lon"])
     rows = panel.select(week, cell, "lat", "lon")
@@ -197,7 +164,7 @@ def nearest_in_week(panel: DataFrame, seeds: DataFrame, *, week: str = "week", c
         pairs = placed.join(F.broadcast(s), week).withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("seed_lat"), F.col("seed_lon")))
         best = _least(pairs, [week, cell], ["seed_cell", "seed_lat", "seed_lon", *carry], "seed_cell")
     else:
-        best = _by_tiles(placed, s, [week, cell], [week], "lat", "lon", "seed_cell", "seed_lat", "seed_lon", tile)
+        best = _by_tree(placed, s, [week, cell], [week], "lat", "lon", "seed_cell", "seed_lat", "seed_lon")
     return rows.select(week, cell).join(best, [week, cell], "left")
 
 
@@ -213,15 +180,15 @@ def hotspots(panel: DataFrame, signals: list[str], q: float = 0.9, least: int =
     return panel.join(cuts, week).withColumn("tag", tag).where("tag <> ''").drop(*[f"_{s}" for s in signals])
 
 
-def focal_distances(cells: DataFrame, ports: DataFrame, hubs: dict[str, list[str]]) -> DataFrame:
-    """A distance column for each port and, for each hub, the least of its ports'.  More than ``MOST_COLUMNS`` ports are refused."""
-    listed = ports.orderBy("port_seq").limit(MOST_COLUMNS + 1).collect()
-    if len(listed) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} ports: join distances as rows instead")
-    by_port = {r.port: geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(r.port_lat), F.lit(r.port_lon)) for r in listed}
-    columns = {f"km_{name}": d for name, d in by_port.items()}
-    columns |= {f"km_{hub}": F.least(*[by_port[p] for p in members]) if len(members) > 1 else by_port[members[0]] for hub, members in hubs.items()}
-    return cells.withColumns(columns)
+def focal_distances(cells: DataFrame, ports: DataFrame, hubs: DataFrame, km: float) -> DataFrame:
+    """A row for each cell and port at most ``km`` apart, and for each cell and hub with such a port, its nearest one: ``cell``, ``kind``, ``focal``, ``km``.
+
+    ``hubs`` has the ports of each hub as rows (``hub``, ``port``), so there may be any number of ports and hubs.
+    """
+    near = cut(spatial.within(cells.select("cell", "lat", "lon"), ports, km, ref_lat="port_lat", ref_lon="port_lon").select("cell", "port", F.col("distance_km").alias("km")))
+    by_hub = near.join(hubs, "port").groupBy("cell", F.col("hub").alias("focal")).agg(F.min("km").alias("km"))
+    one = near.select("cell", F.lit("port").alias("kind"), F.col("port").alias("focal"), "km")
+    return one.unionByName(by_hub.select("cell", F.lit("hub").alias("kind"), "focal", "km"))
 
 
 def lagged_lookup(panel: DataFrame, yearly: DataFrame, value: str, lags: int = 2, *, week: str = "week") -> DataFrame:
@@ -268,15 +235,14 @@ def as_of_nearest(rows: DataFrame, weeks: DataFrame, ts: str = "ts") -> DataFram
 
 
 def port_pairs(cells: DataFrame, ports: DataFrame, within: tuple[float, ...] = (25, 50, 100)) -> DataFrame:
-    """For each pair of ports: their distance and the cells within so many kilometres of both.
+    """For each pair of ports that share a cell within the widest of some distances: how far they are apart and the cells within each distance of both.
 
-    The result has the square of the ports in rows; more than ``MOST_COLUMNS`` ports are refused.
+    Cells bring the pairs of the ports near them, summed before the shuffle; ports without a common cell never meet.
     """
-    if not is_small(ports, MOST_COLUMNS):
-        raise ValueError(f"more than {MOST_COLUMNS} ports")
-    p = lambda s: ports.select(*[F.col(c).alias(f"{c}_{s}") for c in ("port", "port_lat", "port_lon")])
-    pairs = p("a").crossJoin(F.broadcast(p("b"))).where("port_a < port_b")
-    km = lambda s: geo.haversine_km(F.col("lat"), F.col("lon"), F.col(f"port_lat_{s}"), F.col(f"port_lon_{s}"))
-    near = cells.select("lat", "lon").crossJoin(F.broadcast(pairs)).withColumn("_far", F.greatest(km("a"), km("b")))
+    near = cut(spatial.within(cells.select("cell", "lat", "lon"), ports, max(within), ref_lat="port_lat", ref_lon="port_lon").select("cell", "port", "port_lat", "port_lon", F.col("distance_km").alias("km")))
+    side = lambda s: near.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("port", "port_lat", "port_lon", "km")])
+    both = side("a").join(side("b"), "cell").where("port_a < port_b").withColumn("_far", F.greatest("km_a", "km_b"))
     apart = geo.haversine_km(F.col("port_lat_a"), F.col("port_lon_a"), F.col("port_lat_b"), F.col("port_lon_b"))
-    return near.groupBy("port_a", "port_b").agg(F.round(F.first(apart), 6).alias("port_distance_km"), *[F.sum((F.col("_far") <= d).cast("long")).alias(f"cells_{d:g}") for d in within]).withColumn("overlap", F.when(F.col(f"cells_{within[0]:g}") > 0, "strong").otherwise("weak"))
+    counted = both.groupBy("port_a", "port_b", "port_lat_a", "port_lon_a", "port_lat_b", "port_lon_b").agg(*[F.sum((F.col("_far") <= d).cast("long")).alias(f"cells_{d:g}") for d in within])
+    told = counted.withColumns({"port_distance_km": F.round(apart, 6), "overlap": F.when(F.col(f"cells_{within[0]:g}") > 0, "strong").otherwise("weak")})
+    return told.select("port_a", "port_b", "port_distance_km", *[f"cells_{d:g}" for d in within], "overlap")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys
 from ..operators import aggregates as A
-from ..operators import joins, order, windows
+from ..operators import joins, order, spatial, windows
 from . import views as V
 from .registry import query
 
@@ -72,7 +72,7 @@ def prj_land_adjacent_or_tercile(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT DISTINCT c.cell FROM cells c JOIN ports_v p ON {V.hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")} <= 40""")
 def prj_within_any_port(spark: SparkSession, d: str) -> DataFrame:
     cells = V.obs(spark, d).select("cell", "lat", "lon").distinct()
-    return joins.nearest_port(cells, V.ports(spark, d)).where("distance_km <= 40").select("cell")
+    return spatial.within(cells, V.ports(spark, d), 40, ref_lat="port_lat", ref_lon="port_lon").select("cell").distinct()
 
 
 @query("""SELECT port, count(*) AS n FROM port_near WHERE port NOT IN ('Supplier#000000002','Supplier#2') AND port_km BETWEEN 0 AND 120 GROUP BY port""")
@@ -203,11 +203,15 @@ def join_nearest_hotspot(spark: SparkSession, d: str) -> DataFrame:
     return joins.nearest_in_week(p, hot, carry=("tag",)).select("cell", "week", R(F.col("distance_km")).alias("distance_km"))
 
 
-@query(f"""SELECT c.cell, round(max(CASE WHEN port_seq=1 THEN km END),6) AS km_1, round(max(CASE WHEN port_seq=2 THEN km END),6) AS km_2, round(min(CASE WHEN port_seq IN (1,2) THEN km END),6) AS km_hub FROM (SELECT c.cell, p.port_seq, {V.hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")} AS km FROM cells c CROSS JOIN ports_v p) c GROUP BY c.cell""")
+_FOCAL = f"""near AS (SELECT c.cell, p.port, p.hub, {V.hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")} AS km FROM cells c JOIN ports_v p ON {V.hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")}<=150)"""
+
+
+@query("""SELECT cell, 'port' AS kind, port AS focal, round(km,6) AS km FROM near UNION ALL SELECT cell, 'hub', hub, round(min(km),6) FROM near GROUP BY cell, hub""", _FOCAL)
 def join_focal_and_hub_distances(spark: SparkSession, d: str) -> DataFrame:
-    ports = V.ports(spark, d).withColumn("port", F.col("port_seq").cast("string"))
+    """Every cell with the ports within 150 km, and with the hubs (all ports of a nation) by their nearest one."""
+    ports = V.ports(spark, d)
     cells = V.obs(spark, d).select("cell", "lat", "lon").distinct()
-    return joins.focal_distances(cells, ports, {"hub": ["1", "2"]}).select("cell", *[R(F.col(c)).alias(c) for c in ("km_1", "km_2", "km_hub")])
+    return joins.focal_distances(cells, ports.drop("hub"), ports.select("hub", "port"), 150).withColumn("km", R(F.col("km")))
 
 
 YEARLY = "yearly AS (SELECT cell, CAST(year(week) AS INT) AS y, sum(CAST(round(traffic*100) AS HUGEINT))/100.0 AS traffic FROM lp GROUP BY ALL)"
@@ -274,9 +278,11 @@ def join_as_of_nearest_week(spark: SparkSession, d: str) -> DataFrame:
     return joins.as_of_nearest(o.select("event_id", "ts"), o.select("week").distinct()).select("event_id", "nearest_week")
 
 
-@query(f"""SELECT *, CASE WHEN cells_25>0 THEN 'strong' ELSE 'weak' END AS overlap FROM (SELECT a.port AS port_a, b.port AS port_b, round({V.hav("a.port_lat", "a.port_lon", "b.port_lat", "b.port_lon")},6) AS port_distance_km,
-{", ".join(f'''(SELECT count(*) FROM cells c WHERE greatest({V.hav("c.lat", "c.lon", "a.port_lat", "a.port_lon")},{V.hav("c.lat", "c.lon", "b.port_lat", "b.port_lon")})<={k}) AS cells_{k}''' for k in (25, 50, 100))} FROM ports_v a JOIN ports_v b ON a.port<b.port)""")
+@query(f"""SELECT *, CASE WHEN cells_25>0 THEN 'strong' ELSE 'weak' END AS overlap FROM (SELECT a.port AS port_a, b.port AS port_b, round(max({V.hav("a.port_lat", "a.port_lon", "b.port_lat", "b.port_lon")}),6) AS port_distance_km,
+{", ".join(f"count(*) FILTER (greatest(a.km, b.km)<={k}) AS cells_{k}" for k in (25, 50, 100))} FROM near a JOIN near b ON a.cell=b.cell AND a.port<b.port GROUP BY a.port, b.port)""",
+       f"""near AS (SELECT c.cell, p.*, {V.hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")} AS km FROM cells c JOIN ports_v p ON {V.hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")}<=100)""")
 def join_port_pair_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ports with a common cell within 100 km of both, from all suppliers."""
     return joins.port_pairs(V.obs(spark, d).select("cell", "lat", "lon").distinct(), V.ports(spark, d))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..functions import geo, keys
 from ..operators import aggregates as A
-from ..operators import joins, order, windows
+from ..operators import joins, order, spatial, windows
 from . import views as V
 from .joining import _band_sql
 from .registry import query
@@ -76,10 +76,10 @@ def agg_week_summary(spark: SparkSession, d: str) -> DataFrame:
     return order.medians(made, s, ["week", "indicator"], "value")
 
 
-@query("""SELECT port, week, round(avg(vessel),6) AS vessel, round(avg(no2),6) AS no2, round(avg(CAST(shoreward AS DOUBLE)),6) AS shoreward_share, count(*) AS n FROM feat WHERE port_km<=80 GROUP BY port, week""")
+@query("""SELECT port, week, round(avg(vessel),9) AS vessel, round(avg(no2),9) AS no2, round(avg(CAST(shoreward AS DOUBLE)),9) AS shoreward_share, count(*) AS n FROM feat WHERE port_km<=80 GROUP BY port, week""")
 def agg_port_week(spark: SparkSession, d: str) -> DataFrame:
     f = V.features(spark, d).where("port_km <= 80")
-    return f.groupBy("port", "week").agg(R(F.avg("vessel")).alias("vessel"), R(F.avg("no2")).alias("no2"), R(F.avg((F.col("shoreward") == 1).cast("double"))).alias("shoreward_share"), F.count("*").alias("n"))
+    return f.groupBy("port", "week").agg(F.round(F.avg("vessel"), 9).alias("vessel"), F.round(F.avg("no2"), 9).alias("no2"), F.round(F.avg((F.col("shoreward") == 1).cast("double")), 9).alias("shoreward_share"), F.count("*").alias("n"))
 
 
 @query("""SELECT port, round(avg(vessel),6) AS vessel, round(avg(no2),6) AS no2, round(avg(vessel/(1+port_km)),6) AS exposure, count(*) AS n FROM feat GROUP BY port""")
@@ -139,9 +139,12 @@ def agg_band_dominance(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT p.port, round(min(km),6) AS nearest_km, {", ".join(f"CAST(sum((km<={k})::INT) AS BIGINT) AS cells_{k}" for k in (25, 50, 100, 200))} FROM (SELECT p.port, {V.hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")} AS km FROM cells c CROSS JOIN ports_v p) p GROUP BY p.port""")
 def agg_grid_coverage_of_ports(spark: SparkSession, d: str) -> DataFrame:
     cells = V.obs(spark, d).select("cell", "lat", "lon").distinct()
-    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("port_lat"), F.col("port_lon"))
-    pairs = cells.crossJoin(F.broadcast(V.ports(spark, d))).withColumn("km", km)
-    return pairs.groupBy("port").agg(R(F.min("km")).alias("nearest_km"), *[F.sum((F.col("km") <= k).cast("long")).alias(f"cells_{k}") for k in (25, 50, 100, 200)])
+    """How far every port is from the grid, and its cells within some distances."""
+    ports = V.ports(spark, d)
+    nearest = joins.nearest(ports, cells, point="port", lat="port_lat", lon="port_lon", ref_id="cell", ref_lat="lat", ref_lon="lon")
+    around = spatial.within(cells, ports, 200, ref_lat="port_lat", ref_lon="port_lon").groupBy("port").agg(*[F.sum((F.col("distance_km") <= k).cast("long")).alias(f"cells_{k}") for k in (25, 50, 100, 200)])
+    none = F.lit(0).cast("long")
+    return nearest.join(around, "port", "left").select("port", R(F.col("distance_km")).alias("nearest_km"), *[F.coalesce(f"cells_{k}", none).alias(f"cells_{k}") for k in (25, 50, 100, 200)])
 
 
 @query("""SELECT round(avg(CASE WHEN port_km<50 THEN no2 END),6) AS near, round(avg(CASE WHEN port_km>=50 AND port_km<=100 THEN no2 END),6) AS mid, round(avg(CASE WHEN port_km>100 THEN no2 END),6) AS far, count(*) AS n FROM feat""")
@@ -152,9 +155,10 @@ def agg_near_mid_far(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT b.port AS focal, f.port AS assigned, count(*) AS n FROM feat f JOIN ports_v b ON {V.hav("f.lat", "f.lon", "b.port_lat", "b.port_lon")}<=60 GROUP BY ALL""")
 def agg_focal_versus_assigned(spark: SparkSession, d: str) -> DataFrame:
-    f = V.features(spark, d).select("cell", "lat", "lon", F.col("port").alias("assigned"))
-    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("port_lat"), F.col("port_lon"))
-    return f.crossJoin(F.broadcast(V.ports(spark, d))).where(km <= 60).groupBy(F.col("port").alias("focal"), "assigned").agg(F.count("*").alias("n"))
+    """Weeks of cells within 60 km of a port by the port that they are assigned to."""
+    f = V.features(spark, d).groupBy("cell", "lat", "lon", F.col("port").alias("assigned")).agg(F.count("*").alias("weeks"))
+    near = spatial.within(f, V.ports(spark, d), 60, ref_lat="port_lat", ref_lon="port_lon")
+    return near.groupBy(F.col("port").alias("focal"), "assigned").agg(F.sum("weeks").alias("n"))
 
 
 @query(f"""SELECT port, round(avg(m),6) AS pooled FROM (SELECT port, {PORT} AS band, avg(vessel) AS m FROM feat GROUP BY ALL) GROUP BY port""")
@@ -336,7 +340,7 @@ def agg_coverage_by_port(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT week, arg_max(port, struct_pack(n := n, p := CAST(-port_seq AS BIGINT))) AS port FROM (SELECT week, f.port, port_seq, count(*) AS n FROM feat f JOIN ports_v USING (port) WHERE vessel>50 GROUP BY ALL) GROUP BY week""")
 def agg_modal_port(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent port of each week's events; the first port of the list on ties."""
-    f = V.features(spark, d).where("vessel > 50").join(F.broadcast(V.ports(spark, d).select("port", "port_seq")), "port")
+    f = V.features(spark, d).where("vessel > 50").join(V.ports(spark, d).select("port", "port_seq"), "port")
     c = f.groupBy("week", "port", "port_seq").count()
     return c.groupBy("week").agg(F.max_by("port", F.struct("count", -F.col("port_seq"))).alias("port"))
 

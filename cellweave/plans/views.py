@@ -50,8 +50,10 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 5")
-    return s.select(F.col("s_suppkey").alias("port_seq"), F.col("s_name").alias("port"), (54.2 + F.col("s_suppkey") * 0.8).alias("port_lat"), (17.9 + F.col("s_suppkey") * 0.07).alias("port_lon"))
+    """All suppliers as ports: five rows along the coast, wrapped after 400, then a little north."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    lat = 54.2 + k % 5 * 0.8 + F.floor(k / 400) % 250 * 0.003
+    return s.select(F.col("s_suppkey").alias("port_seq"), F.col("s_name").alias("port"), lat.alias("port_lat"), (17.9 + k % 400 * 0.07).alias("port_lon"), F.concat(F.lit("hub"), F.col("s_nationkey")).alias("hub"))
 
 
 def coast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +115,7 @@ cells AS (SELECT DISTINCT cell, user_id, lat, lon FROM obs),
 weeks AS (SELECT unnest(generate_series((SELECT min(week) FROM obs), (SELECT max(week) FROM obs), INTERVAL 7 DAY)) AS week),
 panel AS (SELECT c.cell, k.week, c.user_id, c.lat, c.lon, {", ".join("w." + v for v in VALUES)}, coalesce(w.n_obs, 0) AS n_obs
   FROM cells c CROSS JOIN weeks k LEFT JOIN weekly w ON w.cell=c.cell AND w.week=k.week),
-ports_v AS (SELECT s_suppkey AS port_seq, s_name AS port, 54.2+s_suppkey*0.8 AS port_lat, 17.9+s_suppkey*0.07 AS port_lon FROM supplier WHERE s_suppkey<=5),
+ports_v AS (SELECT s_suppkey AS port_seq, s_name AS port, 54.2+s_suppkey%5*0.8+s_suppkey//400%250*0.003 AS port_lat, 17.9+s_suppkey%400*0.07 AS port_lon, 'hub'||s_nationkey AS hub FROM supplier),
 coast_v AS (SELECT CAST(n_nationkey AS BIGINT) AS coast_id, 53.9+n_nationkey*0.21 AS coast_lat, 17.95-(n_nationkey%3)*0.05 AS coast_lon FROM nation),
 boxes_v AS (SELECT n_name AS record_id, 18.0+(n_nationkey%4)*0.1 AS minx, 54.0+n_nationkey*0.2 AS miny, 18.12+(n_nationkey%4)*0.1 AS maxx, 54.33+n_nationkey*0.2 AS maxy FROM nation),
 port_near AS (SELECT * FROM (SELECT c.cell, p.port, {hav("c.lat", "c.lon", "p.port_lat", "p.port_lon")} AS port_km,

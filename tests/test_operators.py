@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import geo, keys
-from cellweave.operators import aggregates, indices, joins, modelling, order, stats, windows
+from cellweave.operators import aggregates, indices, joins, modelling, order, spatial, stats, windows
 from cellweave.plans import evidence
 from cellweave.sources import landed
 
@@ -59,22 +59,27 @@ def test_nearest_by_tiles_equals_brute_force(spark):
     refs = [(i, rnd.uniform(-60, 60), rnd.uniform(-100, 100)) for i in range(40)] + [(99, None, 2.0)]
     p, r = spark.createDataFrame(points, "cell string, lat double, lon double"), spark.createDataFrame(refs, "ref long, rlat double, rlon double")
     how = {"ref_id": "ref", "ref_lat": "rlat", "ref_lon": "rlon"}
-    rows = lambda small: {x.cell: (x.ref, round(x.distance_km, 6)) for x in joins.nearest(p, r, **how, small=small, tile=2.0).collect()}
+    rows = lambda small: {x.cell: (x.ref, round(x.distance_km, 6)) for x in joins.nearest(p, r, **how, small=small).collect()}
     assert rows(0) == rows(1000) and len(rows(0)) == 60
     assert joins.nearest(p, r.where("false"), **how).count() == 0
 
 
-@pytest.mark.parametrize("tile", [0.5, 3.0, 50.0])
-def test_tiles_hold_at_the_seam_and_the_poles(spark, tile):
-    rnd = random.Random(4)
+def globe(rnd, n):
     spot = lambda: (rnd.choice([rnd.uniform(-90, 90), 90.0, -90.0, rnd.uniform(88, 90), rnd.uniform(-90, -89)]), rnd.choice([rnd.uniform(-180, 180), 180.0, -180.0, rnd.uniform(179, 180), rnd.uniform(-180, -179.9)]))
-    points = [(f"p{i}", *spot()) for i in range(60)] + [("seam", 0.0, 179.99)]
-    refs = [(i, *spot()) for i in range(30)] + [(98, 0.0, -179.99), (99, 0.0, 179.7)]
+    return [spot() for _ in range(n)]
+
+
+@pytest.mark.parametrize("cap", [64, 2])
+def test_tiles_hold_at_the_seam_and_the_poles(spark, cap, monkeypatch):
+    monkeypatch.setattr(spatial.candidates, "__kwdefaults__", spatial.candidates.__kwdefaults__ | {"cap": cap})
+    rnd = random.Random(4)
+    points = [(f"p{i}", *x) for i, x in enumerate(globe(rnd, 60))] + [("seam", 0.0, 179.99)]
+    refs = [(i, *x) for i, x in enumerate(globe(rnd, 30))] + [(98, 0.0, -179.99), (99, 0.0, 179.7)]
     p, r = spark.createDataFrame(points, "cell string, lat double, lon double"), spark.createDataFrame(refs, "ref long, rlat double, rlon double")
     how = {"ref_id": "ref", "ref_lat": "rlat", "ref_lon": "rlon"}
-    km = lambda small: {x.cell: round(x.distance_km, 6) for x in joins.nearest(p, r, **how, small=small, tile=tile).collect()}
+    km = lambda small: {x.cell: round(x.distance_km, 6) for x in joins.nearest(p, r, **how, small=small).collect()}
     assert km(0) == km(1000) and len(km(0)) == 61 and km(0)["seam"] < 2.3
-    others = lambda small: {x.cell: round(x.distance_km, 6) for x in joins.nearest_other(p, p, small=small, tile=tile).collect()}
+    others = lambda small: {x.cell: round(x.distance_km, 6) for x in joins.nearest_other(p, p, small=small).collect()}
     assert others(0) == others(1000) and len(others(0)) == 61
     lone = p.where("cell = 'seam'")
     assert [tuple(x) for x in joins.nearest_other(lone, lone, small=0).collect()] == [("seam", "seam", 0.0)]
@@ -89,6 +94,71 @@ def test_planar_tiles_equal_all_pairs(spark):
     assert rows(0) == rows(1000)
 
 
+def haversine(a, b):
+    (p, q), (r, s) = np.radians(a).T, np.radians(b).T
+    h = np.sin((r[None] - p[:, None]) / 2) ** 2 + np.cos(p)[:, None] * np.cos(r)[None] * np.sin((s[None] - q[:, None]) / 2) ** 2
+    return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+
+
+def test_crowded_tile_is_searched_by_its_tree(spark):
+    """Points and references in a square of a hundredth of a degree, most references in one corner and copies among them, far points beside them."""
+    draw = np.random.default_rng(5)
+    refs = np.concatenate([60 + draw.random((6000, 2)) * 1e-3, 60 + draw.random((500, 2)) * 1e-2, np.repeat([[60.0051, 60.0049]], 800, axis=0)])
+    points = np.concatenate([60 + draw.random((1500, 2)) * 1e-2, 60 + draw.random((500, 2)) * 1e-3, [[61.0, 60.0], [-60.0, -120.0]]])
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(points)], "cell int, lat double, lon double").repartition(4)
+    r = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(refs)], "ref int, rlat double, rlon double").repartition(4)
+    at, there = spatial.on_sphere(F.col("lat"), F.col("lon")), spatial.on_sphere(F.col("rlat"), F.col("rlon"))
+    lone = r.groupBy("rlat", "rlon").agg(F.min("ref").alias("ref"))
+    pairs = spatial.candidates(p, lone, ["cell"], [], at, there, ref_id="ref").count()
+    assert pairs < 400 * len(points)  # a few tiles of at most 64 for each point, not all 6,501
+    got = {x.cell: (x.ref, x.distance_km) for x in joins.nearest(p, r, ref_id="ref", ref_lat="rlat", ref_lon="rlon").collect()}
+    km = haversine(points, refs)
+    for i, row in enumerate(km):
+        ref, d = got[i]
+        assert d == pytest.approx(row.min(), abs=1e-9) and row[ref] == pytest.approx(row.min(), abs=1e-9)
+    on_copies = [i for i, row in enumerate(km) if row.argmin() >= 6500]
+    assert on_copies and all(got[i][0] == 6500 for i in on_copies)
+
+
+@pytest.mark.parametrize("km", [0.5, 40.0, 900.0, 9000.0, 30000.0])
+def test_radius_join_equals_all_pairs(spark, km):
+    rnd = random.Random(8)
+    points, refs = globe(rnd, 80) + [(0.0, 179.999), (60.0, 18.0), (60.0, 18.0)], globe(rnd, 60) + [(0.0, -179.999), (60.001, 18.001), (90.0, 5.0)]
+    p = spark.createDataFrame([(i, *x) for i, x in enumerate(points)] + [(-1, None, 3.0)], "cell int, lat double, lon double")
+    r = spark.createDataFrame([(i, *x) for i, x in enumerate(refs)] + [(-1, 3.0, None)], "ref int, rlat double, rlon double")
+    got = [(x.cell, x.ref) for x in spatial.within(p, r, km, ref_lat="rlat", ref_lon="rlon").collect()]
+    d = haversine(np.array(points), np.array(refs))
+    assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= km), strict=True)}
+    assert spatial.within(p.where("false"), r, km, ref_lat="rlat", ref_lon="rlon").count() == 0
+
+
+def test_pairs_and_hubs_of_any_number_of_ports(spark):
+    rnd = random.Random(9)
+    ports = [(f"port{i:03}", 55 + rnd.random() * 4, 18 + rnd.random() * 4) for i in range(600)]
+    cells = [(f"c{i}", 55 + rnd.random() * 4, 18 + rnd.random() * 4) for i in range(60)]
+    c = spark.createDataFrame(cells, "cell string, lat double, lon double")
+    p = spark.createDataFrame(ports, "port string, port_lat double, port_lon double")
+    d = haversine(np.array([x[1:] for x in cells]), np.array([x[1:] for x in ports]))
+    want = {}
+    for row in d:
+        near = np.flatnonzero(row <= 40)
+        for i, a in enumerate(near):
+            for b in near[i + 1 :]:
+                n = want.setdefault((ports[a][0], ports[b][0]), [0, 0])
+                n[0] += max(row[a], row[b]) <= 15
+                n[1] += 1
+    got = {(r.port_a, r.port_b): [r.cells_15, r.cells_40] for r in joins.port_pairs(c, p, (15, 40)).collect()}
+    assert got == want and len(want) > 500
+    hubs = spark.createDataFrame([(f"hub{i % 7}", x[0]) for i, x in enumerate(ports)], "hub string, port string")
+    told = {(r.cell, r.kind, r.focal): r.km for r in joins.focal_distances(c, p, hubs, 60).collect()}
+    whole = {(cells[i][0], "port", ports[j][0]): d[i, j] for i, j in zip(*np.nonzero(d <= 60), strict=True)}
+    for i, (cell, *_) in enumerate(cells):
+        for h in range(7):
+            if (least := d[i, h::7].min()) <= 60:
+                whole[cell, "hub", f"hub{h}"] = least
+    assert told.keys() == whole.keys() and all(told[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)
+
+
 def skewed(spark):
     rnd = random.Random(7)
     rows = [("a", float(rnd.randint(0, 9)), rnd.random()) for _ in range(300)] + [("b", rnd.random(), None) for _ in range(200)] + [("c", 0.0, 1.0)] * 500 + [("d", None, 2.0), ("e", 3.5, None), ("e", -1.0, -0.0)]
