@@ -7,8 +7,11 @@ incomplete beta function is needed, from a pandas UDF over the result rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -180,26 +183,97 @@ def anova(rows: DataFrame, by: list[str], group: str, value: str = "value") -> D
     return t.withColumn("p", f_p(F.col("f"), F.col("d1"), F.col("d2"))).select(*by, F.col("k").alias("groups"), "n", F.round("f", 4).alias("f"), F.round("p", 6).alias("p"))
 
 
+def _hashed_again(seeds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """XXH64 of each number as 32 bits with each seed, as the SQL function of that name hashes one more integer column."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seeds + five + np.uint64(4))[:, None] ^ (numbers.astype(np.uint64) * one)[None, :]
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * two + three
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
+class Draws:
+    """Sums of Poisson weights and of weighted values for all draws of each group that comes along."""
+
+    def __init__(self, draws: int, seed: int, most: int = 2_000_000) -> None:
+        cdf, p, total = [], math.exp(-1), 0.0
+        for k in range(7):
+            total += p
+            cdf.append(round(total * 65536))
+            p /= k + 1
+        self.cdf, self.draws, self.most = np.array(cdf), draws, most
+        self.lanes = np.arange(seed, seed + -(-draws // 4))
+        self.groups: dict[str, np.ndarray] = {}
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        """A row for each hash, a column for each draw; a hash and a lane make four draws of 16 bits."""
+        parts = _hashed_again(hashes, self.lanes)[:, :, None] >> np.arange(0, 64, 16, dtype=np.uint64)[None, None, :]
+        return np.searchsorted(self.cdf, (parts & np.uint64(0xFFFF)).reshape(len(hashes), -1)[:, : self.draws], side="right")
+
+    def add(self, group: np.ndarray, names: list[str], values: np.ndarray, hashes: np.ndarray) -> None:
+        order = np.argsort(group, kind="stable")
+        for at in np.array_split(order, max(1, -(-len(order) // 1024))):
+            weights = self.weights(hashes[at]).astype(np.float64)
+            starts = np.flatnonzero(np.r_[True, np.diff(group[at]) != 0])
+            for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+                held = self.groups.setdefault(names[group[at[a]]], np.zeros((2, self.draws)))
+                held[0] += weights[a:b].sum(axis=0)
+                held[1] += values[at[a:b]] @ weights[a:b]
+
+    def full(self) -> bool:
+        return len(self.groups) * self.draws > self.most
+
+    def emit(self) -> pa.RecordBatch:
+        held, self.groups = self.groups, {}
+        lists = [pa.array([x[k] for x in held.values()], pa.list_(pa.float64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *lists], ["_g", "_w", "_wv"])
+
+
 def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, draws: int = 500, seed: int = 42, key: tuple[str, ...] = ("cell", "week")) -> DataFrame:
-    """Mean with a 95 % interval from Poisson resampling: a row's weight in each draw comes from a hash of its key,
-    so the result does not depend on partitions.  A hash has four draws of 16 bits; sums are partial before the shuffle,
-    which has a row for each group and four draws from every task.
+    """Mean with a 95 % interval from Poisson resampling: a row's weight in each draw comes from a hash of its key, so
+    the result does not depend on partitions.
+
+    Each task reads its rows once and adds the weights of all draws to two vectors for each group, so rows are never
+    multiplied; the vectors, one pair for each group and task, are summed by group and turned into limits there.  A
+    group without values has no limits.
     """
-    cdf, p, total = [], math.exp(-1), 0.0
-    for k in range(7):
-        total += p
-        cdf.append(total)
-        p /= k + 1
-    lanes = -(-draws // 4)
-    some = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), *key, F.explode(F.sequence(F.lit(seed), F.lit(seed + lanes - 1))).alias("_b"))
-    hashed = some.select(*by, "_v", "_b", F.xxhash64(*key, "_b").alias("_h"))
-    part = lambda i: F.shiftrightunsigned("_h", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    weight = lambda i: sum(((part(i) >= round(c * 65536)).cast("int") for c in cdf), F.lit(0)).alias(f"_w{i}")
-    weighed = hashed.select(*by, "_v", "_b", *[weight(i) for i in range(4)])
-    means = weighed.groupBy(*by, "_b").agg(*[F.try_divide(F.sum(F.col(f"_w{i}") * F.col("_v")), F.sum(f"_w{i}")).alias(f"_m{i}") for i in range(4)])
-    drawn = means.select(*by, F.posexplode(F.array(*[f"_m{i}" for i in range(4)])).alias("_i", "_m"), "_b").where((F.col("_b") - seed) * 4 + F.col("_i") < draws)
-    limits = drawn.groupBy(*by).agg(F.round(F.percentile("_m", F.lit(0.025)), 6).alias("ci95_low"), F.round(F.percentile("_m", F.lit(0.975)), 6).alias("ci95_high"))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean")).join(limits, list(by), "left") if by else rows.agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean")).crossJoin(limits)
+    name = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")
+    some = rows.where(F.col(value).isNotNull()).select(name.alias("_g"), F.col(value).cast("double").alias("_v"), F.xxhash64(*key).alias("_h"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Draws(draws, seed)
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            sums.add(coded.indices.to_numpy(), coded.dictionary.to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
+            if sums.full():
+                yield sums.emit()
+        if sums.groups:
+            yield sums.emit()
+
+    def limit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, total = None, np.zeros((2, draws))
+
+        def done() -> pa.RecordBatch:
+            means = total[1][total[0] > 0] / total[0][total[0] > 0]
+            low, high = np.quantile(means, [0.025, 0.975]) if len(means) else (None, None)
+            return pa.RecordBatch.from_arrays([pa.array([inside]), pa.array([low], pa.float64()), pa.array([high], pa.float64())], ["_g", "low", "high"])
+
+        for batch in batches:
+            for k, group in enumerate(batch.column(0).to_pylist()):
+                if group != inside:
+                    if inside is not None:
+                        yield done()
+                    inside, total = group, np.zeros((2, draws))
+                for side in (0, 1):
+                    total[side] += batch.column(1 + side)[k].values.to_numpy()
+        if inside is not None:
+            yield done()
+
+    partial = some.mapInArrow(add, "_g string, _w array<double>, _wv array<double>")
+    limits = partial.repartition("_g").sortWithinPartitions("_g").mapInArrow(limit, "_g string, low double, high double")
+    means = rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean")).withColumn("_g", name)
+    return means.join(limits, "_g", "left").select(*by, "n", "mean", F.round("low", 6).alias("ci95_low"), F.round("high", 6).alias("ci95_high"))
 
 
 def jarque_bera(stack: DataFrame, by: str = "indicator", value: str = "value") -> DataFrame:

@@ -374,3 +374,34 @@ def test_repaired_layers_drop_aliases_and_empty_columns(spark):
     got = evidence.repair_layers(panel, ["a", "a_twice", "rare", "km", "b"], repaired, ["cell", "week"], static={"km": "km_proxy", "a": "a_proxy"})
     assert got.columns == ["cell", "week", "a", "km", "b", "km_proxy"]
     assert got.where("cell = 'c3' and week = 0").first().b == 99.0 and got.where("b is null").count() == 0
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_bootstrap_draws_equal_weights_of_exploded_rows(spark, by):
+    """The same draws made by multiplying rows, hashed and weighed by SQL functions alone."""
+    rnd = random.Random(12)
+    df = spark.createDataFrame([(f"c{i % 40}", i, rnd.choice("ab"), rnd.choice([None, rnd.random() * 100])) for i in range(400)] + [("x", 1, "none", None)], "cell string, week int, g string, value double").repartition(5)
+    cdf = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(7)])
+    long = df.where("value is not null").withColumn("b", F.explode(F.sequence(F.lit(42), F.lit(42 + 24)))).withColumn("h", F.xxhash64("cell", "week", "b"))
+    long = long.select(*by, "value", "b", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)])).alias("i", "part"))
+    weight = sum(((F.col("part") >= round(c * 65536)).cast("int") for c in cdf), F.lit(0))
+    means = long.groupBy(*by, "b", "i").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("m"))
+    want = {tuple(r[c] for c in by): (r.low, r.high) for r in means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).collect()}
+    got = {tuple(r[c] for c in by): r for r in stats.bootstrap_mean(df, by, "value", draws=100).collect()}
+    for k, (low, high) in want.items():
+        assert got[k].ci95_low == pytest.approx(low, abs=2e-6) and got[k].ci95_high == pytest.approx(high, abs=2e-6)
+    if by:
+        assert got["none",].n == 0 and got["none",].ci95_low is None
+    plan = stats.bootstrap_mean(df, by, "value", draws=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_draws_are_emitted_before_they_fill_a_task():
+    sums = stats.Draws(8, 42, most=16)
+    hashes = np.arange(6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sums.add(np.array([0, 1, 2, 0, 1, 2]), ["a", "b", "c"], np.arange(6.0), hashes)
+    assert sums.full()
+    batch = sums.emit()
+    assert batch.num_rows == 3 and not sums.groups
+    w = sums.weights(hashes)
+    assert batch.column(1)[0].as_py() == (w[0] + w[3]).tolist() and batch.column(2)[2].as_py() == (2 * w[2] + 5 * w[5]).tolist()
