@@ -21,9 +21,10 @@ a midpoint to its smallest one gives the same components from 65 rows a
 fingerprint, and no pairs.
 
 Near copies (:func:`near_copies`, the rule of near-duplicate stages) are texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more.  Their candidates are fingerprints of three-word sets within 9 bits, by the same
-partitions, thresholds and probes, whose five-word fingerprints differ little too; each candidate pair is verified on
-the two whole sets.  Pairs within a
+Jaccard similarity of 0.8 or more.  Each text has three fingerprints, of its sets of words and (by two hash functions) of word
+pairs; texts are candidates if any of the three is within 6 bits, by the same partitions, thresholds and probes for each.  One-bit
+min-hashes of the five-word sets, 256 bits whose distance follows the similarity itself, sort out most others before
+the rest are verified on the two whole sets.  Pairs within a
 large group are not formed: members of a crowded bucket are first held against a few pivots, and the search then looks
 for pairs of different components only, a large component never probing itself.
 """
@@ -47,6 +48,8 @@ BITS = 64
 SEED = 42
 ROW_COST = 32.0  # a shuffled probe, in checks of a candidate
 _PLACE = B.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_ODD = B.mix(np.arange(1001, 1001 + 256, dtype=np.uint64))
+PRINTS = ((2, 0), (1, 0), (2, 1))  # fingerprints in the search for near copies: words in a shingle, hash function
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -305,21 +308,41 @@ def set_fingerprints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def varied(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes under the k-th further hash function; 0 leaves them as they are."""
+    return B.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else hashes
+
+
+def signatures(hashes: np.ndarray, at: np.ndarray, longs: int = 4) -> list[np.ndarray]:
+    """One-bit min-hashes of each set as ``longs`` signed 64-bit integers: two sets differ in a bit with a chance of (1 - Jaccard) / 2; 0 for an empty set."""
+    full = np.flatnonzero(np.diff(at))
+    out = [np.zeros(len(at) - 1, np.uint64) for _ in range(longs)]
+    if len(full):
+        starts = at[:-1][full]
+        for k in range(64 * longs):
+            least = np.minimum.reduceat((hashes ^ (hashes >> np.uint64(29))) * (_ODD[k] | np.uint64(1)), starts)
+            out[k // 64][full] |= ((least >> np.uint64(17)) & np.uint64(1)) << np.uint64(k % 64)
+    return [x.view(np.int64) for x in out]
+
+
 def text_key(text: F.Column) -> F.Column:
     """128 bits that stand for a text; null is the empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _marked(docs: DataFrame, doc_id: str, text: str, shingle: int, words: int) -> DataFrame:
-    """``id``, ``key`` (see :func:`text_key`), ``fp`` and ``wide`` (of the sets of ``shingle`` and of ``words`` words) of every row."""
+def _marked(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """``id``, ``key`` (see :func:`text_key`), ``fp0`` ... by ``PRINTS``, and ``sig0`` ... ``sig3`` of the set of ``words`` words, of every row."""
+    names = [f"fp{k}" for k in range(len(PRINTS))] + [f"sig{k}" for k in range(4)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, "t", B.LESS):
-            prints = [pa.array(set_fingerprints(*shingles(batch.column("t"), n))) for n in (shingle, words)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *prints], ["id", "key", "fp", "wide"])
+            sets = {size: shingles(batch.column("t"), size) for size, _ in PRINTS}
+            prints = [set_fingerprints(varied(sets[size][0], k), sets[size][1]) for size, k in PRINTS]
+            made = [pa.array(x) for x in (*prints, *signatures(*shingles(batch.column("t"), words)))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *made], ["id", "key", *names])
 
     light = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
-    return light.mapInArrow(run, light.select("id", "key", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("wide")).schema)
+    return light.mapInArrow(run, light.select("id", "key", *[F.lit(0).cast("long").alias(n) for n in names]).schema)
 
 
 def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe: bool) -> DataFrame:
@@ -330,39 +353,43 @@ def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe:
     return nodes.select("*", way.alias("w")).select(*own(nodes), "w.p", F.col("fp").bitwiseAND(F.col("w.m")).bitwiseXOR(F.col("w.x")).alias("k"))
 
 
+def _alike(classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose 256 min-hash bits differ in no more than those of all but one in some hundred pairs of the similarity do."""
+    odds = (1 - similarity) / 2
+    most = int(256 * odds + 3 * (256 * odds * (1 - odds)) ** 0.5) + 1
+    for x in "uv":
+        pairs = pairs.join(classes.select(F.col("node").alias(x), *[F.col(f"sig{k}").alias(f"{x}{k}") for k in range(4)]), x)
+    apart = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, 4)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
+    return pairs.where(apart <= most).select("u", "v")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
     """The pairs ``u``, ``v`` of node names whose texts' sets of ``words``-word shingles reach the Jaccard similarity.
 
-    Pairs are first tried on 16-bit hashes of the shingles, a little below the threshold, since most candidates in large
-    groups fall out there; those left are judged on 32-bit hashes, where of n shingles one is taken for another of the
-    other set with a chance of n / 2^32.
+    Sets are of 32-bit hashes: of n shingles one is taken for another of the other set with a chance of n / 2^32.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, "t", B.LESS):
             hashes, at = shingles(batch.column("t"), words)
-            cuts = pa.array(at, pa.int32())
-            sets = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in ((hashes >> np.uint64(48)).astype(np.uint16).view(np.int16), (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *sets], ["node", "short", "long"])
-
-    def reach(pairs: DataFrame, u: str, v: str, kind: str, least: float) -> DataFrame:
-        one, two = (sets.select(F.col("node").alias(x), F.array_distinct(kind).alias(f"set_{x}")) for x in (u, v))
-        both = pairs.join(two, v).join(one, u)
-        shared, size = F.size(F.array_intersect(f"set_{u}", f"set_{v}")), F.size(f"set_{u}") + F.size(f"set_{v}")
-        return both.where((1 + least) * shared >= least * size - 1e-9).select(u, v)
+            sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "set"])
 
+    pairs = cut(_alike(classes, pairs, similarity))
     taking_part = pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
     wanted = sent_if_few(cut(classes.join(taking_part, "node", "left_semi").select("node", F.col("key").alias("want"), F.col("least").alias("by"))))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     texts = texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
-    sets = cut(texts.mapInArrow(run, "node binary, short array<smallint>, long array<int>").dropDuplicates(["node"]))  # repeated rows give the same sets again
-    left = cut(reach(pairs, "u", "v", "short", max(similarity - 0.03, 0.0)))
-    return reach(left.toDF("x", "y"), "x", "y", "long", similarity).toDF("u", "v")
+    sets = cut(texts.mapInArrow(run, "node binary, set array<int>").dropDuplicates(["node"]))  # repeated rows give the same sets again
+    one, two = (sets.select(F.col("node").alias(x), F.array_distinct("set").alias(f"set_{x}")) for x in "uv")
+    both = pairs.join(two, "v").join(one, "u")
+    shared, size = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
+    return both.where((1 + similarity) * shared >= similarity * size - 1e-9).select("u", "v")
 
 
 def _named(pairs: DataFrame) -> DataFrame:
-    """``u`` > ``v``, the node names of pairs of fingerprints and codes."""
-    u, v = (F.unhex(F.concat(hex16(F.col(f"code_{x}")), hex16(F.col(f"fp_{x}")))) for x in "uv")
+    """``u`` > ``v``, the node names of pairs of codes and first signatures."""
+    u, v = (F.unhex(F.concat(hex16(F.col(f"code_{x}")), hex16(F.col(f"wide_{x}")))) for x in "uv")
     return pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
 
 
@@ -370,10 +397,11 @@ def _sided(df: DataFrame, side: str) -> DataFrame:
     return df.select("p", "k", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in ("p", "k")])
 
 
-def _near(distance: int, in_all: int) -> F.Column:
-    """Whether both fingerprints of a pair allow it."""
+def _near(distance: int, similarity: float) -> F.Column:
+    """Whether a pair's fingerprints are within the distance, and the first 64 min-hash bits not farther than those of nearly all similar pairs."""
     apart = lambda c: F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v")))
-    return (apart("fp") <= distance) & (apart("fp") + apart("wide") <= in_all)
+    odds = (1 - similarity) / 2
+    return (apart("fp") <= distance) & (apart("wide") <= int(64 * odds + 3.5 * (64 * odds * (1 - odds)) ** 0.5) + 1)
 
 
 def _pivot_pairs(nodes: DataFrame, parts: list, near: F.Column, bucket: int, pivots: int) -> DataFrame | None:
@@ -399,7 +427,7 @@ def _pairs(nodes: DataFrame, parts: list, near: F.Column) -> DataFrame:
         near &= (F.col("p") <= p) | (F.bit_count(apart.bitwiseAND(F.lit(mask))) > t)
     stored = _dealt(nodes, parts, probe=False)
     small = _dealt(nodes.where("big is null").select("fp", "wide", "code", "root"), parts, probe=True)
-    above = (F.col("code_u") > F.col("code_v")) | ((F.col("code_u") == F.col("code_v")) & (F.col("fp_u") > F.col("fp_v")))
+    above = (F.col("code_u") > F.col("code_v")) | ((F.col("code_u") == F.col("code_v")) & (F.col("wide_u") > F.col("wide_v")))
     found = _named(_sided(small, "u").join(_sided(stored, "v"), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near & (F.col("big_v").isNotNull() | above)))
     if nodes.select("big").where("big is not null").distinct().limit(2).count() < 2:
         return found
@@ -410,16 +438,18 @@ def _pairs(nodes: DataFrame, parts: list, near: F.Column) -> DataFrame:
     return found.unionByName(_named(met))
 
 
-def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, in_all: int, bucket: int, pivots: int = 4, rounds: int = 1, **rule) -> DataFrame:
+def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, bucket: int, pivots: int = 4, rounds: int = 1, **rule) -> DataFrame:
     """``node`` and ``root`` of the classes that have a verified link.
 
-    Links are looked for in steps, each with what is linked already: pivots of crowded buckets, in ``rounds``; then all
-    pairs within half of the distance; then all pairs within it.  Only pairs of different components are verified.
+    Links are looked for in steps, each with what is linked already: pivots of crowded buckets, in ``rounds``, and all
+    pairs within half of the distance, by the first fingerprint; then all pairs within it, by one fingerprint after
+    the other.  Only pairs of different components are verified.
     """
     joined = None
+    near = lambda d: _near(d, rule["similarity"])
 
-    def nodes() -> DataFrame:
-        light = classes.select("node", "fp", "wide", "code")
+    def nodes(k: int) -> DataFrame:
+        light = classes.select("node", F.col(f"fp{k}").alias("fp"), F.col("sig0").alias("wide"), "code")
         if joined is None:
             return light.select("fp", "wide", "code", F.col("code").alias("root"), F.lit(None).cast("long").alias("big"))
         large = joined.groupBy("root").count().where(F.col("count") > bucket).select("root", F.xxhash64("root").alias("big"))
@@ -432,30 +462,33 @@ def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, in_all: int,
         known = [] if joined is None else [joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))]
         joined = cut(components(reduce(DataFrame.unionByName, known, more)))
 
-    parts = plan(classes, distance, row_cost=ROW_COST)
-    for _ in range(rounds):
-        if (found := _pivot_pairs(nodes(), parts, _near(distance, in_all), bucket, pivots)) is None:
-            break
-        add(found)
-    if joined is not None:  # where buckets were crowded: cheaper pairs first
-        add(_pairs(nodes(), plan(classes, distance // 2, row_cost=ROW_COST), _near(distance // 2, in_all)))
-    add(_pairs(nodes(), parts, _near(distance, in_all)))
+    for k in range(len(PRINTS)):
+        own_print = classes.select(F.col(f"fp{k}").alias("fp"))
+        parts = plan(own_print, distance, row_cost=ROW_COST)
+        if not k:
+            for _ in range(rounds):
+                if (found := _pivot_pairs(nodes(k), parts, near(distance), bucket, pivots)) is None:
+                    break
+                add(found)
+            if joined is not None:  # where buckets were crowded: cheaper pairs first
+                add(_pairs(nodes(k), plan(own_print, distance // 2, row_cost=ROW_COST), near(distance // 2)))
+        add(_pairs(nodes(k), parts, near(distance)))
     return joined
 
 
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, words: int = 5, similarity: float = 0.8, distance: int = 9, in_all: int = 18, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 6, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
     """``id`` and ``key`` of every row, and ``key``, ``copies``, ``least`` and ``root`` of every different text.
 
-    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, their
-    fingerprints of ``shingle``-word sets differ in at most ``distance`` bits, and these with those of ``words``-word
-    sets in at most ``in_all``; rows of one root are linked, directly or through others.  Letters A-Z count as lower-case, and texts without words (null too) are one group.  ``least`` is
+    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more and one of
+    their fingerprints (``PRINTS``) differs in at most ``distance`` bits, as nearly all such pairs do (figures in the README); rows of one root are linked, directly or through others.  Letters A-Z count as lower-case, and texts without words (null too) are one group.  ``least`` is
     the least id of the text's rows, null if none has one.
     """
-    rows = cut(_marked(docs, doc_id, text, shingle, words))
+    rows = cut(_marked(docs, doc_id, text, words))
     half = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
-    classes = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("code", half)
-    classes = cut(classes.withColumn("node", F.unhex(F.concat(hex16(F.col("code")), hex16(F.col("fp"))))))
-    joined = _similar(docs, classes, distance=distance, in_all=in_all, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
+    prints = [c for c in rows.columns if c not in ("id", "key")]
+    classes = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in prints], F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("code", half)
+    classes = cut(classes.withColumn("node", F.unhex(F.concat(hex16(F.col("code")), hex16(F.col("sig0"))))))
+    joined = _similar(docs, classes, distance=distance, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
     rooted = classes.join(joined, "node", "left").select("key", "copies", "least", F.coalesce("root", "node").alias("root"))
     return rows.select("id", "key"), cut(rooted)
 

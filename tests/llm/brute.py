@@ -64,42 +64,27 @@ def linked(prints, distance=2):
     return [find(i) for i in range(len(prints))]
 
 
-def near_copies(texts, distance=9, in_all=18):
-    """Least position reachable over links of near copies, and over all pairs of similar sets whatever their fingerprints."""
-    import pyarrow as pa
-
-    from cellweave.llm import simhash
-
-    def print_of(text, words, size):
-        codes = [int(x) for x in simhash.shingles(pa.array([text], pa.string()), size)[0]]
-        assert len(codes) == len({tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else ())
-        return sum(1 << b for b in range(64) if 2 * sum(c >> b & 1 for c in codes) > len(codes))
-
-    sets, prints = [], []
+def near_copies(texts, similarity=0.8):
+    """Least position reachable over all pairs of texts whose five-word sets are similar, and those pairs."""
+    sets = []
     for t in texts:
         w = BLANKLESS.findall(lower(t))
         sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-        prints.append((print_of(t, w, 3), print_of(t, w, 5)))
-    found = []
-    for limit, both in ((distance, in_all), (64, 128)):
-        root = list(range(len(sets)))
-
-        def find(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for i in range(len(sets)):
-            for j in range(i):
-                same = len(sets[i] & sets[j])
-                if (sets[i] == sets[j] or 9 * same >= 4 * (len(sets[i]) + len(sets[j])) > 0):
-                    d, e = ((prints[i][k] ^ prints[j][k]).bit_count() for k in (0, 1))
-                    if d > limit or d + e > both:
-                        continue
-                    a, b = sorted((find(i), find(j)))
-                    root[b] = a
-        found.append([find(i) for i in range(len(sets))])
-    return found
+    root, pairs = list(range(len(sets))), []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or (1 + similarity) * same >= similarity * (len(sets[i]) + len(sets[j])) - 1e-9 > 0:
+                pairs.append((j, i))
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))], pairs
 
 
 def spans(text):
