@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from . import bytespans as B
 
 SLICE = 1 << 15  # windows searched at once
+SHARD = 2 << 20  # bytes of text in a suffix array, whose sorting holds some dozens of 8-byte arrays of its words
 FOUND = "array<struct<s:long,e:long>>"
 
 
@@ -190,7 +191,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text"
 def _matcher(sent, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*sent.value)
-        for batch in B.chunked(batches, text):
+        for batch in B.chunked(batches, text, SHARD):
             words, at = words_of(batch.column(text))
             first, count, item = items.hits(words, at)
             doc = np.searchsorted(at, first, "right") - 1
