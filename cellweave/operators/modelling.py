@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import order, windows
+from . import order, trees, windows
 
 
 def modelling_frame(panel: DataFrame, columns: list[str], target: str, *, by: str = "cell", week: str = "week") -> tuple[DataFrame, list[str]]:
@@ -71,10 +71,9 @@ def fit_boosted(train: DataFrame, names: list[str], *, rounds: int = 200, depth:
     return _stages(names, gbt, flags=True).fit(train.withColumn("_held", stop))
 
 
-def fit_forest(train: DataFrame, names: list[str], *, trees: int = 300, depth: int = 30, leaf: int = 2):
-    """A forest whose trees grow until a leaf has fewer than twice ``leaf`` rows (30 levels are the most that Spark ML allows), on all features."""
-    forest = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=42)
-    return _stages(names, forest).fit(train)
+def fit_forest(train: DataFrame, names: list[str], **how) -> trees.Forest:
+    """A forest of 300 trees that grow until a leaf has fewer than twice two rows, on all features (see :func:`.trees.fit_forests`)."""
+    return trees.fit_forests(train, names, [F.lit(True)], **how)[0]
 
 
 def group_folds(df: DataFrame, k: int = 5, by: str = "cell") -> DataFrame:
@@ -150,11 +149,11 @@ def clusters(cells: DataFrame, per: int = 25, most: int = 8) -> DataFrame:
     return KMeans(k=k, seed=42, featuresCol="v", predictionCol="cluster").fit(v).transform(v).drop("v")
 
 
-def isolation_trees(sample: np.ndarray, trees: int = 50, size: int = 256, seed: int = 42) -> list[list[tuple[int, float, int, int, int]]]:
+def isolation_trees(sample: np.ndarray, n_trees: int = 50, size: int = 256, seed: int = 42) -> list[list[tuple[int, float, int, int, int]]]:
     """Random isolation trees over subsamples: nodes (feature, cut, left, right, size), feature -1 in leaves."""
     draw, out = np.random.default_rng(seed), []
     limit = math.ceil(math.log2(max(2, min(size, len(sample)))))
-    for _ in range(trees):
+    for _ in range(n_trees):
         nodes: list[tuple[int, float, int, int, int]] = []
 
         def grow(rows: np.ndarray, depth: int, nodes=nodes) -> int:
@@ -177,7 +176,7 @@ def average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def isolation_score(df: DataFrame, columns: list[str], *, sample: int = 5000, trees: int = 50) -> DataFrame:
+def isolation_score(df: DataFrame, columns: list[str], *, sample: int = 5000, n_trees: int = 50) -> DataFrame:
     """``isolation``: how few random cuts single a row out (0 to 1).  Nulls are medians.
 
     Trees grow on a bounded sample by hash of the row's key (cell and week, or all columns of a table without them),
@@ -188,7 +187,7 @@ def isolation_score(df: DataFrame, columns: list[str], *, sample: int = 5000, tr
     filled = df.withColumns({f"{c}__x": F.coalesce(F.col(c), F.lit(float(med[c] or 0.0))) for c in columns})
     xs = [f"{c}__x" for c in columns]
     rows = filled.orderBy(F.xxhash64(*key), *key).limit(sample).select(*xs).toPandas().to_numpy(float)
-    forest = isolation_trees(rows, trees) if len(rows) else []
+    forest = isolation_trees(rows, n_trees) if len(rows) else []
     norm = average_path(min(256, len(rows))) or 1.0
 
     @F.pandas_udf("double")

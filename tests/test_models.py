@@ -33,13 +33,13 @@ def test_permutation_importance_of_known_weights(spark):
 def test_isolation_sample_holds_equal_rows_in_proportion(spark, monkeypatch):
     """A third of 9,000 rows are empty: the trees' 5,000 rows hold about a third of them, wherever their common value hashes to."""
     seen, grow = [], modelling.isolation_trees
-    monkeypatch.setattr(modelling, "isolation_trees", lambda rows, trees: seen.append(rows) or grow(rows, trees))
+    monkeypatch.setattr(modelling, "isolation_trees", lambda rows, n: seen.append(rows) or grow(rows, n))
     draw = np.random.default_rng(4)
     for shift in (0.0, 1.0, 2.0):
         x = draw.normal(size=9000) + shift
         rows = [(f"c{i % 90}", i // 90, None if i % 3 == 0 else float(x[i])) for i in range(9000)]
         df = spark.createDataFrame(rows, "cell string, week int, v double")
-        modelling.isolation_score(df, ["v"], trees=5)
+        modelling.isolation_score(df, ["v"], n_trees=5)
         values, counts = np.unique(seen[-1], return_counts=True)
         assert len(seen[-1]) == 5000 and 0.28 < counts.max() / 5000 < 0.39
 
