@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import order, trees, windows
+from . import order, stats, trees, windows
 
 
 def modelling_frame(panel: DataFrame, columns: list[str], target: str, *, by: str = "cell", week: str = "week") -> tuple[DataFrame, list[str]]:
@@ -149,26 +151,55 @@ def clusters(cells: DataFrame, per: int = 25, most: int = 8) -> DataFrame:
     return KMeans(k=k, seed=42, featuresCol="v", predictionCol="cluster").fit(v).transform(v).drop("v")
 
 
-def isolation_trees(sample: np.ndarray, n_trees: int = 50, size: int = 256, seed: int = 42) -> list[list[tuple[int, float, int, int, int]]]:
-    """Random isolation trees over subsamples: nodes (feature, cut, left, right, size), feature -1 in leaves."""
-    draw, out = np.random.default_rng(seed), []
-    limit = math.ceil(math.log2(max(2, min(size, len(sample)))))
-    for _ in range(n_trees):
-        nodes: list[tuple[int, float, int, int, int]] = []
+def isolation_tree(rows: np.ndarray, draw: np.random.Generator) -> list[tuple[int, float, int, int, int]]:
+    """A random isolation tree: nodes (feature, cut, left, right, size), feature -1 in leaves."""
+    nodes: list[tuple[int, float, int, int, int]] = []
+    limit = math.ceil(math.log2(max(2, len(rows))))
 
-        def grow(rows: np.ndarray, depth: int, nodes=nodes) -> int:
-            at = len(nodes)
-            nodes.append((-1, 0.0, 0, 0, len(rows)))
-            spread = np.flatnonzero(np.ptp(rows, axis=0) > 0) if len(rows) > 1 else []
-            if depth < limit and len(spread):
-                f = int(draw.choice(spread))
-                cut = draw.uniform(rows[:, f].min(), rows[:, f].max())
-                nodes[at] = (f, float(cut), grow(rows[rows[:, f] < cut], depth + 1), grow(rows[rows[:, f] >= cut], depth + 1), len(rows))
-            return at
+    def grow(rows: np.ndarray, depth: int) -> int:
+        at = len(nodes)
+        nodes.append((-1, 0.0, 0, 0, len(rows)))
+        spread = np.flatnonzero(np.ptp(rows, axis=0) > 0) if len(rows) > 1 else []
+        if depth < limit and len(spread):
+            f = int(draw.choice(spread))
+            cut = draw.uniform(rows[:, f].min(), rows[:, f].max())
+            nodes[at] = (f, float(cut), grow(rows[rows[:, f] < cut], depth + 1), grow(rows[rows[:, f] >= cut], depth + 1), len(rows))
+        return at
 
-        grow(sample[draw.choice(len(sample), min(size, len(sample)), replace=False)], 0)
-        out.append(nodes)
-    return out
+    grow(rows, 0)
+    return nodes
+
+
+def isolation_samples(df: DataFrame, xs: list[str], key: list[str], *, n_trees: int = 50, size: int = 256, seed: int = 42) -> DataFrame:
+    """``tree``, ``place`` (a hash) and ``xs`` of the rows that each tree may draw: about twice ``size``, those of the least hashes of key and tree, from all rows in one pass."""
+    n = df.count()
+    most = np.uint64(min(2.0**64 - 2048, 2.0**64 * 2 * size / max(1, n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = stats.hashed_again(batch.column(0).to_numpy().view(np.uint64), np.arange(seed, seed + n_trees))
+            row, tree = np.nonzero(hashes <= most) if n > 2 * size else np.nonzero(np.ones_like(hashes, bool))
+            taken = pa.RecordBatch.from_arrays(batch.columns[1:], xs).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(hashes[row, tree].view(np.int64)), *taken.columns], ["tree", "place", *xs])
+
+    light = df.select(F.xxhash64(*key).alias("_h"), *xs)
+    return light.mapInArrow(run, f"tree int, place long, {', '.join(f'`{x}` double' for x in xs)}")
+
+
+def isolation_forest(samples: DataFrame, xs: list[str], *, size: int = 256, seed: int = 42) -> list[list[tuple[int, float, int, int, int]]]:
+    """The trees, each grown by a task from the ``size`` least hashes among its rows; a tree has at most twice ``size`` nodes."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        x = np.stack([group.column(c).to_numpy() for c in xs], axis=1)
+        order = np.lexsort((*x.T, group.column("place").to_numpy().view(np.uint64)))[:size]
+        nodes = isolation_tree(x[order], np.random.default_rng([seed, key[0].as_py()]))
+        return pa.table({"tree": pa.array([key[0].as_py()] * len(nodes), pa.int32()), **{n: list(c) for n, c in zip(("feature", "cut", "left", "right", "size"), zip(*nodes, strict=True), strict=True)}, "node": list(range(len(nodes)))})
+
+    rows = samples.groupBy("tree").applyInArrow(run, "tree int, feature long, cut double, left long, right long, size long, node long").collect()  # trees x 2 x size
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r.tree, r.node)):
+        out.setdefault(r.tree, []).append((r.feature, r.cut, r.left, r.right, r["size"]))
+    return list(out.values())
 
 
 def average_path(n: float) -> float:
@@ -176,19 +207,18 @@ def average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def isolation_score(df: DataFrame, columns: list[str], *, sample: int = 5000, n_trees: int = 50) -> DataFrame:
+def isolation_score(df: DataFrame, columns: list[str], *, n_trees: int = 50, size: int = 256) -> DataFrame:
     """``isolation``: how few random cuts single a row out (0 to 1).  Nulls are medians.
 
-    Trees grow on a bounded sample by hash of the row's key (cell and week, or all columns of a table without them),
-    so rows of equal values enter it in proportion.
+    Each tree draws its own ``size`` rows of all by a hash of the row's key (cell and week, or all columns of a table
+    without them), so rows of equal values are drawn in proportion, and is grown in a task.
     """
     key = [c for c in ("cell", "week") if c in df.columns] or df.columns
     med = order.quantiles(df, [], {c: (c, 0.5) for c in columns}).first()
     filled = df.withColumns({f"{c}__x": F.coalesce(F.col(c), F.lit(float(med[c] or 0.0))) for c in columns})
     xs = [f"{c}__x" for c in columns]
-    rows = filled.orderBy(F.xxhash64(*key), *key).limit(sample).select(*xs).toPandas().to_numpy(float)
-    forest = isolation_trees(rows, n_trees) if len(rows) else []
-    norm = average_path(min(256, len(rows))) or 1.0
+    forest = isolation_forest(isolation_samples(filled, xs, key, n_trees=n_trees, size=size), xs, size=size)
+    norm = average_path(forest[0][0][4] if forest else 0) or 1.0
 
     @F.pandas_udf("double")
     def score(*parts: pd.Series) -> pd.Series:

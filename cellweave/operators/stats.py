@@ -173,6 +173,24 @@ def two_sample(rows: DataFrame, by: list[str], side: Column, value: str = "value
     return agg.select(*by, "n1", "n0", *[F.round(F.col(c), 6).alias(c) for c in names])
 
 
+def masked_standing(rows: DataFrame, mask: Column, by: str, value: str, *, limit: float = 3.5) -> DataFrame:
+    """``rows`` with ``inside`` (the mask, false where it is null) and, inside, the value's standing among the values of ``by`` there.
+
+    ``rank_pct`` is the average-tie percent rank, ``robust_z`` the deviation from the median over the inter-quartile
+    range as a normal deviation, held to +-``limit``; null in groups without spread, outside, and for null values.
+    Both come from one index of the values inside.
+    """
+    held = cut(rows.withColumn("inside", F.coalesce(mask, F.lit(False))).withColumn("_v", F.when(F.col("inside"), F.col(value).cast("double"))))
+    made = order.index(held.select(by, "_v"), [by], "_v")
+    shares = {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}
+    quartiles = made.quantiles([by], {name: (F.lit(True), q) for name, q in shares.items()})
+    told = made.ranks().select(by, "_v", (F.col("_rank") / F.col("_total")).alias("rank_pct"))
+    out = held.join(F.broadcast(told) if made.is_small() else told, [by, "_v"], "left").join(quartiles, by, "left")
+    spread = F.col("_q3") - F.col("_q1")
+    z = F.when(spread >= 1e-12, (F.col("_v") - F.col("_q2")) / (spread / 1.34896))
+    return out.withColumn("robust_z", F.when(z.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))).drop("_v", *shares)
+
+
 def anova(rows: DataFrame, by: list[str], group: str, value: str = "value") -> DataFrame:
     """One-way analysis of variance over groups of at least two values: F and its p."""
     g = rows.where(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n > 1")
@@ -183,7 +201,7 @@ def anova(rows: DataFrame, by: list[str], group: str, value: str = "value") -> D
     return t.withColumn("p", f_p(F.col("f"), F.col("d1"), F.col("d2"))).select(*by, F.col("k").alias("groups"), "n", F.round("f", 4).alias("f"), F.round("p", 6).alias("p"))
 
 
-def _hashed_again(seeds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+def hashed_again(seeds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """XXH64 of each number as 32 bits with each seed, as the SQL function of that name hashes one more integer column."""
     one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
     h = (seeds + five + np.uint64(4))[:, None] ^ (numbers.astype(np.uint64) * one)[None, :]
@@ -208,7 +226,7 @@ class Draws:
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         """A row for each hash, a column for each draw; a hash and a lane make four draws of 16 bits."""
-        parts = _hashed_again(hashes, self.lanes)[:, :, None] >> np.arange(0, 64, 16, dtype=np.uint64)[None, None, :]
+        parts = hashed_again(hashes, self.lanes)[:, :, None] >> np.arange(0, 64, 16, dtype=np.uint64)[None, None, :]
         return np.searchsorted(self.cdf, (parts & np.uint64(0xFFFF)).reshape(len(hashes), -1)[:, : self.draws], side="right")
 
     def add(self, group: np.ndarray, names: list[str], values: np.ndarray, hashes: np.ndarray) -> None:

@@ -105,6 +105,18 @@ def _participation(spark: SparkSession, d: str) -> DataFrame:
     return session.cut(s.select("cell", "week", "indicator", (F.floor(F.col("port_km") / 50) * 50).alias("band"), (F.col("shoreward") == 1).alias("shoreward"), "pct"))
 
 
+_FRAME = """mk AS (SELECT s.cell, s.week, s.indicator, s.value, coast_km<=30 AS m FROM stack s JOIN (SELECT cell, week, coast_km FROM feat) USING (cell, week)), mq AS (SELECT indicator, quantile_cont(value,[0.25,0.5,0.75]) AS q FROM mk WHERE m GROUP BY indicator),
+mr AS (SELECT cell, week, indicator, (rank() OVER (PARTITION BY indicator ORDER BY value)+(count(*) OVER (PARTITION BY indicator, value)-1)/2.0)/count(*) OVER (PARTITION BY indicator) AS pct FROM mk WHERE m)"""
+
+
+@query("""SELECT cell, week, indicator, m AS inside, round(pct,6) AS rank_participation, CASE WHEN m AND q[3]-q[1]>=1e-12 THEN round(greatest(-3.5,least(3.5,(value-q[2])/((q[3]-q[1])/1.34896))),6) END AS rz_participation FROM mk LEFT JOIN mr USING (cell, week, indicator) LEFT JOIN mq USING (indicator)""", _FRAME)
+def stat_participation_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with its percent rank and robust z among the coastal ones of its indicator; cells beyond 30 km from the coast have neither."""
+    s = V.stacked(V.features(spark, d), keep=("cell", "week", "coast_km"))
+    f = stats.masked_standing(s, F.col("coast_km") <= 30, "indicator", "value")
+    return f.select("cell", "week", "indicator", "inside", R(F.col("rank_pct")).alias("rank_participation"), R(F.col("robust_z")).alias("rz_participation"))
+
+
 def _contrast(rows: DataFrame) -> DataFrame:
     """Both sides of each band with the size of the difference seen from that side; null below 8 values on either."""
     t = stats.two_sample(rows, ["indicator", "band"], F.col("shoreward"), "pct")

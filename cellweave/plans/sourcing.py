@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..operators import aggregates as A
-from ..operators import joins
 from ..sources import landed as L
 from . import views as V
 from .registry import query
@@ -176,12 +175,12 @@ def src_report_melt(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("n_name").alias("name"), *[F.col(c).cast("string").alias(c) for c in ("n_nationkey", "n_regionkey")]).unpivot(["name"], ["n_nationkey", "n_regionkey"], "column", "value").select("name", "value", "column")
 
 
-@query("""SELECT week, sum(n_obs)::BIGINT AS n_obs FROM (SELECT cell, week, n_obs FROM panel WHERE week IN (SELECT week FROM weeks ORDER BY week LIMIT 2)) GROUP BY week""")
+@query("""SELECT week, sum(n_obs)::BIGINT AS n_obs, count(DISTINCT cell) AS cells FROM (SELECT cell, week, n_obs FROM panel) GROUP BY week""")
 def src_panel_projection(spark: SparkSession, d: str) -> DataFrame:
-    """Cells and sorted distinct weeks of a panel, restricted to the first two weeks."""
-    p = V.panel(spark, d)
-    first = p.select("week").distinct().orderBy("week").limit(2)
-    return joins.enrich(p.join(first, "week", "left_semi"), []).groupBy("week").agg(F.sum("n_obs").alias("n_obs"))
+    """A panel written as Parquet and read back with three of its columns: cells and observations of every week."""
+    at = session.scratch(spark, "panel")
+    V.panel(spark, d).write.parquet(at)
+    return spark.read.parquet(at).select("cell", "week", "n_obs").groupBy("week").agg(F.sum("n_obs").alias("n_obs"), F.count_distinct("cell").alias("cells"))
 
 
 _RECORD_SQL = "SELECT event_type AS dataset, CAST(event_id AS VARCHAR) AS signature, cell AS grid_id FROM obs"

@@ -15,10 +15,13 @@ def build(app: str = "cellweave", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``; where that is unset, as in local tests, in a temporary folder."""
+    """A new folder's path below ``spark.checkpoint.dir``; where that is unset and the master is local, in a temporary folder of this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cellweave-"))
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="cellweave-"))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 

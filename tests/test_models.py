@@ -30,18 +30,31 @@ def test_permutation_importance_of_known_weights(spark):
     assert some == {"b": pytest.approx(got["b"].importance)}
 
 
-def test_isolation_sample_holds_equal_rows_in_proportion(spark, monkeypatch):
-    """A third of 9,000 rows are empty: the trees' 5,000 rows hold about a third of them, wherever their common value hashes to."""
-    seen, grow = [], modelling.isolation_trees
-    monkeypatch.setattr(modelling, "isolation_trees", lambda rows, n: seen.append(rows) or grow(rows, n))
+def test_isolation_samples_hold_equal_rows_in_proportion(spark):
+    """A third of 9,000 rows are equal: each tree's 256 rows hold about a third of them, wherever their common value hashes to, and differ from tree to tree."""
     draw = np.random.default_rng(4)
-    for shift in (0.0, 1.0, 2.0):
+    for shift in (0.0, 1.0):
         x = draw.normal(size=9000) + shift
-        rows = [(f"c{i % 90}", i // 90, None if i % 3 == 0 else float(x[i])) for i in range(9000)]
-        df = spark.createDataFrame(rows, "cell string, week int, v double")
-        modelling.isolation_score(df, ["v"], n_trees=5)
-        values, counts = np.unique(seen[-1], return_counts=True)
-        assert len(seen[-1]) == 5000 and 0.28 < counts.max() / 5000 < 0.39
+        rows = [(f"c{i % 90}", i // 90, shift if i % 3 == 0 else float(x[i])) for i in range(9000)]
+        df = spark.createDataFrame(rows, "cell string, week int, v double").repartition(5)
+        taken = modelling.isolation_samples(df, ["v"], ["cell", "week"], n_trees=20).toPandas()
+        assert set(taken.tree) == set(range(20))
+        sets = []
+        for _, group in taken.groupby("tree"):
+            best = group.iloc[np.argsort(group.place.to_numpy().view(np.uint64))[:256]]
+            assert 400 < len(group) < 640 and len(best) == 256 and 0.2 < (best.v == shift).mean() < 0.47
+            sets.append(frozenset(best.v))
+        assert len(set(sets)) == 20
+        forest = modelling.isolation_forest(modelling.isolation_samples(df, ["v"], ["cell", "week"], n_trees=20), ["v"])
+        assert len(forest) == 20 and all(t[0][4] == 256 for t in forest)
+        assert forest == modelling.isolation_forest(modelling.isolation_samples(df.coalesce(1), ["v"], ["cell", "week"], n_trees=20), ["v"])
+
+
+def test_few_or_no_rows_are_all_drawn(spark):
+    df = spark.createDataFrame([("a", 1, 0.0), ("b", 1, 5.0)], "cell string, week int, v double")
+    assert modelling.isolation_samples(df, ["v"], ["cell", "week"], n_trees=3).count() == 6
+    assert modelling.isolation_score(df, ["v"]).count() == 2
+    assert modelling.isolation_score(df.where("false"), ["v"]).count() == 0
 
 
 def test_fold_summary_and_groups_of_importance(spark):

@@ -405,3 +405,15 @@ def test_draws_are_emitted_before_they_fill_a_task():
     assert batch.num_rows == 3 and not sums.groups
     w = sums.weights(hashes)
     assert batch.column(1)[0].as_py() == (w[0] + w[3]).tolist() and batch.column(2)[2].as_py() == (2 * w[2] + 5 * w[5]).tolist()
+
+
+def test_standing_among_the_values_inside_a_mask(spark):
+    rows = [("a", float(i), i % 2 == 0) for i in range(11)] + [("a", 1000.0, True), ("a", None, True), ("a", 5.0, None)] + [("flat", 2.0, True)] * 3 + [("out", 1.0, False)]
+    df = spark.createDataFrame(rows, "g string, v double, m boolean")
+    got = {(r.g, r.v, r.inside): (r.rank_pct, r.robust_z) for r in stats.masked_standing(df, F.col("m"), "g", "v").collect()}
+    inside = np.array([0.0, 2, 4, 6, 8, 10, 1000])
+    q1, q2, q3 = np.quantile(inside, [0.25, 0.5, 0.75])
+    for k, v in enumerate(inside):
+        assert got["a", v, True] == (pytest.approx((k + 1) / 7), pytest.approx(min(3.5, (v - q2) / ((q3 - q1) / 1.34896))))
+    assert got["a", 5.0, False] == got["a", None, True] == got["out", 1.0, False] == (None, None)
+    assert got["flat", 2.0, True] == (pytest.approx(2 / 3), None)
