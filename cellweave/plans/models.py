@@ -65,14 +65,14 @@ def ml_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ml_forest_grouped_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Random forests of 300 full-grown trees without and with a feature of the label's own week: a fold of -1 is a fifth of the rows by hash, 0 to 4 are folds by cell."""
+    """Random forests of 100 full-grown trees without and with a feature of the label's own week: a fold of -1 is a fifth of the rows by hash, 0 to 4 are folds by cell."""
     p = windows.next_valid(V.long_panel(spark, d), "n").withColumnRenamed("n_next", "n_label_week")
     f, names = M.modelling_frame(p, COLUMNS, "traffic")
     f = M.group_folds(f.withColumn("n_label_week", F.col("n_label_week").cast("double")), 5).withColumn("fifth", F.pmod(F.xxhash64("cell", "week"), F.lit(5)) == 0)
     f = session.cut(f)
     tests, parts = [F.col("fifth"), *[F.col("fold") == k for k in range(5)]], []
     for kind, features in (("own", names), ("with_leak", [*names, "n_label_week"])):
-        forests = trees.fit_forests(f, features, [~t for t in tests])  # all six in one pass
+        forests = trees.fit_forests(f, features, [~t for t in tests], trees=100)  # all six in one pass
         for k, (forest, test) in enumerate(zip(forests, tests, strict=True), start=-1):
             parts.append(M.regression_metrics(forest.transform(f.where(test))).withColumns({"fold": F.lit(k), "features": F.lit(kind)}))
     return V.union_all(parts)
