@@ -23,8 +23,10 @@ fingerprint, and no pairs.
 Near copies (:func:`near_copies`, the rule of near-duplicate stages) are texts whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more.  Each text has three fingerprints, of its sets of words and (by two hash functions) of word
 pairs; texts are candidates if any of the three is within 6 bits, by the same partitions, thresholds and probes for each.  One-bit
-min-hashes of the five-word sets, 256 bits whose distance follows the similarity itself, sort out most others before
-the rest are verified on the two whole sets.  Pairs within a
+min-hashes of the five-word sets, 256 bits whose distance follows the similarity itself, sort out most others where they
+meet, and so does a bound on what two texts can share; the rest are verified on the two whole sets.  The bound: shingles of
+a text that no other text of any crowded bucket has are counted beforehand (:func:`_shareable`), so two texts of one
+template that both have many of their own cannot be similar and are no pair.  Pairs within a
 large group are not formed: members of a crowded bucket are first held against a few pivots, and the search then looks
 for pairs of different components only, a large component never probing itself.
 """
@@ -50,6 +52,7 @@ ROW_COST = 32.0  # a shuffled probe, in checks of a candidate
 _PLACE = B.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _ODD = B.mix(np.arange(1001, 1001 + 256, dtype=np.uint64))
 PRINTS = ((2, 0), (1, 0), (2, 1))  # fingerprints in the search for near copies: words in a shingle, hash function
+LIGHT = ("fp", "wide", "sig1", "sig2", "sig3", "n", "may", "code")  # what the search knows of a text
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -331,14 +334,15 @@ def text_key(text: F.Column) -> F.Column:
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """``id``, ``key`` (see :func:`text_key`), ``fp0`` ... by ``PRINTS``, and ``sig0`` ... ``sig3`` of the set of ``words`` words, of every row."""
-    names = [f"fp{k}" for k in range(len(PRINTS))] + [f"sig{k}" for k in range(4)]
+    """``id``, ``key`` (see :func:`text_key`), ``fp0`` ... by ``PRINTS``, and ``sig0`` ... ``sig3`` and size ``n`` of the set of ``words``-word shingles, of every row."""
+    names = [f"fp{k}" for k in range(len(PRINTS))] + [f"sig{k}" for k in range(4)] + ["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, "t", B.LESS):
             sets = {size: shingles(batch.column("t"), size) for size, _ in PRINTS}
             prints = [set_fingerprints(varied(sets[size][0], k), sets[size][1]) for size, k in PRINTS]
-            made = [pa.array(x) for x in (*prints, *signatures(*shingles(batch.column("t"), words)))]
+            hashes, at = shingles(batch.column("t"), words)
+            made = [pa.array(x) for x in (*prints, *signatures(hashes, at), np.diff(at))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *made], ["id", "key", *names])
 
     light = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
@@ -353,14 +357,61 @@ def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe:
     return nodes.select("*", way.alias("w")).select(*own(nodes), "w.p", F.col("fp").bitwiseAND(F.col("w.m")).bitwiseXOR(F.col("w.x")).alias("k"))
 
 
-def _alike(classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose 256 min-hash bits differ in no more than those of all but one in some hundred pairs of the similarity do."""
-    odds = (1 - similarity) / 2
-    most = int(256 * odds + 3 * (256 * odds * (1 - odds)) ** 0.5) + 1
-    for x in "uv":
-        pairs = pairs.join(classes.select(F.col("node").alias(x), *[F.col(f"sig{k}").alias(f"{x}{k}") for k in range(4)]), x)
-    apart = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, 4)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
-    return pairs.where(apart <= most).select("u", "v")
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``node``, ``code`` and text ``t`` of the classes named in ``nodes``; rows that repeat id and text repeat."""
+    wanted = sent_if_few(cut(classes.join(nodes, "node", "left_semi").select("node", "code", F.col("key").alias("want"), F.col("least").alias("by"))))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    return texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "code", "t")
+
+
+def _shareable(docs: DataFrame, classes: DataFrame, plans: list, bucket: int, *, doc_id: str, text: str, words: int, per_range: int = 250_000) -> DataFrame | None:
+    """``node`` and ``may`` of each text in a crowded bucket: how many of its shingles another such text has too; None without such buckets.
+
+    Two of these texts share at most the smaller of their numbers.  A shingle's owners are told in each batch and then in
+    ranges of hashes, where a shingle comes once from each batch, however many texts have it.
+    """
+    inside = []
+    for k, parts in enumerate(plans):
+        stored = _dealt(classes.select("node", F.col(f"fp{k}").alias("fp")), parts, probe=False)
+        crowded = cut(stored.groupBy("p", "k").count().where(F.col("count") > bucket).select("p", "k"))
+        inside.append(stored.join(sent_if_few(crowded), ["p", "k"], "left_semi").select("node"))
+    crowd = cut(reduce(DataFrame.unionByName, inside).distinct())
+    total = classes.join(crowd, "node", "left_semi").agg(F.sum("n")).first()[0]
+    if total is None:
+        return None
+    ranges = max(4, -(-total // per_range))
+
+    def owners(hashes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each hash once, with the code of the one text that has it, or -1."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, code = hashes[order], code[order]
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+        if not len(first):
+            return hashes, code
+        low, high = np.minimum.reduceat(code, first), np.maximum.reduceat(code, first)
+        return hashes[first], np.where(low == high, low, -1)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.chunked(batches, "t", B.LESS):
+            hashes, at = shingles(batch.column("t"), words)
+            code = batch.column("code").to_numpy(zero_copy_only=False)
+            hashes, code = owners(hashes, np.repeat(code, np.diff(at)))
+            to = (hashes % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(ranges + 1))
+            full = np.flatnonzero(np.diff(ends))
+            lists = [[x[order][ends[r] : ends[r + 1]].tobytes() for r in full] for x in (hashes, code)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(x, pa.binary()) for x in lists)], ["r", "hashes", "codes"])
+
+    def alone(table: pa.Table) -> pa.Table:
+        hashes, codes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("codes", np.int64)))
+        _, code = owners(hashes, codes)
+        code, count = np.unique(code[code >= 0], return_counts=True)
+        return pa.table({"code": pa.array(code, pa.int64()), "alone": pa.array(count, pa.int64())})
+
+    sent = _texts(docs, classes, crowd, doc_id, text).select("code", "t").mapInArrow(dealt, "r long, hashes binary, codes binary")
+    counts = sent.groupBy("r").applyInArrow(alone, "code long, alone long").groupBy("code").agg(F.sum("alone").alias("alone"))
+    return classes.join(crowd, "node", "left_semi").select("node", "code", "n").join(counts, "code", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("may"))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
@@ -375,11 +426,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id:
             sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "set"])
 
-    pairs = cut(_alike(classes, pairs, similarity))
     taking_part = pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
-    wanted = sent_if_few(cut(classes.join(taking_part, "node", "left_semi").select("node", F.col("key").alias("want"), F.col("least").alias("by"))))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    texts = texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
+    texts = _texts(docs, classes, taking_part, doc_id, text).select("node", "t")
     sets = cut(texts.mapInArrow(run, "node binary, set array<int>").dropDuplicates(["node"]))  # repeated rows give the same sets again
     one, two = (sets.select(F.col("node").alias(x), F.array_distinct("set").alias(f"set_{x}")) for x in "uv")
     both = pairs.join(two, "v").join(one, "u")
@@ -398,19 +446,22 @@ def _sided(df: DataFrame, side: str) -> DataFrame:
 
 
 def _near(distance: int, similarity: float) -> F.Column:
-    """Whether a pair's fingerprints are within the distance, and the first 64 min-hash bits not farther than those of nearly all similar pairs."""
+    """Whether a pair's fingerprints are within the distance, it can share enough shingles to be similar, and its min-hash bits differ in no more than those of nearly all similar pairs do."""
     apart = lambda c: F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v")))
     odds = (1 - similarity) / 2
-    return (apart("fp") <= distance) & (apart("wide") <= int(64 * odds + 3.5 * (64 * odds * (1 - odds)) ** 0.5) + 1)
+    most = lambda bits, deviations: int(bits * odds + deviations * (bits * odds * (1 - odds)) ** 0.5) + 1
+    shared = F.when(F.col("may_u").isNotNull() & F.col("may_v").isNotNull(), F.least("may_u", "may_v")).otherwise(F.least("n_u", "n_v"))
+    enough = (1 + similarity) * shared >= similarity * (F.col("n_u") + F.col("n_v")) - 1e-9
+    return (apart("fp") <= distance) & (apart("wide") <= most(64, 3.5)) & enough & (apart("wide") + apart("sig1") + apart("sig2") + apart("sig3") <= most(256, 3))
 
 
 def _pivot_pairs(nodes: DataFrame, parts: list, near: F.Column, bucket: int, pivots: int) -> DataFrame | None:
     """Pairs of the members of each crowded bucket with a few of them that no large component holds; None if no bucket is crowded."""
     stored = _dealt(nodes, parts, probe=False)
-    drawn = lambda j: F.min(F.when(F.col("big").isNull(), F.struct(F.xxhash64("code", F.lit(j)).alias("x"), "fp", "wide", "code", "root")))
+    drawn = lambda j: F.min(F.when(F.col("big").isNull(), F.struct(F.xxhash64("code", F.lit(j)).alias("x"), *LIGHT, "root")))
     loose = F.count_if(F.col("big").isNull())
     crowded = stored.groupBy("p", "k").agg(loose.alias("n"), F.array(*[drawn(j) for j in range(pivots)]).alias("pivot")).where(F.col("n") > bucket)
-    crowded = cut(crowded.select("p", "k", F.explode("pivot").alias("v")).select("p", "k", "v.fp", "v.wide", "v.code", "v.root").distinct())
+    crowded = cut(crowded.select("p", "k", F.explode("pivot").alias("v")).select("p", "k", *[f"v.{c}" for c in (*LIGHT, "root")]).distinct())
     if crowded.isEmpty():
         return None
     return _named(_sided(stored, "u").join(sent_if_few(_sided(crowded, "v")), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near)).distinct()
@@ -426,14 +477,14 @@ def _pairs(nodes: DataFrame, parts: list, near: F.Column) -> DataFrame:
     for p, (mask, _, t) in enumerate(parts[:-1]):  # a pair counts where it meets first
         near &= (F.col("p") <= p) | (F.bit_count(apart.bitwiseAND(F.lit(mask))) > t)
     stored = _dealt(nodes, parts, probe=False)
-    small = _dealt(nodes.where("big is null").select("fp", "wide", "code", "root"), parts, probe=True)
+    small = _dealt(nodes.where("big is null").select(*LIGHT, "root"), parts, probe=True)
     above = (F.col("code_u") > F.col("code_v")) | ((F.col("code_u") == F.col("code_v")) & (F.col("wide_u") > F.col("wide_v")))
     found = _named(_sided(small, "u").join(_sided(stored, "v"), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near & (F.col("big_v").isNotNull() | above)))
     if nodes.select("big").where("big is not null").distinct().limit(2).count() < 2:
         return found
-    held = stored.where("big is not null").select("p", "k", "fp", "wide", "code", "big")
+    held = stored.where("big is not null").select("p", "k", *LIGHT, "big")
     groups = held.select("p", "k", F.col("big").alias("other")).distinct()
-    probes = _sided(_dealt(nodes.where("big is not null").select("fp", "wide", "code", "big"), parts, probe=True), "u").join(groups, ["p", "k"]).where(F.col("big_u") > F.col("other"))
+    probes = _sided(_dealt(nodes.where("big is not null").select(*LIGHT, "big"), parts, probe=True), "u").join(groups, ["p", "k"]).where(F.col("big_u") > F.col("other"))
     met = probes.join(_sided(held, "v").withColumnRenamed("big_v", "other"), ["p", "k", "other"]).where(near)
     return found.unionByName(_named(met))
 
@@ -446,15 +497,18 @@ def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, bucket: int,
     the other.  Only pairs of different components are verified.
     """
     joined = None
+    plans = [plan(classes.select(F.col(f"fp{k}").alias("fp")), distance, row_cost=ROW_COST) for k in range(len(PRINTS))]
+    may = _shareable(docs, classes, plans, bucket, **{c: rule[c] for c in ("doc_id", "text", "words")})
+    told_apart = classes.withColumn("may", F.lit(None).cast("long")) if may is None else cut(classes.join(may, "node", "left"))
     near = lambda d: _near(d, rule["similarity"])
 
     def nodes(k: int) -> DataFrame:
-        light = classes.select("node", F.col(f"fp{k}").alias("fp"), F.col("sig0").alias("wide"), "code")
+        light = told_apart.select("node", F.col(f"fp{k}").alias("fp"), F.col("sig0").alias("wide"), *LIGHT[2:])
         if joined is None:
-            return light.select("fp", "wide", "code", F.col("code").alias("root"), F.lit(None).cast("long").alias("big"))
+            return light.select(*LIGHT, F.col("code").alias("root"), F.lit(None).cast("long").alias("big"))
         large = joined.groupBy("root").count().where(F.col("count") > bucket).select("root", F.xxhash64("root").alias("big"))
         told = joined.join(large, "root", "left").select("node", F.xxhash64("root").alias("root"), "big")
-        return cut(light.join(told, "node", "left").select("fp", "wide", "code", F.coalesce("root", "code").alias("root"), "big"))
+        return cut(light.join(told, "node", "left").select(*LIGHT, F.coalesce("root", "code").alias("root"), "big"))
 
     def add(candidates: DataFrame) -> None:
         nonlocal joined
@@ -463,15 +517,14 @@ def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, bucket: int,
         joined = cut(components(reduce(DataFrame.unionByName, known, more)))
 
     for k in range(len(PRINTS)):
-        own_print = classes.select(F.col(f"fp{k}").alias("fp"))
-        parts = plan(own_print, distance, row_cost=ROW_COST)
+        parts = plans[k]
         if not k:
             for _ in range(rounds):
                 if (found := _pivot_pairs(nodes(k), parts, near(distance), bucket, pivots)) is None:
                     break
                 add(found)
             if joined is not None:  # where buckets were crowded: cheaper pairs first
-                add(_pairs(nodes(k), plan(own_print, distance // 2, row_cost=ROW_COST), near(distance // 2)))
+                add(_pairs(nodes(k), plan(classes.select(F.col(f"fp{k}").alias("fp")), distance // 2, row_cost=ROW_COST), near(distance // 2)))
         add(_pairs(nodes(k), parts, near(distance)))
     return joined
 
