@@ -132,3 +132,10 @@ def co_occurrence(flags: DataFrame, names: list[str]) -> DataFrame:
     counts = flags.agg(*[F.sum((F.col(a) & F.col(b)).cast("long")).alias(f"{a}|{b}") for a, b in pairs])
     long = counts.unpivot([], counts.columns, "pair", "n")
     return long.select(F.split("pair", "\\|")[0].alias("a"), F.split("pair", "\\|")[1].alias("b"), "n")
+
+
+def resultant(df: DataFrame, by: list[str], u: str, v: str) -> DataFrame:
+    """Direction ``to_deg`` and ``speed`` of each group's mean vector, from components to 9 digits; vectors that cancel out have no direction, only speed 0."""
+    mean = df.groupBy(*by).agg(F.round(F.avg(u), 9).alias("_u"), F.round(F.avg(v), 9).alias("_v"))
+    to = F.when((F.col("_u") != 0) | (F.col("_v") != 0), F.round(F.pmod(F.degrees(F.atan2("_u", "_v")) + 360, F.lit(360.0)), 4))
+    return mean.select(*by, to.alias("to_deg"), r6(F.sqrt(F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v"))).alias("speed"))

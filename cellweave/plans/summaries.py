@@ -312,10 +312,10 @@ def agg_direction_rose(spark: SparkSession, d: str) -> DataFrame:
     return V.features(spark, d).groupBy(F.floor(F.col("wind_deg") / 22.5).alias("sector")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT week, round((degrees(atan2(avg(wind_u),avg(wind_v)))+360)%360,4) AS to_deg, round(sqrt(pow(avg(wind_u),2)+pow(avg(wind_v),2)),6) AS speed FROM feat GROUP BY week""")
+@query("""SELECT week, CASE WHEN u<>0 OR v<>0 THEN round((degrees(atan2(u,v))+360)%360,4) END AS to_deg, round(sqrt(u*u+v*v),6) AS speed FROM (SELECT week, round(avg(wind_u),9) AS u, round(avg(wind_v),9) AS v FROM feat GROUP BY week)""")
 def agg_resultant_wind(spark: SparkSession, d: str) -> DataFrame:
-    u, v = F.avg("wind_u"), F.avg("wind_v")
-    return V.features(spark, d).groupBy("week").agg(F.round(F.pmod(F.degrees(F.atan2(u, v)) + 360, F.lit(360.0)), 4).alias("to_deg"), R(F.hypot(u, v)).alias("speed"))
+    """Direction and speed of the mean wind, from components to 9 digits; winds that cancel out have no direction."""
+    return A.resultant(V.features(spark, d), ["week"], "wind_u", "wind_v")
 
 
 @query("""SELECT count(*) AS rows, count(vessel) AS vessel_rows, count(oil) AS oil_rows, round(100.0*count(vessel)/count(*),6) AS vessel_percent, round(100.0*count(oil)/count(*),6) AS oil_percent FROM panel""")

@@ -417,3 +417,10 @@ def test_standing_among_the_values_inside_a_mask(spark):
         assert got["a", v, True] == (pytest.approx((k + 1) / 7), pytest.approx(min(3.5, (v - q2) / ((q3 - q1) / 1.34896))))
     assert got["a", 5.0, False] == got["a", None, True] == got["out", 1.0, False] == (None, None)
     assert got["flat", 2.0, True] == (pytest.approx(2 / 3), None)
+
+
+def test_winds_that_cancel_out_have_no_direction(spark):
+    rows = [("calm", 3.0 + k * 7 % 9, k * 37.0 % 360) for k in range(720)] + [("west", 2.0, 270.0)] * 2
+    df = spark.createDataFrame(rows, "g string, s double, deg double").withColumns({"u": -F.col("s") * F.sin(F.radians("deg")), "v": -F.col("s") * F.cos(F.radians("deg"))})
+    got = {r.g: (r.to_deg, r.speed) for r in aggregates.resultant(df, ["g"], "u", "v").collect()}
+    assert got == {"calm": (None, 0.0), "west": (90.0, 2.0)}
