@@ -242,22 +242,21 @@ class Draws:
     def full(self) -> bool:
         return len(self.groups) * self.draws > self.most
 
-    def emit(self) -> pa.RecordBatch:
+    def emit(self, but: str | None = None) -> pa.RecordBatch:
+        """The sums so far, which are forgotten; those of the group ``but`` are kept for later."""
         held, self.groups = self.groups, {}
+        if but in held:
+            self.groups[but] = held.pop(but)
         lists = [pa.array([x[k] for x in held.values()], pa.list_(pa.float64())) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *lists], ["_g", "_w", "_wv"])
 
 
-def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, draws: int = 500, seed: int = 42, key: tuple[str, ...] = ("cell", "week")) -> DataFrame:
-    """Mean with a 95 % interval from Poisson resampling: a row's weight in each draw comes from a hash of its key, so
-    the result does not depend on partitions.
+def draw_sums(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Of rows of a group ``_g``, a value ``_v`` and a hash ``_h``: vectors ``_w`` and ``_wv`` of all draws' weights and weighted values.
 
-    Each task reads its rows once and adds the weights of all draws to two vectors for each group, so rows are never
-    multiplied; the vectors, one pair for each group and task, are summed by group and turned into limits there.  A
-    group without values has no limits.
+    Rows are dealt out in ranges of groups, so there is one row for each group, and one more where a range begins inside of it.
     """
-    name = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")
-    some = rows.where(F.col(value).isNotNull()).select(name.alias("_g"), F.col(value).cast("double").alias("_v"), F.xxhash64(*key).alias("_h"))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Draws(draws, seed)
@@ -265,10 +264,26 @@ def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, draws: int = 5
             coded = batch.column(0).dictionary_encode()
             sums.add(coded.indices.to_numpy(), coded.dictionary.to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64))
             if sums.full():
-                yield sums.emit()
+                yield sums.emit(but=coded.dictionary[-1].as_py())  # groups come in order: the last may go on
         if sums.groups:
             yield sums.emit()
 
+    ranges = rows.repartitionByRange(partitions, "_g", "_h").sortWithinPartitions("_g")
+    return ranges.mapInArrow(add, "_g string, _w array<double>, _wv array<double>")
+
+
+def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, draws: int = 500, seed: int = 42, key: tuple[str, ...] = ("cell", "week")) -> DataFrame:
+    """Mean with a 95 % interval from Poisson resampling: a row's weight in each draw comes from a hash of its key, so
+    the result does not depend on partitions.
+
+    Rows (a group, a value and a hash) are dealt out in ranges of groups.  Each task reads its rows once and adds the
+    weights of all draws to two vectors for each group, so rows are never multiplied; the vectors, one pair for each
+    group and one more where a range begins inside of a group, are summed by group and turned into limits there.  A group
+    without values has no limits.
+    """
+    name = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")
+    some = rows.where(F.col(value).isNotNull()).select(name.alias("_g"), F.col(value).cast("double").alias("_v"), F.xxhash64(*key).alias("_h"))
+
     def limit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, total = None, np.zeros((2, draws))
 
@@ -288,8 +303,7 @@ def bootstrap_mean(rows: DataFrame, by: list[str], value: str, *, draws: int = 5
         if inside is not None:
             yield done()
 
-    partial = some.mapInArrow(add, "_g string, _w array<double>, _wv array<double>")
-    limits = partial.repartition("_g").sortWithinPartitions("_g").mapInArrow(limit, "_g string, low double, high double")
+    limits = draw_sums(some, draws, seed).repartition("_g").sortWithinPartitions("_g").mapInArrow(limit, "_g string, low double, high double")
     means = rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean")).withColumn("_g", name)
     return means.join(limits, "_g", "left").select(*by, "n", "mean", F.round("low", 6).alias("ci95_low"), F.round("high", 6).alias("ci95_high"))
 

@@ -424,3 +424,12 @@ def test_winds_that_cancel_out_have_no_direction(spark):
     df = spark.createDataFrame(rows, "g string, s double, deg double").withColumns({"u": -F.col("s") * F.sin(F.radians("deg")), "v": -F.col("s") * F.cos(F.radians("deg"))})
     got = {r.g: (r.to_deg, r.speed) for r in aggregates.resultant(df, ["g"], "u", "v").collect()}
     assert got == {"calm": (None, 0.0), "west": (90.0, 2.0)}
+
+
+def test_draws_of_a_group_are_summed_in_few_places(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("g"), F.col("id") % 50).alias("_g"), F.rand(3).alias("_v"), F.xxhash64("id").alias("_h")).repartition(20)
+    sums = stats.draw_sums(rows, 8, 42)
+    assert sums.select("_g").distinct().count() == 50 and sums.count() <= 50 + 4
+    held = stats.Draws(8, 42, most=16)
+    held.add(np.array([0, 1, 2]), ["a", "b", "c"], np.arange(3.0), np.arange(3, dtype=np.uint64))
+    assert held.emit(but="c").column(0).to_pylist() == ["a", "b"] and list(held.groups) == ["c"]
