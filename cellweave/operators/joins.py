@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..session import cut
 from . import order, spatial
+from .overlap import port_pairs as port_pairs
 
 SMALL = 2_000  # rows of a reference table that may be sent to every task and compared with every point
 
@@ -232,17 +233,3 @@ def as_of_nearest(rows: DataFrame, weeks: DataFrame, ts: str = "ts") -> DataFram
     calendar = F.broadcast(weeks.select("week").distinct().agg(F.array_sort(F.collect_list("week")).alias("_weeks")))
     gap = lambda w: F.struct(F.abs(F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(w.cast("timestamp"))).alias("gap"), w.alias("week"))
     return rows.crossJoin(calendar).withColumn("nearest_week", F.array_min(F.transform("_weeks", gap))["week"]).drop("_weeks")
-
-
-def port_pairs(cells: DataFrame, ports: DataFrame, within: tuple[float, ...] = (25, 50, 100)) -> DataFrame:
-    """For each pair of ports that share a cell within the widest of some distances: how far they are apart and the cells within each distance of both.
-
-    Cells bring the pairs of the ports near them, summed before the shuffle; ports without a common cell never meet.
-    """
-    near = cut(spatial.within(cells.select("cell", "lat", "lon"), ports, max(within), ref_lat="port_lat", ref_lon="port_lon").select("cell", "port", "port_lat", "port_lon", F.col("distance_km").alias("km")))
-    side = lambda s: near.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("port", "port_lat", "port_lon", "km")])
-    both = side("a").join(side("b"), "cell").where("port_a < port_b").withColumn("_far", F.greatest("km_a", "km_b"))
-    apart = geo.haversine_km(F.col("port_lat_a"), F.col("port_lon_a"), F.col("port_lat_b"), F.col("port_lon_b"))
-    counted = both.groupBy("port_a", "port_b", "port_lat_a", "port_lon_a", "port_lat_b", "port_lon_b").agg(*[F.sum((F.col("_far") <= d).cast("long")).alias(f"cells_{d:g}") for d in within])
-    told = counted.withColumns({"port_distance_km": F.round(apart, 6), "overlap": F.when(F.col(f"cells_{within[0]:g}") > 0, "strong").otherwise("weak")})
-    return told.select("port_a", "port_b", "port_distance_km", *[f"cells_{d:g}" for d in within], "overlap")

@@ -433,3 +433,27 @@ def test_draws_of_a_group_are_summed_in_few_places(spark):
     held = stats.Draws(8, 42, most=16)
     held.add(np.array([0, 1, 2]), ["a", "b", "c"], np.arange(3.0), np.arange(3, dtype=np.uint64))
     assert held.emit(but="c").column(0).to_pylist() == ["a", "b"] and list(held.groups) == ["c"]
+
+
+def test_port_pairs_in_many_blocks_and_with_repeated_names(spark):
+    rnd = random.Random(31)
+    cells = [(f"c{k}", 54 + rnd.random() * 3, 18 + rnd.random() * 4) for k in range(300)]
+    ports = [(f"p{k % 50}", 54 + rnd.random() * 3, 18 + rnd.random() * 4) for k in range(60)] + [("nowhere", None, 18.0), (None, 55.0, 19.0)]
+    c, p = spark.createDataFrame(cells, "cell string, lat double, lon double"), spark.createDataFrame(ports, "port string, port_lat double, port_lon double")
+
+    def km(a, b):
+        (p, q), (r, s) = ((math.radians(x) for x in y) for y in (a, b))
+        return 2 * geo.EARTH_KM * math.asin(math.sqrt(math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2))
+
+    want = {}
+    for a in ports[:60]:
+        for b in ports[:60]:
+            far = [max(km(a[1:], x[1:]), km(b[1:], x[1:])) for x in cells] if a[0] < b[0] else []
+            if any(f <= 40 for f in far):
+                apart, near, wide = want.get((a[0], b[0]), (0, 0, 0))
+                want[a[0], b[0]] = (max(apart, km(a[1:], b[1:])), near + sum(f <= 15 for f in far), wide + sum(f <= 40 for f in far))
+    pairs = joins.port_pairs(c, p, (15, 40), block=7)
+    got = {(r.port_a, r.port_b): (r.port_distance_km, r.cells_15, r.cells_40) for r in pairs.collect()}
+    assert got == {k: (pytest.approx(x, abs=2e-6), n, w) for k, (x, n, w) in want.items()} and len(got) > 100
+    plan = joins.port_pairs(c, p.where("port_lat < 55 and port = 'p1'"), (15, 40))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0]  # pairs are not shuffled
