@@ -156,7 +156,8 @@ def weekly_seeds(panel: DataFrame, value: str, q: float = 0.9, *, week: str = "w
 def nearest_in_week(panel: DataFrame, seeds: DataFrame, *, week: str = "week", cell: str = "cell", carry: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """Distance of every row to the nearest seed of its week, with the seed's place; null where a week has no seeds.
 
-    Few seeds are compared with each row of their week; many are searched by a tree of tiles for each week.
+    Few seeds are compared with each row of their week; many are searched by a tree of tiles for each week, except for
+    the rows that stand where a seed is.
     """
     s = seeds.select(week, F.col(cell).alias("seed_cell"), F.col("lat").alias("seed_lat"), F.col("lon").alias("seed_lon"), *carry).dropna(subset=["seed_lat", "seed_lon"])
     rows = panel.select(week, cell, "lat", "lon")
@@ -165,7 +166,11 @@ def nearest_in_week(panel: DataFrame, seeds: DataFrame, *, week: str = "week", c
         pairs = placed.join(F.broadcast(s), week).withColumn("distance_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("seed_lat"), F.col("seed_lon")))
         best = _least(pairs, [week, cell], ["seed_cell", "seed_lat", "seed_lon", *carry], "seed_cell")
     else:
-        best = _by_tree(placed, s, [week, cell], [week], "lat", "lon", "seed_cell", "seed_lat", "seed_lon")
+        first = F.min(F.struct("seed_cell", *carry))
+        here = s.groupBy(week, "seed_lat", "seed_lon").agg(first.alias("_s")).select(week, F.col("seed_lat").alias("lat"), F.col("seed_lon").alias("lon"), "_s")
+        placed = cut(placed.join(here, [week, "lat", "lon"], "left"))
+        own = placed.where("_s is not null").select(week, cell, F.lit(0.0).alias("distance_km"), "_s.seed_cell", F.col("lat").alias("seed_lat"), F.col("lon").alias("seed_lon"), *[f"_s.{c}" for c in carry])
+        best = own.unionByName(_by_tree(placed.where("_s is null").drop("_s"), s, [week, cell], [week], "lat", "lon", "seed_cell", "seed_lat", "seed_lon"))
     return rows.select(week, cell).join(best, [week, cell], "left")
 
 

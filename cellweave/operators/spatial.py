@@ -18,7 +18,7 @@ from ..session import cut
 
 BITS = 20  # per axis at the deepest level
 STEP = 2  # bits per axis and level: a tile has up to 4 x 4 x 4 tiles below it, about 16 on a surface
-CAP = 64  # references in a tile that is not divided
+CAP = 16  # references in a tile that is not divided
 AXES = ("x", "y", "z")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import geo, keys
 from ..operators import aggregates as A
 from ..operators import joins, order, spatial, windows
@@ -185,8 +186,8 @@ SEEDS = "cutw AS (SELECT week, quantile_cont(vessel,0.9) AS q FROM panel GROUP B
 @query(f"""SELECT p.cell, p.week, round(min({V.hav("p.lat", "p.lon", "s.lat", "s.lon")}),6) AS distance_km FROM panel p LEFT JOIN seeds s ON s.week=p.week GROUP BY p.cell, p.week""", SEEDS)
 def join_weekly_nearest_seed(spark: SparkSession, d: str) -> DataFrame:
     """Distance to the nearest cell in the top tenth of the week's traffic."""
-    p = V.panel(spark, d)
-    return joins.nearest_in_week(p, joins.weekly_seeds(p, "vessel")).select("cell", "week", R(F.col("distance_km")).alias("distance_km"))
+    p = session.cut(V.panel(spark, d).select("week", "cell", "lat", "lon", "vessel"))
+    return joins.nearest_in_week(p, session.cut(joins.weekly_seeds(p, "vessel"))).select("cell", "week", R(F.col("distance_km")).alias("distance_km"))
 
 
 @query("""SELECT cell, week, concat_ws('+', CASE WHEN n1>=5 AND vessel>=q1 THEN 'vessel' END, CASE WHEN n2>=5 AND no2>=q2 THEN 'no2' END, CASE WHEN n3>=5 AND oil>=q3 THEN 'oil' END) AS tag FROM panel JOIN
@@ -198,8 +199,8 @@ def join_multi_signal_hotspots(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT p.cell, p.week, round(min({V.hav("p.lat", "p.lon", "h.lat", "h.lon")}),6) AS distance_km FROM panel p LEFT JOIN hot h ON h.week=p.week GROUP BY p.cell, p.week""",
        """hot AS (SELECT panel.* FROM panel JOIN (SELECT week, count(vessel) AS n1, quantile_cont(vessel,0.9) AS q1, count(no2) AS n2, quantile_cont(no2,0.9) AS q2, count(oil) AS n3, quantile_cont(oil,0.9) AS q3 FROM panel GROUP BY week) USING (week) WHERE (n1>=5 AND vessel>=q1) OR (n2>=5 AND no2>=q2) OR (n3>=5 AND oil>=q3))""")
 def join_nearest_hotspot(spark: SparkSession, d: str) -> DataFrame:
-    p = V.panel(spark, d)
-    hot = joins.hotspots(p, ["vessel", "no2", "oil"])
+    p = session.cut(V.panel(spark, d).select("week", "cell", "lat", "lon", "vessel", "no2", "oil"))  # read by each of the steps below
+    hot = session.cut(joins.hotspots(p, ["vessel", "no2", "oil"]))
     return joins.nearest_in_week(p, hot, carry=("tag",)).select("cell", "week", R(F.col("distance_km")).alias("distance_km"))
 
 

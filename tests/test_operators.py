@@ -457,3 +457,16 @@ def test_port_pairs_in_many_blocks_and_with_repeated_names(spark):
     assert got == {k: (pytest.approx(x, abs=2e-6), n, w) for k, (x, n, w) in want.items()} and len(got) > 100
     plan = joins.port_pairs(c, p.where("port_lat < 55 and port = 'p1'"), (15, 40))._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan.split("MapInArrow")[0]  # pairs are not shuffled
+
+
+def test_rows_where_a_seed_stands_are_not_searched(spark, monkeypatch):
+    rnd = random.Random(17)
+    rows = [(w, f"c{k}", 54 + rnd.randrange(12) * 0.1, 18 + rnd.randrange(12) * 0.1) for w in range(2) for k in range(150)]
+    p = spark.createDataFrame(rows, "week int, cell string, lat double, lon double")
+    s = p.where("cast(substr(cell, 2) as int) % 3 = 0").withColumn("tag", F.concat(F.lit("t"), "cell"))
+    there = {(r.week, r.lat, r.lon) for r in s.collect()}
+    searched, tree = [], joins._by_tree
+    monkeypatch.setattr(joins, "_by_tree", lambda points, *a, **k: (searched.extend(points.collect()), tree(points, *a, **k))[1])
+    got = [{(r.week, r.cell): (r.seed_cell, r.tag, round(r.distance_km, 6)) for r in joins.nearest_in_week(p, s, carry=("tag",), small=n).collect()} for n in (0, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 300
+    assert searched and not any((r.week, r.lat, r.lon) in there for r in searched)
