@@ -89,7 +89,10 @@ def scan(docs: DataFrame, *, text: str = "text", scope: int = 200) -> DataFrame:
     complete = F.when(is_["identifier"], near["secret"]).when(is_["secret"], near["identifier"] | near["endpoint"]).otherwise(near["identifier"] & near["secret"])
     kept = linked.where(F.col("strong") | (~over_strong & complete))
     lists = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "k", F.element_at(kind, F.col("k") + 1).alias("kind"), "end"))).alias("_spans"))
-    return rows.drop("_pieces").join(lists, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(lists.schema["_spans"].dataType)))
+    none = F.array().cast(lists.schema["_spans"].dataType)
+    plain = rows.where(F.size("_pieces") == 0).drop("_pieces").withColumn("_spans", none)  # rows without matches are not shuffled
+    told = rows.where(F.size("_pieces") > 0).drop("_pieces").join(lists, "_row", "left").withColumn("_spans", F.coalesce("_spans", none))
+    return plain.unionByName(told)
 
 
 def listed(spans: Column) -> Column:

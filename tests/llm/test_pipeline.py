@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellweave.llm import entries
+from cellweave.llm import entries, secrets
 
 from . import brute
 
@@ -65,3 +65,11 @@ def test_empty_tables_run_through(spark, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
     for name, query in entries.queries().items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op4") else 0), name
+
+
+def test_texts_without_secrets_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "plain words"), (2, None), (3, "password=hunter22 here"), (3, "password=hunter22 here"), (4, "")], "doc_id long, text string")
+    made = secrets.redact(docs)
+    assert sorted((r.doc_id, r.text) for r in made.collect()) == [(1, "plain words"), (2, None), (3, "[REDACTED] here"), (3, "[REDACTED] here"), (4, "")]
+    joined = made._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("Union") == 1 and joined.index("Union") < joined.index("Join")
