@@ -56,9 +56,9 @@ class ValueIndex:
         return hits.groupBy(*by).agg(*made)
 
 
-def index(rows: DataFrame, by: list[str], value: str) -> ValueIndex:
-    """The index of ``value`` within ``by``; null values are not in it, groups must not be null."""
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def index(rows: DataFrame, by: list[str], value: str, parts: int | None = None) -> ValueIndex:
+    """The index of ``value`` within ``by``, in ``parts`` ranges (as many as shuffles have, if not given); null values are not in it, groups must not be null."""
+    partitions = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     held = cut(counts.repartitionByRange(partitions, *by, value).withColumn("_part", F.spark_partition_id()))
     sizes = held.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))

@@ -85,9 +85,9 @@ def rolling_spearman(df: DataFrame, a: str, b: str, rows: int = 12, least: int =
     return ranked.withColumn("abs_rho", F.abs(rolling_correlation("_ra", "_rb", rows, least, by=by, week=week))).drop("_ra", "_rb")
 
 
-def global_rank(df: DataFrame, c: str, name: str, *, percent: bool = True) -> DataFrame:
-    """Average-tie rank (or its share of the count) over all rows, from the index of values; nulls get null."""
-    told = order.index(df, [], c).ranks()
+def global_rank(df: DataFrame, c: str, name: str, *, percent: bool = True, parts: int | None = None) -> DataFrame:
+    """Average-tie rank (or its share of the count) over all rows, from the index of values in ``parts`` ranges; nulls get null."""
+    told = order.index(df, [], c, parts).ranks()
     value = F.col("_rank") / F.col("_total") if percent else F.col("_rank")
     return df.join(told.select(F.col(c).alias("_v"), value.alias(name)), F.col(c) == F.col("_v"), "left").drop("_v")
 
