@@ -21,14 +21,13 @@ a midpoint to its smallest one gives the same components from 65 rows a
 fingerprint, and no pairs.
 
 Near copies (:func:`near_copies`, the rule of near-duplicate stages) are texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more.  Each text has three fingerprints, of its sets of words and (by two hash functions) of word
-pairs; texts are candidates if any of the three is within 6 bits, by the same partitions, thresholds and probes for each.  One-bit
-min-hashes of the five-word sets, 256 bits whose distance follows the similarity itself, sort out most others where they
-meet, and so does a bound on what two texts can share; the rest are verified on the two whole sets.  The bound: shingles of
-a text that no other text of any crowded bucket has are counted beforehand (:func:`_shareable`), so two texts of one
-template that both have many of their own cannot be similar and are no pair.  Pairs within a
-large group are not formed: members of a crowded bucket are first held against a few pivots, and the search then looks
-for pairs of different components only, a large component never probing itself.
+Jaccard similarity of 0.8 or more.  They are found by prefixes, which lose no pair: a similar text shares at least 0.8 of
+either set, so in any order of the shingles the two meet in one among the first fifth of each.  Shingles are ordered
+from rare to common, those that no other text has first; a text that has more than a fifth of these drops out
+beforehand (:func:`_alive`).  Where two texts meet, what is left of both from there on bounds what they share; the rest are
+verified on the two whole sets.  Pairs within a large group are not formed: members of a crowded bucket are
+first held against a few pivots, and the search then looks for pairs of different components only, a large component
+never being held against itself.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytespans as B
@@ -48,11 +47,11 @@ from .clusterio import cut, fresh, own, sent_if_few
 
 BITS = 64
 SEED = 42
-ROW_COST = 32.0  # a shuffled probe, in checks of a candidate
 _PLACE = B.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _ODD = B.mix(np.arange(1001, 1001 + 256, dtype=np.uint64))
-PRINTS = ((2, 0), (1, 0), (2, 1))  # fingerprints in the search for near copies: words in a shingle, hash function
-LIGHT = ("fp", "wide", "sig1", "sig2", "sig3", "n", "may", "code")  # what the search knows of a text
+SLICE = 0.35  # of the values of shingle hashes, where texts are searched for shingles of their own
+FLUSH = 1 << 20  # shingles that a task holds before it deals them out
+PER_RANGE = 500_000  # shingles in a range of hashes
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -296,26 +295,15 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return total[~later], np.searchsorted(doc[first][~later], np.arange(texts.n + 1))
 
 
-def set_fingerprints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SimHash of each set of hashes, as signed 64-bit integers; 0 for an empty set."""
+def set_codes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A signed 64-bit code of each set of hashes, whatever their order; 0 for an empty set."""
     n = np.diff(at)
-    out = np.zeros(len(n), np.uint64)
-    full = np.flatnonzero(n)
-    if not len(full):
-        return out.view(np.int64)
-    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
-    for b in range(32):  # bits b and b + 32 are counted in one word
-        votes = np.add.reduceat((hashes >> np.uint64(b)) & np.uint64(0x0000000100000001), at[:-1][full])
-        for shift, v in ((b, votes & low), (b + 32, votes >> half)):
-            out[full] |= (2 * v.astype(np.int64) > n[full]).astype(np.uint64) << np.uint64(shift)
+    out, full = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(full):
+        out[full] = B.mix(np.add.reduceat(B.mix(hashes ^ _ODD[0]), at[:-1][full]) + n[full].astype(np.uint64))
     return out.view(np.int64)
 
 
-def varied(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The hashes under the k-th further hash function; 0 leaves them as they are."""
-    return B.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else hashes
-
-
 def signatures(hashes: np.ndarray, at: np.ndarray, longs: int = 4) -> list[np.ndarray]:
     """One-bit min-hashes of each set as ``longs`` signed 64-bit integers: two sets differ in a bit with a chance of (1 - Jaccard) / 2; 0 for an empty set."""
     full = np.flatnonzero(np.diff(at))
@@ -334,88 +322,149 @@ def text_key(text: F.Column) -> F.Column:
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """``id``, ``key`` (see :func:`text_key`), ``fp0`` ... by ``PRINTS``, and ``sig0`` ... ``sig3`` and size ``n`` of the set of ``words``-word shingles, of every row."""
-    names = [f"fp{k}" for k in range(len(PRINTS))] + [f"sig{k}" for k in range(4)] + ["n"]
+    """``id``, ``key`` (see :func:`text_key`), and ``code`` and size ``n`` of the set of ``words``-word shingles, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, "t", B.LESS):
-            sets = {size: shingles(batch.column("t"), size) for size, _ in PRINTS}
-            prints = [set_fingerprints(varied(sets[size][0], k), sets[size][1]) for size, k in PRINTS]
             hashes, at = shingles(batch.column("t"), words)
-            made = [pa.array(x) for x in (*prints, *signatures(hashes, at), np.diff(at))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *made], ["id", "key", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(set_codes(hashes, at)), pa.array(np.diff(at))], ["id", "key", "code", "n"])
 
     light = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
-    return light.mapInArrow(run, light.select("id", "key", *[F.lit(0).cast("long").alias(n) for n in names]).schema)
+    return light.mapInArrow(run, light.select("id", "key", F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("n")).schema)
 
 
-def _dealt(nodes: DataFrame, parts: list[tuple[int, list[int], int]], *, probe: bool) -> DataFrame:
-    """A row of ``nodes`` for each partition ``p`` and value ``k`` under which it is stored, or which it probes."""
-    flips = lambda bits, t: [mask_of(list(c)) for j in range(t + 1) for c in itertools.combinations(bits, j)]
-    ways = [(p, mask, x) for p, (mask, bits, t) in enumerate(parts) for x in (flips(bits, t) if probe else [0])]
-    way = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(m).alias("m"), F.lit(x).alias("x")) for p, m, x in ways]))
-    return nodes.select("*", way.alias("w")).select(*own(nodes), "w.p", F.col("fp").bitwiseAND(F.col("w.m")).bitwiseXOR(F.col("w.x")).alias("k"))
+def _texts(docs: DataFrame, sets: DataFrame, codes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``code`` and a text ``t`` of the sets named in ``codes``; rows that repeat id and text repeat."""
+    wanted = sent_if_few(cut(sets.join(codes, "code", "left_semi").select("code", F.col("by.key").alias("want"), F.col("by.least").alias("named"))))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    return texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("named"))).select("code", "t")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``node``, ``code`` and text ``t`` of the classes named in ``nodes``; rows that repeat id and text repeat."""
-    wanted = sent_if_few(cut(classes.join(nodes, "node", "left_semi").select("node", "code", F.col("key").alias("want"), F.col("least").alias("by"))))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    return texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "code", "t")
+def _gathered(batches: Iterator[pa.RecordBatch], words: int, most: float = 1.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shingles of many texts at once whose hashes are in the lowest ``most`` of all values, with the codes and sizes of their texts' sets."""
+    held, size = [], 0
+    for batch in B.chunked(batches, "t", B.LESS):
+        hashes, at = shingles(batch.column("t"), words)
+        n = np.diff(at)
+        code, n, low = np.repeat(set_codes(hashes, at), n), np.repeat(n, n), (hashes >> np.uint64(32)) < np.uint64(most * 2**32)
+        held.append((hashes[low], code[low], n[low]))
+        size += len(held[-1][0])
+        if size >= FLUSH:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def _shareable(docs: DataFrame, classes: DataFrame, plans: list, bucket: int, *, doc_id: str, text: str, words: int, per_range: int = 250_000) -> DataFrame | None:
-    """``node`` and ``may`` of each text in a crowded bucket: how many of its shingles another such text has too; None without such buckets.
+def _range(high: np.ndarray, ranges: int, most: float = 1.0) -> np.ndarray:
+    """The range of each 32-bit value, of so many in the lowest ``most`` of all values."""
+    return np.minimum(high.astype(np.uint64) * np.uint64(ranges) // np.uint64(most * 2**32), np.uint64(ranges - 1)).astype(np.int64)
 
-    Two of these texts share at most the smaller of their numbers.  A shingle's owners are told in each batch and then in
-    ranges of hashes, where a shingle comes once from each batch, however many texts have it.
-    """
-    inside = []
-    for k, parts in enumerate(plans):
-        stored = _dealt(classes.select("node", F.col(f"fp{k}").alias("fp")), parts, probe=False)
-        crowded = cut(stored.groupBy("p", "k").count().where(F.col("count") > bucket).select("p", "k"))
-        inside.append(stored.join(sent_if_few(crowded), ["p", "k"], "left_semi").select("node"))
-    crowd = cut(reduce(DataFrame.unionByName, inside).distinct())
-    total = classes.join(crowd, "node", "left_semi").agg(F.sum("n")).first()[0]
-    if total is None:
-        return None
-    ranges = max(4, -(-total // per_range))
 
-    def owners(hashes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each hash once, with the code of the one text that has it, or -1."""
-        order = np.argsort(hashes, kind="stable")
-        hashes, code = hashes[order], code[order]
-        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-        if not len(first):
-            return hashes, code
-        low, high = np.minimum.reduceat(code, first), np.maximum.reduceat(code, first)
-        return hashes[first], np.where(low == high, low, -1)
+def _blocks(to: np.ndarray, ranges: int, **columns: np.ndarray) -> pa.Table:
+    """A row for each range ``to`` that occurs, with its part of each column as bytes."""
+    order = np.argsort(to, kind="stable")
+    ends = np.searchsorted(to[order], np.arange(ranges + 1))
+    full = np.flatnonzero(np.diff(ends))
+    return pa.table({"to": pa.array(full, pa.int64()), **{c: pa.array([y[ends[r] : ends[r + 1]].tobytes() for r in full], pa.binary()) for c, y in ((c, x[order]) for c, x in columns.items())}})
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.chunked(batches, "t", B.LESS):
-            hashes, at = shingles(batch.column("t"), words)
-            code = batch.column("code").to_numpy(zero_copy_only=False)
-            hashes, code = owners(hashes, np.repeat(code, np.diff(at)))
-            to = (hashes % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(ranges + 1))
-            full = np.flatnonzero(np.diff(ends))
-            lists = [[x[order][ends[r] : ends[r + 1]].tobytes() for r in full] for x in (hashes, code)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(x, pa.binary()) for x in lists)], ["r", "hashes", "codes"])
 
-    def alone(table: pa.Table) -> pa.Table:
-        hashes, codes = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("codes", np.int64)))
-        _, code = owners(hashes, codes)
-        code, count = np.unique(code[code >= 0], return_counts=True)
-        return pa.table({"code": pa.array(code, pa.int64()), "alone": pa.array(count, pa.int64())})
+def _read(table: pa.Table, **kinds: type) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in kinds.items()]
+
 
-    sent = _texts(docs, classes, crowd, doc_id, text).select("code", "t").mapInArrow(dealt, "r long, hashes binary, codes binary")
-    counts = sent.groupBy("r").applyInArrow(alone, "code long, alone long").groupBy("code").agg(F.sum("alone").alias("alone"))
-    return classes.join(crowd, "node", "left_semi").select("node", "code", "n").join(counts, "code", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("may"))
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal sorted keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs ``u``, ``v`` of node names whose texts' sets of ``words``-word shingles reach the Jaccard similarity.
+def _alive(docs: DataFrame, sets: DataFrame, total: int, *, text: str, words: int, similarity: float) -> DataFrame:
+    """``code`` and ``n`` of the sets that may be similar to another: of what they hold, enough may be in others too.
+
+    Shingles that one set alone has are counted where their hashes are in the lowest ``SLICE`` of all values; more of them
+    than dissimilar shingles are allowed rule a set out, whatever the others are.  Hashes and codes are shortened to 32 bits:
+    shingles taken for one another count as shared, and sets whose codes are taken for one another are judged by all of their
+    shingles, so neither loses a pair unless just these two have a shingle.  A shingle comes at most twice from a batch, however many texts have it.
+    """
+    ranges = max(4, round(total * SLICE / PER_RANGE))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, code, _ in _gathered(batches, words, SLICE):
+            order = np.argsort(hashes, kind="stable")
+            hashes, code = hashes[order], (code[order] & 0xFFFFFFFF).astype(np.uint32)
+            first = _starts(hashes)
+            low, high = np.minimum.reduceat(code, first), np.maximum.reduceat(code, first)
+            two = low != high
+            hashes, code = np.concatenate([hashes[first], hashes[first][two]]), np.concatenate([low, high[two]])
+            yield from _blocks(_range(hashes >> np.uint64(32), ranges, SLICE), ranges, hash=hashes.astype(np.uint32), code=code).to_batches()
+
+    def alone(table: pa.Table) -> pa.Table:
+        hashes, code = _read(table, hash=np.uint32, code=np.uint32)
+        order = np.argsort(hashes, kind="stable")
+        first = _starts(hashes[order])
+        low, high = (f.reduceat(code[order], first) for f in (np.minimum, np.maximum))
+        code, count = np.unique(low[low == high], return_counts=True)
+        return _blocks(_range(code, ranges), ranges, code=code, count=count.astype(np.uint32))
+
+    def added(table: pa.Table) -> pa.Table:
+        code, count = _read(table, code=np.uint32, count=np.uint32)
+        order = np.argsort(code, kind="stable")
+        first = _starts(code[order])
+        return pa.table({"low": pa.array(code[order][first].astype(np.int64)), "alone": pa.array(np.add.reduceat(count[order].astype(np.int64), first))})
+
+    sent = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).mapInArrow(dealt, "to long, hash binary, code binary")
+    parts = sent.groupBy("to").applyInArrow(alone, "to long, code binary, count binary")
+    counts = parts.groupBy("to").applyInArrow(added, "low long, alone long")
+    named = sets.where("n > 0").select("code", "n", F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low")).join(counts, "low", "left")
+    same = Window.partitionBy("low")
+    left = F.sum("n").over(same) - F.coalesce("alone", F.lit(0))
+    return named.withColumn("ok", left >= similarity * F.min("n").over(same) - 1e-9).where("ok").select("code", "n")
+
+
+def _postings(docs: DataFrame, sets: DataFrame, alive: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """``token``, ``code``, ``n`` and ``rest``: the prefixes of the sets in ``alive``, from the rarest shingle that two of them have to where fewer than ``similarity`` of a set are left.
+
+    ``rest`` is how many shingles are left, this one among them, that another of these sets has too.
+    """
+    total = alive.agg(F.sum("n")).first()[0] or 0
+    ranges = max(4, 2 * round(total / PER_RANGE))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, code, n in _gathered(batches, words):
+            yield from _blocks(_range(hashes >> np.uint64(32), ranges), ranges, hash=hashes.astype(np.uint32), code=code, n=n.astype(np.uint32)).to_batches()
+
+    def shared(table: pa.Table) -> pa.Table:
+        hashes, code, n = _read(table, hash=np.uint32, code=np.int64, n=np.uint32)
+        order = np.lexsort((code, hashes))
+        order = order[_starts(hashes[order], code[order])]  # repeated rows give the same shingles again
+        hashes, code, n = hashes[order], code[order], n[order]
+        first = _starts(hashes)
+        often = np.diff(np.append(first, len(hashes)))
+        often = np.repeat(often, often)
+        two = often > 1
+        token = (np.int64(table.column("to")[0].as_py()) << 32) | hashes[two].astype(np.int64)
+        to = _range(code[two].view(np.uint64) >> np.uint64(32), ranges)
+        return _blocks(to, ranges, token=token, code=code[two], n=n[two], often=often[two].astype(np.uint32))
+
+    def prefixes(table: pa.Table) -> pa.Table:
+        token, code, n, often = _read(table, token=np.int64, code=np.int64, n=np.uint32, often=np.uint32)
+        order = np.lexsort((token, often, code))
+        token, code, n = token[order], code[order], n[order].astype(np.int64)
+        first = _starts(code)
+        ends = np.append(first[1:], len(code))
+        rest = np.repeat(ends, ends - first) - np.arange(len(code))
+        keep = rest >= similarity * n - 1e-9
+        return pa.table({c: pa.array(x[keep]) for c, x in (("token", token), ("code", code), ("n", n), ("rest", rest))})
+
+    sent = _texts(docs, sets, alive, doc_id, text).select("t").mapInArrow(dealt, "to long, hash binary, code binary, n binary")
+    tokens = sent.groupBy("to").applyInArrow(shared, "to long, token binary, code binary, n binary, often binary")
+    return tokens.groupBy("to").applyInArrow(prefixes, "token long, code long, n long, rest long")
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, *, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """The pairs ``u``, ``v`` of codes whose sets reach the Jaccard similarity.
 
     Sets are of 32-bit hashes: of n shingles one is taken for another of the other set with a chance of n / 2^32.
     """
@@ -424,126 +473,92 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, doc_id:
         for batch in B.chunked(batches, "t", B.LESS):
             hashes, at = shingles(batch.column("t"), words)
             sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("code"), sets], ["code", "set"])
 
-    taking_part = pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
-    texts = _texts(docs, classes, taking_part, doc_id, text).select("node", "t")
-    sets = cut(texts.mapInArrow(run, "node binary, set array<int>").dropDuplicates(["node"]))  # repeated rows give the same sets again
-    one, two = (sets.select(F.col("node").alias(x), F.array_distinct("set").alias(f"set_{x}")) for x in "uv")
+    taking_part = pairs.select(F.explode(F.array("u", "v")).alias("code")).distinct()
+    held = cut(_texts(docs, sets, taking_part, doc_id, text).mapInArrow(run, "code long, set array<int>").dropDuplicates(["code"]))  # repeated rows give the same sets again
+    one, two = (held.select(F.col("code").alias(x), F.array_distinct("set").alias(f"set_{x}")) for x in "uv")
     both = pairs.join(two, "v").join(one, "u")
     shared, size = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
     return both.where((1 + similarity) * shared >= similarity * size - 1e-9).select("u", "v")
 
 
-def _named(pairs: DataFrame) -> DataFrame:
-    """``u`` > ``v``, the node names of pairs of codes and first signatures."""
-    u, v = (F.unhex(F.concat(hex16(F.col(f"code_{x}")), hex16(F.col(f"wide_{x}")))) for x in "uv")
-    return pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select("token", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token"])
 
 
-def _sided(df: DataFrame, side: str) -> DataFrame:
-    return df.select("p", "k", *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in ("p", "k")])
-
-
-def _near(distance: int, similarity: float) -> F.Column:
-    """Whether a pair's fingerprints are within the distance, it can share enough shingles to be similar, and its min-hash bits differ in no more than those of nearly all similar pairs do."""
-    apart = lambda c: F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v")))
-    odds = (1 - similarity) / 2
-    most = lambda bits, deviations: int(bits * odds + deviations * (bits * odds * (1 - odds)) ** 0.5) + 1
-    shared = F.when(F.col("may_u").isNotNull() & F.col("may_v").isNotNull(), F.least("may_u", "may_v")).otherwise(F.least("n_u", "n_v"))
-    enough = (1 + similarity) * shared >= similarity * (F.col("n_u") + F.col("n_v")) - 1e-9
-    return (apart("fp") <= distance) & (apart("wide") <= most(64, 3.5)) & enough & (apart("wide") + apart("sig1") + apart("sig2") + apart("sig3") <= most(256, 3))
-
-
-def _pivot_pairs(nodes: DataFrame, parts: list, near: F.Column, bucket: int, pivots: int) -> DataFrame | None:
-    """Pairs of the members of each crowded bucket with a few of them that no large component holds; None if no bucket is crowded."""
-    stored = _dealt(nodes, parts, probe=False)
-    drawn = lambda j: F.min(F.when(F.col("big").isNull(), F.struct(F.xxhash64("code", F.lit(j)).alias("x"), *LIGHT, "root")))
-    loose = F.count_if(F.col("big").isNull())
-    crowded = stored.groupBy("p", "k").agg(loose.alias("n"), F.array(*[drawn(j) for j in range(pivots)]).alias("pivot")).where(F.col("n") > bucket)
-    crowded = cut(crowded.select("p", "k", F.explode("pivot").alias("v")).select("p", "k", *[f"v.{c}" for c in (*LIGHT, "root")]).distinct())
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("code_u", "code_v").alias("u"), F.least("code_u", "code_v").alias("v"))
+
+
+def _enough(similarity: float) -> F.Column:
+    """Whether two sets that first meet in a shingle can share enough from there on."""
+    return (1 + similarity) * F.least("rest_u", "rest_v") >= similarity * (F.col("n_u") + F.col("n_v")) - 1e-9
+
+
+def _pivot_pairs(postings: DataFrame, enough: F.Column, bucket: int, pivots: int) -> DataFrame | None:
+    """Pairs of the members of each crowded bucket with a few of them, the one with the fewest shingles of its own among them; None if no bucket is crowded."""
+    member = lambda *first: F.struct(*first, "code", "n", "rest")
+    drawn = [F.max(member((F.col("rest") / F.col("n")).alias("x"))), *(F.min(member(F.xxhash64("code", F.lit(j)).cast("double").alias("x"))) for j in range(1, pivots))]
+    crowded = postings.groupBy("token").agg(F.count("*").alias("c"), F.array(*drawn).alias("pivot")).where(F.col("c") > bucket)
+    crowded = cut(crowded.select("token", F.explode("pivot").alias("v")).select("token", "v.code", "v.n", "v.rest").distinct())
     if crowded.isEmpty():
         return None
-    return _named(_sided(stored, "u").join(sent_if_few(_sided(crowded, "v")), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near)).distinct()
+    return _ordered(_sided(postings, "u").join(sent_if_few(_sided(crowded, "v")), "token").where((F.col("code_u") != F.col("code_v")) & enough)).distinct()
 
 
-def _pairs(nodes: DataFrame, parts: list, near: F.Column) -> DataFrame:
-    """All near pairs of different components, each once.
+def _pairs(nodes: DataFrame, enough: F.Column) -> DataFrame:
+    """All pairs of different components that meet in a bucket and can be similar, each once.
 
-    Nodes outside of large components probe everything; a node of a large one probes just the other large ones that a
-    bucket holds, so no large component is held against itself.
+    Sets outside of large components are held against all of their buckets; a member of a large one just against the other
+    large ones that a bucket holds, so no large component is held against itself.
     """
-    apart = F.col("fp_u").bitwiseXOR(F.col("fp_v"))
-    for p, (mask, _, t) in enumerate(parts[:-1]):  # a pair counts where it meets first
-        near &= (F.col("p") <= p) | (F.bit_count(apart.bitwiseAND(F.lit(mask))) > t)
-    stored = _dealt(nodes, parts, probe=False)
-    small = _dealt(nodes.where("big is null").select(*LIGHT, "root"), parts, probe=True)
-    above = (F.col("code_u") > F.col("code_v")) | ((F.col("code_u") == F.col("code_v")) & (F.col("wide_u") > F.col("wide_v")))
-    found = _named(_sided(small, "u").join(_sided(stored, "v"), ["p", "k"]).where((F.col("root_u") != F.col("root_v")) & near & (F.col("big_v").isNotNull() | above)))
-    if nodes.select("big").where("big is not null").distinct().limit(2).count() < 2:
-        return found
-    held = stored.where("big is not null").select("p", "k", *LIGHT, "big")
-    groups = held.select("p", "k", F.col("big").alias("other")).distinct()
-    probes = _sided(_dealt(nodes.where("big is not null").select(*LIGHT, "big"), parts, probe=True), "u").join(groups, ["p", "k"]).where(F.col("big_u") > F.col("other"))
-    met = probes.join(_sided(held, "v").withColumnRenamed("big_v", "other"), ["p", "k", "other"]).where(near)
-    return found.unionByName(_named(met))
-
-
-def _similar(docs: DataFrame, classes: DataFrame, *, distance: int, bucket: int, pivots: int = 4, rounds: int = 1, **rule) -> DataFrame:
-    """``node`` and ``root`` of the classes that have a verified link.
-
-    Links are looked for in steps, each with what is linked already: pivots of crowded buckets, in ``rounds``, and all
-    pairs within half of the distance, by the first fingerprint; then all pairs within it, by one fingerprint after
-    the other.  Only pairs of different components are verified.
+    small = nodes.where("big is null")
+    above = F.col("big_v").isNotNull() | (F.col("code_u") > F.col("code_v"))
+    found = _ordered(_sided(small, "u").join(_sided(nodes, "v"), "token").where((F.col("root_u") != F.col("root_v")) & above & enough))
+    held = nodes.where("big is not null")
+    if held.select("big").distinct().limit(2).count() == 2:
+        groups = held.select("token", F.col("big").alias("other")).distinct()
+        facing = _sided(held, "u").join(groups, "token").where(F.col("big_u") > F.col("other"))
+        found = found.unionByName(_ordered(facing.join(_sided(held, "v").withColumnRenamed("big_v", "other"), ["token", "other"]).where(enough)))
+    return found.distinct()
+
+
+def _similar(docs: DataFrame, sets: DataFrame, *, bucket: int, pivots: int = 4, **rule) -> DataFrame | None:
+    """``node`` (a code) and ``root`` of the sets that have a verified link; None if no set has a shingle.
+
+    Links are looked for in two steps: to pivots of crowded buckets, then all pairs of different components.
     """
-    joined = None
-    plans = [plan(classes.select(F.col(f"fp{k}").alias("fp")), distance, row_cost=ROW_COST) for k in range(len(PRINTS))]
-    may = _shareable(docs, classes, plans, bucket, **{c: rule[c] for c in ("doc_id", "text", "words")})
-    told_apart = classes.withColumn("may", F.lit(None).cast("long")) if may is None else cut(classes.join(may, "node", "left"))
-    near = lambda d: _near(d, rule["similarity"])
-
-    def nodes(k: int) -> DataFrame:
-        light = told_apart.select("node", F.col(f"fp{k}").alias("fp"), F.col("sig0").alias("wide"), *LIGHT[2:])
-        if joined is None:
-            return light.select(*LIGHT, F.col("code").alias("root"), F.lit(None).cast("long").alias("big"))
-        large = joined.groupBy("root").count().where(F.col("count") > bucket).select("root", F.xxhash64("root").alias("big"))
-        told = joined.join(large, "root", "left").select("node", F.xxhash64("root").alias("root"), "big")
-        return cut(light.join(told, "node", "left").select(*LIGHT, F.coalesce("root", "code").alias("root"), "big"))
-
-    def add(candidates: DataFrame) -> None:
-        nonlocal joined
-        more = _verified(docs, classes, cut(candidates), **rule)
-        known = [] if joined is None else [joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))]
-        joined = cut(components(reduce(DataFrame.unionByName, known, more)))
-
-    for k in range(len(PRINTS)):
-        parts = plans[k]
-        if not k:
-            for _ in range(rounds):
-                if (found := _pivot_pairs(nodes(k), parts, near(distance), bucket, pivots)) is None:
-                    break
-                add(found)
-            if joined is not None:  # where buckets were crowded: cheaper pairs first
-                add(_pairs(nodes(k), plan(classes.select(F.col(f"fp{k}").alias("fp")), distance // 2, row_cost=ROW_COST), near(distance // 2)))
-        add(_pairs(nodes(k), parts, near(distance)))
-    return joined
-
-
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 6, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
+    total = sets.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    alive = cut(_alive(docs, sets, total, **{c: rule[c] for c in ("text", "words", "similarity")}))
+    postings = cut(_postings(docs, sets, alive, **rule))
+    enough, links, nodes = _enough(rule["similarity"]), [], postings.select("*", F.col("code").alias("root"), F.lit(None).cast("long").alias("big"))
+    if (found := _pivot_pairs(postings, enough, bucket, pivots)) is not None:
+        joined = cut(components(_verified(docs, sets, cut(found), **rule)))
+        large = cut(joined.groupBy("root").count().where(F.col("count") > bucket).select("root", F.col("root").alias("big")))
+        told = joined.join(sent_if_few(large), "root", "left").select(F.col("node").alias("code"), "root", "big")
+        nodes = cut(postings.join(told, "code", "left").select("token", "code", "n", "rest", F.coalesce("root", "code").alias("root"), "big"))
+        links.append(joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    links.append(_verified(docs, sets, cut(_pairs(nodes, enough)), **rule))
+    return cut(components(reduce(DataFrame.unionByName, links)))
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
     """``id`` and ``key`` of every row, and ``key``, ``copies``, ``least`` and ``root`` of every different text.
 
-    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more and one of
-    their fingerprints (``PRINTS``) differs in at most ``distance`` bits, as nearly all such pairs do (figures in the README); rows of one root are linked, directly or through others.  Letters A-Z count as lower-case, and texts without words (null too) are one group.  ``least`` is
-    the least id of the text's rows, null if none has one.
+    Texts link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more; rows of one
+    root are linked, directly or through others.  Letters A-Z count as lower-case, and texts without words (null too) are
+    one group.  ``least`` is the least id of the text's rows, null if none has one.  Equal sets go by a code of 64 bits:
+    two of n different ones share it with a chance of about n^2 / 2^65.
     """
     rows = cut(_marked(docs, doc_id, text, words))
-    half = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
-    prints = [c for c in rows.columns if c not in ("id", "key")]
-    classes = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in prints], F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("code", half)
-    classes = cut(classes.withColumn("node", F.unhex(F.concat(hex16(F.col("code")), hex16(F.col("sig0"))))))
-    joined = _similar(docs, classes, distance=distance, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
-    rooted = classes.join(joined, "node", "left").select("key", "copies", "least", F.coalesce("root", "node").alias("root"))
-    return rows.select("id", "key"), cut(rooted)
+    classes = cut(rows.groupBy("key").agg(F.first("code").alias("code"), F.first("n").alias("n"), F.min("id").alias("least"), F.count("*").alias("copies")))
+    sets = cut(classes.groupBy("code").agg(F.first("n").alias("n"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("by")))
+    joined = _similar(docs, sets, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
+    rooted = classes.withColumn("root", F.col("code")) if joined is None else classes.join(joined, F.col("code") == F.col("node"), "left").withColumn("root", F.coalesce("root", "code"))
+    return rows.select("id", "key"), cut(rooted.select("key", "copies", "least", F.unhex(hex16(F.col("root"))).alias("root")))
 
 
 def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -95,6 +95,55 @@ def test_recall_of_pairs_just_similar(spark, bucket):
     assert all(least[i] == least[j] for i in range(len(texts)) for j in range(i) if root[i] == root[j])
 
 
+@pytest.mark.parametrize("bucket", [128, 8])
+def test_no_pair_at_the_bound_is_lost(spark, bucket):
+    """Pairs at 0.8 and little above it, of 10 to 400 words and of unlike lengths, all of them."""
+    draw = random.Random(33)
+    word = lambda: f"w{draw.randrange(3000)}"
+    texts = []
+    for size in (10, 14, 25, 50, 100, 400):
+        for _ in range(25):
+            a = [word() for _ in range(size)]
+            shingles = size - 4
+            b = a + [word() for _ in range(shingles // 4)]  # a whole in b: 0.8 where 4 divides
+            c = list(a)
+            for at in range(2, size, 45):  # five shingles of 45 each
+                c[at] = word()
+            texts += [" ".join(x) for x in (a, b, c)]
+    least, pairs = brute.near_copies(texts)
+    assert len(pairs) > 150
+    root = told(spark, texts, bucket=bucket)
+    assert recall(pairs, root) == 1
+    assert all(least[i] == least[j] for i in range(len(texts)) for j in range(i) if root[i] == root[j])
+
+
+def test_candidates_follow_the_texts_of_a_crowd(spark, monkeypatch):
+    """A template, near copies of it and texts with too many words of their own: few pairs a text are compared."""
+    draw = random.Random(34)
+    base = [f"w{draw.randrange(5000)}" for _ in range(140)]
+    texts = [" ".join(base), *family(draw, base, 300, (1, 2, 3)), *family(draw, base, 300, (5, 6))]
+    compared, verified = [], simhash._verified
+
+    def counted(docs, sets, pairs, **rule):
+        compared.append(pairs.count())
+        return verified(docs, sets, pairs, **rule)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    least, pairs = brute.near_copies(texts)
+    root = told(spark, texts, bucket=16)
+    assert recall(pairs, root) == 1
+    assert sum(compared) < 8 * len(texts)
+
+
+def test_equal_sets_meet_by_their_code(spark):
+    """Texts that differ in blanks, case and repetition only, and texts without a word."""
+    line = "one two three four five six seven eight"
+    texts = [line, line.upper(), line.replace(" ", "\n"), f"{line} ", f"{line} {line}", None, "", " ", "\t\n", "one two", "One\ttwo", "one two three"]
+    least, _ = brute.near_copies(texts)
+    root = told(spark, texts)
+    assert [root.index(x) for x in root] == least
+
+
 def test_signatures_follow_the_similarity():
     rnd = np.random.default_rng(4)
     for shared, alone in ((0, 100), (60, 20), (160, 20), (8, 1)):
