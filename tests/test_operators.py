@@ -459,6 +459,43 @@ def test_port_pairs_in_many_blocks_and_with_repeated_names(spark):
     assert "Aggregate" not in plan.split("MapInArrow")[0]  # pairs are not shuffled
 
 
+def shuffled(spark, act) -> int:
+    """Bytes that the stages of an action shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (lambda q: [q.apply(k) for k in range(q.size())])(store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None))}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = stages()
+    act()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_port_pairs_shuffle_as_the_ports_grow(spark):
+    """Four times the ports in one place make sixteen times the pairs, but not the blocks' cells sixteen times over."""
+    rnd = random.Random(32)
+    cells = spark.createDataFrame([(f"c{k}", 54 + rnd.random() * 2, 18 + rnd.random() * 3) for k in range(600)], "cell string, lat double, lon double")
+    ports = [(f"p{k:05}", 54 + rnd.random() * 2, 18 + rnd.random() * 3) for k in range(1600)]
+    sizes = []
+    for n in (400, 1600):
+        p = spark.createDataFrame(ports[:n], "port string, port_lat double, port_lon double")
+        sizes.append(shuffled(spark, lambda p=p: joins.port_pairs(cells, p, (15, 40), block=16).write.format("noop").mode("overwrite").save()))
+    assert sizes[0] > 0 and sizes[1] < 6 * sizes[0]
+
+
+def test_port_pairs_of_several_slabs_and_of_ports_at_one_place(spark):
+    rnd = random.Random(33)
+    cells = spark.createDataFrame([(f"c{k}", 54 + rnd.random(), 18 + rnd.random() * 2) for k in range(200)] + [(None, 54.5, 19.0), ("c", None, 19.0)], "cell string, lat double, lon double")
+    places = [(54 + rnd.random(), 18 + rnd.random() * 2 + 360 * (k % 2)) for k in range(12)]
+    ports = spark.createDataFrame([(f"p{k if k < 60 else k % 7}", *places[k % 12]) for k in range(90)], "port string, port_lat double, port_lon double")
+    near = spatial.within(cells.dropna(), ports.withColumn("id", F.monotonically_increasing_id()).localCheckpoint(), 30, ref_lat="port_lat", ref_lon="port_lon").localCheckpoint()
+    a, b = (near.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "port", "distance_km")]) for s in "ab")
+    met = a.join(b, "cell").where("port_a < port_b").groupBy("port_a", "port_b")
+    want = {tuple(r) for r in met.agg(F.count(F.when(F.greatest("distance_km_a", "distance_km_b") <= 10, 1)).alias("n"), F.count("*").alias("w")).collect()}
+    for how in ({}, {"slab": 14, "block": 7}, {"slab": 5, "block": 5, "tile": 3.0}):
+        got = [(r.port_a, r.port_b, r.cells_10, r.cells_30) for r in joins.port_pairs(cells, ports, (10, 30), **how).collect()]
+        assert set(got) == want and len(got) == len(want) > 500
+
+
 def test_rows_where_a_seed_stands_are_not_searched(spark, monkeypatch):
     rnd = random.Random(17)
     rows = [(w, f"c{k}", 54 + rnd.randrange(12) * 0.1, 18 + rnd.randrange(12) * 0.1) for w in range(2) for k in range(150)]
