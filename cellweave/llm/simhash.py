@@ -21,7 +21,9 @@ a midpoint to its smallest one gives the same components from 65 rows a
 fingerprint, and no pairs.
 
 Near copies (:func:`near_copies`, the rule of near-duplicate stages) are texts whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more.  They are found by prefixes, which lose no pair: a similar text shares at least 0.8 of
+Jaccard similarity of 0.8 or more.  What :func:`near_duplicates` puts into one component is held against this rule first.
+Similar texts can lie farther apart than its 2 bits, so a search by prefixes follows for pairs of what is not linked yet,
+which loses no pair: a similar text shares at least 0.8 of
 either set, so in any order of the shingles the two meet in one among the first fifth of each.  Shingles are ordered
 from rare to common, those that no other text has first; a text that has more than a fifth of these drops out
 beforehand (:func:`_alive`).  Where two texts meet, what is left of both from there on bounds what they share; the rest are
@@ -52,6 +54,12 @@ _ODD = B.mix(np.arange(1001, 1001 + 256, dtype=np.uint64))
 SLICE = 0.35  # of the values of shingle hashes, where texts are searched for shingles of their own
 FLUSH = 1 << 20  # shingles that a task holds before it deals them out
 PER_RANGE = 500_000  # shingles in a range of hashes
+PER_TASK = 200_000  # light rows that a task writes
+
+
+def _tasks(rows: int) -> int:
+    """Tasks that write so many light rows; many small files are not light."""
+    return max(4, -(-rows // PER_TASK))
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -178,9 +186,9 @@ def _split(bits: list[int], parts: int) -> list[list[int]]:
     return [g for g in (bits[k::parts] for k in range(parts)) if g]
 
 
-def links(prints: DataFrame, *, distance: int = 2, bucket: int = 64, levels: int = 3) -> DataFrame:
+def links(prints: DataFrame, *, distance: int = 2, bucket: int = 64, levels: int = 3, few: int | None = None) -> DataFrame:
     """``u`` > ``v``: links that join exactly the fingerprints (distinct, column ``fp``) that lie within
-    ``distance`` (at most 2) bits of each other, directly or through others."""
+    ``distance`` (at most 2) bits of each other, directly or through others.  ``few`` bounds the tasks that write steps."""
     if not 0 <= distance <= 2:
         raise ValueError("midpoints join fingerprints at 2 or fewer bits")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
@@ -192,16 +200,16 @@ def links(prints: DataFrame, *, distance: int = 2, bucket: int = 64, levels: int
     plain = all(t == 0 for *_, t in parts)
     probes = stored if plain else put([F.struct(p.alias("p"), key(m).bitwiseXOR(F.lit(x)).alias("key")) for p, m, bits, t in parts for x in flips(bits, t)])
     masks = {p: bits for p, (_, _, bits, _) in enumerate(parts)}
-    found, hot = [], None
+    found, hot, light = [], None, (lambda df: df.coalesce(few)) if few else (lambda df: df)
     for level in range(levels):
-        crowded = sent_if_few(cut(stored.groupBy("p", "key").count().where(F.col("count") > bucket).select("p", "key")))
+        crowded = sent_if_few(cut(light(stored.groupBy("p", "key").count().where(F.col("count") > bucket).select("p", "key"))))
         calm = stored.join(crowded, ["p", "key"], "left_anti")
         pairs = (calm if plain else probes.join(crowded, ["p", "key"], "left_anti")).withColumnRenamed("fp", "u").join(calm.withColumnRenamed("fp", "v"), ["p", "key"]).where((F.col("u") > F.col("v") if plain else F.col("u") != F.col("v")) & near)
         found.append(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         if crowded.isEmpty():
             break
         inside = probes if plain else stored.unionByName(probes)
-        hot = cut(inside.join(crowded, ["p", "key"], "left_semi"))
+        hot = cut(light(inside.join(crowded, ["p", "key"], "left_semi")))
         if not plain or level == levels - 1:
             break
         # members of a crowded bucket agree on its bits, so they differ within the rest: cut that into partitions again
@@ -261,16 +269,21 @@ def components(edges: DataFrame, *, rounds: int = 60, per_task: int = 200_000) -
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2, bucket: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", made: str | None = None, few: int | None = None, shingle: int = 3, distance: int = 2, bucket: int = 64) -> DataFrame:
     """``doc_id``, ``fp``, ``root`` (the component's least fingerprint) and ``component_id`` (least doc_id reachable over links, its own included) of every row.
 
     Null and blank texts have fingerprint 0, which links like any other.  Rows whose doc_id is null keep null as
     doc_id and take part; a component of such rows alone has a null component_id.  Repeated rows give repeated
-    rows; an empty table gives none.
+    rows; an empty table gives none.  ``made`` names a column of fingerprints where there is one, of rows that are
+    written already, so that texts are not read again.  ``few`` bounds the tasks that write steps.
     """
-    prints = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(classes.select("fp"), distance=distance, bucket=bucket))
+    if made:
+        prints = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{made}`").alias("fp"))
+    else:
+        prints = cut(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = cut(classes.coalesce(few) if few else classes)
+    joined = components(links(classes.select("fp"), distance=distance, bucket=bucket, few=few))
     rooted = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(lowest, "root").select("fp", "root", "component_id")
@@ -322,20 +335,22 @@ def text_key(text: F.Column) -> F.Column:
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """``id``, ``key`` (see :func:`text_key`), and ``code`` and size ``n`` of the set of ``words``-word shingles, of every row."""
+    """``id``, ``key`` (see :func:`text_key`), fingerprint ``fp``, and ``code`` and size ``n`` of the set of ``words``-word shingles, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunked(batches, "t", B.LESS):
             hashes, at = shingles(batch.column("t"), words)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(set_codes(hashes, at)), pa.array(np.diff(at))], ["id", "key", "code", "n"])
+            prints = pa.array([fingerprint(t) for t in batch.column("t").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), prints, pa.array(set_codes(hashes, at)), pa.array(np.diff(at))], ["id", "key", "fp", "code", "n"])
 
     light = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("t"))
-    return light.mapInArrow(run, light.select("id", "key", F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("n")).schema)
+    return light.mapInArrow(run, light.select("id", "key", *[F.lit(0).cast("long").alias(c) for c in ("fp", "code", "n")]).schema)
 
 
 def _texts(docs: DataFrame, sets: DataFrame, codes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``code`` and a text ``t`` of the sets named in ``codes``; rows that repeat id and text repeat."""
-    wanted = sent_if_few(cut(sets.join(codes, "code", "left_semi").select("code", F.col("by.key").alias("want"), F.col("by.least").alias("named"))))
+    few = _tasks(codes.count())
+    wanted = sent_if_few(cut(sets.join(codes, "code", "left_semi").select("code", F.col("by.key").alias("want"), F.col("by.least").alias("named")).coalesce(few)))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), text_key(F.col(f"`{text}`")).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     return texts.join(wanted, (F.col("key") == F.col("want")) & F.col("id").eqNullSafe(F.col("named"))).select("code", "t")
 
@@ -475,7 +490,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, *, doc_id: str
             sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("code"), sets], ["code", "set"])
 
-    taking_part = pairs.select(F.explode(F.array("u", "v")).alias("code")).distinct()
+    taking_part = cut(pairs.select(F.explode(F.array("u", "v")).alias("code")).distinct().coalesce(_tasks(2 * pairs.count())))
     held = cut(_texts(docs, sets, taking_part, doc_id, text).mapInArrow(run, "code long, set array<int>").dropDuplicates(["code"]))  # repeated rows give the same sets again
     one, two = (held.select(F.col("code").alias(x), F.array_distinct("set").alias(f"set_{x}")) for x in "uv")
     both = pairs.join(two, "v").join(one, "u")
@@ -524,25 +539,40 @@ def _pairs(nodes: DataFrame, enough: F.Column) -> DataFrame:
     return found.distinct()
 
 
-def _similar(docs: DataFrame, sets: DataFrame, *, bucket: int, pivots: int = 4, **rule) -> DataFrame | None:
+def _print_pairs(classes: DataFrame, few: int) -> DataFrame:
+    """Pairs ``u``, ``v`` of codes of sets by the components of :func:`near_duplicates`: each set with one of its fingerprint, one of each fingerprint with one of its component."""
+    prints = cut(classes.where("n > 0").select("code", "fp").distinct().coalesce(few))
+    at = near_duplicates(prints, doc_id="code", made="fp", few=few).select(F.col("doc_id").alias("code_u"), "fp", F.col("component_id").alias("head"))
+    at = cut(at.coalesce(few))
+    leads = at.groupBy("fp").agg(F.min("code_u").alias("code_v"), F.first("head").alias("head"))
+    alike = at.select("code_u", "fp").join(leads.select("code_v", "fp"), "fp").select("code_u", "code_v")
+    near = leads.select(F.col("code_v").alias("code_u"), F.col("head").alias("code_v"))
+    return _ordered(alike.unionByName(near).where("code_u <> code_v")).distinct()
+
+
+def _similar(docs: DataFrame, sets: DataFrame, classes: DataFrame, *, bucket: int, pivots: int = 4, **rule) -> DataFrame | None:
     """``node`` (a code) and ``root`` of the sets that have a verified link; None if no set has a shingle.
 
-    Links are looked for in two steps: to pivots of crowded buckets, then all pairs of different components.
+    Links are looked for in two steps: by fingerprints and to pivots of crowded buckets, then all pairs of different components.
     """
-    total = sets.agg(F.sum("n")).first()[0]
+    count, total = sets.agg(F.count("*"), F.sum("n")).first()
     if not total:
         return None
-    alive = cut(_alive(docs, sets, total, **{c: rule[c] for c in ("text", "words", "similarity")}))
+    few = _tasks(count)
+    alive = cut(_alive(docs, sets, total, **{c: rule[c] for c in ("text", "words", "similarity")}).coalesce(few))
     postings = cut(_postings(docs, sets, alive, **rule))
     enough, links, nodes = _enough(rule["similarity"]), [], postings.select("*", F.col("code").alias("root"), F.lit(None).cast("long").alias("big"))
-    if (found := _pivot_pairs(postings, enough, bucket, pivots)) is not None:
-        joined = cut(components(_verified(docs, sets, cut(found), **rule)))
-        large = cut(joined.groupBy("root").count().where(F.col("count") > bucket).select("root", F.col("root").alias("big")))
+    found = _print_pairs(classes, few)
+    if (held := _pivot_pairs(postings, enough, bucket, pivots)) is not None:
+        found = found.unionByName(held).distinct()
+    if not (found := cut(found.coalesce(few))).isEmpty():
+        joined = cut(components(_verified(docs, sets, found, **rule)).coalesce(few))
+        large = cut(joined.groupBy("root").count().where(F.col("count") > bucket).select("root", F.col("root").alias("big")).coalesce(few))
         told = joined.join(sent_if_few(large), "root", "left").select(F.col("node").alias("code"), "root", "big")
         nodes = cut(postings.join(told, "code", "left").select("token", "code", "n", "rest", F.coalesce("root", "code").alias("root"), "big"))
         links.append(joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     links.append(_verified(docs, sets, cut(_pairs(nodes, enough)), **rule))
-    return cut(components(reduce(DataFrame.unionByName, links)))
+    return cut(components(reduce(DataFrame.unionByName, links)).coalesce(few))
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bucket: int = 128) -> tuple[DataFrame, DataFrame]:
@@ -554,11 +584,12 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     two of n different ones share it with a chance of about n^2 / 2^65.
     """
     rows = cut(_marked(docs, doc_id, text, words))
-    classes = cut(rows.groupBy("key").agg(F.first("code").alias("code"), F.first("n").alias("n"), F.min("id").alias("least"), F.count("*").alias("copies")))
-    sets = cut(classes.groupBy("code").agg(F.first("n").alias("n"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("by")))
-    joined = _similar(docs, sets, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
+    few = _tasks(rows.count())
+    classes = cut(rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "code", "n")], F.min("id").alias("least"), F.count("*").alias("copies")).coalesce(few))
+    sets = cut(classes.groupBy("code").agg(F.first("n").alias("n"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("by")).coalesce(few))
+    joined = _similar(docs, sets, classes, bucket=bucket, doc_id=doc_id, text=text, words=words, similarity=similarity)
     rooted = classes.withColumn("root", F.col("code")) if joined is None else classes.join(joined, F.col("code") == F.col("node"), "left").withColumn("root", F.coalesce("root", "code"))
-    return rows.select("id", "key"), cut(rooted.select("key", "copies", "least", F.unhex(hex16(F.col("root"))).alias("root")))
+    return rows.select("id", "key"), cut(rooted.select("key", "copies", "least", F.unhex(hex16(F.col("root"))).alias("root")).coalesce(few))
 
 
 def keep_representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

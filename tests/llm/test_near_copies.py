@@ -135,6 +135,32 @@ def test_candidates_follow_the_texts_of_a_crowd(spark, monkeypatch):
     assert sum(compared) < 8 * len(texts)
 
 
+def test_the_stage_runs_the_fingerprint_operator_and_verifies_what_it_links(spark, monkeypatch):
+    """Texts that :func:`simhash.near_duplicates` joins are compared first; those below the similarity stay apart."""
+    draw = random.Random(35)
+    words = lambda n: [f"w{draw.randrange(5000)}" for _ in range(n)]
+    long, phrase = words(400), words(5) * 60
+    texts = [" ".join(long), " ".join([*long, "end"]), " ".join(phrase), " ".join([*phrase, *words(4)]), *(" ".join(words(60)) for _ in range(20)), "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [brute.fingerprint(t) for t in texts]
+    by_print = brute.linked(fps)
+    assert by_print[1] == 0 and by_print[3] == 2 and len(set(fps[:4])) > 2  # the operator joins both pairs
+    ran, compared, operator, verified = [], [], simhash.near_duplicates, simhash._verified
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **how: (ran.append(how), operator(*a, **how))[1])
+
+    def seen(docs, sets, pairs, **rule):
+        compared.append(pairs.count())
+        return verified(docs, sets, pairs, **rule)
+
+    monkeypatch.setattr(simhash, "_verified", seen)
+    least, _ = brute.near_copies(texts)
+    assert least[1] == 0 and least[3] == 3
+    root = told(spark, texts)
+    assert [root.index(x) for x in root] == least
+    assert ran and compared[0] == 2
+    assert sorted(r.doc_id for r in simhash.keep_representatives(rows).collect()) == sorted(set(least))
+
+
 def test_equal_sets_meet_by_their_code(spark):
     """Texts that differ in blanks, case and repetition only, and texts without a word."""
     line = "one two three four five six seven eight"
