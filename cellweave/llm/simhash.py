@@ -52,7 +52,7 @@ SEED = 42
 _PLACE = B.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _ODD = B.mix(np.arange(1001, 1001 + 256, dtype=np.uint64))
 SLICE = 0.35  # of the values of shingle hashes, where texts are searched for shingles of their own
-FLUSH = 1 << 20  # shingles that a task holds before it deals them out
+FLUSH = 1 << 19  # shingles that a task holds before it deals them out
 PER_RANGE = 500_000  # shingles in a range of hashes
 PER_TASK = 200_000  # light rows that a task writes
 
